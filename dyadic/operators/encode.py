@@ -80,6 +80,11 @@ class Encoding:
         """Columns of X after the entity block (categoricals and reals)."""
         return sum(self.cards[c] for c in self.guide.cats) + len(self.guide.reals)
 
+    def codes(self, field: str) -> DataFrame:
+        """The codes of one field (from the checkpointed dictionary)."""
+        i = list(self.guide.fields).index(field)
+        return self.dicts.filter(F.col("f") == i).select(F.col("code").cast("int").alias(field))
+
     def feature_ranges(self, spark) -> DataFrame:
         return spark.createDataFrame(
             [(f, k, s, e) for f, k, s, e in self.ranges],

@@ -1,3 +1,3 @@
 """Imports every query module so their queries register."""
 
-from dyadic.plans import table_queries  # noqa: F401
+from dyadic.plans import table_queries, score_queries  # noqa: F401
