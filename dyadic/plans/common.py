@@ -27,3 +27,22 @@ def row_draw() -> Column:
 
 
 ROW_DRAW_SQL = "(l_partkey * 8 + l_linenumber)"
+
+
+def r2(c) -> Column:
+    """Round large sums (money-scale) to 2 decimals."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 2) + F.lit(0.0)
+
+
+def s2(expr: str) -> str:
+    return f"(ROUND({expr}, 2) + 0.0)"
+
+
+def rn(c, d: int) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, d) + F.lit(0.0)
+
+
+def sn(expr: str, d: int) -> str:
+    return f"(ROUND({expr}, {d}) + 0.0)"

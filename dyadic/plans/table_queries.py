@@ -11,7 +11,7 @@ from dyadic.functions.scalar import bin_levels, clip, nonfinite_to_zero, squared
 from dyadic.operators import prep, stats, windows
 from dyadic.operators.encode import contiguous_ids, encode, encode_ids, long_design
 from dyadic.operators.reshape import pivot_ratings, sparse_entries, unpivot_stats
-from dyadic.plans.common import ROW_DRAW_SQL, cnt, r6, row_draw, s6
+from dyadic.plans.common import ROW_DRAW_SQL, cnt, r2, r6, row_draw, s2, s6
 from dyadic.plans.registry import D_SQL, E_SQL, SPLIT_SQL, query
 from dyadic.sources.tables import DYAD_GUIDE, ROW_KEY, dyads, events_dyads, table
 
@@ -84,24 +84,26 @@ def q_observed(spark, sf):
 @query("design_projection", f"""WITH {D_SQL}
 SELECT term, CAST(count(*) AS BIGINT) AS n, {s6('sum(y)')} AS sum_y,
   {s6('sum(l_discount)')} AS x0, {s6('sum(l_tax)')} AS x1,
-  {s6('sum(p_retailprice)')} AS x2, {s6('sum(c_acctbal)')} AS x3
+  {s2('sum(p_retailprice)')} AS x2, {s2('sum(c_acctbal)')} AS x3
 FROM d GROUP BY term""")
 def q_design(spark, sf):
     d = dyads(spark, sf).select("uid", "iid", "y", "term", *DYAD_GUIDE.reals)
     feats = prep.feature_columns(d, ["uid", "iid", "term"], "y")
     x = prep.design_projection(d, "uid", "iid", "y", feats, keep=["term"])
     return x.groupBy("term").agg(cnt().alias("n"), r6(F.sum("y")).alias("sum_y"),
-                                 *[r6(F.sum(F.col("x")[i])).alias(f"x{i}") for i in range(len(feats))])
+                                 *[(r6 if i < 2 else r2)(F.sum(F.col("x")[i])).alias(f"x{i}")
+                                   for i in range(len(feats))])
 
 
 @query("add_squared_features", f"""WITH {D_SQL}
 SELECT term, {s6('sum(l_discount * l_discount)')} AS sq_discount,
-  {s6('sum(l_tax * l_tax)')} AS sq_tax, {s6('sum(p_retailprice * p_retailprice)')} AS sq_price
+  {s6('sum(l_tax * l_tax)')} AS sq_tax, {s2('avg(p_retailprice * p_retailprice)')} AS sq_price
 FROM d GROUP BY term""")
 def q_squares(spark, sf):
     d, names = squared_features(dyads(spark, sf), ["l_discount", "l_tax", "p_retailprice"])
-    return d.groupBy("term").agg(*[r6(F.sum(F.col(f"`{n}`"))).alias(a)
-                                   for n, a in zip(names, ["sq_discount", "sq_tax", "sq_price"])])
+    return d.groupBy("term").agg(r6(F.sum(F.col(f"`{names[0]}`"))).alias("sq_discount"),
+                                 r6(F.sum(F.col(f"`{names[1]}`"))).alias("sq_tax"),
+                                 r2(F.avg(F.col(f"`{names[2]}`"))).alias("sq_price"))
 
 
 @query("clip_target", f"""WITH {D_SQL}
