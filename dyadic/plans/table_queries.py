@@ -487,3 +487,26 @@ def q_unpivot(spark, sf):
     w = dyads(spark, sf).groupBy("term").agg(F.sum("l_discount").alias("discount"),
                                              F.sum("l_tax").alias("tax"), F.sum("y").alias("y"))
     return unpivot_stats(w, ["term"], ["discount", "tax", "y"]).withColumn("value", r6("value"))
+
+
+@query("append_terms_stream", f"""WITH {E_SQL}
+SELECT term, CAST(count(*) AS BIGINT) AS n, {s6('sum(grade)')} AS sum_grade FROM e GROUP BY term""")
+def q_append_stream(spark, sf):
+    """Terms land in two waves; two availableNow runs of one stream (same
+    checkpoint) append each term exactly once."""
+    import os
+    from dyadic.session import scratch_path
+    from dyadic.streaming import append_terms_stream
+    e = events_dyads(spark, sf)
+    base = scratch_path(spark, "term-stream")
+    landing, table_, ckpt = (os.path.join(base, x) for x in ("landing", "table", "_checkpoint"))
+    lo, hi = e.agg(F.min("term"), F.max("term")).first()
+    mid = (lo + hi) // 2
+    schema = e.schema
+    for wave in ((lo, mid), (mid + 1, hi)):
+        for t in range(wave[0], wave[1] + 1):
+            e.filter(F.col("term") == t).write.parquet(os.path.join(landing, f"term-{t}"))
+        append_terms_stream(spark, os.path.join(landing, "*"), table_, ckpt, schema)
+    back = spark.read.parquet(table_)
+    return back.groupBy(F.col("term").cast("long").alias("term")).agg(
+        cnt().alias("n"), r6(F.sum("grade")).alias("sum_grade"))
