@@ -34,13 +34,16 @@ def q_vmean(spark, sf):
     return stats.vector_mean(_emb(spark, sf), "embedding").withColumn("mean", r6("mean"))
 
 
+# Per-entity sums of decimal data are exact at 7 decimals: rounding at 8
+# cannot land on a tie.  Global sums are shown as means (X^T X / n).
 def _gram_sql(group: str | None):
+    agg, d = ("sum", 8) if group else ("avg", 6)
     cols = []
     for a in range(len(GRAM)):
         for b in range(a, len(GRAM)):
-            cols.append(f"{sn(f'sum({GRAM[a]} * {GRAM[b]})', 4)} AS g_{a}_{b}")
+            cols.append(f"{sn(f'{agg}({GRAM[a]} * {GRAM[b]})', d)} AS g_{a}_{b}")
     for a in range(len(GRAM)):
-        cols.append(f"{sn(f'sum({GRAM[a]} * (p_retailprice / 1000.0))', 4)} AS b_{a}")
+        cols.append(f"{sn(f'{agg}({GRAM[a]} * (p_retailprice / 1000.0))', d)} AS b_{a}")
     sel = ", ".join(cols)
     if group:
         return f"WITH {D_SQL} SELECT {group}, CAST(count(*) AS BIGINT) AS n, {sel} FROM d GROUP BY {group}"
@@ -52,8 +55,10 @@ def _gram_frame(spark, sf):
     return d.select("uid", F.array(*GRAM).alias("z"), (F.col("p_retailprice") / 1000.0).alias("r"))
 
 
-def _round_gram(df):
-    return df.select(*[rn(c, 4).alias(c) if c.startswith(("g_", "b_")) else F.col(c) for c in df.columns])
+def _round_gram(df, d=8, per_row=False):
+    n = F.col("n") if per_row else F.lit(1.0)
+    return df.select(*[rn(F.col(c) / n, d).alias(c) if c.startswith(("g_", "b_")) else F.col(c)
+                       for c in df.columns])
 
 
 @query("entity_gram", _gram_sql("uid"))
@@ -63,7 +68,7 @@ def q_entity_gram(spark, sf):
 
 @query("global_gram", _gram_sql(None))
 def q_global_gram(spark, sf):
-    return _round_gram(stats.global_gram(_gram_frame(spark, sf), "z", "r", len(GRAM)))
+    return _round_gram(stats.global_gram(_gram_frame(spark, sf), "z", "r", len(GRAM)), 6, per_row=True)
 
 
 @query("feature_sufficient_stats", f"""WITH {_CODES_SQL},
