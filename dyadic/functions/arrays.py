@@ -47,3 +47,41 @@ def arr_norm2(a) -> Column:
 def arr_get(a, i: int) -> Column:
     """0-based element access."""
     return F.element_at(_c(a), i + 1)
+
+
+# Fixed-length forms: when the vector length k is known, element access and
+# scalar arithmetic stay inside whole-stage code generation (the lambda
+# functions above are evaluated by the interpreter).
+def dot_k(a, b, k: int) -> Column:
+    a, b = _c(a), _c(b)
+    out = a[0] * b[0]
+    for i in range(1, k):
+        out = out + a[i] * b[i]
+    return out
+
+
+def norm2_k(a, k: int) -> Column:
+    return dot_k(a, a, k)
+
+
+def comps(a, k: int) -> list:
+    a = _c(a)
+    return [a[i] for i in range(k)]
+
+
+def add_k(arrays, k: int) -> Column:
+    """Element-wise sum of several arrays of length k (or lists of k
+    scalar columns)."""
+    cs = [comps(x, k) if not isinstance(x, list) else x for x in arrays]
+    out = []
+    for i in range(k):
+        e = cs[0][i]
+        for c in cs[1:]:
+            e = e + c[i]
+        out.append(e)
+    return F.array(*out)
+
+
+def sub_k(a, b, k: int) -> Column:
+    a, b = _c(a), _c(b)
+    return F.array(*[a[i] - b[i] for i in range(k)])

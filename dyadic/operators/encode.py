@@ -99,11 +99,25 @@ def check_columns(df: DataFrame, guide: FeatureGuide, source: str = "") -> None:
 
 
 def encode(df: DataFrame, guide: FeatureGuide, split: str = "split",
-           keep: Sequence[str] = ()) -> Encoding:
+           keep: Sequence[str] = (), term: str = "term") -> Encoding:
     """One-hot codes for entities and categoricals from one dictionary over
-    train and test, z-scored reals fitted on train (RS-4/5/6, PRJ-8)."""
+    train and test, z-scored reals fitted on train (RS-4/5/6, PRJ-8).
+    Without a ``split`` column the temporal hold-out on ``term`` labels the
+    rows (FLT-1)."""
+    from dyadic.operators.iterate import cut
+    from dyadic.operators.prep import with_split
     check_columns(df, guide)
     fields = list(guide.fields)
+    # one materialisation of the input columns feeds the hold-out term, the
+    # dictionaries, the scaling statistics and the encoded rows
+    if split in df.columns:
+        df = cut(df.select(*keep, split, *guide.columns), spread=True)
+    else:
+        extra = [] if term in keep else [term]
+        df = cut(df.select(*keep, *extra, *guide.columns), spread=True)
+        df = with_split(df, term, None)
+        if extra:
+            df = df.drop(term)
     dicts = build_dictionaries(df, fields)
     cards = {r["f"]: r["n"] for r in dicts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
     cards = {c: int(cards.get(i, 0)) for i, c in enumerate(fields)}
@@ -117,6 +131,7 @@ def encode(df: DataFrame, guide: FeatureGuide, split: str = "split",
     if guide.reals:
         scale = fit_zscore(df.filter(F.col(split) == "train"), guide.reals)
         out = apply_zscore(out, scale, guide.reals)
+    out = cut(out)
     ranges, start = [], 0
     for c in fields:
         kind = "entity" if c in guide.ents else "categorical"

@@ -1,7 +1,7 @@
 """Interpretation jobs (IM-1..6, WN-5, SO-1/2).
 
 Every importance is a sum over rows of per-row deviations, so the row frame
-is scanned once, per-row terms are computed with array functions inside the
+is scanned once, per-row terms are computed with column arithmetic inside the
 row, and a grouped sum (partial aggregation) collapses them per feature.
 Only the final per-feature table (bounded by the number of features x
 profiles) is ever small enough to rank.
@@ -19,45 +19,56 @@ from pyspark.sql.window import Window
 from dyadic.operators.score import attach
 
 
-def _entries_fm(rows: DataFrame, k: int, fields: Mapping[str, tuple[DataFrame, int | None]],
-                starts: Mapping[str, int], reals: Sequence[str], wr, Vr) -> DataFrame:
-    """Per row: array of active entries struct(idx, x, w, v)."""
+def fm_importance(rows: DataFrame, k: int, fields: Mapping[str, tuple[DataFrame, int | None]],
+                  starts: Mapping[str, int], reals: Sequence[str] = (), wr=None, Vr=None) -> DataFrame:
+    """(idx, f, f1, f2): sigma1 = |w_j x_j|,
+    sigma2 = x_j^2 sum_{j' != j} |x_j' Z_jj'| / (|x_j| + |x_j'|), Z = V V^T,
+    as shares of the total over all rows (IM-1).
+
+    A row has one active entry per one-hot field plus its real columns, so
+    the pairs are a fixed set of slots: every pair term is written out as
+    plain column arithmetic (inside code generation), each unordered dot
+    product once; nothing pairs rows with other rows."""
     out = rows
-    items = []
+    slots = []  # (idx column, x column, w column, [k components of v])
     for i, (f, (tab, n)) in enumerate(fields.items()):
         out = attach(out, f, tab, {"w": f"__w{i}", "vec": f"__v{i}"}, n, k)
-        items.append(F.struct((F.lit(starts[f]) + F.col(f)).cast("long").alias("idx"),
-                              F.lit(1.0).alias("x"), F.col(f"__w{i}").alias("w"),
-                              F.col(f"__v{i}").alias("v")))
+        v = F.col(f"__v{i}")
+        slots.append(((F.lit(starts[f]) + F.col(f)).cast("long"), F.lit(1.0), F.col(f"__w{i}"),
+                      [v[l] for l in range(k)]))
     wr = np.asarray(wr, dtype=float) if len(reals) else None
     Vr = np.asarray(Vr, dtype=float) if len(reals) else None
     for j, r in enumerate(reals):
-        items.append(F.struct(F.lit(starts[r]).cast("long").alias("idx"),
-                              F.col(r).cast("double").alias("x"), F.lit(float(wr[j])).alias("w"),
-                              F.array(*[F.lit(float(Vr[j, l])) for l in range(k)]).alias("v")))
-    act = F.filter(F.array(*items), lambda e: e["x"] != 0)
-    return out.select(act.alias("act"))
-
-
-def fm_importance(rows: DataFrame, k: int, fields, starts, reals=(), wr=None, Vr=None) -> DataFrame:
-    """(idx, f, f1, f2): sigma1 = |w_j x_j|,
-    sigma2 = x_j^2 sum_{j' != j} |x_j' Z_jj'| / (|x_j| + |x_j'|), Z = V V^T,
-    as shares of the total over all rows (IM-1).  Pairs are formed only
-    among the active entries of one row, never across rows."""
-    ent = _entries_fm(rows, k, fields, starts, reals, wr, Vr)
+        slots.append((F.lit(starts[r]).cast("long"), F.col(r).cast("double"), F.lit(float(wr[j])),
+                      [float(Vr[j, l]) for l in range(k)]))
 
     def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    per = ent.select(F.explode(F.transform("act", lambda a: F.struct(
-        a["idx"].alias("idx"),
-        F.abs(a["w"] * a["x"]).alias("s1"),
-        (a["x"] * a["x"] * F.aggregate(
-            F.col("act"), F.lit(0.0),
-            lambda acc, b: acc + F.when(b["idx"] != a["idx"],
-                                        F.abs(b["x"] * dot(a["v"], b["v"])) /
-                                        (F.abs(a["x"]) + F.abs(b["x"]))).otherwise(F.lit(0.0))
-        )).alias("s2")))).alias("e")).select("e.*")
+        va, vb = slots[a][3], slots[b][3]
+        if all(isinstance(x, float) for x in va + vb):
+            return F.lit(float(sum(x * y for x, y in zip(va, vb))))
+        e = None
+        for x, y in zip(va, vb):
+            x = F.lit(x) if isinstance(x, float) else x
+            t = x * y
+            e = t if e is None else e + t
+        return e
+
+    dots = {}
+    for a in range(len(slots)):
+        for b in range(a + 1, len(slots)):
+            out = out.withColumn(f"__z{a}_{b}", dot(a, b))
+            dots[(a, b)] = dots[(b, a)] = F.col(f"__z{a}_{b}")
+    ents = []
+    for a, (idx, xa, wa, _) in enumerate(slots):
+        s2 = F.lit(0.0)
+        for b, (_, xb, _, _) in enumerate(slots):
+            if b == a:
+                continue
+            s2 = s2 + F.when(xb != 0, F.abs(xb * dots[(a, b)]) / (F.abs(xa) + F.abs(xb))).otherwise(F.lit(0.0))
+        ents.append(F.struct(idx.alias("idx"), xa.alias("x"), F.abs(wa * xa).alias("s1"),
+                             (xa * xa * s2).alias("s2")))
+    per = (out.select(F.explode(F.array(*ents)).alias("e")).select("e.*")
+              .filter(F.col("x") != 0))
     # one row per column of X (entity columns included): materialised once,
     # then divided by the scalar total
     by = per.groupBy("idx").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).checkpoint()

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.functions.arrays import arr_add, arr_dot, arr_scale, arr_sum
+from dyadic.functions.arrays import arr_dot, arr_scale, dot_k
 from dyadic.functions.scalar import clip
 from dyadic.operators.joins import sized_broadcast
 
@@ -37,8 +37,8 @@ def attach(rows: DataFrame, key: str, table: DataFrame, cols: Mapping[str, str],
     return out.withColumns(fills)
 
 
-def real_block(reals: Sequence[str], Wr: np.ndarray | None) -> Column | None:
-    """k-vector W_r x_r for real features; Wr is k x r."""
+def real_comps(reals: Sequence[str], Wr: np.ndarray | None) -> list | None:
+    """The k components of W_r x_r for real features; Wr is k x r."""
     if Wr is None or not len(reals):
         return None
     Wr = np.asarray(Wr, dtype=float)
@@ -49,17 +49,23 @@ def real_block(reals: Sequence[str], Wr: np.ndarray | None) -> Column | None:
             t = F.lit(float(Wr[l, j])) * F.col(r)
             e = t if e is None else e + t
         comps.append(e)
-    return F.array(*comps)
+    return comps
+
+
+def real_block(reals: Sequence[str], Wr: np.ndarray | None) -> Column | None:
+    """k-vector W_r x_r as an array column."""
+    c = real_comps(reals, Wr)
+    return None if c is None else F.array(*c)
 
 
 def score_factors(rows: DataFrame, U: DataFrame, I: DataFrame, mean: float,
                   uid: str = "uid", iid: str = "iid", bounds=(0.0, 5.0),
                   nusers: int | None = None, nitems: int | None = None,
-                  how: str = "inner") -> DataFrame:
+                  how: str = "inner", k: int | None = None) -> DataFrame:
     """clip(w_u[u] . w_i[i] + mean) (SC-1); U / I are (id, vec)."""
     out = (rows.join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers), uid, how)
                .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems), iid, how))
-    pred = arr_dot("__u", "__i") + F.lit(float(mean))
+    pred = (dot_k("__u", "__i", k) if k else arr_dot("__u", "__i")) + F.lit(float(mean))
     if bounds is not None:
         pred = clip(pred, bounds[0], bounds[1])
     return out.withColumn("pred", pred).drop("__u", "__i")
@@ -86,11 +92,14 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
     for i, (f, (tab, n)) in enumerate((Wcat or {}).items()):
         out = attach(out, f, tab, {"wvec": f"__w{i}"}, n, k)
         wcols.append(F.col(f"__w{i}"))
-    reg = real_block(reals, Wr)
-    for c in wcols:
-        reg = c if reg is None else arr_add(reg, c)
-    if reg is None:
-        reg = _zeros(k)
+    rc = real_comps(reals, Wr)
+    regc = []
+    for l in range(k):
+        e = None if rc is None else rc[l]
+        for c in wcols:
+            e = c[l] if e is None else e + c[l]
+        regc.append(F.lit(0.0) if e is None else e)
+    reg = F.array(*regc)
     if shared_p is not None:
         pvec = F.array(*[F.lit(float(v)) for v in shared_p])
     else:
@@ -101,7 +110,7 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
     bias = F.lit(0.0)
     for b in bias_cols:
         bias = bias + b
-    pred = F.lit(float(w0)) + bias + arr_dot("__pv", "__reg")
+    pred = F.lit(float(w0)) + bias + dot_k("__pv", "__reg", k)
     out = out.withColumn("pred", pred)
     drop = [c for c in out.columns if c.startswith("__b") or c.startswith("__w") or c == "__p"]
     if keep_parts:
@@ -120,28 +129,35 @@ def fm_score(rows: DataFrame, k: int, w0: float,
     its code.  ``wr`` (r,) and ``Vr`` (r x k) weight the real columns."""
     out = rows
     lin = F.lit(float(w0))
-    q = None
-    sq = None
+    q = [None] * k
+    sq = [None] * k
+
+    def acc(lst, l, term):
+        lst[l] = term if lst[l] is None else lst[l] + term
+
     for i, (f, (tab, n)) in enumerate(fields.items()):
         out = attach(out, f, tab, {"w": f"__w{i}", "vec": f"__v{i}"}, n, k)
         lin = lin + F.col(f"__w{i}")
         v = F.col(f"__v{i}")
-        v2 = F.transform(v, lambda x: x * x)
-        q = v if q is None else arr_add(q, v)
-        sq = v2 if sq is None else arr_add(sq, v2)
+        for l in range(k):
+            acc(q, l, v[l])
+            acc(sq, l, v[l] * v[l])
     if len(reals):
         wr = np.asarray(wr, dtype=float)
         Vr = np.asarray(Vr, dtype=float)
         for j, r in enumerate(reals):
-            lin = lin + F.lit(float(wr[j])) * F.col(r)
-            vj = F.array(*[F.lit(float(Vr[j, l])) * F.col(r) for l in range(k)])
-            vj2 = F.array(*[F.lit(float(Vr[j, l] ** 2)) * F.col(r) * F.col(r) for l in range(k)])
-            q = vj if q is None else arr_add(q, vj)
-            sq = vj2 if sq is None else arr_add(sq, vj2)
-    out = out.withColumn("__q", q).withColumn("__sq", sq)
-    two = F.lit(0.5) * arr_sum(F.zip_with("__q", "__sq", lambda a, b: a * a - b))
-    out = out.withColumn("pred", lin + two)
-    drop = [c for c in out.columns if c.startswith("__w") or c.startswith("__v") or c == "__sq"]
+            x = F.col(r)
+            lin = lin + F.lit(float(wr[j])) * x
+            for l in range(k):
+                acc(q, l, F.lit(float(Vr[j, l])) * x)
+                acc(sq, l, F.lit(float(Vr[j, l] ** 2)) * x * x)
+    out = out.withColumn("__q", F.array(*q))
+    two = None
+    for l in range(k):
+        t = F.col("__q")[l] * F.col("__q")[l] - sq[l]
+        two = t if two is None else two + t
+    out = out.withColumn("pred", lin + F.lit(0.5) * two)
+    drop = [c for c in out.columns if c.startswith("__w") or c.startswith("__v")]
     return out.drop(*drop) if keep_parts else out.drop(*drop, "__q")
 
 

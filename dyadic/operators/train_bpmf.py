@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.functions.arrays import arr_dot
+from dyadic.functions.arrays import dot_k
 from dyadic.functions.crng import crng_uniform_np
 from dyadic.functions.scalar import clip
 from dyadic.operators import stats
@@ -132,7 +132,7 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
     spark = train.sparkSession
     k = len(U.select("vec").first()["vec"])
     mean = train.agg(F.avg(target)).first()[0]
-    rows = cut(train.select(uid, iid, (F.col(target) - F.lit(mean)).alias("__r")))
+    rows = cut(train.select(uid, iid, (F.col(target) - F.lit(mean)).alias("__r")), spread=True)
     uids = cut(U.select(uid).union(rows.select(uid)).distinct())
     iids = cut(I.select(iid).union(rows.select(iid)).distinct())
     mu0, W0, df0 = np.zeros(k), np.eye(k), float(k)
@@ -151,7 +151,7 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
             U = cut(_draw_side(uids, uid, gu, k, a_u, m_u, beta, seed * 1000 + 2 * sweep))
         p = (probe.join(U.select(uid, F.col("vec").alias("__u")), uid)
                   .join(I.select(iid, F.col("vec").alias("__i")), iid))
-        pred = arr_dot("__u", "__i") + F.lit(float(mean))
+        pred = dot_k("__u", "__i", k) + F.lit(float(mean))
         if bounds is not None:
             pred = clip(pred, *bounds)
         p = p.select(*probe_key, uid, iid, target, pred.alias("__new"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.functions.arrays import arr_dot
+from dyadic.functions.arrays import dot_k
 from dyadic.functions.crng import crng_uniform
 from dyadic.operators import stats
 from dyadic.operators.iterate import cut
@@ -60,7 +60,7 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     spark = train.sparkSession
     r = len(reals)
     rng = np.random.default_rng(seed)
-    rows = cut(train.select(uid, iid, F.col(target).cast("double").alias("__y"), *reals))
+    rows = cut(train.select(uid, iid, F.col(target).cast("double").alias("__y"), *reals), spread=True)
     users = cut(rows.select(uid).union(test.select(uid)).distinct())
     items = cut(rows.select(iid).union(test.select(iid)).distinct())
     use_b = variant != "nb"
@@ -94,13 +94,13 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
         st = seed * 100 + t * 10
         if use_b:
             f = frame(s, c, P, W)
-            res = F.col("__y") - F.col("__c") - arr_dot("__p", "__reg")
+            res = F.col("__y") - F.col("__c") - dot_k("__p", "__reg", k)
             cs = bias_conditional(f, uid, res, alpha_g, alpha_s, mu_s)
             s = cut(users.join(cs, uid, "left").select(
                 uid, (F.coalesce("mean", F.lit(mu_s)) + _gauss(uid, st) /
                       F.sqrt(F.coalesce("prec", F.lit(alpha_s)))).alias("b")))
             f = frame(s, c, P, W)
-            res = F.col("__y") - F.col("__s") - arr_dot("__p", "__reg")
+            res = F.col("__y") - F.col("__s") - dot_k("__p", "__reg", k)
             cc = bias_conditional(f, iid, res, alpha_g, alpha_c, mu_c)
             c = cut(items.join(cc, iid, "left").select(
                 iid, (F.coalesce("mean", F.lit(mu_c)) + _gauss(iid, st + 1) /
@@ -131,7 +131,7 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             W[l] = mean + np.linalg.cholesky(cov) @ rng.standard_normal(r)
         # observation precision and hyperparameters
         f = frame(s, c, P, W)
-        e = F.col("__y") - F.col("__s") - F.col("__c") - arr_dot("__p", "__reg")
+        e = F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__reg", k)
         sse = f.agg(F.sum(e * e)).first()[0]
         alpha_g = rng.gamma(a0 + N / 2.0, 1.0 / (b0 + sse / 2.0))
         if variant != "s":
@@ -212,7 +212,7 @@ def _score(test, uid, iid, target, reals, s, c, P, W, use_b, variant, p_shared,
     else:
         j = j.join(P.withColumnRenamed("vec", "__p"), uid, "left")
     pred = (F.coalesce("__s", F.lit(0.0)) + F.coalesce("__c", F.lit(0.0)) +
-            F.coalesce(arr_dot("__p", real_block(reals, W)), F.lit(0.0)))
+            F.coalesce(dot_k("__p", real_block(reals, W), k), F.lit(0.0)))
     return j.withColumn("__pred", pred)
 
 

@@ -61,7 +61,7 @@ def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int =
                threshold: float = 1e-6, lambda_w: float = 0.01, lambda_v: float = 0.1):
     """Returns (model, history)."""
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")))
+    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
     hist = History(threshold)
     m = model
     k = m.k

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.functions.arrays import arr_dot, arr_norm2
+from dyadic.functions.arrays import dot_k, norm2_k, sub_k
 from dyadic.functions.crng import crng_init
 from dyadic.functions.scalar import clip
 from dyadic.operators.iterate import History, cut
@@ -40,10 +40,11 @@ def init_factors(ids: DataFrame, key: str, k: int, stream: int, std: float) -> D
 
 
 def pmf_predict(rows: DataFrame, U: DataFrame, I: DataFrame, mean: float, uid="uid", iid="iid",
-                bounds=(0.0, 5.0)) -> DataFrame:
+                bounds=(0.0, 5.0), k: int | None = None) -> DataFrame:
+    k = k or len(U.select("vec").first()["vec"])
     j = (rows.join(U.select(uid, F.col("vec").alias("__u")), uid, "inner")
              .join(I.select(iid, F.col("vec").alias("__i")), iid, "inner"))
-    p = arr_dot("__u", "__i") + F.lit(float(mean))
+    p = dot_k("__u", "__i", k) + F.lit(float(mean))
     if bounds is not None:
         p = clip(p, bounds[0], bounds[1])
     return j.withColumn("pred", p).drop("__u", "__i")
@@ -60,7 +61,7 @@ def _step(state: DataFrame, grad: DataFrame, key: str, k: int, n: int, eps: floa
     inc = F.array(*[F.lit(mom) * F.col("inc")[l] +
                     F.lit(eps / n) * F.coalesce(F.col(f"g{l}"), F.lit(0.0)) for l in range(k)])
     j = j.withColumn("inc", inc)
-    return j.select(key, F.zip_with("vec", "inc", lambda v, d: v - d).alias("vec"), "inc")
+    return j.select(key, sub_k("vec", "inc", k).alias("vec"), "inc")
 
 
 def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", target="y",
@@ -74,8 +75,8 @@ def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", targ
     spark = train.sparkSession
     row_draw = F.lit(0) if row_draw is None else row_draw
     mean = train.agg(F.avg(target)).first()[0]
-    rows = train.select(uid, iid, (F.col(target) - F.lit(mean)).alias("__r"),
-                        F.col(row_id).alias("__rid"), row_draw.alias("__draw"))
+    rows = cut(train.select(uid, iid, (F.col(target) - F.lit(mean)).alias("__r"),
+                            F.col(row_id).alias("__rid"), row_draw.alias("__draw")), spread=True)
     ids_u = rows.select(uid) if test is None else rows.select(uid).union(test.select(uid))
     ids_i = rows.select(iid) if test is None else rows.select(iid).union(test.select(iid))
     U = cut(init_factors(ids_u.distinct(), uid, nf, seed, init_std))
@@ -91,7 +92,7 @@ def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", targ
             j = (b.filter(F.col("__b") == batch)
                   .join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers), uid)
                   .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems), iid)
-                  .withColumn("__e", arr_dot("__u", "__i") - F.col("__r")))
+                  .withColumn("__e", dot_k("__u", "__i", nf) - F.col("__r")))
             gu = _grad(j, uid, "__u", "__i", nf, lambda_)
             gi = _grad(j, iid, "__i", "__u", nf, lambda_)
             U, I = (cut(_step(U, gu, uid, nf, n, epsilon, momentum)),
@@ -99,12 +100,12 @@ def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", targ
         # regularised train RMSE over all train rows, probe RMSE (clipped)
         j = (rows.join(U.select(uid, F.col("vec").alias("__u")), uid)
                  .join(I.select(iid, F.col("vec").alias("__i")), iid))
-        e = arr_dot("__u", "__i") - F.col("__r")
-        reg = F.lit(0.5 * lambda_) * (arr_norm2("__u") + arr_norm2("__i"))
+        e = dot_k("__u", "__i", nf) - F.col("__r")
+        reg = F.lit(0.5 * lambda_) * (norm2_k("__u", nf) + norm2_k("__i", nf))
         tr = j.agg(F.sqrt(F.avg(e * e + reg))).first()[0]
         te = None
         if test is not None:
-            p = pmf_predict(test, U, I, mean, uid, iid, bounds)
+            p = pmf_predict(test, U, I, mean, uid, iid, bounds, k=nf)
             te = p.agg(F.sqrt(F.avg((F.col(target) - F.col("pred")) ** 2))).first()[0]
         hist.add(epoch + 1, tr, te)
         if checkpoint_every and checkpoint_path and (epoch + 1) % checkpoint_every == 0:

@@ -135,7 +135,7 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
                    eps: float = 1e-5, nonneg: bool = False, norm: str = "fro"):
     """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history)."""
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")))
+    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
     hist = History(eps)
     m = model
     step = 2.0 * lrate
@@ -203,10 +203,10 @@ def _keep_untouched(old: DataFrame, new: DataFrame, key: str, col: str) -> DataF
 
 def objective(m: ProfileModel, sse: float, lambda_w: float, lambda_b: float) -> float:
     reg = 0.0
-    sq = F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x * x)
-    reg += lambda_w * (m.P.agg(F.sum(sq)).first()[0] or 0.0)
+    from dyadic.functions.arrays import norm2_k
+    reg += lambda_w * (m.P.agg(F.sum(norm2_k("vec", m.k))).first()[0] or 0.0)
     for t in m.Wcat.values():
-        reg += lambda_w * (t.agg(F.sum(F.aggregate(F.col("wvec"), F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0)
+        reg += lambda_w * (t.agg(F.sum(norm2_k("wvec", m.k))).first()[0] or 0.0)
     reg += lambda_w * float(np.sum(m.Wr ** 2))
     for t in m.biases.values():
         reg += lambda_b * (t.agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0.0)
@@ -220,7 +220,7 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
     theta <- sum((r + theta beta) beta) / (lambda + sum beta^2) in block form,
     r = y - y_hat.  Returns (model, history)."""
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")))
+    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
     hist = History(eps)
     m = model
     k, r = m.k, len(m.reals)

@@ -14,6 +14,7 @@ from dyadic.operators.encode import encode
 from dyadic.operators.train_fm import fit_fm_als, init_fm_model
 from dyadic.operators.train_profile import fit_profile_cd, fit_profile_gd, init_profile_model
 from dyadic.plans.common import r6
+from dyadic.plans.common import held_dyads
 from dyadic.plans.registry import query
 from dyadic.sources.tables import DYAD_GUIDE, dyads
 
@@ -22,7 +23,7 @@ REALS = list(DYAD_GUIDE.reals)
 
 
 def _enc(spark, sf):
-    return encode(prep.with_split(dyads(spark, sf)), DYAD_GUIDE)
+    return encode(dyads(spark, sf), DYAD_GUIDE)
 
 
 def _ids(enc):
@@ -69,7 +70,7 @@ def q_fit_ipr_cd(spark, sf):
 
 
 def _mlr(spark, sf):
-    d = dyads(spark, sf)
+    d = held_dyads(spark, sf)
     train, test = prep.temporal_holdout(d)
     st = prep.fit_zscore(train, REALS)
     train, test = prep.apply_zscore(train, st, REALS), prep.apply_zscore(test, st, REALS)

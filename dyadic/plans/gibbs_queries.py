@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dyadic.functions.arrays import arr_dot
+from dyadic.functions.arrays import dot_k
 from dyadic.operators import prep, stats
 from dyadic.operators.score import real_block
 from dyadic.operators.train_bpmf import _draw_side, conditional_moments, fit_bpmf
 from dyadic.operators.train_bpmlr import bias_conditional, fit_bpmlr
 from dyadic.plans.common import cnt, r6, s6
 from dyadic.plans.params import init_sql, scalar_table, vec_table
+from dyadic.plans.common import held_dyads
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.plans.score_queries import REALS, W_MLR, Z_SQL, ZCOLS, _wx
 from dyadic.sources.tables import dyads
@@ -33,7 +34,7 @@ SELECT iid, CAST(n AS BIGINT) AS n, {s6('l00')} AS lam_0_0, {s6('l01')} AS lam_0
        {s6('(l11 * c0 - l01 * c1) / (l00 * l11 - l01 * l01)')} AS mean_0,
        {s6('(l00 * c1 - l01 * c0) / (l00 * l11 - l01 * l01)')} AS mean_1 FROM l""")
 def q_bpmf_cond(spark, sf):
-    train, _ = prep.temporal_holdout(dyads(spark, sf))
+    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
     mean = stats.global_mean(train, "y")
     rows = train.select("uid", "iid", (F.col("y") - F.lit(mean)).alias("__r"))
     U = vec_table(train.select("uid").distinct(), "uid", 11, 2)
@@ -49,7 +50,7 @@ def q_bpmf_cond(spark, sf):
 @query("fit_bpmf")
 def q_fit_bpmf(spark, sf):
     """Two epochs of Gibbs from formula factors; posterior-mean probe RMSE."""
-    d = dyads(spark, sf)
+    d = held_dyads(spark, sf)
     train, test = prep.temporal_holdout(d)
     ids_u = d.select("uid").distinct()
     ids_i = d.select("iid").distinct()
@@ -72,20 +73,20 @@ g AS (SELECT z.uid, count(*) AS n, sum(y - c.c - (p0 * ({_wx[0]}) + p1 * ({_wx[1
 SELECT uid, CAST(n AS BIGINT) AS n, {s6(f'{ALPHA_S} + {ALPHA_G} * n')} AS prec,
        {s6(f'({ALPHA_S * MU_S} + {ALPHA_G} * sr) / ({ALPHA_S} + {ALPHA_G} * n)')} AS mean FROM g""")
 def q_bpmlr_cond(spark, sf):
-    train, _ = prep.temporal_holdout(dyads(spark, sf))
+    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
     st = prep.fit_zscore(train, REALS)
     z = prep.apply_zscore(train, st, REALS)
     tu, ti = train.select("uid").distinct(), train.select("iid").distinct()
     j = (z.join(vec_table(tu, "uid", 15, 2).withColumnRenamed("vec", "__p"), "uid")
           .join(scalar_table(ti, "iid", 14).withColumnRenamed("b", "__c"), "iid")
           .withColumn("__reg", real_block(REALS, W_MLR)))
-    res = F.col("y") - F.col("__c") - arr_dot("__p", "__reg")
+    res = F.col("y") - F.col("__c") - dot_k("__p", "__reg", 2)
     out = bias_conditional(j, "uid", res, ALPHA_G, ALPHA_S, MU_S)
     return out.select("uid", "n", r6("prec").alias("prec"), r6("mean").alias("mean"))
 
 
 def _bpmlr(spark, sf, variant):
-    d = dyads(spark, sf)
+    d = held_dyads(spark, sf)
     train, test = prep.temporal_holdout(d)
     st = prep.fit_zscore(train, REALS)
     train, test = prep.apply_zscore(train, st, REALS), prep.apply_zscore(test, st, REALS)

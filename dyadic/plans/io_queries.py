@@ -10,6 +10,7 @@ from dyadic.functions.crng import crng_init
 from dyadic.operators import prep, stats
 from dyadic.plans.common import cnt, r2, r6, s2, s6
 from dyadic.plans.params import init_sql, vec_table, scalar_table
+from dyadic.plans.common import held_dyads
 from dyadic.plans.registry import D_SQL, SPLIT_SQL, query
 from dyadic.session import scratch_path
 from dyadic.sources.scans import guided_scan, keyed_scan, triplet_scan
@@ -81,7 +82,7 @@ p AS (SELECT uid, {init_sql('uid', 15, 0)} AS p0, {init_sql('uid', 15, 1)} AS p1
 
 
 def _save_params(spark, sf):
-    train, _ = prep.temporal_holdout(dyads(spark, sf))
+    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
     tu = train.select("uid").distinct()
     path = scratch_path(spark, "params")
     mean = stats.global_mean(train, "y")

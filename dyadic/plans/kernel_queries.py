@@ -77,8 +77,7 @@ SELECT CAST(b_code AS INTEGER) AS p_brand, {s6('sum(1.0)')} AS sum_vv, {s6('sum(
        CAST(count(*) AS BIGINT) AS n
 FROM enc, m WHERE split = 'train' GROUP BY b_code""")
 def q_suff(spark, sf):
-    d = prep.with_split(dyads(spark, sf))
-    enc = encode(d, DYAD_GUIDE)
+    enc = encode(dyads(spark, sf), DYAD_GUIDE)
     tr = enc.frame.filter(F.col("split") == "train")
     m = stats.global_mean(tr, "y")
     out = stats.feature_sufficient_stats(tr, "p_brand", F.lit(1.0), F.col("y") - F.lit(m))

@@ -10,6 +10,7 @@ from dyadic.operators.encode import encode
 from dyadic.operators.joins import gather, gather_cold_start
 from dyadic.plans.common import cnt, r6, row_draw, ROW_DRAW_SQL, s6
 from dyadic.plans.params import STD, init_sql, mat, scalar_table, vec_table
+from dyadic.plans.common import held_dyads
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.plans.table_queries import _CODES_SQL
 from dyadic.sources.tables import DYAD_GUIDE, dyads
@@ -29,7 +30,7 @@ ZCOLS = ["(l_discount - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END",
 
 
 def _split(spark, sf):
-    d = dyads(spark, sf)
+    d = held_dyads(spark, sf)
     train, test = prep.temporal_holdout(d)
     return d, train, test
 
@@ -51,7 +52,7 @@ def q_score_factors(spark, sf):
     U = vec_table(train.select("uid").distinct(), "uid", 11, K)
     I = vec_table(train.select("iid").distinct(), "iid", 12, K)
     mean = stats.global_mean(train, "y")
-    out = score.score_factors(test, U, I, mean, bounds=(0.0, 5.0))
+    out = score.score_factors(test, U, I, mean, bounds=(0.0, 5.0), k=K)
     return out.select("l_orderkey", "l_linenumber", "uid", "iid", r6("pred").alias("pred"))
 
 
@@ -115,8 +116,7 @@ _CAT_CODE = {"c_mktsegment": "m_code", "p_brand": "b_code", "o_orderpriority": "
 
 
 def _encoded(spark, sf):
-    d = prep.with_split(dyads(spark, sf))
-    return encode(d, DYAD_GUIDE, keep=["l_orderkey", "l_linenumber", "term"])
+    return encode(dyads(spark, sf), DYAD_GUIDE, keep=["l_orderkey", "l_linenumber", "term"])
 
 
 def _code_ids(enc, field):

@@ -12,6 +12,7 @@ from dyadic.operators import prep, stats, windows
 from dyadic.operators.encode import contiguous_ids, encode, encode_ids, long_design
 from dyadic.operators.reshape import pivot_ratings, sparse_entries, unpivot_stats
 from dyadic.plans.common import ROW_DRAW_SQL, cnt, r2, r6, row_draw, s2, s6
+from dyadic.plans.common import held_dyads
 from dyadic.plans.registry import D_SQL, E_SQL, SPLIT_SQL, query
 from dyadic.sources.tables import DYAD_GUIDE, ROW_KEY, dyads, events_dyads, table
 
@@ -232,7 +233,7 @@ idx AS (SELECT u_code AS idx FROM enc
         UNION ALL SELECT nu + ni + nm + nb + no + r_code FROM enc, card)
 SELECT CAST(idx AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS n FROM idx GROUP BY idx""")
 def q_onehot(spark, sf):
-    enc = encode(prep.with_split(dyads(spark, sf)), DYAD_GUIDE)
+    enc = encode(dyads(spark, sf), DYAD_GUIDE)
     ld = long_design(enc)
     nb_cat = enc.ranges[len(DYAD_GUIDE.fields) - 1][3]
     return ld.filter(F.col("idx") < nb_cat).groupBy("idx").agg(cnt().alias("n"))
@@ -252,7 +253,7 @@ SELECT split, CAST(idx AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS n, {s6('su
        {s6('sum(v * v)')} AS sum_sq
 FROM vals GROUP BY split, idx""")
 def q_assemble(spark, sf):
-    enc = encode(prep.with_split(dyads(spark, sf)), DYAD_GUIDE)
+    enc = encode(dyads(spark, sf), DYAD_GUIDE)
     ld = long_design(enc)
     b0 = dict((f, (s, e)) for f, _, s, e in enc.ranges)["p_brand"]
     keep = (F.col("idx") >= b0[0]) & (F.col("idx") < b0[1]) | (F.col("idx") >= enc.ranges[-4][2])
@@ -276,7 +277,7 @@ UNION ALL SELECT 'c_acctbal', 'real', nu + ni + nm + nb + no + nr + 3, nu + ni +
 
 @query("feature_ranges", _RANGES_SQL)
 def q_ranges(spark, sf):
-    enc = encode(prep.with_split(dyads(spark, sf)), DYAD_GUIDE)
+    enc = encode(dyads(spark, sf), DYAD_GUIDE)
     return enc.feature_ranges(spark)
 
 
@@ -305,7 +306,7 @@ def q_encode_ids(spark, sf):
 @query("entity_counts", f"""WITH {SPLIT_SQL}
 SELECT uid, CAST(count(*) AS BIGINT) AS n FROM ds WHERE split = 'train' GROUP BY uid""")
 def q_entity_counts(spark, sf):
-    train, _ = prep.temporal_holdout(dyads(spark, sf))
+    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
     return stats.entity_counts(train, "uid")
 
 
@@ -353,7 +354,7 @@ b AS (SELECT e.epoch, CAST(floor({crng_uniform_sql('l_orderkey', 'e.epoch', ROW_
       FROM ds, (SELECT * FROM range(0, 2) t(epoch)) e WHERE split = 'train')
 SELECT CAST(epoch AS BIGINT) AS epoch, batch, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY epoch, batch""")
 def q_minibatch(spark, sf):
-    train, _ = prep.temporal_holdout(dyads(spark, sf))
+    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
     parts = [train.select(F.lit(e).cast("long").alias("epoch"),
                           prep.minibatch_column("l_orderkey", row_draw(), e, 9).alias("batch"))
              for e in range(2)]
@@ -510,3 +511,63 @@ def q_append_stream(spark, sf):
     back = spark.read.parquet(table_)
     return back.groupBy(F.col("term").cast("long").alias("term")).agg(
         cnt().alias("n"), r6(F.sum("grade")).alias("sum_grade"))
+
+
+# ---------------------------------------------------------------- ad-hoc grade score (PRJ-6)
+def _course_attrs(e):
+    """Course level and credit hours derived from the course name."""
+    return e.select("cid").distinct().select(
+        "cid", (F.lit(1) + F.pmod(F.length("cid"), F.lit(6))).alias("clevel"),
+        (F.lit(1) + F.pmod(F.length("cid"), F.lit(4))).cast("double").alias("chrs"))
+
+
+@query("adhoc_grade_score", f"""WITH {_QPTS_SQL},
+cg AS (SELECT q.sid, q.term, st.schrs0 + sum(term_hours) OVER w AS schrs,
+              st.schrs0 * st.hsgpa + sum(qpts) OVER w AS num, st.hsgpa
+       FROM q JOIN st USING (sid)
+       WINDOW w AS (PARTITION BY q.sid ORDER BY q.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT sid, term, schrs, CASE WHEN schrs > 0 THEN num / schrs ELSE hsgpa END AS cum_gpa,
+             CASE WHEN schrs >= 0 AND schrs <= 30 THEN 0 WHEN schrs > 30 AND schrs <= 60 THEN 1
+                  WHEN schrs > 60 AND schrs <= 90 THEN 2 WHEN schrs > 90 AND schrs <= 120 THEN 3
+                  WHEN schrs > 120 AND schrs <= 200 THEN 4 END AS alevel FROM cg),
+csp AS (SELECT cid, CAST(t AS BIGINT) AS term FROM (SELECT DISTINCT cid FROM e), tr, range(tr.lo, tr.hi + 1) r(t)),
+ca AS (SELECT cid, term, sum(grade) AS grade_sum, CAST(count(*) AS DOUBLE) AS enrolled FROM e GROUP BY cid, term),
+cj AS (SELECT csp.cid, csp.term, COALESCE(grade_sum, 0.0) AS grade_sum, COALESCE(enrolled, 0.0) AS enrolled
+       FROM csp LEFT JOIN ca USING (cid, term)),
+cc AS (SELECT cid, term, {ENROLLED0} + sum(enrolled) OVER w AS total, {CGPA0 * ENROLLED0} + sum(grade_sum) OVER w AS num
+       FROM cj WINDOW w AS (PARTITION BY cid ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cm AS (SELECT cid, term, CASE WHEN total > 0 THEN num / total ELSE {CGPA0} END AS cum_cgpa FROM cc),
+tt AS (SELECT event_id, sid, cid, term, sum(hours) OVER (PARTITION BY sid, term) AS term_chrs,
+              count(*) OVER (PARTITION BY cid, term) AS term_enrolled FROM e),
+co AS (SELECT DISTINCT cid, 1 + length(cid) % 6 AS clevel, CAST(1 + length(cid) % 4 AS DOUBLE) AS chrs FROM e),
+sa AS (SELECT c_custkey AS sid, 18 + c_nationkey % 10 AS age, c_nationkey % 2 AS gender, c_nationkey % 5 AS alevel0 FROM customer),
+x AS (SELECT tt.event_id, tt.sid, tt.cid, tt.term, tt.term_chrs, tt.term_enrolled,
+             COALESCE(g.cum_gpa, st.hsgpa) AS gpa, COALESCE(g.alevel, sa.alevel0) AS alevel,
+             COALESCE(cm.cum_cgpa, {CGPA0}) AS cgpa, sa.age, sa.gender, co.clevel, co.chrs
+      FROM tt JOIN st ON tt.sid = st.sid JOIN sa ON tt.sid = sa.sid JOIN co ON tt.cid = co.cid
+      LEFT JOIN g ON g.sid = tt.sid AND g.term = tt.term - 1
+      LEFT JOIN cm ON cm.cid = tt.cid AND cm.term = tt.term - 1)
+SELECT event_id, sid, cid, term,
+  {s6('4.0 / (1.0 + exp(-((gpa * cgpa * 1.0 + gpa * 1.0 + cgpa * 0.5 + age / 30.0 + gender * 0.2 - abs(alevel - clevel) * 2.0 - (chrs / 3.0 - 1.0) - (term_chrs - 12.0) * 0.5 - term_enrolled * 0.01) - 7.0)))')} AS score
+FROM x""")
+def q_adhoc_score(spark, sf):
+    from dyadic.functions.scalar import grade_logit, logistic_bounded
+    e = events_dyads(spark, sf)
+    cust = table(spark, sf, "customer")
+    studs = cust.select(F.col("c_custkey").alias("sid"), (F.lit(18) + F.pmod("c_nationkey", F.lit(10))).alias("age"),
+                        F.pmod("c_nationkey", F.lit(2)).alias("gender"), F.pmod("c_nationkey", F.lit(5)).alias("alevel0"))
+    seeds = _students(spark, sf)
+    lo, hi = e.agg(F.min("term"), F.max("term")).first()
+    gpa = windows.cumulative_gpa(_qpts(spark, sf), seeds)
+    cspine = windows.term_spine(e.select("cid").distinct(), "cid", lo, hi)
+    cm = windows.cumulative_course_mean(e, cspine, CGPA0, ENROLLED0)
+    tt = windows.term_totals(e)
+    prev_g = gpa.select("sid", (F.col("term") + 1).alias("term"), F.col("cum_gpa").alias("gpa"),
+                        F.col("alevel").alias("alevel_prev"))
+    prev_c = cm.select("cid", (F.col("term") + 1).alias("term"), F.col("cum_cgpa").alias("cgpa"))
+    x = (tt.join(seeds, "sid").join(studs, "sid").join(_course_attrs(e), "cid")
+           .join(prev_g, ["sid", "term"], "left").join(prev_c, ["cid", "term"], "left"))
+    x = x.withColumns({"gpa": F.coalesce("gpa", "hsgpa"), "alevel": F.coalesce("alevel_prev", "alevel0"),
+                       "cgpa": F.coalesce("cgpa", F.lit(CGPA0))})
+    g = grade_logit("gpa", "cgpa", "age", "gender", "alevel", "clevel", "chrs", "term_chrs", "term_enrolled")
+    return x.select("event_id", "sid", "cid", "term", r6(logistic_bounded(g)).alias("score"))

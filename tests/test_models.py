@@ -115,7 +115,7 @@ def _ipr_numpy(pdf, cards, k, std, seed, lr, lam_w, lam_b, iters, reals, cats):
 
 
 def _encoded_train(spark, sf):
-    enc = encode(prep.with_split(dyads(spark, sf)), DYAD_GUIDE)
+    enc = encode(dyads(spark, sf), DYAD_GUIDE)
     return enc, enc.frame.filter(F.col("split") == "train")
 
 
