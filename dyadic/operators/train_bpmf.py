@@ -43,10 +43,11 @@ def _normals(ids: np.ndarray, stream: int, k: int) -> np.ndarray:
 
 
 def conditional_moments(rows: DataFrame, key: str, other_key: str, other: DataFrame, k: int,
-                        r: str = "__r") -> DataFrame:
+                        r: str = "__r", other_rows: int | None = None) -> DataFrame:
     """Per entity: n, sum v v^T (upper triangle g_a_b), sum v r (b_a) over its
     ratings, v the partner vectors (AG-9)."""
-    j = rows.join(other.select(other_key, F.col("vec").alias("__v")), other_key)
+    from dyadic.operators.joins import sized_broadcast
+    j = rows.join(sized_broadcast(other.select(other_key, F.col("vec").alias("__v")), other_rows), other_key)
     return stats.entity_gram(j, key, "__v", r, k)
 
 
@@ -135,6 +136,7 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
     rows = cut(train.select(uid, iid, (F.col(target) - F.lit(mean)).alias("__r")), spread=True)
     uids = cut(U.select(uid).union(rows.select(uid)).distinct())
     iids = cut(I.select(iid).union(rows.select(iid)).distinct())
+    nu, ni = uids.count(), iids.count()
     mu0, W0, df0 = np.zeros(k), np.eye(k), float(k)
     rng = np.random.default_rng(seed)
     probe = cut(probe.select(*probe_key, uid, iid, target))
@@ -145,9 +147,9 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
         a_u, m_u = _hyper(U, k, mu0, b0, df0, W0, rng)
         for g in range(ngibbs):
             sweep = epoch * ngibbs + g
-            gi = conditional_moments(rows, iid, uid, U, k)
+            gi = conditional_moments(rows, iid, uid, U, k, other_rows=nu)
             I = cut(_draw_side(iids, iid, gi, k, a_i, m_i, beta, seed * 1000 + 2 * sweep + 1))
-            gu = conditional_moments(rows, uid, iid, I, k)
+            gu = conditional_moments(rows, uid, iid, I, k, other_rows=ni)
             U = cut(_draw_side(uids, uid, gu, k, a_u, m_u, beta, seed * 1000 + 2 * sweep))
         p = (probe.join(U.select(uid, F.col("vec").alias("__u")), uid)
                   .join(I.select(iid, F.col("vec").alias("__i")), iid))

@@ -27,6 +27,7 @@ from dyadic.functions.arrays import dot_k
 from dyadic.functions.crng import crng_uniform
 from dyadic.operators import stats
 from dyadic.operators.iterate import cut
+from dyadic.operators.joins import sized_broadcast
 from dyadic.operators.train_bpmf import _hyper, _normals
 from dyadic.operators.score import real_block
 
@@ -78,16 +79,19 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     preds = None
     hist = []
 
+    nu, ni = users.count(), items.count()
+
     def frame(s_, c_, P_, W_):
         j = rows
         if use_b:
-            j = j.join(s_.withColumnRenamed("b", "__s"), uid).join(c_.withColumnRenamed("b", "__c"), iid)
+            j = (j.join(sized_broadcast(s_.withColumnRenamed("b", "__s"), nu), uid)
+                  .join(sized_broadcast(c_.withColumnRenamed("b", "__c"), ni), iid))
         else:
             j = j.withColumns({"__s": F.lit(0.0), "__c": F.lit(0.0)})
         if variant == "np":
             j = j.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared]))
         else:
-            j = j.join(P_.withColumnRenamed("vec", "__p"), uid)
+            j = j.join(sized_broadcast(P_.withColumnRenamed("vec", "__p"), nu), uid)
         return j.withColumn("__reg", real_block(reals, W_))
 
     for t in range(1, nsamples + 1):

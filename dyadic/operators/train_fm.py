@@ -54,7 +54,11 @@ def init_fm_model(ids: dict, k: int, fields, reals, init_std: float = 0.001, see
             for i, f in enumerate(fields)}
     r = len(reals)
     Vr = np.array([[crng_init_np(j, seed + 50, l, init_std) for l in range(k)] for j in range(r)]).reshape(r, k)
-    return FMModel(k, 0.0, tabs, list(reals), np.zeros(r), Vr, dict(sizes or {}))
+    sizes = dict(sizes or {})
+    for f in fields:
+        if f not in sizes:
+            sizes[f] = ids[f].count()
+    return FMModel(k, 0.0, tabs, list(reals), np.zeros(r), Vr, sizes)
 
 
 def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int = 50,

@@ -81,6 +81,8 @@ def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", targ
     ids_i = rows.select(iid) if test is None else rows.select(iid).union(test.select(iid))
     U = cut(init_factors(ids_u.distinct(), uid, nf, seed, init_std))
     I = cut(init_factors(ids_i.distinct(), iid, nf, seed + 1, init_std))
+    nusers = U.count() if nusers is None else nusers
+    nitems = I.count() if nitems is None else nitems
     hist = History()
     for epoch in range(max_epoch):
         b = rows.withColumn("__b", minibatch_column("__rid", F.col("__draw"), epoch, nbatches))
@@ -98,8 +100,8 @@ def fit_pmf(train: DataFrame, test: DataFrame | None, uid="uid", iid="iid", targ
             U, I = (cut(_step(U, gu, uid, nf, n, epsilon, momentum)),
                     cut(_step(I, gi, iid, nf, n, epsilon, momentum)))
         # regularised train RMSE over all train rows, probe RMSE (clipped)
-        j = (rows.join(U.select(uid, F.col("vec").alias("__u")), uid)
-                 .join(I.select(iid, F.col("vec").alias("__i")), iid))
+        j = (rows.join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers), uid)
+                 .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems), iid))
         e = dot_k("__u", "__i", nf) - F.col("__r")
         reg = F.lit(0.5 * lambda_) * (norm2_k("__u", nf) + norm2_k("__i", nf))
         tr = j.agg(F.sqrt(F.avg(e * e + reg))).first()[0]

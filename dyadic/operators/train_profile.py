@@ -78,8 +78,12 @@ def init_profile_model(ids: dict, k: int, bias_fields: Sequence[str], profiled:
     Wcat = {f: ids[f].select(f, F.array(*[crng_init(f, seed + 20 + i, l, std) for l in range(k)]).alias("wvec"))
             for i, f in enumerate(cat_fields)}
     Wr = np.array([[crng_init_np(j, seed + 40, l, std) for j in range(len(reals))] for l in range(k)])
+    sizes = dict(sizes or {})
+    for f in {*bias_fields, profiled, *cat_fields}:
+        if f not in sizes:  # exact table sizes decide broadcast vs shuffle joins
+            sizes[f] = ids[f].count()
     return ProfileModel(k, w0, biases, profiled, P, Wcat, list(reals), Wr.reshape(k, len(reals)),
-                        dict(sizes or {}), learn_w0)
+                        sizes, learn_w0)
 
 
 def _pen(col, norm: str):

@@ -54,3 +54,10 @@ def held_dyads(spark, sf):
     from dyadic.operators.iterate import cut
     from dyadic.sources.tables import dyads
     return cut(dyads(spark, sf), spread=True)
+
+
+def hold_out(d):
+    """Temporal hold-out of view D; the year split is also given as an
+    order-date range so it reaches the orders scan."""
+    from dyadic.operators.prep import temporal_holdout
+    return temporal_holdout(d, "term", date_col="o_orderdate" if "o_orderdate" in d.columns else None)

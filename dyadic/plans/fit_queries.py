@@ -15,6 +15,7 @@ from dyadic.operators.train_fm import fit_fm_als, init_fm_model
 from dyadic.operators.train_profile import fit_profile_cd, fit_profile_gd, init_profile_model
 from dyadic.plans.common import r6
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import query
 from dyadic.sources.tables import DYAD_GUIDE, dyads
 
@@ -71,7 +72,7 @@ def q_fit_ipr_cd(spark, sf):
 
 def _mlr(spark, sf):
     d = held_dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     st = prep.fit_zscore(train, REALS)
     train, test = prep.apply_zscore(train, st, REALS), prep.apply_zscore(test, st, REALS)
     ids = {"uid": train.select("uid").union(test.select("uid")).distinct(),
@@ -119,3 +120,87 @@ def q_fit_report(spark, sf):
     m0, tr, te = _ipr(spark, sf)
     m, h = fit_profile_gd(tr, m0, lrate=0.05, iters=6, eps=0.3)
     return _finish(h, m, te)
+
+
+# ---------------------------------------------------------------- SQL-k oracle of the MLR gradient fit
+MLR_GD = dict(lrate=0.05, lambda_w=0.01, lambda_b=0.01, iters=2, std=0.01, seed=100)
+
+
+def _mlr_gd_sql(norm: str = "fro", nonneg: bool = False) -> str:
+    from dyadic.functions.crng import crng_init_np
+    from dyadic.plans.common import s6
+    from dyadic.plans.params import init_sql
+    from dyadic.plans.registry import SPLIT_SQL
+    from dyadic.plans.score_queries import Z_SQL, ZCOLS
+    lr, lw, lb, iters, std, seed = (MLR_GD[x] for x in ("lrate", "lambda_w", "lambda_b", "iters", "std", "seed"))
+    step = 2.0 * lr
+    r = len(REALS)
+    pen = (lambda x: f"sign({x})") if norm == "l1" else (lambda x: x)
+    nn = (lambda x: f"GREATEST(0.0, {x})") if nonneg else (lambda x: x)
+    W0 = [[crng_init_np(j, seed + 40, l, std) for j in range(r)] for l in range(K)]
+    wcols = [f"w_{l}_{j}" for l in range(K) for j in range(r)]
+    parts = [f"""{SPLIT_SQL}, {Z_SQL},
+m AS (SELECT avg(y) AS w0 FROM ds WHERE split = 'train'),
+z AS (SELECT split, uid, iid, y, {', '.join(f'{zc} AS z{j}' for j, zc in enumerate(ZCOLS))} FROM ds, st),
+s0 AS (SELECT uid, {init_sql('uid', seed, 0, std)} AS b FROM (SELECT DISTINCT uid FROM ds)),
+c0 AS (SELECT iid, {init_sql('iid', seed + 1, 0, std)} AS b FROM (SELECT DISTINCT iid FROM ds)),
+p0 AS (SELECT uid, {init_sql('uid', seed + 10, 0, std)} AS q0, {init_sql('uid', seed + 10, 1, std)} AS q1
+       FROM (SELECT DISTINCT uid FROM ds)),
+w0t AS (SELECT {', '.join(f'{float(W0[l][j])!r} AS w_{l}_{j}' for l in range(K) for j in range(r))})"""]
+
+    def scored(t, split, how):
+        regs = [" + ".join(f"w_{l}_{j} * z{j}" for j in range(r)) for l in range(K)]
+        return f"""(SELECT z.*, COALESCE(p.q0, 0.0) AS q0, COALESCE(p.q1, 0.0) AS q1,
+            {', '.join(f'({reg}) AS reg{l}' for l, reg in enumerate(regs))},
+            m.w0 + (COALESCE(s.b, 0.0) + COALESCE(c.b, 0.0)) AS base
+     FROM z {how} JOIN s{t} s ON z.uid = s.uid {how} JOIN c{t} c ON z.iid = c.iid
+     {how} JOIN p{t} p ON z.uid = p.uid, w{t if t else '0t'} w, m WHERE z.split = '{split}')"""
+
+    for t in range(iters + 1):
+        parts.append(f"""e{t} AS (SELECT *, base + (q0 * reg0 + q1 * reg1) - y AS e FROM {scored(t, 'train', 'LEFT')}),
+h{t} AS (SELECT {t} AS iter, sqrt(avg(e * e)) AS rmse FROM e{t})""")
+        if t == iters:
+            break
+        n = t + 1
+        wsrc = f"w{t}" if t else "w0t"
+        gw = ", ".join(f"sum(e * q{l} * z{j}) AS g_{l}_{j}" for l in range(K) for j in range(r))
+        neww = ", ".join(nn(f"w_{l}_{j} - {step} * (g_{l}_{j} / n + {lw} * {pen(f'w_{l}_{j}')})") + f" AS w_{l}_{j}"
+                         for l in range(K) for j in range(r))
+        parts.append(f"""gs{n} AS (SELECT uid, count(*) AS n, sum(e) AS se, sum(e * reg0) AS sr0, sum(e * reg1) AS sr1 FROM e{t} GROUP BY uid),
+gc{n} AS (SELECT iid, count(*) AS n, sum(e) AS se FROM e{t} GROUP BY iid),
+gw{n} AS (SELECT count(*) AS n, {gw} FROM e{t}),
+s{n} AS (SELECT s.uid, {nn(f"CASE WHEN g.n IS NULL THEN s.b ELSE s.b - {step} * (g.se / g.n + {lb} * {pen('s.b')}) END")} AS b
+       FROM s{t} s LEFT JOIN gs{n} g ON s.uid = g.uid),
+c{n} AS (SELECT c.iid, {nn(f"CASE WHEN g.n IS NULL THEN c.b ELSE c.b - {step} * (g.se / g.n + {lb} * {pen('c.b')}) END")} AS b
+       FROM c{t} c LEFT JOIN gc{n} g ON c.iid = g.iid),
+p{n} AS (SELECT p.uid, {nn(f"CASE WHEN g.n IS NULL THEN p.q0 ELSE p.q0 - {step} * (g.sr0 / g.n + {lw} * {pen('p.q0')}) END")} AS q0,
+              {nn(f"CASE WHEN g.n IS NULL THEN p.q1 ELSE p.q1 - {step} * (g.sr1 / g.n + {lw} * {pen('p.q1')}) END")} AS q1
+       FROM p{t} p LEFT JOIN gs{n} g ON p.uid = g.uid),
+w{n} AS (SELECT {neww} FROM {wsrc}, gw{n})""")
+    parts.append(f"""te AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
+       FROM {scored(iters, 'test', 'LEFT')})""")
+    hs = " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(iters + 1))
+    return f"""WITH {','.join(parts)}
+SELECT CAST(iter AS INTEGER) AS iter, {s6('rmse')} AS train_rmse,
+       CASE WHEN iter = {iters} THEN {s6('(SELECT rmse FROM te)')} END AS test_rmse,
+       CAST(NULL AS DOUBLE) AS objective
+FROM ({hs})"""
+
+
+def _fit_mlr_gd(spark, sf, norm, nonneg):
+    m0, tr, te = _mlr(spark, sf)
+    # fixed iteration count (no early stop) so the unrolled SQL is the same job
+    m, h = fit_profile_gd(tr, m0, lrate=MLR_GD["lrate"], lambda_w=MLR_GD["lambda_w"],
+                          lambda_b=MLR_GD["lambda_b"], iters=MLR_GD["iters"], eps=float("-inf"),
+                          norm=norm, nonneg=nonneg)
+    return _finish(h, m, te)
+
+
+@query("fit_mlr_gd_unrolled", _mlr_gd_sql())
+def q_fit_mlr_gd_unrolled(spark, sf):
+    return _fit_mlr_gd(spark, sf, "fro", False)
+
+
+@query("fit_mlr_gd_l1_nonneg_unrolled", _mlr_gd_sql("l1", True))
+def q_fit_mlr_gd_l1_unrolled(spark, sf):
+    return _fit_mlr_gd(spark, sf, "l1", True)

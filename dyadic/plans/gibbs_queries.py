@@ -13,6 +13,7 @@ from dyadic.operators.train_bpmlr import bias_conditional, fit_bpmlr
 from dyadic.plans.common import cnt, r6, s6
 from dyadic.plans.params import init_sql, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.plans.score_queries import REALS, W_MLR, Z_SQL, ZCOLS, _wx
 from dyadic.sources.tables import dyads
@@ -34,7 +35,7 @@ SELECT iid, CAST(n AS BIGINT) AS n, {s6('l00')} AS lam_0_0, {s6('l01')} AS lam_0
        {s6('(l11 * c0 - l01 * c1) / (l00 * l11 - l01 * l01)')} AS mean_0,
        {s6('(l00 * c1 - l01 * c0) / (l00 * l11 - l01 * l01)')} AS mean_1 FROM l""")
 def q_bpmf_cond(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     mean = stats.global_mean(train, "y")
     rows = train.select("uid", "iid", (F.col("y") - F.lit(mean)).alias("__r"))
     U = vec_table(train.select("uid").distinct(), "uid", 11, 2)
@@ -51,7 +52,7 @@ def q_bpmf_cond(spark, sf):
 def q_fit_bpmf(spark, sf):
     """Two epochs of Gibbs from formula factors; posterior-mean probe RMSE."""
     d = held_dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     ids_u = d.select("uid").distinct()
     ids_i = d.select("iid").distinct()
     res = fit_bpmf(train, test, vec_table(ids_u, "uid", 11, 2, std=0.1), vec_table(ids_i, "iid", 12, 2, std=0.1),
@@ -73,7 +74,7 @@ g AS (SELECT z.uid, count(*) AS n, sum(y - c.c - (p0 * ({_wx[0]}) + p1 * ({_wx[1
 SELECT uid, CAST(n AS BIGINT) AS n, {s6(f'{ALPHA_S} + {ALPHA_G} * n')} AS prec,
        {s6(f'({ALPHA_S * MU_S} + {ALPHA_G} * sr) / ({ALPHA_S} + {ALPHA_G} * n)')} AS mean FROM g""")
 def q_bpmlr_cond(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     st = prep.fit_zscore(train, REALS)
     z = prep.apply_zscore(train, st, REALS)
     tu, ti = train.select("uid").distinct(), train.select("iid").distinct()
@@ -87,7 +88,7 @@ def q_bpmlr_cond(spark, sf):
 
 def _bpmlr(spark, sf, variant):
     d = held_dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     st = prep.fit_zscore(train, REALS)
     train, test = prep.apply_zscore(train, st, REALS), prep.apply_zscore(test, st, REALS)
     res = fit_bpmlr(train, test, REALS, k=2, nsamples=3, burnin=1, thin=1, variant=variant)

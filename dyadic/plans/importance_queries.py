@@ -11,6 +11,7 @@ from dyadic.operators import prep, windows
 from dyadic.plans.common import r6, s6
 from dyadic.plans.params import init_sql, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import query
 from dyadic.plans.score_queries import (
     CATS, FM_FIELDS, FM_VR, FM_WR, K, REALS, W_IPR_R, W_MLR, Z_SQL, ZCOLS, _CAT_CODE, _FM_CODE,
@@ -149,7 +150,7 @@ dv AS (SELECT sum(abs(COALESCE(s.s, 0.0))) AS su, sum(abs(COALESCE(c.c, 0.0))) A
 
 @query("mlr_importance", _mlr_sql())
 def q_mlr_imp(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     st = prep.fit_zscore(train, REALS)
     z = prep.apply_zscore(train, st, REALS)
     tu, ti = train.select("uid").distinct(), train.select("iid").distinct()

@@ -11,6 +11,7 @@ from dyadic.operators import prep, stats
 from dyadic.plans.common import cnt, r2, r6, s2, s6
 from dyadic.plans.params import init_sql, vec_table, scalar_table
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import D_SQL, SPLIT_SQL, query
 from dyadic.session import scratch_path
 from dyadic.sources.scans import guided_scan, keyed_scan, triplet_scan
@@ -82,7 +83,7 @@ p AS (SELECT uid, {init_sql('uid', 15, 0)} AS p0, {init_sql('uid', 15, 1)} AS p1
 
 
 def _save_params(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     tu = train.select("uid").distinct()
     path = scratch_path(spark, "params")
     mean = stats.global_mean(train, "y")
@@ -122,7 +123,7 @@ UNION ALL SELECT 'mean', 0, 0, {s6('avg(p0)')} FROM p
 UNION ALL SELECT 'mean', 1, 0, {s6('avg(p1)')} FROM p""")
 def q_warm(spark, sf):
     path = _save_params(spark, sf)
-    nu = prep.temporal_holdout(dyads(spark, sf))[0].select("uid").distinct().count()
+    nu = hold_out(dyads(spark, sf))[0].select("uid").distinct().count()
     params = warm_start(spark, path, {"P": (nu, 2), "s": (nu, None)})
     P = params["P"]
     cov = stats.covariance_matrix(P, "vec", 2).select(

@@ -12,6 +12,7 @@ from dyadic.operators.train_pmf import fit_pmf, pmf_predict
 from dyadic.plans.common import cnt, r6, row_draw, s6
 from dyadic.plans.params import init_sql
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.session import scratch_path
 from dyadic.sources.tables import dyads
@@ -55,7 +56,7 @@ h{t} AS (SELECT {t} AS epoch,
 
 
 def _run_pmf(spark, sf, **kw):
-    train, test = prep.temporal_holdout(held_dyads(spark, sf))
+    train, test = hold_out(held_dyads(spark, sf))
     return fit_pmf(train, test, row_draw=row_draw(), **{**PMF, **kw})
 
 
@@ -167,7 +168,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, {s6('avg(pred)')} AS pred_mean, CAST
 FROM pr GROUP BY l_orderkey, l_linenumber, l_partkey""")
 def q_running_mean(spark, sf):
     path = scratch_path(spark, "pmf-draws")
-    train, test = prep.temporal_holdout(held_dyads(spark, sf))
+    train, test = hold_out(held_dyads(spark, sf))
     res = fit_pmf(train, test, row_draw=row_draw(), checkpoint_every=1, checkpoint_path=path, **PMF)
     u = spark.read.parquet(os.path.join(path, "w_u")).withColumnRenamed("id", "uid")
     i = spark.read.parquet(os.path.join(path, "w_i")).withColumnRenamed("id", "iid")

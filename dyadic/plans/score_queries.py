@@ -11,6 +11,7 @@ from dyadic.operators.joins import gather, gather_cold_start
 from dyadic.plans.common import cnt, r6, row_draw, ROW_DRAW_SQL, s6
 from dyadic.plans.params import STD, init_sql, mat, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.plans.table_queries import _CODES_SQL
 from dyadic.sources.tables import DYAD_GUIDE, dyads
@@ -31,7 +32,7 @@ ZCOLS = ["(l_discount - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END",
 
 def _split(spark, sf):
     d = held_dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     return d, train, test
 
 

@@ -13,6 +13,7 @@ from dyadic.operators.encode import contiguous_ids, encode, encode_ids, long_des
 from dyadic.operators.reshape import pivot_ratings, sparse_entries, unpivot_stats
 from dyadic.plans.common import ROW_DRAW_SQL, cnt, r2, r6, row_draw, s2, s6
 from dyadic.plans.common import held_dyads
+from dyadic.plans.common import hold_out
 from dyadic.plans.registry import D_SQL, E_SQL, SPLIT_SQL, query
 from dyadic.sources.tables import DYAD_GUIDE, ROW_KEY, dyads, events_dyads, table
 
@@ -23,7 +24,7 @@ LO, HI = 0.0, 4.0
 # ---------------------------------------------------------------- flagship
 def _gm_ur(spark: SparkSession, sf: str):
     d = dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     gm = stats.global_mean(train, "y")
     t = stats.baseline_predictions(test, gm, "l_orderkey", row_draw(), LO, HI, UR_SEED)
     agg = t.agg(stats.rmse_expr("y", "pred_gm").alias("gm"),
@@ -65,7 +66,7 @@ SELECT split, CAST(count(*) AS BIGINT) AS n, {s6('sum(y)')} AS sum_y,
 FROM ds GROUP BY split""")
 def q_holdout(spark, sf):
     d = dyads(spark, sf)
-    train, test = prep.temporal_holdout(d)
+    train, test = hold_out(d)
     def summ(df, name):
         return df.agg(F.lit(name).alias("split"), cnt().alias("n"), r6(F.sum("y")).alias("sum_y"),
                       F.min("term").alias("min_term"), F.max("term").alias("max_term"))
@@ -181,14 +182,14 @@ def q_zscore(spark, sf):
 SELECT DISTINCT uid FROM ds WHERE split = 'train'
 UNION SELECT DISTINCT uid FROM ds WHERE split = 'test'""")
 def q_union_ids(spark, sf):
-    train, test = prep.temporal_holdout(dyads(spark, sf))
+    train, test = hold_out(dyads(spark, sf))
     return prep.union_ids(train, test, "uid")
 
 
 @query("union_train_test", f"""WITH {SPLIT_SQL}
 SELECT split, term, CAST(count(*) AS BIGINT) AS n FROM ds GROUP BY split, term""")
 def q_union_tt(spark, sf):
-    train, test = prep.temporal_holdout(dyads(spark, sf))
+    train, test = hold_out(dyads(spark, sf))
     return prep.union_train_test(train, test).groupBy("split", "term").agg(cnt().alias("n"))
 
 
@@ -306,7 +307,7 @@ def q_encode_ids(spark, sf):
 @query("entity_counts", f"""WITH {SPLIT_SQL}
 SELECT uid, CAST(count(*) AS BIGINT) AS n FROM ds WHERE split = 'train' GROUP BY uid""")
 def q_entity_counts(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     return stats.entity_counts(train, "uid")
 
 
@@ -354,7 +355,7 @@ b AS (SELECT e.epoch, CAST(floor({crng_uniform_sql('l_orderkey', 'e.epoch', ROW_
       FROM ds, (SELECT * FROM range(0, 2) t(epoch)) e WHERE split = 'train')
 SELECT CAST(epoch AS BIGINT) AS epoch, batch, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY epoch, batch""")
 def q_minibatch(spark, sf):
-    train, _ = prep.temporal_holdout(held_dyads(spark, sf))
+    train, _ = hold_out(held_dyads(spark, sf))
     parts = [train.select(F.lit(e).cast("long").alias("epoch"),
                           prep.minibatch_column("l_orderkey", row_draw(), e, 9).alias("batch"))
              for e in range(2)]

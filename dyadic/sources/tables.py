@@ -49,7 +49,7 @@ def dyads(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     return d.select(
         *ROW_KEY,
         F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("iid"),
-        F.year("o_orderdate").cast("long").alias("term"),
+        F.year("o_orderdate").cast("long").alias("term"), "o_orderdate",
         (F.col("l_quantity") / 10.0).alias("y"),
         "c_mktsegment", "p_brand", "o_orderpriority", "l_returnflag",
         "l_discount", "l_tax", "p_retailprice", "c_acctbal")
