@@ -204,3 +204,90 @@ def q_fit_mlr_gd_unrolled(spark, sf):
 @query("fit_mlr_gd_l1_nonneg_unrolled", _mlr_gd_sql("l1", True))
 def q_fit_mlr_gd_l1_unrolled(spark, sf):
     return _fit_mlr_gd(spark, sf, "l1", True)
+
+
+# ---------------------------------------------------------------- SQL-k oracle of the IPR gradient fit
+IPR_GD = dict(lrate=0.05, lambda_w=0.01, lambda_b=0.0, iters=2, std=1 / 16, seed=100)
+_CAT_CODES = [("c_mktsegment", "cm", "m_code"), ("p_brand", "cb", "b_code"),
+              ("o_orderpriority", "co", "o_code"), ("l_returnflag", "cr", "r_code")]
+
+
+def _ipr_gd_sql() -> str:
+    from dyadic.functions.crng import crng_init_np
+    from dyadic.plans.common import s6
+    from dyadic.plans.params import init_sql
+    from dyadic.plans.score_queries import Z_SQL, ZCOLS
+    from dyadic.plans.table_queries import _CODES_SQL
+    lr, lw, lb, iters, std, seed = (IPR_GD[x] for x in ("lrate", "lambda_w", "lambda_b", "iters", "std", "seed"))
+    step = 2.0 * lr
+    r = len(REALS)
+    W0 = [[crng_init_np(j, seed + 40, l, std) for j in range(r)] for l in range(K)]
+    parts = [f"""{_CODES_SQL}, {Z_SQL},
+z AS (SELECT split, y, u_code AS uc, i_code AS ic, {', '.join(f'{c} AS x{i}' for i, (_, _, c) in enumerate(_CAT_CODES))},
+             {', '.join(f'{zc} AS z{j}' for j, zc in enumerate(ZCOLS))} FROM enc, st),
+bu0 AS (SELECT c AS code, {init_sql('c', seed, 0, std)} AS b FROM cu),
+bi0 AS (SELECT c AS code, {init_sql('c', seed + 1, 0, std)} AS b FROM ci),
+p0 AS (SELECT c AS code, {init_sql('c', seed + 10, 0, std)} AS q0, {init_sql('c', seed + 10, 1, std)} AS q1 FROM cu),
+{', '.join(f"wc{i}_0 AS (SELECT c AS code, {init_sql('c', seed + 20 + i, 0, std)} AS a0, {init_sql('c', seed + 20 + i, 1, std)} AS a1 FROM {tab})" for i, (_, tab, _) in enumerate(_CAT_CODES))},
+w0t AS (SELECT 0.0 AS w0, {', '.join(f'{float(W0[l][j])!r} AS w_{l}_{j}' for l in range(K) for j in range(r))})"""]
+
+    def scored(t, split):
+        wt = f"w{t}" if t else "w0t"
+        regs = []
+        for l in range(K):
+            terms = [f"w_{l}_{j} * z{j}" for j in range(r)]
+            reg = " + ".join(terms)
+            for i in range(len(_CAT_CODES)):
+                reg = f"({reg}) + COALESCE(k{i}.a{l}, 0.0)"
+            regs.append(reg)
+        cat_joins = " ".join(f"LEFT JOIN wc{i}_{t} k{i} ON z.x{i} = k{i}.code" for i in range(len(_CAT_CODES)))
+        return f"""(SELECT z.*, COALESCE(p.q0, 0.0) AS q0, COALESCE(p.q1, 0.0) AS q1,
+            {', '.join(f'({reg}) AS reg{l}' for l, reg in enumerate(regs))},
+            w.w0 + (COALESCE(bu.b, 0.0) + COALESCE(bi.b, 0.0)) AS base
+     FROM z LEFT JOIN bu{t} bu ON z.uc = bu.code LEFT JOIN bi{t} bi ON z.ic = bi.code
+     LEFT JOIN p{t} p ON z.uc = p.code {cat_joins}, {wt} w WHERE z.split = '{split}')"""
+
+    def upd(old, g, val, se, lam):
+        return f"CASE WHEN {g}.n IS NULL THEN {old}.{val} ELSE {old}.{val} - {step} * ({g}.{se} / {g}.n + {lam} * {old}.{val}) END"
+
+    for t in range(iters + 1):
+        parts.append(f"""e{t} AS (SELECT *, base + (q0 * reg0 + q1 * reg1) - y AS e FROM {scored(t, 'train')}),
+h{t} AS (SELECT {t} AS iter, sqrt(avg(e * e)) AS rmse FROM e{t})""")
+        if t == iters:
+            break
+        n = t + 1
+        wsrc = f"w{t}" if t else "w0t"
+        gw = ", ".join(f"sum(e * q{l} * z{j}) AS g_{l}_{j}" for l in range(K) for j in range(r))
+        neww = ", ".join(f"w_{l}_{j} - {step} * (g_{l}_{j} / n + {lw} * w_{l}_{j}) AS w_{l}_{j}"
+                         for l in range(K) for j in range(r))
+        cats = []
+        for i in range(len(_CAT_CODES)):
+            cats.append(f"""gk{i}_{n} AS (SELECT x{i} AS code, count(*) AS n, sum(e * q0) AS s0, sum(e * q1) AS s1 FROM e{t} GROUP BY x{i}),
+wc{i}_{n} AS (SELECT o.code, {upd('o', 'g', 'a0', 's0', lw)} AS a0, {upd('o', 'g', 'a1', 's1', lw)} AS a1
+       FROM wc{i}_{t} o LEFT JOIN gk{i}_{n} g ON o.code = g.code)""")
+        parts.append(f"""gu{n} AS (SELECT uc AS code, count(*) AS n, sum(e) AS se, sum(e * reg0) AS s0, sum(e * reg1) AS s1 FROM e{t} GROUP BY uc),
+gi{n} AS (SELECT ic AS code, count(*) AS n, sum(e) AS se FROM e{t} GROUP BY ic),
+gw{n} AS (SELECT count(*) AS n, sum(e) AS se, {gw} FROM e{t}),
+bu{n} AS (SELECT o.code, {upd('o', 'g', 'b', 'se', lb)} AS b FROM bu{t} o LEFT JOIN gu{n} g ON o.code = g.code),
+bi{n} AS (SELECT o.code, {upd('o', 'g', 'b', 'se', lb)} AS b FROM bi{t} o LEFT JOIN gi{n} g ON o.code = g.code),
+p{n} AS (SELECT o.code, {upd('o', 'g', 'q0', 's0', lw)} AS q0, {upd('o', 'g', 'q1', 's1', lw)} AS q1
+       FROM p{t} o LEFT JOIN gu{n} g ON o.code = g.code),
+{', '.join(cats)},
+w{n} AS (SELECT w0 - {step} * (se / n) AS w0, {neww} FROM {wsrc}, gw{n})""")
+    parts.append(f"""te AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
+       FROM {scored(iters, 'test')})""")
+    hs = " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(iters + 1))
+    return f"""WITH {','.join(parts)}
+SELECT CAST(iter AS INTEGER) AS iter, {s6('rmse')} AS train_rmse,
+       CASE WHEN iter = {iters} THEN {s6('(SELECT rmse FROM te)')} END AS test_rmse,
+       CAST(NULL AS DOUBLE) AS objective
+FROM ({hs})"""
+
+
+@query("fit_ipr_gd_unrolled", _ipr_gd_sql())
+def q_fit_ipr_gd_unrolled(spark, sf):
+    m0, tr, te = _ipr(spark, sf)
+    # fixed iteration count (no early stop) so the unrolled SQL is the same job
+    m, h = fit_profile_gd(tr, m0, lrate=IPR_GD["lrate"], lambda_w=IPR_GD["lambda_w"],
+                          lambda_b=IPR_GD["lambda_b"], iters=IPR_GD["iters"], eps=float("-inf"))
+    return _finish(h, m, te)
