@@ -14,7 +14,7 @@ Two estimators:
   all from one scan: one expanded grouped sum per iteration;
 * coordinate descent / alternating least squares (TR-5, TR-7): exact block
   minimisation in the order w0, each bias field, P, each categorical block
-  of W, the real block of W - one scan per block; a field's codes touch
+  of W, each real column of W - one scan per block; a field's codes touch
   disjoint rows so the whole field is one exact block.
 """
 
@@ -265,23 +265,24 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
             own = sum((F.col("__pv")[l] * F.coalesce(F.col("__own")[l], F.lit(0.0)) for l in range(k)), F.lit(0.0))
             nw = block_ridge(s, f, z, F.col("__r") + own, k, lambda_w, "wvec", nonneg)
             m = replace(m, Wcat={**m.Wcat, f: cut(_keep_untouched(m.Wcat[f], nw, f, "wvec"))})
-        # real W block: k*r coefficients jointly, (kr)^2 Gram on the driver
-        if r:
+        # real W columns: each real feature is a field of its own, a k-vector
+        # block W[:, j] solved from a k x k Gram on the driver
+        for j in range(r):
             s = resid(m)
-            zz = [F.col("__pv")[l] * F.col(m.reals[j]) for l in range(k) for j in range(r)]
-            wflat = m.Wr.reshape(-1)
-            own = sum((F.lit(float(wflat[a])) * zz[a] for a in range(k * r)), F.lit(0.0))
+            zz = [F.col("__pv")[l] * F.col(m.reals[j]) for l in range(k)]
+            own = sum((F.lit(float(m.Wr[l, j])) * zz[l] for l in range(k)), F.lit(0.0))
             rr = F.col("__r") + own
-            d = k * r
-            g = s.agg(*[F.sum(zz[a] * zz[b]).alias(f"g{a}_{b}") for a in range(d) for b in range(a, d)],
-                      *[F.sum(zz[a] * rr).alias(f"c{a}") for a in range(d)]).first()
-            G = np.zeros((d, d))
-            for a in range(d):
-                for b in range(a, d):
+            g = s.agg(*[F.sum(zz[a] * zz[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)],
+                      *[F.sum(zz[a] * rr).alias(f"c{a}") for a in range(k)]).first()
+            G = np.zeros((k, k))
+            for a in range(k):
+                for b in range(a, k):
                     G[a, b] = G[b, a] = g[f"g{a}_{b}"]
-            c = np.array([g[f"c{a}"] for a in range(d)])
-            w = np.linalg.solve(G + lambda_w * np.eye(d), c)
-            m = replace(m, Wr=(np.maximum(0.0, w) if nonneg else w).reshape(k, r))
+            c = np.array([g[f"c{a}"] for a in range(k)])
+            w = np.linalg.solve(G + lambda_w * np.eye(k), c)
+            Wr = m.Wr.copy()
+            Wr[:, j] = np.maximum(0.0, w) if nonneg else w
+            m = replace(m, Wr=Wr)
         if record(sweep, m):
             break
     return m, hist.frame(spark)

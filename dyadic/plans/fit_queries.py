@@ -291,3 +291,135 @@ def q_fit_ipr_gd_unrolled(spark, sf):
     m, h = fit_profile_gd(tr, m0, lrate=IPR_GD["lrate"], lambda_w=IPR_GD["lambda_w"],
                           lambda_b=IPR_GD["lambda_b"], iters=IPR_GD["iters"], eps=float("-inf"))
     return _finish(h, m, te)
+
+
+# ---------------------------------------------------------------- SQL-k oracles of the block coordinate descent
+def _cd_sql(model: str) -> str:
+    """One sweep of exact block coordinate descent unrolled as CTEs (k = 2):
+    ``model`` 'ipr' (codes, categorical and real W blocks, w0 learned) or
+    'mlr' (raw ids, real W columns, w0 = train mean).  2 x 2 solves are
+    Cramer's rule."""
+    from dyadic.functions.crng import crng_init_np
+    from dyadic.plans.common import s6
+    from dyadic.plans.params import init_sql
+    from dyadic.plans.registry import SPLIT_SQL
+    from dyadic.plans.score_queries import Z_SQL, ZCOLS
+    from dyadic.plans.table_queries import _CODES_SQL
+    ipr = model == "ipr"
+    lw, lb = 1.0, 1.0
+    std, seed = (1 / 16, 100) if ipr else (0.01, 100)
+    r = len(REALS)
+    ncat = len(_CAT_CODES) if ipr else 0
+    W0 = [[crng_init_np(j, seed + 40, l, std) for j in range(r)] for l in range(K)]
+    zsel = ", ".join(f"{zc} AS z{j}" for j, zc in enumerate(ZCOLS))
+    if ipr:
+        head = f"""{_CODES_SQL}, {Z_SQL},
+z AS (SELECT split, y, u_code AS uk, i_code AS ik, {', '.join(f'{c} AS x{i}' for i, (_, _, c) in enumerate(_CAT_CODES))},
+             {zsel} FROM enc, st),
+ukeys AS (SELECT c AS k FROM cu), ikeys AS (SELECT c AS k FROM ci),
+w0v AS (SELECT 0.0 AS w0)"""
+    else:
+        head = f"""{SPLIT_SQL}, {Z_SQL},
+z AS (SELECT split, y, uid AS uk, iid AS ik, {zsel} FROM ds, st),
+ukeys AS (SELECT DISTINCT uid AS k FROM ds), ikeys AS (SELECT DISTINCT iid AS k FROM ds),
+w0v AS (SELECT avg(y) AS w0 FROM ds WHERE split = 'train')"""
+    parts = [head + f""",
+bu_0 AS (SELECT k, {init_sql('k', seed, 0, std)} AS b FROM ukeys),
+bi_0 AS (SELECT k, {init_sql('k', seed + 1, 0, std)} AS b FROM ikeys),
+p_0 AS (SELECT k, {init_sql('k', seed + 10, 0, std)} AS q0, {init_sql('k', seed + 10, 1, std)} AS q1 FROM ukeys),
+wr_0 AS (SELECT {', '.join(f'{float(W0[l][j])!r} AS w_{l}_{j}' for l in range(K) for j in range(r))})"""]
+    if ipr:
+        parts.append(", ".join(
+            f"wc{i}_0 AS (SELECT c AS k, {init_sql('c', seed + 20 + i, 0, std)} AS a0, {init_sql('c', seed + 20 + i, 1, std)} AS a1 FROM {tab})"
+            for i, (_, tab, _) in enumerate(_CAT_CODES)))
+    st = {"w0": "w0v", "bu": "bu_0", "bi": "bi_0", "p": "p_0", "wr": "wr_0",
+          **{f"wc{i}": f"wc{i}_0" for i in range(ncat)}}
+    counter = [0]
+
+    def scored(split="train"):
+        regs = []
+        for l in range(K):
+            reg = " + ".join(f"wr.w_{l}_{j} * z{j}" for j in range(r))
+            for i in range(ncat):
+                reg = f"({reg}) + COALESCE(k{i}.a{l}, 0.0)"
+            regs.append(reg)
+        cj = " ".join(f"LEFT JOIN {st[f'wc{i}']} k{i} ON z.x{i} = k{i}.k" for i in range(ncat))
+        kcols = ", ".join(f"k{i}.a0 AS o{i}_0, k{i}.a1 AS o{i}_1" for i in range(ncat))
+        return f"""(SELECT z.*, COALESCE(bu.b, 0.0) AS bu, COALESCE(bi.b, 0.0) AS bi,
+            COALESCE(p.q0, 0.0) AS q0, COALESCE(p.q1, 0.0) AS q1, {', '.join(f'({g}) AS reg{l}' for l, g in enumerate(regs))}
+            {', ' + kcols if kcols else ''}, {', '.join(f'wr.w_{l}_{j}' for l in range(K) for j in range(r))},
+            z.y - ((w.w0 + (COALESCE(bu.b, 0.0) + COALESCE(bi.b, 0.0))) + (COALESCE(p.q0, 0.0) * ({regs[0]})
+                   + COALESCE(p.q1, 0.0) * ({regs[1]}))) AS res
+     FROM z LEFT JOIN {st['bu']} bu ON z.uk = bu.k LEFT JOIN {st['bi']} bi ON z.ik = bi.k
+     LEFT JOIN {st['p']} p ON z.uk = p.k {cj}, {st['wr']} wr, {st['w0']} w WHERE z.split = '{split}')"""
+
+    def new(name):
+        counter[0] += 1
+        return f"{name}_{counter[0]}"
+
+    def solve2(g00, g01, g11, c0, c1, lam):
+        d = f"(({g00} + {lam}) * ({g11} + {lam}) - ({g01}) * ({g01}))"
+        return (f"((({g11} + {lam}) * ({c0}) - ({g01}) * ({c1})) / {d})",
+                f"((({g00} + {lam}) * ({c1}) - ({g01}) * ({c0})) / {d})")
+
+    def bias(key, field):
+        nm = new(field)
+        parts.append(f"""{nm}g AS (SELECT {key} AS k, sum(res + {field}) / (count(*) + {lb}) AS b FROM {scored()} GROUP BY {key}),
+{nm} AS (SELECT o.k, COALESCE(g.b, o.b) AS b FROM {st[field]} o LEFT JOIN {nm}g g ON o.k = g.k)""")
+        st[field] = nm
+
+    def vec_block(key, field, zs, own, cols):
+        nm = new(field)
+        x0, x1 = solve2("g00", "g01", "g11", "c0", "c1", lw)
+        parts.append(f"""{nm}g AS (SELECT {key} AS k, sum(({zs[0]}) * ({zs[0]})) AS g00, sum(({zs[0]}) * ({zs[1]})) AS g01,
+        sum(({zs[1]}) * ({zs[1]})) AS g11, sum((res + {own}) * ({zs[0]})) AS c0, sum((res + {own}) * ({zs[1]})) AS c1
+        FROM {scored()} GROUP BY {key}),
+{nm}s AS (SELECT k, {x0} AS v0, {x1} AS v1 FROM {nm}g),
+{nm} AS (SELECT o.k, COALESCE(s.v0, o.{cols[0]}) AS {cols[0]}, COALESCE(s.v1, o.{cols[1]}) AS {cols[1]}
+        FROM {st[field]} o LEFT JOIN {nm}s s ON o.k = s.k)""")
+        st[field] = nm
+
+    def objective(tag):
+        reg = [f"(SELECT sum(q0 * q0 + q1 * q1) FROM {st['p']})"]
+        reg += [f"(SELECT sum(a0 * a0 + a1 * a1) FROM {st[f'wc{i}']})" for i in range(ncat)]
+        reg += [f"(SELECT {' + '.join(f'w_{l}_{j} * w_{l}_{j}' for l in range(K) for j in range(r))} FROM {st['wr']})"]
+        bsum = f"(SELECT sum(b * b) FROM {st['bu']}) + (SELECT sum(b * b) FROM {st['bi']})"
+        parts.append(f"""{tag} AS (SELECT sqrt(avg(res * res)) AS rmse,
+        sum(res * res) + {lw} * ({' + '.join(reg)}) + {lb} * ({bsum}) AS obj FROM {scored()})""")
+
+    objective("h0")  # before any block moves
+    if ipr:
+        nm = new("w0")
+        parts.append(f"{nm} AS (SELECT (SELECT w0 FROM {st['w0']}) + avg(res) AS w0 FROM {scored()})")
+        st["w0"] = nm
+    bias("uk", "bu")
+    bias("ik", "bi")
+    vec_block("uk", "p", ["reg0", "reg1"], "(q0 * reg0 + q1 * reg1)", ["q0", "q1"])
+    for i in range(ncat):
+        vec_block(f"x{i}", f"wc{i}", ["q0", "q1"], f"(q0 * COALESCE(o{i}_0, 0.0) + q1 * COALESCE(o{i}_1, 0.0))",
+                  ["a0", "a1"])
+    for j in range(r):
+        nm = new("wr")
+        zs = [f"q0 * z{j}", f"q1 * z{j}"]
+        own = f"(w_0_{j} * ({zs[0]}) + w_1_{j} * ({zs[1]}))"
+        x0, x1 = solve2("g00", "g01", "g11", "c0", "c1", lw)
+        others = ", ".join(f"o.w_{l}_{jj}" for l in range(K) for jj in range(r) if jj != j)
+        parts.append(f"""{nm}g AS (SELECT sum(({zs[0]}) * ({zs[0]})) AS g00, sum(({zs[0]}) * ({zs[1]})) AS g01,
+        sum(({zs[1]}) * ({zs[1]})) AS g11, sum((res + {own}) * ({zs[0]})) AS c0, sum((res + {own}) * ({zs[1]})) AS c1
+        FROM {scored()}),
+{nm} AS (SELECT {others}, {x0} AS w_0_{j}, {x1} AS w_1_{j} FROM {st['wr']} o, {nm}g)""")
+        st["wr"] = nm
+
+    objective("h1")
+    parts.append(f"""te AS (SELECT sqrt(avg(res * res)) AS rmse FROM {scored('test')})""")
+    return f"""WITH {','.join(parts)}
+SELECT 0 AS iter, {s6('rmse')} AS train_rmse, CAST(NULL AS DOUBLE) AS test_rmse, {s6('obj')} AS objective FROM h0
+UNION ALL
+SELECT 1, {s6('rmse')}, {s6('(SELECT rmse FROM te)')}, {s6('obj')} FROM h1"""
+
+
+ORACLES_CD = {"fit_ipr_cd": _cd_sql("ipr"), "fit_mlr_als": _cd_sql("mlr")}
+# the closed-form fits registered above get their unrolled one-sweep SQL
+from dyadic.plans.registry import ORACLES  # noqa: E402
+
+ORACLES.update(ORACLES_CD)
