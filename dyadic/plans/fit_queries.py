@@ -423,3 +423,113 @@ ORACLES_CD = {"fit_ipr_cd": _cd_sql("ipr"), "fit_mlr_als": _cd_sql("mlr")}
 from dyadic.plans.registry import ORACLES  # noqa: E402
 
 ORACLES.update(ORACLES_CD)
+
+
+# ---------------------------------------------------------------- SQL-k oracle of FM ALS (one sweep)
+def _det3(m):
+    return (f"(({m[0][0]}) * (({m[1][1]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][1]}))"
+            f" - ({m[0][1]}) * (({m[1][0]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][0]}))"
+            f" + ({m[0][2]}) * (({m[1][0]}) * ({m[2][1]}) - ({m[1][1]}) * ({m[2][0]})))")
+
+
+def _solve3_sql(lam):
+    """x = (G + diag(lam))^-1 c by Cramer's rule over columns g_a_b, c_a."""
+    A = [[f"g_{min(a, b)}_{max(a, b)}" + (f" + {lam[a]}" if a == b else "") for b in range(3)] for a in range(3)]
+    det = _det3(A)
+    xs = []
+    for i in range(3):
+        Ai = [[(f"c_{a}" if b == i else A[a][b]) for b in range(3)] for a in range(3)]
+        xs.append(f"({_det3(Ai)}) / ({det})")
+    return xs
+
+
+def _fm_als_sql() -> str:
+    from dyadic.functions.crng import crng_init_np
+    from dyadic.plans.common import s6
+    from dyadic.plans.params import init_sql
+    from dyadic.plans.score_queries import Z_SQL, ZCOLS
+    from dyadic.plans.table_queries import _CODES_SQL
+    std, seed, lw, lv = 0.1, 300, 1.0, 1.0
+    lam = [lw, lv, lv]
+    r = len(REALS)
+    codes = [("u_code", "cu"), ("i_code", "ci")] + [(c, tab) for _, tab, c in _CAT_CODES]
+    nf = len(codes)
+    V0 = [[crng_init_np(j, seed + 50, l, std) for l in range(K)] for j in range(r)]
+    parts = [f"""{_CODES_SQL}, {Z_SQL},
+z AS (SELECT split, y, {', '.join(f'{c} AS x{i}' for i, (c, _) in enumerate(codes))},
+             {', '.join(f'{zc} AS z{j}' for j, zc in enumerate(ZCOLS))} FROM enc, st),
+{', '.join(f"f{i}_0 AS (SELECT c AS k, 0.0 AS w, {init_sql('c', seed + i, 0, std)} AS v0, {init_sql('c', seed + i, 1, std)} AS v1 FROM {tab})" for i, (_, tab) in enumerate(codes))},
+g_0 AS (SELECT 0.0 AS w0, {', '.join(f'0.0 AS r{j}' for j in range(r))},
+        {', '.join(f'{float(V0[j][l])!r} AS v_{j}_{l}' for j in range(r) for l in range(K))})"""]
+    st = {**{f"f{i}": f"f{i}_0" for i in range(nf)}, "g": "g_0"}
+    cnt = [0]
+
+    def scored(split="train"):
+        cols, joins = [], []
+        for i in range(nf):
+            joins.append(f"LEFT JOIN {st[f'f{i}']} t{i} ON z.x{i} = t{i}.k")
+            cols += [f"COALESCE(t{i}.w, 0.0) AS f{i}_w", f"COALESCE(t{i}.v0, 0.0) AS f{i}_v0",
+                     f"COALESCE(t{i}.v1, 0.0) AS f{i}_v1"]
+        inner = f"""(SELECT z.*, {', '.join(cols)}, g.* FROM z {' '.join(joins)}, {st['g']} g WHERE z.split = '{split}')"""
+        lin = "w0"
+        for i in range(nf):
+            lin = f"({lin} + f{i}_w)"
+        for j in range(r):
+            lin = f"({lin} + r{j} * z{j})"
+        q, sq = [], []
+        for l in range(K):
+            qe = " + ".join([f"f{i}_v{l}" for i in range(nf)] + [f"v_{j}_{l} * z{j}" for j in range(r)])
+            se = " + ".join([f"f{i}_v{l} * f{i}_v{l}" for i in range(nf)] + [f"(v_{j}_{l} * v_{j}_{l}) * z{j} * z{j}" for j in range(r)])
+            q.append(qe)
+            sq.append(se)
+        two = " + ".join(f"(({q[l]}) * ({q[l]}) - ({sq[l]}))" for l in range(K))
+        return f"""(SELECT *, {', '.join(f'({q[l]}) AS q{l}' for l in range(K))},
+            y - ({lin} + 0.5 * ({two})) AS res FROM {inner})"""
+
+    def emit(sql):
+        parts.append(sql)
+
+    def block_sums(zs, own, key=None):
+        sums = [f"sum(({zs[a]}) * ({zs[b]})) AS g_{a}_{b}" for a in range(3) for b in range(a, 3)]
+        sums += [f"sum((res + {own}) * ({zs[a]})) AS c_{a}" for a in range(3)]
+        grp = f"{key} AS k, " if key else ""
+        tail = f" GROUP BY {key}" if key else ""
+        return f"SELECT {grp}{', '.join(sums)} FROM {scored()}{tail}"
+
+    def new(n):
+        cnt[0] += 1
+        return f"{n}_{cnt[0]}"
+
+    emit(f"h0 AS (SELECT sqrt(avg(res * res)) AS rmse FROM {scored()})")
+    nm = new("g")
+    others = ", ".join([f"r{j}" for j in range(r)] + [f"v_{j}_{l}" for j in range(r) for l in range(K)])
+    emit(f"{nm} AS (SELECT (SELECT w0 FROM {st['g']}) + (SELECT avg(res) FROM {scored()}) AS w0, {others} FROM {st['g']})")
+    st["g"] = nm
+    x = _solve3_sql(lam)
+    for i in range(nf):
+        nm = new(f"f{i}")
+        zs = ["1.0", f"q0 - f{i}_v0", f"q1 - f{i}_v1"]
+        own = f"(f{i}_w + (f{i}_v0 * (q0 - f{i}_v0) + f{i}_v1 * (q1 - f{i}_v1)))"
+        emit(f"""{nm}g AS ({block_sums(zs, own, f'x{i}')}),
+{nm}s AS (SELECT k, {x[0]} AS w, {x[1]} AS v0, {x[2]} AS v1 FROM {nm}g),
+{nm} AS (SELECT o.k, COALESCE(s.w, o.w) AS w, COALESCE(s.v0, o.v0) AS v0, COALESCE(s.v1, o.v1) AS v1
+         FROM {st[f'f{i}']} o LEFT JOIN {nm}s s ON o.k = s.k)""")
+        st[f"f{i}"] = nm
+    for j in range(r):
+        nm = new("g")
+        zs = [f"z{j}", f"z{j} * (q0 - z{j} * v_{j}_0)", f"z{j} * (q1 - z{j} * v_{j}_1)"]
+        own = f"(r{j} * z{j} + (v_{j}_0 * ({zs[1]}) + v_{j}_1 * ({zs[2]})))"
+        keep = ", ".join(["w0"] + [f"r{jj}" for jj in range(r) if jj != j] +
+                         [f"v_{jj}_{l}" for jj in range(r) if jj != j for l in range(K)])
+        emit(f"""{nm}g AS ({block_sums(zs, own)}),
+{nm} AS (SELECT {keep}, {x[0]} AS r{j}, {x[1]} AS v_{j}_0, {x[2]} AS v_{j}_1 FROM {st['g']}, {nm}g)""")
+        st["g"] = nm
+    emit(f"h1 AS (SELECT sqrt(avg(res * res)) AS rmse FROM {scored()})")
+    emit(f"te AS (SELECT sqrt(avg(res * res)) AS rmse FROM {scored('test')})")
+    return f"""WITH {','.join(parts)}
+SELECT 0 AS iter, {s6('rmse')} AS train_rmse, CAST(NULL AS DOUBLE) AS test_rmse, CAST(NULL AS DOUBLE) AS objective FROM h0
+UNION ALL
+SELECT 1, {s6('rmse')}, {s6('(SELECT rmse FROM te)')}, CAST(NULL AS DOUBLE) FROM h1"""
+
+
+ORACLES["fit_fm_als"] = _fm_als_sql()
