@@ -126,7 +126,25 @@ def q_fit_report(spark, sf):
 MLR_GD = dict(lrate=0.05, lambda_w=0.01, lambda_b=0.01, iters=2, std=0.01, seed=100)
 
 
-def _mlr_gd_sql(norm: str = "fro", nonneg: bool = False) -> str:
+def _history_select(iters: int, eps: float) -> str:
+    """Rows 0..T where T is the first iteration whose RMSE gain falls below
+    eps (the early-stop rule), hold-out RMSE at T."""
+    from dyadic.plans.common import s6
+    hs = " UNION ALL ".join(f"SELECT {t} AS iter, (SELECT rmse FROM h{t}) AS rmse, (SELECT rmse FROM te{t}) AS te"
+                            for t in range(iters + 1))
+    stop = ("(SELECT %d AS T)" % iters if eps == float("-inf") else
+            f"(SELECT COALESCE(min(b.iter), {iters}) AS T FROM hs a JOIN hs b ON b.iter = a.iter + 1 "
+            f"WHERE a.rmse - b.rmse < {eps!r})")
+    return f""",
+hs AS ({hs}),
+stop AS {stop}
+SELECT CAST(iter AS INTEGER) AS iter, {s6('rmse')} AS train_rmse,
+       CASE WHEN iter = (SELECT T FROM stop) THEN {s6('te')} END AS test_rmse,
+       CAST(NULL AS DOUBLE) AS objective
+FROM hs WHERE iter <= (SELECT T FROM stop)"""
+
+
+def _mlr_gd_sql(norm: str = "fro", nonneg: bool = False, eps: float = float("-inf")) -> str:
     from dyadic.functions.crng import crng_init_np
     from dyadic.plans.common import s6
     from dyadic.plans.params import init_sql
@@ -177,14 +195,10 @@ p{n} AS (SELECT p.uid, {nn(f"CASE WHEN g.n IS NULL THEN p.q0 ELSE p.q0 - {step}
               {nn(f"CASE WHEN g.n IS NULL THEN p.q1 ELSE p.q1 - {step} * (g.sr1 / g.n + {lw} * {pen('p.q1')}) END")} AS q1
        FROM p{t} p LEFT JOIN gs{n} g ON p.uid = g.uid),
 w{n} AS (SELECT {neww} FROM {wsrc}, gw{n})""")
-    parts.append(f"""te AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
-       FROM {scored(iters, 'test', 'LEFT')})""")
-    hs = " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(iters + 1))
-    return f"""WITH {','.join(parts)}
-SELECT CAST(iter AS INTEGER) AS iter, {s6('rmse')} AS train_rmse,
-       CASE WHEN iter = {iters} THEN {s6('(SELECT rmse FROM te)')} END AS test_rmse,
-       CAST(NULL AS DOUBLE) AS objective
-FROM ({hs})"""
+    for t in range(iters + 1):
+        parts.append(f"""te{t} AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
+       FROM {scored(t, 'test', 'LEFT')})""")
+    return f"WITH {','.join(parts)}" + _history_select(iters, eps)
 
 
 def _fit_mlr_gd(spark, sf, norm, nonneg):
@@ -212,15 +226,20 @@ _CAT_CODES = [("c_mktsegment", "cm", "m_code"), ("p_brand", "cb", "b_code"),
               ("o_orderpriority", "co", "o_code"), ("l_returnflag", "cr", "r_code")]
 
 
-def _ipr_gd_sql() -> str:
+def _ipr_gd_sql(iters: int | None = None, eps: float = float("-inf"), nonneg: bool = False,
+                lrate: float | None = None, lambda_b: float | None = None) -> str:
     from dyadic.functions.crng import crng_init_np
     from dyadic.plans.common import s6
     from dyadic.plans.params import init_sql
     from dyadic.plans.score_queries import Z_SQL, ZCOLS
     from dyadic.plans.table_queries import _CODES_SQL
-    lr, lw, lb, iters, std, seed = (IPR_GD[x] for x in ("lrate", "lambda_w", "lambda_b", "iters", "std", "seed"))
+    lr, lw, lb, it0, std, seed = (IPR_GD[x] for x in ("lrate", "lambda_w", "lambda_b", "iters", "std", "seed"))
+    iters = it0 if iters is None else iters
+    lr = lr if lrate is None else lrate
+    lb = lb if lambda_b is None else lambda_b
     step = 2.0 * lr
     r = len(REALS)
+    nn = (lambda x: f"GREATEST(0.0, {x})") if nonneg else (lambda x: x)
     W0 = [[crng_init_np(j, seed + 40, l, std) for j in range(r)] for l in range(K)]
     parts = [f"""{_CODES_SQL}, {Z_SQL},
 z AS (SELECT split, y, u_code AS uc, i_code AS ic, {', '.join(f'{c} AS x{i}' for i, (_, _, c) in enumerate(_CAT_CODES))},
@@ -248,7 +267,7 @@ w0t AS (SELECT 0.0 AS w0, {', '.join(f'{float(W0[l][j])!r} AS w_{l}_{j}' for l i
      LEFT JOIN p{t} p ON z.uc = p.code {cat_joins}, {wt} w WHERE z.split = '{split}')"""
 
     def upd(old, g, val, se, lam):
-        return f"CASE WHEN {g}.n IS NULL THEN {old}.{val} ELSE {old}.{val} - {step} * ({g}.{se} / {g}.n + {lam} * {old}.{val}) END"
+        return nn(f"CASE WHEN {g}.n IS NULL THEN {old}.{val} ELSE {old}.{val} - {step} * ({g}.{se} / {g}.n + {lam} * {old}.{val}) END")
 
     for t in range(iters + 1):
         parts.append(f"""e{t} AS (SELECT *, base + (q0 * reg0 + q1 * reg1) - y AS e FROM {scored(t, 'train')}),
@@ -258,7 +277,7 @@ h{t} AS (SELECT {t} AS iter, sqrt(avg(e * e)) AS rmse FROM e{t})""")
         n = t + 1
         wsrc = f"w{t}" if t else "w0t"
         gw = ", ".join(f"sum(e * q{l} * z{j}) AS g_{l}_{j}" for l in range(K) for j in range(r))
-        neww = ", ".join(f"w_{l}_{j} - {step} * (g_{l}_{j} / n + {lw} * w_{l}_{j}) AS w_{l}_{j}"
+        neww = ", ".join(nn(f"w_{l}_{j} - {step} * (g_{l}_{j} / n + {lw} * w_{l}_{j})") + f" AS w_{l}_{j}"
                          for l in range(K) for j in range(r))
         cats = []
         for i in range(len(_CAT_CODES)):
@@ -273,15 +292,11 @@ bi{n} AS (SELECT o.code, {upd('o', 'g', 'b', 'se', lb)} AS b FROM bi{t} o LEFT J
 p{n} AS (SELECT o.code, {upd('o', 'g', 'q0', 's0', lw)} AS q0, {upd('o', 'g', 'q1', 's1', lw)} AS q1
        FROM p{t} o LEFT JOIN gu{n} g ON o.code = g.code),
 {', '.join(cats)},
-w{n} AS (SELECT w0 - {step} * (se / n) AS w0, {neww} FROM {wsrc}, gw{n})""")
-    parts.append(f"""te AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
-       FROM {scored(iters, 'test')})""")
-    hs = " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(iters + 1))
-    return f"""WITH {','.join(parts)}
-SELECT CAST(iter AS INTEGER) AS iter, {s6('rmse')} AS train_rmse,
-       CASE WHEN iter = {iters} THEN {s6('(SELECT rmse FROM te)')} END AS test_rmse,
-       CAST(NULL AS DOUBLE) AS objective
-FROM ({hs})"""
+w{n} AS (SELECT {nn(f"w0 - {step} * (se / n)")} AS w0, {neww} FROM {wsrc}, gw{n})""")
+    for t in range(iters + 1):
+        parts.append(f"""te{t} AS (SELECT sqrt(avg((base + (q0 * reg0 + q1 * reg1) - y) * (base + (q0 * reg0 + q1 * reg1) - y))) AS rmse
+       FROM {scored(t, 'test')})""")
+    return f"WITH {','.join(parts)}" + _history_select(iters, eps)
 
 
 @query("fit_ipr_gd_unrolled", _ipr_gd_sql())
@@ -533,3 +548,14 @@ SELECT 1, {s6('rmse')}, {s6('(SELECT rmse FROM te)')}, CAST(NULL AS DOUBLE) FROM
 
 
 ORACLES["fit_fm_als"] = _fm_als_sql()
+
+
+# the gradient fits registered above, with their own stop rules, get the
+# same unrolled SQL
+ORACLES.update({
+    "fit_ipr_gd": _ipr_gd_sql(iters=2, eps=1e-4),
+    "fit_ipr_gd_nonneg": _ipr_gd_sql(iters=2, eps=1e-4, nonneg=True),
+    "fit_mlr_gd": _mlr_gd_sql("fro", False, eps=0.0),
+    "fit_mlr_gd_l1_nonneg": _mlr_gd_sql("l1", True, eps=0.0),
+    "fit_report": _ipr_gd_sql(iters=6, eps=0.3),
+})
