@@ -12,7 +12,8 @@ from dyadic.plans.common import cnt, r6, row_draw, ROW_DRAW_SQL, s6
 from dyadic.plans.params import STD, init_sql, mat, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
-from dyadic.plans.registry import SPLIT_SQL, query
+from dyadic.functions.crng import crng_uniform_sql
+from dyadic.plans.registry import ORACLES, SPLIT_SQL, query
 from dyadic.plans.table_queries import _CODES_SQL
 from dyadic.sources.tables import DYAD_GUIDE, dyads
 
@@ -230,7 +231,18 @@ def q_score_bpmlr(spark, sf):
     return npm.select("l_orderkey", "l_linenumber", "uid", *[r6(c).alias(c) for c in ("pred_full", "pred_nb", "pred_np")])
 
 
-@query("score_bpmlr_draw")
+def _draw_sql():
+    import math
+    base = ORACLES["score_bpmlr"]
+    head, sel = base.rsplit("SELECT l_orderkey, l_linenumber, uid,", 1)
+    u1 = crng_uniform_sql("l_orderkey", 91, "l_linenumber")
+    u2 = crng_uniform_sql("l_orderkey", 92, "l_linenumber")
+    z = f"sqrt(-2.0 * ln(GREATEST({u1}, 1e-300))) * cos({2 * math.pi!r} * {u2})"
+    return (head + f"""SELECT l_orderkey, l_linenumber, uid, {s6('full_mean')} AS pred_full, {s6('nb_mean')} AS pred_nb,
+       {s6('np_mean')} AS pred_np, {s6(f"{s6('full_mean')} + {ALPHA_G ** -0.5!r} * {z}")} AS pred_draw FROM r""")
+
+
+@query("score_bpmlr_draw", _draw_sql())
 def q_score_bpmlr_draw(spark, sf):
     """Posterior-predictive draw N(mean, alpha_G^-1/2) per row (stat check:
     rows only; the mean is checked by score_bpmlr)."""
