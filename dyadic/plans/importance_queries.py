@@ -4,7 +4,6 @@ training rows with the formula parameters of the scoring queries."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dyadic.operators import importance as imp
 from dyadic.operators import prep, windows
@@ -14,11 +13,10 @@ from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
 from dyadic.plans.registry import query
 from dyadic.plans.score_queries import (
-    CATS, FM_FIELDS, FM_VR, FM_WR, K, REALS, W_IPR_R, W_MLR, Z_SQL, ZCOLS, _CAT_CODE, _FM_CODE,
+    CATS, FM_VR, FM_WR, K, REALS, W_IPR_R, W_MLR, Z_SQL, ZCOLS, _CAT_CODE, _FM_CODE,
     _encoded, fm_formula_tables)
 from dyadic.plans.registry import SPLIT_SQL
 from dyadic.plans.table_queries import _CODES_SQL
-from dyadic.sources.tables import dyads
 
 _Z_TRAIN = f"""z AS (SELECT enc.*, {', '.join(f'{z} AS z{j}' for j, z in enumerate(ZCOLS))} FROM enc, st WHERE split = 'train')"""
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dyadic.functions.crng import crng_init
 from dyadic.operators import prep, stats
 from dyadic.plans.common import cnt, r2, r6, s2, s6
 from dyadic.plans.params import init_sql, vec_table, scalar_table

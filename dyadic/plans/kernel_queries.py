@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dyadic.operators import prep, stats
+from dyadic.operators import stats
 from dyadic.operators.encode import encode
-from dyadic.plans.common import cnt, r6, rn, s6, sn
-from dyadic.plans.registry import D_SQL, SPLIT_SQL, query
+from dyadic.plans.common import r6, rn, s6, sn
+from dyadic.plans.registry import D_SQL, query
 from dyadic.plans.table_queries import _CODES_SQL
 from dyadic.sources.tables import DYAD_GUIDE, dyads, table
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from dyadic.operators import prep, score, stats
 from dyadic.operators.encode import encode
 from dyadic.operators.joins import gather, gather_cold_start
-from dyadic.plans.common import cnt, r6, row_draw, ROW_DRAW_SQL, s6
-from dyadic.plans.params import STD, init_sql, mat, scalar_table, vec_table
+from dyadic.plans.common import cnt, r6, s6
+from dyadic.plans.params import init_sql, mat, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
 from dyadic.functions.crng import crng_uniform_sql
