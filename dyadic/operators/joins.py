@@ -44,3 +44,58 @@ def gather_cold_start(fact: DataFrame, params: DataFrame, on: str, value_cols: S
             fills[c] = F.coalesce(F.col(c), F.lit(0.0))
     fills["is_cold"] = F.col("__seen").isNull()
     return out.withColumns(fills).drop("__seen")
+
+
+# ---------------------------------------------------------------- skew-safe co-partitioned lookups
+from dataclasses import dataclass, field  # noqa: E402
+
+
+@dataclass
+class SaltPlan:
+    """Salting of a persisted row frame for repeated lookups of a parameter
+    table too large to broadcast, keyed by ``key``.
+
+    A key holding more rows than one partition's share (a *hot* key; at most
+    ``nparts`` of them exist) is split over ``salts[key]`` salt values, every
+    other key uses salt 0, and the parameter table repeats a hot key's row
+    once per salt.  The join on (key, salt) then gives no task more than
+    about one partition's share of rows, whatever the key skew, without
+    relying on runtime skew detection."""
+    key: str
+    nparts: int
+    salts: dict = field(default_factory=dict)
+
+
+def plan_salts(rows: DataFrame, key: str, nparts: int) -> SaltPlan:
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))   # partial sums per task
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, -(-total // nparts))
+    # keys above one partition's share: at most nparts of them by construction
+    hot = counts.filter(F.col("n") > share).collect()
+    return SaltPlan(key, nparts, {r[key]: int(-(-r["n"] // share)) for r in hot})
+
+
+def _salt_count(plan: SaltPlan):
+    if not plan.salts:
+        return F.lit(1)
+    m = F.create_map(*[x for k, s in plan.salts.items() for x in (F.lit(k), F.lit(s))])
+    return F.coalesce(m[F.col(plan.key)], F.lit(1))
+
+
+def salt_rows(rows: DataFrame, plan: SaltPlan) -> DataFrame:
+    """Add ``__salt``: a hash of the row's values modulo its key's salt
+    count (0 for every key that is not hot)."""
+    h = F.xxhash64(*[F.col(c) for c in rows.columns])
+    return rows.withColumn("__salt", F.pmod(h, _salt_count(plan)).cast("int"))
+
+
+def salt_params(params: DataFrame, plan: SaltPlan) -> DataFrame:
+    """Parameter rows for a join on (key, __salt): hot keys repeated once
+    per salt (at most nparts keys, each a few times)."""
+    return params.withColumn("__salt", F.explode(F.sequence(F.lit(0), _salt_count(plan) - 1)))
+
+
+def salted_lookup(rows: DataFrame, params: DataFrame, plan: SaltPlan, how: str = "left") -> DataFrame:
+    """Join a large parameter table to salted rows: the shuffle on
+    (key, __salt) spreads a hot key over several tasks."""
+    return rows.join(salt_params(params, plan), [plan.key, "__salt"], how)

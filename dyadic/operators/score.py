@@ -77,7 +77,7 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
                   shared_p: np.ndarray | None = None,
                   Wcat: Mapping[str, tuple[DataFrame, int | None]] | None = None,
                   reals: Sequence[str] = (), Wr: np.ndarray | None = None,
-                  keep_parts: bool = False) -> DataFrame:
+                  keep_parts: bool = False, salt=None) -> DataFrame:
     """w0 + sum_e b_e[id_e] + P[i]^T (W x) (SC-2, SC-3, SC-5 means).
 
     ``biases``: field -> ((field, b) table, rows); ``P``: ((profiled, vec), rows)
@@ -104,7 +104,12 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
         pvec = F.array(*[F.lit(float(v)) for v in shared_p])
     else:
         tab, n = P
-        out = attach(out, profiled, tab, {"vec": "__p"}, n, k)
+        if salt is not None and "__salt" in out.columns:
+            from dyadic.operators.joins import salted_lookup
+            out = salted_lookup(out, tab.select(profiled, F.col("vec").alias("__p")), salt)
+            out = out.withColumn("__p", F.coalesce("__p", _zeros(k)))
+        else:
+            out = attach(out, profiled, tab, {"vec": "__p"}, n, k)
         pvec = F.col("__p")
     out = out.withColumn("__reg", reg).withColumn("__pv", pvec)
     bias = F.lit(0.0)

@@ -45,6 +45,7 @@ class ProfileModel:
     Wr: np.ndarray          # k x r
     sizes: dict = field(default_factory=dict)   # table rows (broadcast decisions)
     learn_w0: bool = True
+    salt: object = None     # SaltPlan of the training rows for a P too large to broadcast
 
     def predict(self, rows: DataFrame, keep_parts: bool = False) -> DataFrame:
         return profile_score(
@@ -52,7 +53,7 @@ class ProfileModel:
             {f: (t, self.sizes.get(f)) for f, t in self.biases.items()},
             self.profiled, (self.P, self.sizes.get(self.profiled)), None,
             {f: (t, self.sizes.get(f)) for f, t in self.Wcat.items()},
-            self.reals, self.Wr if len(self.reals) else None, keep_parts)
+            self.reals, self.Wr if len(self.reals) else None, keep_parts, self.salt)
 
     def tables(self) -> dict:
         out = {"P": self.P}
@@ -98,6 +99,20 @@ def _nn(col, nonneg):
     return F.greatest(F.lit(0.0), col) if nonneg else col
 
 
+def _prepare_rows(rows: DataFrame, m: ProfileModel, target: str, salt_entities):
+    """Persist the training rows once; when P is too large to broadcast (or
+    ``salt_entities`` is True) salt hot entities for the P lookups."""
+    from dyadic.operators.iterate import row_partitions
+    from dyadic.operators.joins import BROADCAST_ROWS, plan_salts, salt_rows
+    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
+    n = m.sizes.get(m.profiled)
+    if salt_entities or (salt_entities is None and (n is None or n > BROADCAST_ROWS)):
+        plan = plan_salts(rows, m.profiled, row_partitions(rows.sparkSession))
+        rows = cut(salt_rows(rows, plan))
+        m = replace(m, salt=plan)
+    return rows, m
+
+
 def _gd_sets(m: ProfileModel):
     k, r = m.k, len(m.reals)
     e = F.col("pred") - F.col("__y")
@@ -136,12 +151,11 @@ def _scalar_update(old: DataFrame, key: str, agg: DataFrame, setname: str, step:
 
 def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrate: float = 0.001,
                    lambda_w: float = 0.01, lambda_b: float = 0.0, iters: int = 10,
-                   eps: float = 1e-5, nonneg: bool = False, norm: str = "fro"):
+                   eps: float = 1e-5, nonneg: bool = False, norm: str = "fro", salt_entities=None):
     """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history)."""
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
+    rows, m = _prepare_rows(rows, model, target, salt_entities)
     hist = History(eps)
-    m = model
     step = 2.0 * lrate
     k, r = m.k, len(m.reals)
     for it in range(iters + 1):
@@ -219,14 +233,13 @@ def objective(m: ProfileModel, sse: float, lambda_w: float, lambda_b: float) ->
 
 def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lambda_w: float = 0.01,
                    lambda_b: float = 0.0, sweeps: int = 10, eps: float = 1e-5, nonneg: bool = False,
-                   track_objective: bool = False):
+                   track_objective: bool = False, salt_entities=None):
     """Exact block coordinate descent / ALS (TR-5 IPR, TR-7 MLR):
     theta <- sum((r + theta beta) beta) / (lambda + sum beta^2) in block form,
     r = y - y_hat.  Returns (model, history)."""
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
+    rows, m = _prepare_rows(rows, model, target, salt_entities)
     hist = History(eps)
-    m = model
     k, r = m.k, len(m.reals)
 
     def resid(mm):

@@ -174,3 +174,31 @@ def test_planted_fm_beats_global_mean(spark):
     rm = [r["train_rmse"] for r in h.orderBy("iter").collect()]
     assert rm[-1] < 0.7 * gm
     assert all(b <= a + 1e-9 for a, b in zip(rm, rm[1:]))
+
+
+def test_salted_entity_lookups_give_same_fit(spark, sf):
+    """Salting hot users for the P lookups changes the plan, not the result."""
+    enc, tr = _encoded_train(spark, sf)
+    ids = {f: enc.codes(f) for f in DYAD_GUIDE.fields}
+    m0 = init_profile_model(ids, 2, ["uid", "iid"], "uid", list(DYAD_GUIDE.cats), list(DYAD_GUIDE.reals),
+                            std=0.1, sizes=enc.cards)
+    _, a = fit_profile_gd(tr, m0, lrate=0.05, iters=2, eps=-1.0, salt_entities=False)
+    mb, b = fit_profile_gd(tr, m0, lrate=0.05, iters=2, eps=-1.0, salt_entities=True)
+    assert mb.salt is not None
+    ra = [r["train_rmse"] for r in a.orderBy("iter").collect()]
+    rb = [r["train_rmse"] for r in b.orderBy("iter").collect()]
+    assert np.allclose(ra, rb, rtol=1e-12)
+    _, c = fit_profile_cd(tr, m0, lambda_w=1.0, lambda_b=1.0, sweeps=1, eps=-1.0, salt_entities=True)
+    _, d = fit_profile_cd(tr, m0, lambda_w=1.0, lambda_b=1.0, sweeps=1, eps=-1.0, salt_entities=False)
+    assert np.allclose([r["train_rmse"] for r in c.orderBy("iter").collect()],
+                       [r["train_rmse"] for r in d.orderBy("iter").collect()], rtol=1e-12)
+
+
+def test_plan_salts_splits_a_third_of_rows(spark):
+    from dyadic.operators.joins import plan_salts, salt_rows
+    rows = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("u"), F.col("id").alias("v"))
+    plan = plan_salts(rows, "u", 8)
+    assert set(plan.salts) == {0} and plan.salts[0] >= 3
+    per_salt = salt_rows(rows, plan).filter(F.col("u") == 0).groupBy("__salt").count().collect()
+    assert len(per_salt) == plan.salts[0] and max(r["count"] for r in per_salt) < 10000 * 0.5
