@@ -131,3 +131,22 @@ def q_warm(spark, sf):
     mean = stats.vector_mean(P, "vec").select(F.lit("mean").alias("stat"), F.col("pos").cast("int").alias("i"),
                                               F.lit(0).alias("j"), r6("mean").alias("value"))
     return cov.unionByName(mean)
+
+
+@query("read_train_test", f"""WITH {SPLIT_SQL}
+SELECT split, CAST(count(*) AS BIGINT) AS n, {s6('sum(y)')} AS sum_y, {s6('sum(l_tax)')} AS sum_tax,
+       CAST(count(DISTINCT iid) AS BIGINT) AS items FROM ds GROUP BY split""")
+def q_read_train_test(spark, sf):
+    """Train and test written as separate guided files, read back as one
+    frame with a split label (SRC-2 read_train_test)."""
+    from dyadic.sources.scans import read_train_test
+    d = held_dyads(spark, sf)
+    train, test = hold_out(d)
+    base = scratch_path(spark, "train-test")
+    cols = ["term", *DYAD_GUIDE.columns]
+    dyad_sink(train.select(*cols), f"{base}/train", partition_by="term")
+    dyad_sink(test.select(*cols), f"{base}/test", partition_by="term")
+    both = read_train_test(spark, f"{base}/train", f"{base}/test", DYAD_GUIDE)
+    return both.groupBy("split").agg(cnt().alias("n"), r6(F.sum("y")).alias("sum_y"),
+                                     r6(F.sum("l_tax")).alias("sum_tax"),
+                                     F.countDistinct("iid").cast("long").alias("items"))

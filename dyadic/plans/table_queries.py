@@ -572,3 +572,15 @@ def q_adhoc_score(spark, sf):
                        "cgpa": F.coalesce("cgpa", F.lit(CGPA0))})
     g = grade_logit("gpa", "cgpa", "age", "gender", "alevel", "clevel", "chrs", "term_chrs", "term_enrolled")
     return x.select("event_id", "sid", "cid", "term", r6(logistic_bounded(g)).alias("score"))
+
+
+@query("residuals", f"""WITH {SPLIT_SQL},
+gm AS (SELECT avg(y) AS m FROM ds WHERE split = 'train')
+SELECT l_orderkey, l_linenumber, uid, {s6('y - m')} AS resid FROM ds, gm WHERE split = 'test'""")
+def q_residuals(spark, sf):
+    """Per-row residuals y - y_hat of the train-mean predictor on the
+    hold-out rows (AG-2 residuals)."""
+    train, test = hold_out(held_dyads(spark, sf))
+    gm = stats.global_mean(train, "y")
+    r = stats.residuals(test.withColumn("pred", F.lit(float(gm))), "y", "pred")
+    return r.select("l_orderkey", "l_linenumber", "uid", r6("resid").alias("resid"))
