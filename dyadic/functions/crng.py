@@ -5,6 +5,9 @@ by Spark, by DuckDB and by numpy regardless of partitioning or retries:
 
     x = (id * 48271 + stream) mod 2147483647
     x = (x  * 48271 + draw)   mod 2147483647
+    x = (x  * x + 12345)      mod 2147483647   (non-linear: neighbouring
+                                               draws of one id decorrelate)
+    x = (x  * 48271)          mod 2147483647
     u = x / 2147483647
 
 ids must be non-negative and below 2**31 so products fit in 64 bits.
@@ -16,9 +19,10 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Park-Miller multiplier and modulus.
+# Park-Miller multiplier and modulus, squaring offset.
 MULT = 48271
 MOD = 2147483647
+SQ = 12345
 
 
 def _c(x) -> Column:
@@ -32,19 +36,25 @@ def _c(x) -> Column:
 def crng_uniform(id_, stream, draw) -> Column:
     x = F.pmod(_c(id_).cast("long") * MULT + _c(stream).cast("long"), F.lit(MOD))
     x = F.pmod(x * MULT + _c(draw).cast("long"), F.lit(MOD))
+    x = F.pmod(x * x + SQ, F.lit(MOD))
+    x = F.pmod(x * MULT, F.lit(MOD))
     return x.cast("double") / float(MOD)
 
 
 def crng_uniform_sql(id_sql: str, stream, draw) -> str:
     """Same draw as SQL text (DuckDB / Spark SQL)."""
-    return (f"(((((CAST({id_sql} AS BIGINT) * {MULT} + CAST({stream} AS BIGINT)) % {MOD})"
-            f" * {MULT} + CAST({draw} AS BIGINT)) % {MOD}) / CAST({MOD} AS DOUBLE))")
+    x = (f"((((CAST({id_sql} AS BIGINT) * {MULT} + CAST({stream} AS BIGINT)) % {MOD})"
+         f" * {MULT} + CAST({draw} AS BIGINT)) % {MOD})")
+    x = f"(({x} * {x} + {SQ}) % {MOD})"
+    return f"((({x} * {MULT}) % {MOD}) / CAST({MOD} AS DOUBLE))"
 
 
 def crng_uniform_np(ids, stream, draw) -> np.ndarray:
     ids = np.asarray(ids, dtype=np.int64)
     x = (ids * MULT + np.int64(stream)) % MOD
     x = (x * MULT + np.asarray(draw, dtype=np.int64)) % MOD
+    x = (x * x + SQ) % MOD
+    x = (x * MULT) % MOD
     return x.astype(np.float64) / float(MOD)
 
 

@@ -75,6 +75,8 @@ def q_keyed(spark, sf):
 
 
 _W0_SQL = "(SELECT avg(y) FROM ds WHERE split = 'train')"
+# 2 x 2 inverse of the sample covariance of (p0, p1)
+_INV = "({num}) / (covar_samp(p0, p0) * covar_samp(p1, p1) - covar_samp(p0, p1) * covar_samp(p1, p0))"
 
 _PARAM_SQL = f"""{SPLIT_SQL},
 tu AS (SELECT DISTINCT uid FROM ds WHERE split = 'train'),
@@ -119,7 +121,11 @@ UNION ALL SELECT 'cov', 0, 1, {s6('covar_samp(p0, p1)')} FROM p
 UNION ALL SELECT 'cov', 1, 0, {s6('covar_samp(p1, p0)')} FROM p
 UNION ALL SELECT 'cov', 1, 1, {s6('covar_samp(p1, p1)')} FROM p
 UNION ALL SELECT 'mean', 0, 0, {s6('avg(p0)')} FROM p
-UNION ALL SELECT 'mean', 1, 0, {s6('avg(p1)')} FROM p""")
+UNION ALL SELECT 'mean', 1, 0, {s6('avg(p1)')} FROM p
+UNION ALL SELECT 'prec', 0, 0, {s6(_INV.format(num='covar_samp(p1, p1)'))} FROM p
+UNION ALL SELECT 'prec', 0, 1, {s6(_INV.format(num='-covar_samp(p0, p1)'))} FROM p
+UNION ALL SELECT 'prec', 1, 0, {s6(_INV.format(num='-covar_samp(p1, p0)'))} FROM p
+UNION ALL SELECT 'prec', 1, 1, {s6(_INV.format(num='covar_samp(p0, p0)'))} FROM p""")
 def q_warm(spark, sf):
     path = _save_params(spark, sf)
     nu = hold_out(dyads(spark, sf))[0].select("uid").distinct().count()
@@ -130,7 +136,15 @@ def q_warm(spark, sf):
         r6("cov").alias("value"))
     mean = stats.vector_mean(P, "vec").select(F.lit("mean").alias("stat"), F.col("pos").cast("int").alias("i"),
                                               F.lit(0).alias("j"), r6("mean").alias("value"))
-    return cov.unionByName(mean)
+    # precision = inverse covariance: a k x k matrix, inverted on the driver
+    import numpy as np
+    C = np.zeros((2, 2))
+    for r in stats.covariance_matrix(P, "vec", 2).collect():
+        C[r["i"], r["j"]] = r["cov"]
+    L = np.linalg.inv(C)
+    prec = spark.createDataFrame([("prec", i, j, round(float(L[i, j]), 6) + 0.0) for i in range(2) for j in range(2)],
+                                 "stat string, i int, j int, value double")
+    return cov.unionByName(mean).unionByName(prec)
 
 
 @query("read_train_test", f"""WITH {SPLIT_SQL}

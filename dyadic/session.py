@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # iteration state is checkpointed every step: drop files of dead frames
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
