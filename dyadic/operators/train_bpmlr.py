@@ -28,6 +28,7 @@ from dyadic.functions.crng import crng_uniform
 from dyadic.operators import stats
 from dyadic.operators.iterate import cut
 from dyadic.operators.joins import sized_broadcast
+from dyadic.session import scratch_path
 from dyadic.operators.train_bpmf import _hyper, _normals
 from dyadic.operators.score import real_block
 
@@ -75,7 +76,7 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     LamW, muW = np.eye(r), np.zeros(r)
     N = rows.count()
     kept = []
-    trace_parts = []
+    trace_path = scratch_path(spark, "bpmlr-trace")
     preds = None
     hist = []
 
@@ -152,14 +153,16 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
                            uid, iid, target, F.col("__pred").alias("pred"), F.lit(t).alias("sample"))
             preds = tf if preds is None else preds.unionByName(tf)
             preds = cut(preds)
-            trace_parts.append(_trace_rows(spark, t, s, c, P, W, uid, iid, use_b))
+            # kept draws go straight to a trace table in the checkpoint folder
+            _trace_rows(spark, t, s, c, P, W, uid, iid, use_b).write.mode("append") \
+                .partitionBy("sample").parquet(trace_path)
+            kept.append(t)
             pm = preds.groupBy(*[x for x in preds.columns if x not in ("pred", "sample")]).agg(
                 F.avg("pred").alias("pred"))
             test_rmse = pm.agg(F.sqrt(F.avg((F.col(target) - F.col("pred")) ** 2))).first()[0]
         hist.append((t, train_rmse, test_rmse, None))
-    trace = None
-    for tp in trace_parts:
-        trace = tp if trace is None else trace.unionByName(tp)
+    trace = (spark.read.parquet(trace_path).select("sample", "param", "i", "j", "value")
+             if kept else None)
     keys = [x for x in preds.columns if x not in ("pred", "sample")] if preds is not None else []
     pred = preds.groupBy(*keys).agg(F.avg("pred").alias("pred")) if preds is not None else None
     h = spark.createDataFrame(hist, "iter int, train_rmse double, test_rmse double, objective double")
