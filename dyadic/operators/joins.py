@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameter / dictionary tables up to this many rows are broadcast.  The
 # count is always known exactly (field cardinality or entity count), so
@@ -52,50 +53,68 @@ from dataclasses import dataclass, field  # noqa: E402
 
 @dataclass
 class SaltPlan:
-    """Salting of a persisted row frame for repeated lookups of a parameter
-    table too large to broadcast, keyed by ``key``.
+    """Salting of a row frame for lookups of a table keyed by ``keys`` that
+    is too large to broadcast (parameters, per-group totals).
 
     A key holding more rows than one partition's share (a *hot* key; at most
-    ``nparts`` of them exist) is split over ``salts[key]`` salt values, every
-    other key uses salt 0, and the parameter table repeats a hot key's row
-    once per salt.  The join on (key, salt) then gives no task more than
-    about one partition's share of rows, whatever the key skew, without
-    relying on runtime skew detection."""
-    key: str
+    ``nparts`` of them exist) is split over several salt values, every other
+    key uses salt 0, and the looked-up table repeats a hot key's row once per
+    salt.  The join on (keys, salt) then gives no task more than about one
+    partition's share of rows, whatever the key skew, without relying on
+    runtime skew detection.  ``hot`` is the (bounded) table of hot keys and
+    their salt counts; it joins as a broadcast constant."""
+    keys: list
     nparts: int
+    hot: DataFrame | None = None
     salts: dict = field(default_factory=dict)
 
+    @property
+    def key(self) -> str:
+        return self.keys[0]
 
-def plan_salts(rows: DataFrame, key: str, nparts: int) -> SaltPlan:
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))   # partial sums per task
+
+def plan_salts(rows: DataFrame, key, nparts: int, counts: DataFrame | None = None) -> SaltPlan:
+    """``counts``: an existing (keys..., n) aggregate of ``rows`` to reuse."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))   # partial sums per task
     total = counts.agg(F.sum("n")).first()[0] or 0
     share = max(1, -(-total // nparts))
     # keys above one partition's share: at most nparts of them by construction
-    hot = counts.filter(F.col("n") > share).collect()
-    return SaltPlan(key, nparts, {r[key]: int(-(-r["n"] // share)) for r in hot})
+    hot = (counts.filter(F.col("n") > share)
+                 .select(*keys, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("__nsalt")).collect())
+    if not hot:
+        return SaltPlan(keys, nparts)
+    schema = counts.select(*keys).schema.add("__nsalt", T.IntegerType())
+    hot_df = rows.sparkSession.createDataFrame([tuple(r) for r in hot], schema)
+    salts = {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r["__nsalt"] for r in hot}
+    return SaltPlan(keys, nparts, hot_df, salts)
 
 
-def _salt_count(plan: SaltPlan):
-    if not plan.salts:
-        return F.lit(1)
-    m = F.create_map(*[x for k, s in plan.salts.items() for x in (F.lit(k), F.lit(s))])
-    return F.coalesce(m[F.col(plan.key)], F.lit(1))
+def _with_nsalt(df: DataFrame, plan: SaltPlan) -> DataFrame:
+    if plan.hot is None:
+        return df.withColumn("__nsalt", F.lit(1))
+    return (df.join(F.broadcast(plan.hot), plan.keys, "left")
+              .withColumn("__nsalt", F.coalesce(F.col("__nsalt"), F.lit(1))))
 
 
-def salt_rows(rows: DataFrame, plan: SaltPlan) -> DataFrame:
-    """Add ``__salt``: a hash of the row's values modulo its key's salt
+def salt_rows(rows: DataFrame, plan: SaltPlan, salt_col: str = "__salt") -> DataFrame:
+    """Add ``salt_col``: a hash of the row's values modulo its key's salt
     count (0 for every key that is not hot)."""
     h = F.xxhash64(*[F.col(c) for c in rows.columns])
-    return rows.withColumn("__salt", F.pmod(h, _salt_count(plan)).cast("int"))
+    out = _with_nsalt(rows.withColumn("__h", h), plan)
+    return out.withColumn(salt_col, F.pmod(F.col("__h"), F.col("__nsalt")).cast("int")).drop("__h", "__nsalt")
 
 
-def salt_params(params: DataFrame, plan: SaltPlan) -> DataFrame:
-    """Parameter rows for a join on (key, __salt): hot keys repeated once
-    per salt (at most nparts keys, each a few times)."""
-    return params.withColumn("__salt", F.explode(F.sequence(F.lit(0), _salt_count(plan) - 1)))
+def salt_params(params: DataFrame, plan: SaltPlan, salt_col: str = "__salt") -> DataFrame:
+    """Rows of the looked-up table for a join on (keys, salt): hot keys
+    repeated once per salt (at most nparts keys, each a few times)."""
+    out = _with_nsalt(params, plan)
+    return out.withColumn(salt_col, F.explode(F.sequence(F.lit(0), F.col("__nsalt") - 1))).drop("__nsalt")
 
 
-def salted_lookup(rows: DataFrame, params: DataFrame, plan: SaltPlan, how: str = "left") -> DataFrame:
-    """Join a large parameter table to salted rows: the shuffle on
-    (key, __salt) spreads a hot key over several tasks."""
-    return rows.join(salt_params(params, plan), [plan.key, "__salt"], how)
+def salted_lookup(rows: DataFrame, params: DataFrame, plan: SaltPlan, how: str = "left",
+                  salt_col: str = "__salt") -> DataFrame:
+    """Join a large keyed table to salted rows: the shuffle on (keys, salt)
+    spreads a hot key over several tasks."""
+    return rows.join(salt_params(params, plan, salt_col), [*plan.keys, salt_col], how)

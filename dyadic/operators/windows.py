@@ -21,10 +21,21 @@ from dyadic.operators.ranking import rank_within
 def term_totals(dyads: DataFrame, sid: str = "sid", cid: str = "cid", term: str = "term",
                 hours: str = "hours") -> DataFrame:
     """Each dyad gets its student's total hours in the term (term_chrs) and
-    its course's enrolment in the term (term_enrolled) (WN-1)."""
-    s = dyads.groupBy(sid, term).agg(F.sum(hours).alias("term_chrs"))
+    its course's enrolment in the term (term_enrolled) (WN-1).
+
+    The totals are grouped sums joined back on (key, salt): a student or
+    course holding a third of a term's rows is split over several tasks
+    (hot keys found from the same counts, at most #partitions of them)."""
+    from dyadic.operators.iterate import row_partitions
+    from dyadic.operators.joins import plan_salts, salt_rows, salted_lookup
+    n = row_partitions(dyads.sparkSession)
+    s = dyads.groupBy(sid, term).agg(F.sum(hours).alias("term_chrs"), F.count(F.lit(1)).alias("n"))
     c = dyads.groupBy(cid, term).agg(F.count(F.lit(1)).cast("long").alias("term_enrolled"))
-    return dyads.join(s, [sid, term], "inner").join(c, [cid, term], "inner")
+    ps = plan_salts(dyads, [sid, term], n, counts=s.select(sid, term, "n"))
+    pc = plan_salts(dyads, [cid, term], n, counts=c.select(cid, term, F.col("term_enrolled").alias("n")))
+    out = salted_lookup(salt_rows(dyads, ps, "__s1"), s.drop("n"), ps, "inner", "__s1")
+    out = salted_lookup(salt_rows(out, pc, "__s2"), c, pc, "inner", "__s2")
+    return out.drop("__s1", "__s2")
 
 
 def term_spine(entities: DataFrame, key: str, first_term: int, last_term: int,

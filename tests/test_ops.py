@@ -62,3 +62,21 @@ def test_gibbs_draws_independent_of_partitioning(spark):
     b = _draw_side(ids.repartition(11), "u", g.repartition(5), 2, np.eye(2), np.zeros(2), 2.0, 17).toPandas()
     a, b = a.sort_values("u"), b.sort_values("u")
     assert np.allclose(np.stack(a.vec.to_numpy()), np.stack(b.vec.to_numpy()))
+
+
+def test_term_totals_with_a_hot_student(spark):
+    """A student holding a third of a term's rows: salted join-back keeps
+    the totals exact."""
+    from dyadic.operators.windows import term_totals
+    d = spark.range(0, 30000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("sid"),
+        (F.col("id") % 5).cast("string").alias("cid"), F.lit(1).cast("long").alias("term"),
+        (F.col("id") % 4 + 1).cast("double").alias("hours"))
+    got = term_totals(d).toPandas()
+    want = d.toPandas()
+    want["term_chrs"] = want.groupby(["sid", "term"])["hours"].transform("sum")
+    want["term_enrolled"] = want.groupby(["cid", "term"])["hours"].transform("count")
+    m = got.merge(want, on="event_id", suffixes=("", "_w"))
+    assert len(got) == 30000
+    assert (m.term_chrs == m.term_chrs_w).all() and (m.term_enrolled == m.term_enrolled_w).all()
