@@ -12,24 +12,24 @@ from dyadic.session import ensure_checkpoint_dir
 
 
 def row_partitions(spark: SparkSession) -> int:
-    """Partitions for a persisted row frame: at least one per core and at
-    least the shuffle partition count (sized for the cluster)."""
-    return max(spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Shuffle partition count: a key with more than total / this many rows
+    is hot (see :func:`dyadic.operators.joins.plan_salts`)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """Materialise into the checkpoint folder (reliable storage, survives
     executor loss) and return a frame without the old lineage.
 
-    ``spread``: first deal rows round-robin over :func:`row_partitions`
-    partitions.  Row frames are deliberately not partitioned by an entity:
-    a hot entity holding a third of the rows would make one task a third
-    of every later scan; the grouped sums downstream combine per task
-    anyway."""
+    ``spread``: rebalance the rows first (the REBALANCE hint: adaptive
+    execution deals rows into partitions of the advisory size, so the
+    partition count follows the data size at any scale).  Row frames are
+    deliberately not partitioned by an entity: a hot entity holding a third
+    of the rows would make one task a third of every later scan; the grouped
+    sums downstream combine per task anyway."""
     ensure_checkpoint_dir(df.sparkSession)
     if spread:
-        df = df.repartition(row_partitions(df.sparkSession))
+        df = df.hint("rebalance")
     return df.checkpoint(eager=True)
 
 

@@ -24,9 +24,10 @@ def rank_within(df: DataFrame, group: str, order: Sequence[str], rank: str = "ra
     rows are sorted by ``order`` (rows must be distinct on group + order for
     a deterministic result)."""
     spark = df.sparkSession
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [group, *order]
-    ranged = (df.repartitionByRange(nparts, *keys).sortWithinPartitions(*keys)
+    # without an explicit count, adaptive execution sizes the range partitions
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    ranged = (ranged.sortWithinPartitions(*keys)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
