@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality
+from . import licenses, packing, quality, simple8b
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_token_ids_binary")
+def op6_token_ids_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.id_files(spark, table(spark, sf_dir, "documents"))
