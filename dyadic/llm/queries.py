@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, simple8b
+from . import bpe, licenses, packing, quality, simple8b
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_token_ids_binary")
 def op6_token_ids_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.id_files(spark, table(spark, sf_dir, "documents"))
+
+
+@_query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"))

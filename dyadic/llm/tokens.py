@@ -123,7 +123,7 @@ class ByteCoder(_Coder):
 def split_chunks(t: str) -> list[str] | None:
     """Words of a text keyed with the line end before them, if all its white
     space is single spaces and line ends between words; else None."""
-    if len(t.split()) != t.count(" ") + t.count("\n") + 1:
+    if t.split() != t.replace("\n", " ").split(" "):
         return None
     return ("\n" + t).replace("\n", " \n").split(" ")[1:]
 
