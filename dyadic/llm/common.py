@@ -31,3 +31,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, name)
+
+
+BITS = 1 << 26  # bounds every bit set: 8 MB, whatever the corpus
+
+
+def bit_set(df: DataFrame, col: str, bits: int = BITS):
+    """Which values of ``col mod bits`` occur, as a numpy bit set (64 to a
+    word).  At most ``bits / 64`` rows come to the driver."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    at = F.pmod(F.col(col), F.lit(bits))
+    words = (df.select(at.alias("a")).select(F.shiftright("a", 6).alias("w"), F.expr("shiftleft(1L, cast(a & 63 AS int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bit_set(words, values):
+    """Which of the int64 ``values`` may be in the set: never misses one."""
+    import numpy as np
+    at = (values & np.int64(len(words) * 64 - 1)).astype(np.uint64)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
