@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_file
-from .tokens import split_chunks
+from .tokens import CACHE_ENTRIES, ChunkCoder, spaced_chunks
 
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 400_000
 CELLS = 1 << 19  # leaves that are merged side by side
 _NONE = np.iinfo(np.int64).max
 
@@ -131,66 +130,48 @@ def merge_side_by_side(vocab: Vocabulary, pieces: list[bytes], width: int) -> li
     return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-class Encoder:
+class Encoder(ChunkCoder):
+    """Texts to ids with the vocabulary's ranks; pieces that the caches miss
+    are merged side by side."""
+
+    skip = 1  # the first chunk stands after an imagined line end, one token
+
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        super().__init__(entries)
         self.vocab = Vocabulary(path)
         self.split = regex.compile(PATTERN).findall
-        self.entries = entries
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        missing = pieces.difference(self.pieces)
-        if len(self.pieces) + len(missing) > self.entries:
-            self.pieces.clear()
-            missing = pieces
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for p in missing:
+        if b"\n" not in self.vocab.ranks:
+            raise ValueError("the vocabulary has no token for a line end")
+
+    def chunks(self, texts: pa.Array):
+        return spaced_chunks(texts)
+
+    def pieces(self, chunk: str) -> list[str]:
+        return self.split(chunk if chunk[0] == "\n" else " " + chunk)
+
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        by_width: dict[int, list[tuple[int, bytes]]] = {}
+        for i, p in enumerate(pieces):
             raw = p.encode("utf-8", "surrogatepass")
             whole = self.vocab.ranks.get(raw)
             if whole is not None:
-                self.pieces[p] = whole.to_bytes(4, "little")
+                out[i] = whole.to_bytes(4, "little")
             else:
-                by_width.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
+                by_width.setdefault(1 << (len(raw) - 1).bit_length(), []).append((i, raw))
         for width, group in by_width.items():
             step = max(1, CELLS // width)
             for lo in range(0, len(group), step):
                 part = group[lo:lo + step]
                 ids = merge_side_by_side(self.vocab, [raw for _, raw in part], width)
-                self.pieces.update(zip((p for p, _ in part), ids, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        all_chunks = [split_chunks(t) or [None, t] for t in texts]
-        lo = 0
-        while lo < len(texts):
-            want: set = set()
-            hi = lo
-            while hi < len(texts) and (hi == lo or len(want) < self.entries // 4):
-                c = all_chunks[hi]
-                want.update(c if c[0] is not None else ())
-                hi += 1
-            missing = want.difference(self.chunks)
-            if len(self.chunks) + len(missing) > self.entries:
-                self.chunks.clear()
-                missing = want
-            cut = {k: self.split(k if k[0] == "\n" else " " + k) for k in missing}
-            whole = {i: self.split(texts[i]) for i in range(lo, hi) if all_chunks[i][0] is None}
-            need = set().union(*cut.values(), *whole.values()) if cut or whole else set()
-            self._learn(need)
-            get = self.pieces.__getitem__
-            for k, pieces in cut.items():
-                self.chunks[k] = b"".join(map(get, pieces))
-            known = self.chunks.__getitem__
-            skip = len(get("\n")) if "\n" in self.pieces else 4
-            for i in range(lo, hi):
-                if i in whole:
-                    out.append(b"".join(map(get, whole[i])))
-                else:  # the first chunk stands after an imagined line end
-                    out.append(b"".join(map(known, all_chunks[i]))[skip:])
-            lo = hi
+                for (i, _), v in zip(part, ids, strict=True):
+                    out[i] = v
         return out
 
+    def ids_of_text(self, text: str) -> bytes:
+        pieces = self.split(text)
+        return b"".join(map(self.learn_pieces(set(pieces)).__getitem__, pieces))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -209,16 +190,15 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
     def run(batches):
         enc = worker_encoder(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
                 n, sha, back, kept = [], [], [], []
-                for raw in enc.encode([t or "" for t in part.column(1).to_pylist()]):
-                    ids = np.frombuffer(raw, "<u4").astype(np.int64)
+                for ids in enc.encode(part.column(1)):
                     n.append(len(ids))
-                    sha.append(hashlib.sha256(raw).hexdigest())
+                    sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     back.append(hashlib.sha256(enc.vocab.decode(ids)).hexdigest())
                     if keep_ids:
-                        kept.append(ids)
+                        kept.append(ids.astype(np.int64))
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int64()))] * keep_ids, names=names)
 

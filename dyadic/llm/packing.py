@@ -38,8 +38,6 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                  keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every text."""
     path = path or tokenizer_file("word_bpe_49k.json")
-    end = np.array([end_id], dtype="<u4").tobytes()
-    size = 4 * capacity
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     if keep_ids:
         fields.append(("ids", pa.list_(pa.int64())))
@@ -47,19 +45,18 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     def run(batches):
         coder = worker_coder(WordCoder, path)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
                 rows: list[list] = [[] for _ in fields]
                 take: list[int] = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, ids in enumerate(coder.encode(texts)):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), size)):
-                        raw = ids[a:a + size]
+                for i, ids in enumerate(coder.encode(part.column(1))):
+                    ids = np.append(ids, np.uint32(end_id))
+                    for k, a in enumerate(range(0, len(ids), capacity)):
+                        own = ids[a:a + capacity]
                         take.append(i)
-                        vals = [k, a // 4, len(raw) // 4, zlib.crc32(raw)]
+                        vals = [k, a, len(own), zlib.crc32(own.tobytes())]
                         if keep_ids:
-                            vals.append(np.frombuffer(raw, "<u4").astype("int64"))
+                            vals.append(own.astype(np.int64))
                         for r, v in zip(rows, vals, strict=True):
                             r.append(v)
                 out = [part.column(0).take(pa.array(take, pa.int32()))]

@@ -215,20 +215,19 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     (null ids first, equal ids by text) and return the stored table of files:
     (first_id, file, n_docs, n_ids)."""
     path = path or tokenizer_file("byte_bpe_50k.json")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         coder, out, total, docs_n, first = worker_coder(ByteCoder, path), None, 0, 0, None
         name = f"{folder}/ids-{uuid.uuid4().hex}.s8"
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
                 ids = part.column(0).to_pylist()
                 if out is None:
                     out, first = FileWriter(name), ids[0]
-                raw = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
-                v = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
-                out.add(ids, [len(x) // 4 for x in raw], v)
+                got = [np.append(x, np.uint32(end_id)) for x in coder.encode(part.column(1))]
+                v = np.concatenate(got).astype(np.uint64)
+                out.add(ids, list(map(len, got)), v)
                 total, docs_n = total + len(v), docs_n + len(ids)
         if out is not None:
             out.close()

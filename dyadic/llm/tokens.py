@@ -1,131 +1,223 @@
-"""Token ids of whole texts, through a bounded per-worker cache of chunks.
-
-Both byte-pair vocabularies split a text before merging, and none of their
-splits spans the place between a non-space character and a following single
-space or line end.  So a text may be cut there, equal chunks share one
-encoding, and only chunks that the cache misses go to the tokenizer - all of
-a batch in one call, joined by a separator whose id marks the cuts.  A text
-with other white space is encoded as a whole.  The ids equal those of one
-call per text (tested).
-
-Ids are handled as little-endian unsigned 32-bit bytes.
+"""Token ids of whole texts, through bounded per-worker caches.
+
+Both byte-pair vocabularies cut a text into pieces before merging, and no
+piece spans the place between a non-space character and a following single
+space or line end.  So texts are cut there into chunks, and chunks into their
+pieces.  The chunks of a group of texts are dictionary encoded by Arrow, each
+distinct chunk is looked up once, and the ids of all texts are gathered from
+the distinct chunks' ids in a few array operations.  Only pieces that the
+caches miss go to the tokenizer, some hundreds in a call, with a separator
+whose id marks the cuts.  A text with other white space, and a chunk whose
+pieces are not certain, is encoded by the tokenizer as a whole.  The ids equal
+those of one call per text (tested).
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
+CACHE_ENTRIES = 300_000  # per generation; bounds a worker's memory, not the work
+GROUP_BYTES = 8 << 20
+_MARK = "\x01"
+# no white space, controls or combining marks; lower case is per character
+_SIMPLE = re.compile("[!-~\u00a1-\u017f]*").fullmatch
+# white space other than single spaces and line ends between words
+_ODD_SPACE = "^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f" + "".join(map(chr, (
+    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
+
+
+class _Cache:
+    """Two generations: when the young one is full it becomes the old one, so
+    what is in use stays."""
+
+    def __init__(self, entries: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.entries = entries
+
+    def missing(self, keys) -> list[str]:
+        """The keys without a value; values in use move to the young side."""
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
+class ChunkCoder:
+    """Encodes texts by chunks; subclasses say how texts and chunks are cut
+    and what the ids of a piece are."""
+
+    skip = 0  # ids at the start of a text's chunks that are not its own
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.chunk_ids, self.piece_ids = _Cache(entries), _Cache(entries)
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """The chunks of each text, and which texts must be encoded whole."""
+        raise NotImplementedError
+
+    def pieces(self, chunk: str) -> list[str] | None:
+        raise NotImplementedError
+
+    def ids_of_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        raise NotImplementedError
+
+    def ids_of_chunk(self, chunk: str) -> bytes:
+        raise NotImplementedError
+
+    def ids_of_text(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def learn_pieces(self, pieces) -> dict[str, bytes]:
+        missing = self.piece_ids.missing(pieces)
+        if missing:
+            self.piece_ids.young.update(zip(missing, self.ids_of_pieces(missing), strict=True))
+        return self.piece_ids.young
 
-CACHE_ENTRIES = 800_000  # bound of a worker's memory, not of the work
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        missing = self.chunk_ids.missing(keys)
+        known = self.chunk_ids.young
+        if missing:
+            cut = list(map(self.pieces, missing))
+            get = self.learn_pieces(set(chain.from_iterable(c for c in cut if c is not None))).__getitem__
+            for k, c in zip(missing, cut, strict=True):
+                known[k] = self.ids_of_chunk(k) if c is None else b"".join(map(get, c))
+        return known
 
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (nulls are empty texts)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1])
+        out: list[np.ndarray] = []
+        lo = 0
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short lists that never form cycles
+        try:
+            while lo < len(texts):  # groups of bounded size, or one longer text
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), GROUP_BYTES)))
+                out += self._group(texts.slice(lo, hi - lo))
+                lo = hi
+        finally:
+            if collecting:
+                gc.enable()
+        return out
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        parts, whole = self.chunks(texts)
+        coded = parts.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        known = self._learn(keys)
+        raw = [known[k] for k in keys]
+        blob = np.frombuffer(b"".join(raw), "<u4")
+        many = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
+        first = np.cumsum(many, dtype=np.int32) - many
+        code = coded.indices.to_numpy()
+        n = many[code]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = blob[np.repeat(first[code] - (ends - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        at = np.concatenate([[0], ends])[bounds].tolist()
+        out = [ids[a + self.skip:b] for a, b in zip(at, at[1:], strict=False)]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.frombuffer(self.ids_of_text(texts[i].as_py()), "<u4")
+        return out
+
+
+class _Library(ChunkCoder):
+    """Pieces go to the tokenizers library."""
 
-class _Coder:
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        super().__init__(entries)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.entries = entries
-        self.cut = self._ids(self.separator)
-        if len(self.cut) != 1:
+        self.bare = Tokenizer.from_file(path)  # for pieces that are cut and normalised already
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(_MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self._ids(_MARK, self.bare)
+        if len(mark) != 1:
             raise ValueError("the separator must be one token")
+        self.mark = mark[0]
+
+    def _ids(self, text: str, tok=None) -> np.ndarray:
+        return np.array((tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, keys: list[str]) -> None:
-        """Encode missing chunks, some hundreds a call."""
-        cache = self.cache
-        for lo in range(0, len(keys), 500):
-            part = keys[lo:lo + 500]
-            ids = self._ids(self.joint.join(map(self.spelled, part)))
-            at = np.flatnonzero(ids == self.cut[0])
-            if len(at) != len(part) - 1:  # some chunk holds the separator itself
-                for k in part:
-                    cache[k] = self.finished(k, self._ids(self.spelled(k)).tobytes())
-                continue
+    def ids_of_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(pieces), 500):
+            ids = self._ids(_MARK.join(pieces[lo:lo + 500]), self.bare)
+            at = np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
-            starts = [0, *((at + 1) * 4).tolist()]
-            ends = [*(at * 4).tolist(), len(raw)]
-            for k, a, b in zip(part, starts, ends, strict=True):
-                cache[k] = self.finished(k, raw[a:b])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        out: list[bytes] = []
-        chunks = [self.chunks(t) for t in texts]
-        lo = 0
-        while lo < len(chunks):  # a group of texts whose chunks fit the cache together
-            want: set[str] = set()
-            hi = lo
-            while hi < len(chunks) and (hi == lo or len(want) < self.entries // 2):
-                want.update(chunks[hi] or ())
-                hi += 1
-            missing = want.difference(self.cache)
-            if missing:
-                if len(self.cache) + len(missing) > self.entries:
-                    self.cache.clear()
-                    missing = want
-                self._learn(list(missing))
-            get = self.cache.__getitem__
-            for t, c in zip(texts[lo:hi], chunks[lo:hi], strict=True):
-                out.append(self._ids(t).tobytes() if c is None else self.joined(b"".join(map(get, c))))
-            lo = hi
-        return out
+            for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True):
+                yield raw[a:b]
 
+    def ids_of_text(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
 
-class WordCoder(_Coder):
+
+class WordCoder(_Library):
     """The lower-casing vocabulary that drops white space: chunks are the
     strings between spaces and line ends."""
 
-    separator = "\x01"
-    joint = " \x01 "
-
-    def chunks(self, t: str) -> list[str] | None:
-        return t.replace("\n", " ").split(" ")
+    _cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+    _cut_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 
-    def spelled(self, k: str) -> str:
-        return k
+    def chunks(self, texts: pa.Array):
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), np.zeros(len(texts), dtype=bool)
 
-    def finished(self, k: str, ids: bytes) -> bytes:
-        return ids
+    def pieces(self, chunk: str) -> list[str] | None:
+        if not _SIMPLE(chunk):
+            return None
+        return (self._cut_ascii if chunk.isascii() else self._cut)(chunk.lower())
 
-    def joined(self, ids: bytes) -> bytes:
-        return ids
+    def ids_of_chunk(self, chunk: str) -> bytes:
+        return self.ids_of_text(chunk)
 
 
-class ByteCoder(_Coder):
-    """The byte-level vocabulary: a chunk is a word with the space before it,
-    or with the line end before it (key ``\\nword``)."""
-
-    separator = "\n"
-    joint = "\n"
-
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        super().__init__(path, entries)
-        self.newline = self.cut.tobytes()
+def spaced_chunks(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Words keyed with the line end before them (``\\nword``; the first word
+    of a text as if it followed one), a space before the others understood."""
+    whole = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+    lines = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"),
+                                        pa.scalar("", texts.type))
+    if whole.any():
+        lines = pc.if_else(pa.array(whole), pa.scalar("\n", texts.type), lines)
+    return pc.split_pattern(lines, " "), whole
 
-    def chunks(self, t: str) -> list[str] | None:
-        return split_chunks(t)
 
-    def spelled(self, k: str) -> str:
-        return k[1:] if k[0] == "\n" else " " + k
+class ByteCoder(_Library):
+    """The byte-level vocabulary."""
 
-    def finished(self, k: str, ids: bytes) -> bytes:
-        return self.newline + ids if k[0] == "\n" else ids
+    skip = 1
+    _cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
-    def joined(self, ids: bytes) -> bytes:
-        return ids[4:]  # the first chunk stands after an imagined line end
+    def chunks(self, texts: pa.Array):
+        return spaced_chunks(texts)
 
+    def pieces(self, chunk: str) -> list[str] | None:
+        return None if _MARK in chunk else self._cut(chunk if chunk[0] == "\n" else " " + chunk)
 
-def split_chunks(t: str) -> list[str] | None:
-    """Words of a text keyed with the line end before them, if all its white
-    space is single spaces and line ends between words; else None."""
-    if t.split() != t.replace("\n", " ").split(" "):
-        return None
-    return ("\n" + t).replace("\n", " \n").split(" ")[1:]
+    def ids_of_chunk(self, chunk: str) -> bytes:
+        return self.ids_of_text(chunk if chunk[0] == "\n" else " " + chunk)
 
 
 _coders: dict = {}
