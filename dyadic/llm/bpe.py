@@ -146,8 +146,9 @@ class Encoder(ChunkCoder):
     def chunks(self, texts: pa.Array):
         return spaced_chunks(texts)
 
-    def pieces(self, chunk: str) -> list[str]:
-        return self.split(chunk if chunk[0] == "\n" else " " + chunk)
+    def pieces(self, chunks: list[str]) -> list[list[str]]:
+        split = self.split
+        return [split(k if k[0] == "\n" else " " + k) for k in chunks]
 
     def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
@@ -190,8 +191,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
     def run(batches):
         enc = worker_encoder(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, 8000):
+                part = b.slice(lo, 8000)
                 n, sha, back, kept = [], [], [], []
                 for ids in enc.encode(part.column(1)):
                     n.append(len(ids))

@@ -45,8 +45,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     def run(batches):
         coder = worker_coder(WordCoder, path)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, 8000):
+                part = b.slice(lo, 8000)
                 rows: list[list] = [[] for _ in fields]
                 take: list[int] = []
                 for i, ids in enumerate(coder.encode(part.column(1))):

@@ -54,21 +54,24 @@ def _longest(v: np.ndarray) -> np.ndarray:
     """For each place the selector of the longest run starting there that fits
     (0 where the id itself needs an escape)."""
     n = len(v)
-    best = np.zeros(n, dtype=np.uint8)
-    at = np.flatnonzero(v < (1 << 60)) if v.max(initial=0) >= 1 << 60 else np.arange(n)
-    best[at] = 15
-    for s in range(14, 1, -1):  # ever longer runs of ever smaller ids: each asks only where the last one fitted
+    top = int(v.max(initial=0))
+    best = np.full(n, 15, dtype=np.uint8)
+    if top >= 1 << 60:
+        best[v >= 1 << 60] = ESCAPE
+    fits = best == 15  # runs of the selector before; ever longer runs of ever smaller ids fit only where it did
+    for s in range(14, 1, -1):
         many, bits = WIDTHS[s]
-        at = at[at + many <= n]
-        small = v < (1 << bits)
-        at = at[small[at]]
-        for k in range(1, many):
-            if not len(at):
-                break
-            at = at[small[at + k]]
-        if not len(at):
+        if many > n:
             break
-        best[at] = s
+        fits = fits[:n - many + 1]
+        if top >> bits:
+            small = v < (1 << bits)
+            fits = fits & small[:len(fits)]
+            for k in range(1, many):
+                fits &= small[k:k + len(fits)]
+            if not fits.any():
+                break
+        best[:len(fits)][fits] = s
     return best
 
 
@@ -220,8 +223,8 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         coder, out, total, docs_n, first = worker_coder(ByteCoder, path), None, 0, 0, None
         name = f"{folder}/ids-{uuid.uuid4().hex}.s8"
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, 8000):
+                part = b.slice(lo, 8000)
                 ids = part.column(0).to_pylist()
                 if out is None:
                     out, first = FileWriter(name), ids[0]

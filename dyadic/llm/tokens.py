@@ -18,15 +18,17 @@ import gc
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE_ENTRIES = 300_000  # per generation; bounds a worker's memory, not the work
-GROUP_BYTES = 8 << 20
+# bounds of a worker's memory, not of the work
+CACHE_ENTRIES = 600_000  # pieces per generation
+CHUNKS = 1_000_000
+GROUP_BYTES = 12 << 20
 _MARK = "\x01"
 # no white space, controls or combining marks; lower case is per character
 _SIMPLE = re.compile("[!-~\u00a1-\u017f]*").fullmatch
@@ -48,15 +50,12 @@ class _Cache:
         """The keys without a value; values in use move to the young side."""
         if len(self.young) >= self.entries:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    young[k] = v
-        return out
+        new = list(filterfalse(self.young.__contains__, keys))
+        if not self.old:
+            return new
+        kept = list(map(self.old.get, new))
+        self.young.update(kv for kv in zip(new, kept, strict=True) if kv[1] is not None)
+        return [k for k, v in zip(new, kept, strict=True) if v is None]
 
 
 class ChunkCoder:
@@ -66,13 +65,17 @@ class ChunkCoder:
     skip = 0  # ids at the start of a text's chunks that are not its own
 
     def __init__(self, entries: int = CACHE_ENTRIES):
-        self.chunk_ids, self.piece_ids = _Cache(entries), _Cache(entries)
+        self.piece_ids = _Cache(entries)
+        # known chunks as Arrow strings, their ids one after the other
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int32)
 
     def chunks(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """The chunks of each text, and which texts must be encoded whole."""
         raise NotImplementedError
 
-    def pieces(self, chunk: str) -> list[str] | None:
+    def pieces(self, chunks: list[str]) -> list[list[str] | None]:
+        """The pieces of each chunk, None where they are not certain."""
         raise NotImplementedError
 
     def ids_of_pieces(self, pieces: list[str]) -> Iterator[bytes]:
@@ -90,15 +93,28 @@ class ChunkCoder:
             self.piece_ids.young.update(zip(missing, self.ids_of_pieces(missing), strict=True))
         return self.piece_ids.young
 
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        missing = self.chunk_ids.missing(keys)
-        known = self.chunk_ids.young
-        if missing:
-            cut = list(map(self.pieces, missing))
-            get = self.learn_pieces(set(chain.from_iterable(c for c in cut if c is not None))).__getitem__
-            for k, c in zip(missing, cut, strict=True):
-                known[k] = self.ids_of_chunk(k) if c is None else b"".join(map(get, c))
-        return known
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        cut = self.pieces(chunks)
+        get = self.learn_pieces(set(chain.from_iterable(filter(None, cut)))).__getitem__
+        return [self.ids_of_chunk(k) if c is None else b"".join(map(get, c)) for k, c in zip(chunks, cut, strict=True)]
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Where each distinct chunk stands among the known ones, after
+        learning those that are not there."""
+        if len(self.known) > CHUNKS:  # the older half goes
+            half = len(self.known) // 2
+            self.ids = self.ids[self.many[:half].sum():]
+            self.known, self.many = pa.concat_arrays([self.known.slice(half)]), self.many[half:]
+        at = pc.index_in(keys, value_set=self.known)
+        new = keys.filter(at.is_null())
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            raw = self._learn(new.to_pylist())
+            out[out < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+            self.many = np.concatenate([self.many, np.fromiter(map(len, raw), np.int32, len(raw)) >> 2])
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (nulls are empty texts)."""
@@ -121,17 +137,13 @@ class ChunkCoder:
     def _group(self, texts: pa.Array) -> list[np.ndarray]:
         parts, whole = self.chunks(texts)
         coded = parts.flatten().dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        known = self._learn(keys)
-        raw = [known[k] for k in keys]
-        blob = np.frombuffer(b"".join(raw), "<u4")
-        many = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
-        first = np.cumsum(many, dtype=np.int32) - many
+        place = self._places(coded.dictionary)
+        first = (np.cumsum(self.many) - self.many)[place].astype(np.int32)
         code = coded.indices.to_numpy()
-        n = many[code]
+        n = self.many[place][code]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = blob[np.repeat(first[code] - (ends - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
+        ids = self.ids[np.repeat(first[code] - (ends - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         at = np.concatenate([[0], ends])[bounds].tolist()
         out = [ids[a + self.skip:b] for a, b in zip(at, at[1:], strict=False)]
@@ -184,10 +196,9 @@ class WordCoder(_Library):
     def chunks(self, texts: pa.Array):
         return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), np.zeros(len(texts), dtype=bool)
 
-    def pieces(self, chunk: str) -> list[str] | None:
-        if not _SIMPLE(chunk):
-            return None
-        return (self._cut_ascii if chunk.isascii() else self._cut)(chunk.lower())
+    def pieces(self, chunks: list[str]) -> list[list[str] | None]:
+        ascii_, other = self._cut_ascii, self._cut
+        return [(ascii_ if k.isascii() else other)(k.lower()) if _SIMPLE(k) else None for k in chunks]
 
     def ids_of_chunk(self, chunk: str) -> bytes:
         return self.ids_of_text(chunk)
@@ -208,13 +219,15 @@ class ByteCoder(_Library):
     """The byte-level vocabulary."""
 
     skip = 1
+    _cut_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
     _cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
     def chunks(self, texts: pa.Array):
         return spaced_chunks(texts)
 
-    def pieces(self, chunk: str) -> list[str] | None:
-        return None if _MARK in chunk else self._cut(chunk if chunk[0] == "\n" else " " + chunk)
+    def pieces(self, chunks: list[str]) -> list[list[str] | None]:
+        ascii_, other = self._cut_ascii, self._cut
+        return [None if _MARK in k else (ascii_ if k.isascii() else other)(k if k[0] == "\n" else " " + k) for k in chunks]
 
     def ids_of_chunk(self, chunk: str) -> bytes:
         return self.ids_of_text(chunk if chunk[0] == "\n" else " " + chunk)
