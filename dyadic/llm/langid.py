@@ -82,14 +82,25 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def fit(counts: np.ndarray, langs: list[str], epochs: int = 20, rate: float = 0.5, batch: int = 32,
+Rows = list[tuple[np.ndarray, np.ndarray]]  # per text: buckets and their counts
+
+
+def _dense(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets in use and the texts' shares of them."""
+    used = np.unique(np.concatenate([at for at, _ in rows]))
+    x = np.zeros((len(rows), len(used)), dtype=np.float32)
+    for i, (at, n) in enumerate(rows):
+        x[i, np.searchsorted(used, at)] = n / max(1, n.sum())
+    return used, x
+
+
+def fit(rows: Rows, langs: list[str], epochs: int = 20, rate: float = 0.5, batch: int = 32,
         calibration: float = 0.2, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:
     """Train on rows of n-gram counts and their languages."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     y = np.array([names.index(v) for v in langs])
     order = rng.permutation(len(y))
     held = order[:int(calibration * len(y))]
@@ -98,26 +109,24 @@ def fit(counts: np.ndarray, langs: list[str], epochs: int = 20, rate: float = 0.
     layer = np.zeros((DIMS, len(names)), dtype=np.float32)
     bias = np.zeros(len(names), dtype=np.float32)
     g_emb, g_layer = np.full((BUCKETS, 1), 1e-8, np.float32), np.full_like(layer, 1e-8)
-    for _ in range(epochs):
-        for lo in range(0, len(rest), batch):
-            at = rng.choice(rest, min(batch, len(rest)), replace=False)
-            used = np.flatnonzero(x[at].any(axis=0))
-            xs = x[np.ix_(at, used)]
-            h = xs @ emb[used]
-            z = h @ layer + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), y[at]] -= 1
-            p /= len(at)
-            d_layer, d_emb = h.T @ p, xs.T @ (p @ layer.T)
-            g_layer += d_layer * d_layer  # steps shrink with the squared gradients so far
-            g_emb[used] += (d_emb * d_emb).mean(axis=1, keepdims=True)
-            layer -= rate * d_layer / np.sqrt(g_layer)
-            emb[used] -= 0.2 * rate * d_emb / np.sqrt(g_emb[used])
-            bias -= 0.1 * rate * p.sum(axis=0)
+    for _ in range(epochs * -(-len(rest) // batch)):
+        at = rng.choice(rest, min(batch, len(rest)), replace=False)
+        used, xs = _dense([rows[i] for i in at])
+        h = xs @ emb[used]
+        z = h @ layer + bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(at)), y[at]] -= 1
+        p /= len(at)
+        d_layer, d_emb = h.T @ p, xs.T @ (p @ layer.T)
+        g_layer += d_layer * d_layer  # steps shrink with the squared gradients so far
+        g_emb[used] += (d_emb * d_emb).mean(axis=1, keepdims=True)
+        layer -= rate * d_layer / np.sqrt(g_layer)
+        emb[used] -= 0.2 * rate * d_emb / np.sqrt(g_emb[used])
+        bias -= 0.1 * rate * p.sum(axis=0)
     table = emb @ layer
     check = held if len(held) else rest
-    z = x[check] @ table + bias
+    z = np.stack([n @ table[at] / max(1, n.sum()) for at, n in (rows[i] for i in check)]) + bias
     right = z.argmax(axis=1) == y[check]
 
     def softmax(t: float) -> np.ndarray:
@@ -152,18 +161,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> LanguageModel:
-    """Fit on the labelled rows that are not held out: the ``sample_rows`` of
-    them with the smallest hash of their id.  Only their bucket counts (at
-    most BUCKETS a row) come to the driver."""
+    """Fit on labelled rows that are not held out: of the distinct ones the
+    ``sample_rows`` with the smallest hash.  Only their bucket counts (at most
+    BUCKETS a row) come to the driver."""
     rows = (docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-            .select(F.xxhash64(F.col("doc_id").cast("string")).alias("__h"), F.col("text").cast("string").alias("text"),
-                    F.col("lang").cast("string").alias("lang"))
-            .orderBy("__h", "text", "lang").limit(sample_rows).select("text", "lang"))
-    got = rows.mapInArrow(_counted, "buckets array<int>, n array<int>, lang string").toArrow()
-    counts = np.zeros((got.num_rows, BUCKETS), dtype=np.float32)
-    for i, (at, n) in enumerate(zip(got.column("buckets"), got.column("n"), strict=True)):
-        counts[i, at.values.to_numpy()] = n.values.to_numpy()
-    return fit(counts, got.column("lang").to_pylist(), **options)
+            .select(F.xxhash64(F.col("doc_id").cast("string"), "lang").alias("h"), F.col("text").cast("string").alias("text"),
+                    F.col("lang").cast("string").alias("lang")))
+    smallest = rows.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if smallest is None:
+        return fit([], [], **options)
+    sample = rows.filter(F.col("h") <= smallest).groupBy("h").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*")
+    got = sample.mapInArrow(_counted, "buckets array<int>, n array<int>, lang string").toArrow()
+    lists = list(zip((x.values.to_numpy() for x in got.column("buckets")), (x.values.to_numpy() for x in got.column("n")),
+                     got.column("lang").to_pylist(), strict=True))
+    lists.sort(key=lambda r: (r[2], len(r[0]), int(r[1].sum()), r[0].tobytes(), r[1].tobytes()))  # whatever the partitions
+    return fit([(at, n) for at, n, _ in lists], [lang for _, _, lang in lists], **options)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
