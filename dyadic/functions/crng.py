@@ -3,14 +3,18 @@
 A draw is a pure function of (id, stream, draw) so the same value is produced
 by Spark, by DuckDB and by numpy regardless of partitioning or retries:
 
-    x = (id * 48271 + stream) mod 2147483647
+    id = low + high * 2147483648, folded to
+    f = low + (h * ((h * 69621 + 40692) mod 2147483647)) mod 2147483647,
+        h = high mod 2147483647        (f = id below 2147483648)
+    x = (f  * 48271 + stream) mod 2147483647
     x = (x  * 48271 + draw)   mod 2147483647
     x = (x  * x + 12345)      mod 2147483647   (non-linear: neighbouring
                                                draws of one id decorrelate)
     x = (x  * 48271)          mod 2147483647
     u = x / 2147483647
 
-ids must be non-negative and below 2**31 so products fit in 64 bits.
+Any 64-bit id is allowed: the high word enters by a non-linear round of its
+own, so ids that differ by a multiple of the modulus have different draws.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 MULT = 48271
 MOD = 2147483647
 SQ = 12345
+# Fixed values of the round that folds the high word.
+WORD = 1 << 31
+FOLD_A, FOLD_B = 69621, 40692
 
 
 def _c(x) -> Column:
@@ -34,7 +41,10 @@ def _c(x) -> Column:
 
 
 def crng_uniform(id_, stream, draw) -> Column:
-    x = F.pmod(_c(id_).cast("long") * MULT + _c(stream).cast("long"), F.lit(MOD))
+    id_ = _c(id_).cast("long")
+    h = F.pmod(F.shiftright(id_, 31), F.lit(MOD))
+    f = F.pmod(id_, F.lit(WORD)) + F.pmod(h * F.pmod(h * FOLD_A + FOLD_B, F.lit(MOD)), F.lit(MOD))
+    x = F.pmod(f * MULT + _c(stream).cast("long"), F.lit(MOD))
     x = F.pmod(x * MULT + _c(draw).cast("long"), F.lit(MOD))
     x = F.pmod(x * x + SQ, F.lit(MOD))
     x = F.pmod(x * MULT, F.lit(MOD))
@@ -42,8 +52,11 @@ def crng_uniform(id_, stream, draw) -> Column:
 
 
 def crng_uniform_sql(id_sql: str, stream, draw) -> str:
-    """Same draw as SQL text (DuckDB / Spark SQL)."""
-    x = (f"((((CAST({id_sql} AS BIGINT) * {MULT} + CAST({stream} AS BIGINT)) % {MOD})"
+    """Same draw as SQL text (DuckDB / Spark SQL); ids are not negative."""
+    i = f"CAST({id_sql} AS BIGINT)"
+    h = f"(CAST(({i} - {i} % {WORD}) / {WORD} AS BIGINT) % {MOD})"
+    f = f"({i} % {WORD} + ({h} * (({h} * {FOLD_A} + {FOLD_B}) % {MOD})) % {MOD})"
+    x = (f"(((({f} * {MULT} + CAST({stream} AS BIGINT)) % {MOD})"
          f" * {MULT} + CAST({draw} AS BIGINT)) % {MOD})")
     x = f"(({x} * {x} + {SQ}) % {MOD})"
     return f"((({x} * {MULT}) % {MOD}) / CAST({MOD} AS DOUBLE))"
@@ -51,7 +64,9 @@ def crng_uniform_sql(id_sql: str, stream, draw) -> str:
 
 def crng_uniform_np(ids, stream, draw) -> np.ndarray:
     ids = np.asarray(ids, dtype=np.int64)
-    x = (ids * MULT + np.int64(stream)) % MOD
+    h = (ids >> 31) % MOD
+    f = ids % WORD + (h * ((h * FOLD_A + FOLD_B) % MOD)) % MOD
+    x = (f * MULT + np.int64(stream)) % MOD
     x = (x * MULT + np.asarray(draw, dtype=np.int64)) % MOD
     x = (x * x + SQ) % MOD
     x = (x * MULT) % MOD

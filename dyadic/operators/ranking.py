@@ -41,9 +41,9 @@ def rank_within(df: DataFrame, group: str, order: Sequence[str], rank: str = "ra
         shift[(r["__pid"], g)] = start - r["mid0"]
         running[g] = start + r["n"]
     # The shift table is bounded by #partitions x #groups; it joins as a
-    # broadcast constant.
+    # broadcast constant.  A null group is a group like any other.
     sh = spark.createDataFrame([(p, g, int(s)) for (p, g), s in shift.items()],
-                               schema=f"__pid int, {group} {dict(df.dtypes)[group]}, __shift long")
-    return (ranged.join(F.broadcast(sh), ["__pid", group], "inner")
+                               schema=f"__p int, __g {dict(df.dtypes)[group]}, __shift long")
+    return (ranged.join(F.broadcast(sh), (F.col("__pid") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")), "inner")
                   .withColumn(rank, F.col("__mid") + F.col("__shift"))
-                  .drop("__pid", "__mid", "__shift"))
+                  .drop("__pid", "__mid", "__shift", "__p", "__g"))

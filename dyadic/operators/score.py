@@ -61,14 +61,17 @@ def real_block(reals: Sequence[str], Wr: np.ndarray | None) -> Column | None:
 def score_factors(rows: DataFrame, U: DataFrame, I: DataFrame, mean: float,
                   uid: str = "uid", iid: str = "iid", bounds=(0.0, 5.0),
                   nusers: int | None = None, nitems: int | None = None,
-                  how: str = "inner", k: int | None = None) -> DataFrame:
-    """clip(w_u[u] . w_i[i] + mean) (SC-1); U / I are (id, vec)."""
+                  how: str = "left", k: int | None = None) -> DataFrame:
+    """clip(w_u[u] . w_i[i] + mean) (SC-1); U / I are (id, vec).  Rows whose
+    user or item has no factors stay, with the mean and ``is_cold``."""
     out = (rows.join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers), uid, how)
                .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems), iid, how))
-    pred = (dot_k("__u", "__i", k) if k else arr_dot("__u", "__i")) + F.lit(float(mean))
+    cold = F.col("__u").isNull() | F.col("__i").isNull()
+    pred = (F.when(cold, F.lit(0.0)).otherwise(dot_k("__u", "__i", k) if k else arr_dot("__u", "__i"))
+            + F.lit(float(mean)))
     if bounds is not None:
         pred = clip(pred, bounds[0], bounds[1])
-    return out.withColumn("pred", pred).drop("__u", "__i")
+    return out.withColumns({"pred": pred, "is_cold": cold}).drop("__u", "__i")
 
 
 def profile_score(rows: DataFrame, k: int, w0: float = 0.0,

@@ -129,7 +129,9 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
              target="y", max_epoch: int = 50, beta: float = 2.0, b0: float = 2.0,
              stopping_threshold: float = 1e-5, ngibbs: int = 2, seed: int = 1234,
              bounds=(0.0, 5.0), probe_key=("l_orderkey", "l_linenumber", "l_partkey")) -> BPMFResult:
-    """U, I: starting (id, vec) tables, e.g. from :func:`fit_pmf`."""
+    """U, I: starting (id, vec) tables, e.g. from :func:`fit_pmf`.  Every probe
+    row keeps its own running mean (``probe_key`` need not be unique); a row
+    whose user or item has no vector is predicted by the mean, ``is_cold``."""
     spark = train.sparkSession
     k = len(U.select("vec").first()["vec"])
     mean = train.agg(F.avg(target)).first()[0]
@@ -139,7 +141,8 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
     nu, ni = uids.count(), iids.count()
     mu0, W0, df0 = np.zeros(k), np.eye(k), float(k)
     rng = np.random.default_rng(seed)
-    probe = cut(probe.select(*probe_key, uid, iid, target))
+    # rows are numbered once and the numbers stored with them
+    probe = cut(probe.select(*probe_key, uid, iid, target).withColumn("__row", F.monotonically_increasing_id()))
     avg = None
     hist = History(stopping_threshold)
     for epoch in range(max_epoch):
@@ -151,23 +154,21 @@ def fit_bpmf(train: DataFrame, probe: DataFrame, U: DataFrame, I: DataFrame, uid
             I = cut(_draw_side(iids, iid, gi, k, a_i, m_i, beta, seed * 1000 + 2 * sweep + 1))
             gu = conditional_moments(rows, uid, iid, I, k, other_rows=ni)
             U = cut(_draw_side(uids, uid, gu, k, a_u, m_u, beta, seed * 1000 + 2 * sweep))
-        p = (probe.join(U.select(uid, F.col("vec").alias("__u")), uid)
-                  .join(I.select(iid, F.col("vec").alias("__i")), iid))
-        pred = dot_k("__u", "__i", k) + F.lit(float(mean))
+        now = probe if avg is None else avg
+        p = (now.join(U.select(uid, F.col("vec").alias("__u")), uid, "left")
+                .join(I.select(iid, F.col("vec").alias("__i")), iid, "left"))
+        cold = F.col("__u").isNull() | F.col("__i").isNull()
+        new = F.when(cold, F.lit(float(mean))).otherwise(dot_k("__u", "__i", k) + F.lit(float(mean)))
         if bounds is not None:
-            pred = clip(pred, *bounds)
-        p = p.select(*probe_key, uid, iid, target, pred.alias("__new"))
-        if avg is None:
-            avg = p.withColumnRenamed("__new", "pred")
-        else:
+            new = clip(new, *bounds)
+        if avg is not None:
             t = float(epoch)
-            avg = avg.join(p.select(*probe_key, uid, iid, "__new"), [*probe_key, uid, iid]).select(
-                *probe_key, uid, iid, target, ((F.lit(t) * F.col("pred") + F.col("__new")) / (t + 1)).alias("pred"))
-        avg = cut(avg)
+            new = (F.lit(t) * F.col("pred") + new) / (t + 1)
+        avg = cut(p.select("__row", *probe_key, uid, iid, target, new.alias("pred"), cold.alias("is_cold")))
         rmse = avg.agg(F.sqrt(F.avg((F.col(target) - F.col("pred")) ** 2))).first()[0]
         if _stop(hist, epoch + 1, rmse):
             break
-    return BPMFResult(U, I, avg, hist.frame(spark))
+    return BPMFResult(U, I, avg.drop("__row") if avg is not None else None, hist.frame(spark))
 
 
 def _stop(hist: History, it: int, rmse: float) -> bool:

@@ -42,9 +42,10 @@ def init_factors(ids: DataFrame, key: str, k: int, stream: int, std: float) -> D
 def pmf_predict(rows: DataFrame, U: DataFrame, I: DataFrame, mean: float, uid="uid", iid="iid",
                 bounds=(0.0, 5.0), k: int | None = None) -> DataFrame:
     k = k or len(U.select("vec").first()["vec"])
-    j = (rows.join(U.select(uid, F.col("vec").alias("__u")), uid, "inner")
-             .join(I.select(iid, F.col("vec").alias("__i")), iid, "inner"))
-    p = dot_k("__u", "__i", k) + F.lit(float(mean))
+    j = (rows.join(U.select(uid, F.col("vec").alias("__u")), uid, "left")
+             .join(I.select(iid, F.col("vec").alias("__i")), iid, "left"))
+    # a user or item without factors: the mean
+    p = F.coalesce(dot_k("__u", "__i", k), F.lit(0.0)) + F.lit(float(mean))
     if bounds is not None:
         p = clip(p, bounds[0], bounds[1])
     return j.withColumn("pred", p).drop("__u", "__i")

@@ -53,11 +53,13 @@ def cumulative_gpa(qpts: DataFrame, seeds: DataFrame, sid: str = "sid", term: st
         cum_gpa(t) = (schrs0 * hsgpa + sum_{t'<=t} qpts) / (schrs0 + sum_{t'<=t} hours)
 
     with hsgpa where no hours exist yet; ``schrs`` is the running hours and
-    ``alevel`` its level bin.  ``qpts`` is the spine of AG-12."""
+    ``alevel`` its level bin.  ``qpts`` is the spine of AG-12.  Points are
+    summed as decimals, so the result does not depend on the order of rows."""
     w = Window.partitionBy(sid).orderBy(term).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = qpts.join(seeds, sid, "inner")
     schrs = F.col(schrs0) + F.sum("term_hours").over(w)
-    num = F.col(schrs0) * F.col(hsgpa) + F.sum("qpts").over(w)
+    exact = "decimal(24,6)"
+    num = ((F.col(schrs0) * F.col(hsgpa)).cast(exact) + F.sum(F.col("qpts").cast(exact)).over(w)).cast("double")
     out = j.select(sid, term, schrs.alias("schrs"), num.alias("__num"), F.col(hsgpa))
     return out.select(
         sid, term, "schrs",

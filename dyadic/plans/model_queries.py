@@ -15,6 +15,7 @@ from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
 from dyadic.plans.registry import SPLIT_SQL, query
 from dyadic.session import scratch_path
+from dyadic.sources.tables import ROW_KEY
 
 # Fixed settings of the registered PMF run: 2 epochs, one batch, rank 2.
 PMF = dict(epsilon=50.0, lambda_=0.01, momentum=0.8, max_epoch=2, nbatches=1, nf=2,
@@ -159,12 +160,14 @@ def q_unpivot_trace(spark, sf):
 
 
 @query("running_prediction_mean", f"""WITH {_pmf_sql_states()},
-pr AS (SELECT t, l_orderkey, l_linenumber, l_partkey, LEAST(5.0, GREATEST(0.0, u.a0 * i.a0 + u.a1 * i.a1 + mean)) AS pred
-       FROM ds JOIN (SELECT 1 AS t, * FROM u1 UNION ALL SELECT 2, * FROM u2) u ON ds.uid = u.uid
-       JOIN (SELECT 1 AS t2, * FROM i1 UNION ALL SELECT 2, * FROM i2) i ON ds.iid = i.iid AND i.t2 = u.t, m
+tt AS (SELECT unnest([1, 2]) AS t),
+pr AS (SELECT tt.t, ds.*, LEAST(5.0, GREATEST(0.0, COALESCE(u.a0 * i.a0 + u.a1 * i.a1, 0.0) + mean)) AS pred
+       FROM ds CROSS JOIN tt
+       LEFT JOIN (SELECT 1 AS t, * FROM u1 UNION ALL SELECT 2, * FROM u2) u ON ds.uid = u.uid AND u.t = tt.t
+       LEFT JOIN (SELECT 1 AS t, * FROM i1 UNION ALL SELECT 2, * FROM i2) i ON ds.iid = i.iid AND i.t = tt.t, m
        WHERE split = 'test')
-SELECT l_orderkey, l_linenumber, l_partkey, {s6('avg(pred)')} AS pred_mean, CAST(count(*) AS BIGINT) AS ndraws
-FROM pr GROUP BY l_orderkey, l_linenumber, l_partkey""")
+SELECT {', '.join(ROW_KEY)}, {s6('avg(pred)')} AS pred_mean, CAST(count(*) AS BIGINT) AS ndraws
+FROM pr GROUP BY {', '.join(ROW_KEY)}""")
 def q_running_mean(spark, sf):
     path = scratch_path(spark, "pmf-draws")
     train, test = hold_out(held_dyads(spark, sf))
@@ -174,7 +177,7 @@ def q_running_mean(spark, sf):
     draws = None
     for t in range(1, PMF["max_epoch"] + 1):
         p = pmf_predict(test, u.filter(F.col("epoch") == t), i.filter(F.col("epoch") == t), res.mean)
-        p = p.select("l_orderkey", "l_linenumber", "l_partkey", F.lit(t).alias("sample"), "pred")
+        p = p.select(*ROW_KEY, F.lit(t).alias("sample"), "pred")
         draws = p if draws is None else draws.unionByName(p)
-    out = stats.running_prediction_mean(draws, ["l_orderkey", "l_linenumber", "l_partkey"])
+    out = stats.running_prediction_mean(draws, list(ROW_KEY))
     return out.withColumn("pred_mean", r6("pred_mean"))

@@ -47,15 +47,17 @@ def _wx_sql(W, zcols):
 m AS (SELECT avg(y) AS mean FROM ds WHERE split = 'train'),
 u AS (SELECT uid, {init_sql('uid', 11, 0)} AS u0, {init_sql('uid', 11, 1)} AS u1 FROM (SELECT DISTINCT uid FROM ds WHERE split = 'train')),
 i AS (SELECT iid, {init_sql('iid', 12, 0)} AS i0, {init_sql('iid', 12, 1)} AS i1 FROM (SELECT DISTINCT iid FROM ds WHERE split = 'train'))
-SELECT l_orderkey, l_linenumber, uid, iid, {s6('LEAST(5.0, GREATEST(0.0, u0 * i0 + u1 * i1 + mean))')} AS pred
-FROM ds JOIN u USING (uid) JOIN i USING (iid), m WHERE split = 'test'""")
+SELECT l_orderkey, l_linenumber, uid, iid,
+       {s6('LEAST(5.0, GREATEST(0.0, COALESCE(u0 * i0 + u1 * i1, 0.0) + mean))')} AS pred,
+       u0 IS NULL OR i0 IS NULL AS is_cold
+FROM ds LEFT JOIN u USING (uid) LEFT JOIN i USING (iid), m WHERE split = 'test'""")
 def q_score_factors(spark, sf):
     d, train, test = _split(spark, sf)
     U = vec_table(train.select("uid").distinct(), "uid", 11, K)
     I = vec_table(train.select("iid").distinct(), "iid", 12, K)
     mean = stats.global_mean(train, "y")
     out = score.score_factors(test, U, I, mean, bounds=(0.0, 5.0), k=K)
-    return out.select("l_orderkey", "l_linenumber", "uid", "iid", r6("pred").alias("pred"))
+    return out.select("l_orderkey", "l_linenumber", "uid", "iid", r6("pred").alias("pred"), "is_cold")
 
 
 # ---------------------------------------------------------------- JN-2 / JN-3

@@ -410,17 +410,16 @@ def q_qpts(spark, sf):
 @query("cumulative_gpa", f"""WITH {_QPTS_SQL},
 c AS (SELECT q.sid, q.term, st.hsgpa,
              st.schrs0 + sum(term_hours) OVER w AS schrs,
-             st.schrs0 * st.hsgpa + sum(qpts) OVER w AS num
+             CAST(CAST(st.schrs0 * st.hsgpa AS DECIMAL(24,6)) + sum(CAST(qpts AS DECIMAL(24,6))) OVER w AS DOUBLE) AS num
       FROM q JOIN st USING (sid)
       WINDOW w AS (PARTITION BY q.sid ORDER BY q.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT sid, term, schrs, {s6('CASE WHEN schrs > 0 THEN num / schrs ELSE hsgpa END')} AS cum_gpa,
+SELECT sid, term, schrs, CASE WHEN schrs > 0 THEN num / schrs ELSE hsgpa END AS cum_gpa,
        CASE WHEN schrs >= 0 AND schrs <= 30 THEN 0 WHEN schrs > 30 AND schrs <= 60 THEN 1
             WHEN schrs > 60 AND schrs <= 90 THEN 2 WHEN schrs > 90 AND schrs <= 120 THEN 3
             WHEN schrs > 120 AND schrs <= 200 THEN 4 END AS alevel
 FROM c""")
 def q_cumgpa(spark, sf):
-    out = windows.cumulative_gpa(_qpts(spark, sf), _students(spark, sf))
-    return out.withColumn("cum_gpa", r6("cum_gpa"))
+    return windows.cumulative_gpa(_qpts(spark, sf), _students(spark, sf))
 
 
 CGPA0, ENROLLED0 = 3.0, 10.0

@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from dyadic.plans import ORACLES
 from check_oracles import TABLES, compare
 
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +21,7 @@ def con(sf):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, sf, con, name):
-    a = E.queries()[name](spark, sf).toPandas()
-    b = con.sql(E.oracle_sql()[name]).df()
-    assert compare(a, b) is None
+    assert compare(E.queries()[name](spark, sf).toArrow(), con.sql(ORACLES[name])) is None
 
 
 def test_every_query_has_callable_and_entry(spark):
