@@ -107,14 +107,22 @@ def _hyper(vecs: DataFrame, k: int, mu0, b0, df0, W0, rng):
             SS[i, j] = SS[j, i] = mom[f"ss_{i}_{j}"]
     xbar = s / N
     S = (SS - np.outer(s, s) / N) / (N - 1) if N > 1 else np.zeros((k, k))
-    d = (mu0 - xbar).reshape(k, 1)
+    return hyper_of_moments(N, xbar, S, mu0, b0, df0, W0, rng)
+
+
+def hyper_of_moments(N, xbar, S, mu0, b0, df0, W0, rng, diagonal: bool = False):
+    """(precision, mean) of N vectors with mean ``xbar`` and covariance ``S``
+    from their Normal-Wishart posterior; ``diagonal`` keeps only the diagonal
+    of the precision and draws the mean around its prior."""
+    d = (mu0 - xbar).reshape(-1, 1)
     Wp = np.linalg.inv(np.linalg.inv(W0) + N * S + N * b0 * (d @ d.T) / (b0 + N))
     Wp = (Wp + Wp.T) / 2
     alpha = wishart_draw(Wp, df0 + N, rng)
     mu_tmp = (b0 * mu0 + N * xbar) / (b0 + N)
+    if diagonal:
+        alpha, mu_tmp = np.diag(np.diag(alpha)), mu0
     Lc = np.linalg.cholesky(np.linalg.inv((b0 + N) * alpha))
-    mu = mu_tmp + Lc @ rng.standard_normal(k)
-    return alpha, mu
+    return alpha, mu_tmp + Lc @ rng.standard_normal(len(mu0))
 
 
 @dataclass

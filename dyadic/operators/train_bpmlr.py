@@ -2,16 +2,18 @@
 
     y ~ N(s_u + c_i + P_u^T W x, 1 / alpha_G)
 
-Variants: ``full``; ``s`` (simplified: hyperparameters held at their prior
-values); ``nb`` (no biases); ``np`` (one membership vector shared by all
-users).  One sweep draws, in order: s (per user), c (per item), P (per user,
-k x k conditional), each row W_l of W (r x r conditional on the driver,
-residual excluding only profile l's term), then alpha_G and the
-hyperparameters.  Per-entity conditionals are grouped JVM sums; draws use
-the counter RNG keyed by (seed, sweep, block, id), so they do not depend on
-partitioning.  Kept draws (after burn-in, every ``thin``-th) go to a long
-trace table ``(sample, param, i, j, value)``; predictions are the posterior
-mean over kept draws.
+Variants: ``full``; ``s`` (simplified: means of the hyperparameters are drawn
+around their prior, precisions of W are diagonal, that of P is held); ``nb``
+(no biases); ``np`` (no biases, one membership vector shared by all users, with
+a scalar mean and precision of its own).  One sweep draws, in order: s (per
+user), c (per item), P (per user, k x k conditional), each row W_l of W (r x r
+conditional on the driver, residual excluding only profile l's term), then
+alpha_G and the hyperparameters, those of W included.  A sample is ``thin``
+sweeps.  Per-entity conditionals are grouped JVM sums; draws use the counter
+RNG keyed by (seed, sweep, block, id), so they do not depend on partitioning.
+Samples after burn-in go to a long trace table ``(sample, param, i, j, value)``
+with the hyperparameters; a prediction is the running mean over them, kept per
+test row.  A fit can start from given values, such as a saved trace's.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from dyadic.operators import stats
 from dyadic.operators.iterate import cut
 from dyadic.operators.joins import sized_broadcast
 from dyadic.session import scratch_path
-from dyadic.operators.train_bpmf import _hyper, _normals
+from dyadic.operators.train_bpmf import _hyper, _normals, hyper_of_moments
 from dyadic.operators.score import real_block
 
 
@@ -56,28 +58,64 @@ class BPMLRResult:
     history: DataFrame   # (iter, train_rmse, test_rmse)
 
 
+def start_from_trace(trace: DataFrame, uid: str = "uid", iid: str = "iid") -> dict:
+    """Starting values for :func:`fit_bpmlr` from the last sample of a trace."""
+    last = trace.filter(F.col("sample") == trace.agg(F.max("sample")).first()[0])
+    of = lambda name: last.filter(F.col("param") == name)
+    out = {}
+    for name, key in (("s", uid), ("c", iid)):
+        if not of(name).isEmpty():
+            out[name] = of(name).select(F.col("i").alias(key), F.col("value").alias("b"))
+    if not of("P").isEmpty():
+        vec = F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: x["value"])
+        out["P"] = of("P").groupBy(F.col("i").alias(uid)).agg(vec.alias("vec"))
+    small = last.filter(F.col("param").isin("W", "p", "alpha_G")).orderBy("param", "i", "j").collect()
+    out["alpha_G"] = next((r["value"] for r in small if r["param"] == "alpha_G"), 1.0)
+    w = [r for r in small if r["param"] == "W"]
+    out["W"] = np.zeros((1 + max(r["i"] for r in w), 1 + max(r["j"] for r in w)))
+    for r in w:
+        out["W"][r["i"], r["j"]] = r["value"]
+    if any(r["param"] == "p" for r in small):
+        out["p"] = np.array([r["value"] for r in small if r["param"] == "p"])
+    return out
+
+
 def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", target="y", k: int = 3,
               nsamples: int = 50, burnin: int = 5, thin: int = 2, variant: str = "full",
-              seed: int = 1234, init_std: float = 0.1, a0: float = 1.0, b0: float = 1.0):
+              seed: int = 1234, init_std: float = 0.1, a0: float = 1.0, b0: float = 1.0,
+              row_key=(), start: dict | None = None, trace_path: str | None = None):
+    """``row_key``: columns of ``test`` to keep beside each prediction (they
+    need not be unique).  ``start``: any of s, c (id, b), P (id, vec), W (k x r
+    array), p, alpha_G.  ``trace_path``: folder for the trace, a scratch one if not
+    given."""
     spark = train.sparkSession
     r = len(reals)
     rng = np.random.default_rng(seed)
+    start = start or {}
     rows = cut(train.select(uid, iid, F.col(target).cast("double").alias("__y"), *reals), spread=True)
+    keys = [x for x in dict.fromkeys([*row_key, uid, iid, target])]
+    # rows are numbered once and the numbers stored with them
+    probe = cut(test.select(*dict.fromkeys([*keys, *reals])).withColumn("__row", F.monotonically_increasing_id()))
     users = cut(rows.select(uid).union(test.select(uid)).distinct())
     items = cut(rows.select(iid).union(test.select(iid)).distinct())
-    use_b = variant != "nb"
-    s = users.select(uid, F.lit(0.0).alias("b"))
-    c = items.select(iid, F.lit(0.0).alias("b"))
-    P = users.select(uid, F.array(*[F.lit(1.0 / k) for _ in range(k)]).alias("vec"))
-    p_shared = np.full(k, 1.0 / k)
-    W = rng.normal(0.0, init_std, (k, r))
-    alpha_g, alpha_s, mu_s, alpha_c, mu_c = 1.0, 1.0, 0.0, 1.0, 0.0
+    use_b = variant not in ("nb", "np")
+
+    def begin(name, ids, key, col, default):
+        if name not in start:
+            return ids.select(key, default.alias(col))
+        return ids.join(start[name].select(key, col), key, "left").select(key, F.coalesce(col, default).alias(col))
+
+    s = begin("s", users, uid, "b", F.lit(0.0))
+    c = begin("c", items, iid, "b", F.lit(0.0))
+    P = begin("P", users, uid, "vec", F.array(*[F.lit(1.0 / k) for _ in range(k)]))
+    p_shared = np.array(start["p"]) if "p" in start else np.full(k, 1.0 / k)
+    W = np.array(start["W"], dtype=float) if "W" in start else rng.normal(0.0, init_std, (k, r))
+    alpha_g, h = start.get("alpha_G", 1.0), {"alpha_s": 1.0, "mu_s": 0.0, "alpha_c": 1.0, "mu_c": 0.0, "alpha_p": 1.0, "mu_p": 0.0}
     LamP, muP = np.eye(k), np.zeros(k)
     LamW, muW = np.eye(r), np.zeros(r)
     N = rows.count()
-    kept = []
-    trace_path = scratch_path(spark, "bpmlr-trace")
-    preds = None
+    trace_path = trace_path or scratch_path(spark, "bpmlr-trace")
+    acc, kept = None, 0
     hist = []
 
     nu, ni = users.count(), items.count()
@@ -95,21 +133,21 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             j = j.join(sized_broadcast(P_.withColumnRenamed("vec", "__p"), nu), uid)
         return j.withColumn("__reg", real_block(reals, W_))
 
-    for t in range(1, nsamples + 1):
-        st = seed * 100 + t * 10
+    for sweep in range(1, nsamples * thin + 1):
+        st = seed * 100 + sweep * 10
         if use_b:
             f = frame(s, c, P, W)
             res = F.col("__y") - F.col("__c") - dot_k("__p", "__reg", k)
-            cs = bias_conditional(f, uid, res, alpha_g, alpha_s, mu_s)
+            cs = bias_conditional(f, uid, res, alpha_g, h["alpha_s"], h["mu_s"])
             s = cut(users.join(cs, uid, "left").select(
-                uid, (F.coalesce("mean", F.lit(mu_s)) + _gauss(uid, st) /
-                      F.sqrt(F.coalesce("prec", F.lit(alpha_s)))).alias("b")))
+                uid, (F.coalesce("mean", F.lit(h["mu_s"])) + _gauss(uid, st) /
+                      F.sqrt(F.coalesce("prec", F.lit(h["alpha_s"])))).alias("b")))
             f = frame(s, c, P, W)
             res = F.col("__y") - F.col("__s") - dot_k("__p", "__reg", k)
-            cc = bias_conditional(f, iid, res, alpha_g, alpha_c, mu_c)
+            cc = bias_conditional(f, iid, res, alpha_g, h["alpha_c"], h["mu_c"])
             c = cut(items.join(cc, iid, "left").select(
-                iid, (F.coalesce("mean", F.lit(mu_c)) + _gauss(iid, st + 1) /
-                      F.sqrt(F.coalesce("prec", F.lit(alpha_c)))).alias("b")))
+                iid, (F.coalesce("mean", F.lit(h["mu_c"])) + _gauss(iid, st + 1) /
+                      F.sqrt(F.coalesce("prec", F.lit(h["alpha_c"])))).alias("b")))
         # P: per user k x k conditional (or one shared vector)
         f = frame(s, c, P, W).withColumn("__rr", F.col("__y") - F.col("__s") - F.col("__c"))
         if variant == "np":
@@ -131,42 +169,54 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             g = f.agg(*[F.sum(pl * pl * xs[a] * xs[b]).alias(f"g_{a}_{b}") for a in range(r) for b in range(a, r)],
                       *[F.sum(pl * xs[a] * resid).alias(f"b_{a}") for a in range(r)]).first()
             G, bv = stats.gram_to_numpy(g, r)
-            cov = np.linalg.inv(LamW + alpha_g * G)
-            mean = cov @ (LamW @ muW + alpha_g * bv)
-            W[l] = mean + np.linalg.cholesky(cov) @ rng.standard_normal(r)
+            W[l] = draw_row(LamW, muW, alpha_g, G, bv, rng)
         # observation precision and hyperparameters
         f = frame(s, c, P, W)
         e = F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__reg", k)
         sse = f.agg(F.sum(e * e)).first()[0]
         alpha_g = rng.gamma(a0 + N / 2.0, 1.0 / (b0 + sse / 2.0))
-        if variant != "s":
-            if use_b:
-                alpha_s, mu_s = _normal_gamma(s, rng)
-                alpha_c, mu_c = _normal_gamma(c, rng)
-            if variant != "np":
-                LamP, muP = _hyper(P, k, np.zeros(k), 2.0, float(k), np.eye(k), rng)
-        train_rmse = float(np.sqrt(sse / N))
-        test_rmse = None
-        if t > burnin and (t - burnin) % thin == 0:
-            tf = _score(test, uid, iid, target, reals, s, c, P, W, use_b, variant, p_shared, k)
-            tf = tf.select(*[x for x in tf.columns if x in ("l_orderkey", "l_linenumber", "l_partkey")],
-                           uid, iid, target, F.col("__pred").alias("pred"), F.lit(t).alias("sample"))
-            preds = tf if preds is None else preds.unionByName(tf)
-            preds = cut(preds)
-            # kept draws go straight to a trace table in the checkpoint folder
-            _trace_rows(spark, t, s, c, P, W, uid, iid, use_b).write.mode("append") \
+        simple = variant in ("s", "np")
+        if use_b:
+            h["alpha_s"], h["mu_s"] = _normal_gamma(s, rng, at_prior=simple)
+            h["alpha_c"], h["mu_c"] = _normal_gamma(c, rng, at_prior=simple)
+        if variant == "np":
+            h["alpha_p"], h["mu_p"] = normal_gamma(k, float(p_shared.mean()), float(k * p_shared.var()), rng)
+            LamP, muP = h["alpha_p"] * np.eye(k), np.full(k, h["mu_p"])
+        elif variant == "s":  # the precision of P is held, its mean drawn around the prior
+            muP = rng.multivariate_normal(np.zeros(k), np.linalg.inv((2.0 + nu) * LamP))
+        else:
+            LamP, muP = _hyper(P, k, np.zeros(k), 2.0, float(k), np.eye(k), rng)
+        LamW, muW = hyper_of_moments(k, W.mean(axis=0), np.cov(W.T, bias=False).reshape(r, r) if k > 1 else np.zeros((r, r)),
+                                     np.zeros(r), 2.0, float(r), np.eye(r), rng, simple)
+        if sweep % thin:
+            continue
+        t = sweep // thin
+        train_rmse, test_rmse = float(np.sqrt(sse / N)), None
+        if t > burnin:
+            kept += 1
+            scored = _score(probe if acc is None else acc, uid, iid, reals, s, c, P, W, use_b, variant, p_shared, k)
+            so_far = F.lit(0.0) if acc is None else F.col("__sum")
+            acc = cut(scored.withColumn("__sum", so_far + F.col("__pred")).select("__row", *dict.fromkeys([*keys, *reals]), "__sum"))
+            scalars = {"alpha_G": alpha_g, **{n: v for n, v in h.items() if (n[-1] == "p") == (variant == "np") and (use_b or n[-1] == "p")}}
+            arrays = {"W": W, "lambda_W": LamW, "mu_W": muW}
+            arrays |= {"p": p_shared} if variant == "np" else {"lambda_P": LamP, "mu_P": muP}
+            # kept samples go straight to the trace table
+            _trace_rows(spark, t, s, c, None if variant == "np" else P, uid, iid, use_b, scalars, arrays).write.mode("append") \
                 .partitionBy("sample").parquet(trace_path)
-            kept.append(t)
-            pm = preds.groupBy(*[x for x in preds.columns if x not in ("pred", "sample")]).agg(
-                F.avg("pred").alias("pred"))
-            test_rmse = pm.agg(F.sqrt(F.avg((F.col(target) - F.col("pred")) ** 2))).first()[0]
+            test_rmse = acc.agg(F.sqrt(F.avg((F.col(target) - F.col("__sum") / kept) ** 2))).first()[0]
         hist.append((t, train_rmse, test_rmse, None))
     trace = (spark.read.parquet(trace_path).select("sample", "param", "i", "j", "value")
              if kept else None)
-    keys = [x for x in preds.columns if x not in ("pred", "sample")] if preds is not None else []
-    pred = preds.groupBy(*keys).agg(F.avg("pred").alias("pred")) if preds is not None else None
-    h = spark.createDataFrame(hist, "iter int, train_rmse double, test_rmse double, objective double")
-    return BPMLRResult(trace, pred, h)
+    pred = acc.select(*keys, (F.col("__sum") / kept).alias("pred")) if kept else None
+    hf = spark.createDataFrame(hist, "iter int, train_rmse double, test_rmse double, objective double")
+    return BPMLRResult(trace, pred, hf)
+
+
+def draw_row(lam, mu, alpha_g, gram, rhs, rng, draw: bool = True) -> np.ndarray:
+    """One row of W from its conditional: precision lam + alpha_G gram."""
+    cov = np.linalg.inv(lam + alpha_g * gram)
+    mean = cov @ (lam @ mu + alpha_g * rhs)
+    return mean + np.linalg.cholesky(cov) @ rng.standard_normal(len(mu)) if draw else mean
 
 
 def _draw_p(users, uid, gram, k, alpha_g, LamP, muP, stream):
@@ -193,21 +243,26 @@ def _draw_p(users, uid, gram, k, alpha_g, LamP, muP, stream):
     return j.mapInPandas(solve, f"`{uid}` {dict(j.dtypes)[uid]}, vec array<double>")
 
 
-def _normal_gamma(tab: DataFrame, rng, mu0=0.0, kappa0=1.0, a0=1.0, b0=1.0):
+def _normal_gamma(tab: DataFrame, rng, at_prior: bool = False):
     g = tab.agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("m"),
                 F.sum(F.col("b") * F.col("b")).alias("ss")).first()
     n, m, ss = g["n"], g["m"] or 0.0, g["ss"] or 0.0
-    sxx = ss - n * m * m
+    return normal_gamma(n, m, ss - n * m * m, rng, at_prior=at_prior)
+
+
+def normal_gamma(n, m, sxx, rng, mu0=0.0, kappa0=1.0, a0=1.0, b0=1.0, at_prior: bool = False):
+    """(precision, mean) given n values with mean m and squared deviations
+    sxx; ``at_prior`` draws the mean around its prior instead."""
     kn = kappa0 + n
-    mun = (kappa0 * mu0 + n * m) / kn
     an = a0 + n / 2.0
     bn = b0 + 0.5 * sxx + kappa0 * n * (m - mu0) ** 2 / (2 * kn)
     prec = rng.gamma(an, 1.0 / bn)
-    mu = rng.normal(mun, 1.0 / np.sqrt(kn * prec))
-    return prec, mu
+    if at_prior:
+        return prec, rng.normal(mu0, 1.0 / np.sqrt(kappa0 * prec))
+    return prec, rng.normal((kappa0 * mu0 + n * m) / kn, 1.0 / np.sqrt(kn * prec))
 
 
-def _score(test, uid, iid, target, reals, s, c, P, W, use_b, variant, p_shared, k):
+def _score(test, uid, iid, reals, s, c, P, W, use_b, variant, p_shared, k):
     j = test
     if use_b:
         j = (j.join(s.withColumnRenamed("b", "__s"), uid, "left")
@@ -223,17 +278,21 @@ def _score(test, uid, iid, target, reals, s, c, P, W, use_b, variant, p_shared,
     return j.withColumn("__pred", pred)
 
 
-def _trace_rows(spark, t, s, c, P, W, uid, iid, use_b):
-    parts = [P.select(F.lit(t).alias("sample"), F.lit("P").alias("param"), F.col(uid).cast("long").alias("i"),
-                      F.posexplode("vec").alias("j", "value")).withColumn("j", F.col("j").cast("long"))]
+def _trace_rows(spark, t, s, c, P, uid, iid, use_b, scalars: dict, arrays: dict):
+    parts = []
+    if P is not None:
+        parts.append(P.select(F.lit(t).alias("sample"), F.lit("P").alias("param"), F.col(uid).cast("long").alias("i"),
+                              F.posexplode("vec").alias("j", "value")).withColumn("j", F.col("j").cast("long")))
     if use_b:
         parts.append(s.select(F.lit(t).alias("sample"), F.lit("s").alias("param"), F.col(uid).cast("long").alias("i"),
                               F.lit(0).cast("long").alias("j"), F.col("b").alias("value")))
         parts.append(c.select(F.lit(t).alias("sample"), F.lit("c").alias("param"), F.col(iid).cast("long").alias("i"),
                               F.lit(0).cast("long").alias("j"), F.col("b").alias("value")))
-    wrows = [(t, "W", int(l), int(j), float(W[l, j])) for l in range(W.shape[0]) for j in range(W.shape[1])]
-    parts.append(spark.createDataFrame(wrows, "sample int, param string, i long, j long, value double"))
-    out = parts[0]
-    for p in parts[1:]:
+    small = [(t, n, 0, 0, float(v)) for n, v in scalars.items()]
+    for n, m in arrays.items():
+        m = np.atleast_2d(m)
+        small += [(t, n, i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])]
+    out = spark.createDataFrame(small, "sample int, param string, i long, j long, value double")
+    for p in parts:
         out = out.unionByName(p)
     return out

@@ -80,3 +80,19 @@ def test_term_totals_with_a_hot_student(spark):
     m = got.merge(want, on="event_id", suffixes=("", "_w"))
     assert len(got) == 30000
     assert (m.term_chrs == m.term_chrs_w).all() and (m.term_enrolled == m.term_enrolled_w).all()
+
+
+def test_counter_draws_of_large_ids(spark):
+    import duckdb
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from dyadic.functions.crng import crng_uniform, crng_uniform_np, crng_uniform_sql
+    ids = [5, 5 + 2**31 - 1, 5 + 2**31, 2**40 + 5, 2**62, 2**31 - 1, 0]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(
+        crng_uniform("id", F.lit(3), F.lit(1))).collect()]
+    assert got == crng_uniform_np(ids, 3, 1).tolist()
+    assert got == [duckdb.sql(f"SELECT {crng_uniform_sql(str(i), 3, 1)}").fetchone()[0] for i in ids]
+    assert len(set(got)) == len(got)
+    big = np.arange(2000) + 7 * 2**33
+    assert abs(crng_uniform_np(big, 1, 0).mean() - 0.5) < 0.03
