@@ -50,7 +50,7 @@ def contiguous_ids(df: DataFrame, col: str) -> DataFrame:
 def field_dictionary(dicts: DataFrame, df_schema: T.StructType, i: int, col: str) -> DataFrame:
     dt = df_schema[col].dataType
     v = F.col("num").cast(dt) if isinstance(dt, _NUMERIC) else F.col("str")
-    return dicts.filter(F.col("f") == i).select(v.alias(col), F.col("code").cast("int").alias(f"{col}__code"))
+    return dicts.filter(F.col("f") == i).select(v.alias(col), F.col("code").alias(f"{col}__code"))
 
 
 def encode_ids(df: DataFrame, dictionary: DataFrame, col: str, nvalues: int | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ class Encoding:
     def codes(self, field: str) -> DataFrame:
         """The codes of one field (from the checkpointed dictionary)."""
         i = list(self.guide.fields).index(field)
-        return self.dicts.filter(F.col("f") == i).select(F.col("code").cast("int").alias(field))
+        return self.dicts.filter(F.col("f") == i).select(F.col("code").alias(field))
 
     def feature_ranges(self, spark) -> DataFrame:
         return spark.createDataFrame(

@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Parameter / dictionary tables up to this many rows are broadcast.  The
-# count is always known exactly (field cardinality or entity count), so
-# nothing that grows with the fact table is ever broadcast.
+# Parameter / dictionary tables are broadcast up to this many rows and bytes.
+# The row count is always known exactly (field cardinality or entity count) and
+# a row's width follows from its schema and, for vectors, ``width``, so nothing
+# that grows with the fact table is ever broadcast.  A job joins at most half
+# a dozen such tables at once.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+VECTOR_BYTES = 128  # of an array column whose length is not given
 
 
-def sized_broadcast(df: DataFrame, nrows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its exact row count is under ``limit``;
-    otherwise leave the strategy to the planner (sort-merge, AQE skew split)."""
-    if nrows is not None and nrows <= limit:
+def row_bytes(schema: T.StructType, width: int | None = None) -> int:
+    """Bytes of a row: 16 a field, arrays by their length."""
+    return sum((8 * width if width else VECTOR_BYTES) if isinstance(f.dataType, T.ArrayType) else 16 for f in schema)
+
+
+def sized_broadcast(df: DataFrame, nrows: int | None, limit: int = BROADCAST_ROWS, width: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its exact row count is under ``limit`` and
+    its rows fit ``BROADCAST_BYTES``; otherwise leave the strategy to the
+    planner (sort-merge, AQE skew split)."""
+    if nrows is not None and nrows <= limit and nrows * row_bytes(df.schema, width) <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Wider pivots are refused: a wide row must fit comfortably in a task.
-PIVOT_COLUMN_CAP = 10_000
-
 
 def sparse_entries(df: DataFrame, uid: str, iid: str, target: str,
                    order_key: Sequence[str]) -> DataFrame:
@@ -22,13 +19,14 @@ def sparse_entries(df: DataFrame, uid: str, iid: str, target: str,
 def pivot_ratings(df: DataFrame, uid: str, iid: str, target: str, order_key: Sequence[str],
                   users: DataFrame, items: Sequence) -> DataFrame:
     """users x items matrix, every user of ``users`` present, missing = 0
-    (RS-1).  ``items`` are the column values (refused above the cap)."""
+    (RS-1).  ``items``, the caller's choice, become columns; ``n_other`` counts
+    a user's entries for all other items, whose long form is
+    :func:`sparse_entries`."""
     items = list(items)
-    if len(items) > PIVOT_COLUMN_CAP:
-        raise ValueError(f"pivot of {len(items)} columns exceeds cap {PIVOT_COLUMN_CAP}")
     entries = sparse_entries(df, uid, iid, target, order_key)
-    wide = entries.groupBy(uid).pivot(iid, items).agg(F.first("value"))
-    return users.select(uid).join(wide, uid, "left").fillna(0.0, subset=[str(i) for i in items])
+    cells = [F.max(F.when(F.col(iid) == F.lit(i), F.col("value"))).alias(str(i)) for i in items]
+    wide = entries.groupBy(uid).agg(*cells, F.count(F.when(~F.col(iid).isin(items), 1)).alias("n_other"))
+    return users.select(uid).join(wide, uid, "left").fillna(0.0, subset=[str(i) for i in items]).fillna(0, subset=["n_other"])
 
 
 def unpivot_stats(df: DataFrame, ids: Sequence[str], values: Sequence[str],

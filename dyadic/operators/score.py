@@ -64,8 +64,8 @@ def score_factors(rows: DataFrame, U: DataFrame, I: DataFrame, mean: float,
                   how: str = "left", k: int | None = None) -> DataFrame:
     """clip(w_u[u] . w_i[i] + mean) (SC-1); U / I are (id, vec).  Rows whose
     user or item has no factors stay, with the mean and ``is_cold``."""
-    out = (rows.join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers), uid, how)
-               .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems), iid, how))
+    out = (rows.join(sized_broadcast(U.select(uid, F.col("vec").alias("__u")), nusers, width=k), uid, how)
+               .join(sized_broadcast(I.select(iid, F.col("vec").alias("__i")), nitems, width=k), iid, how))
     cold = F.col("__u").isNull() | F.col("__i").isNull()
     pred = (F.when(cold, F.lit(0.0)).otherwise(dot_k("__u", "__i", k) if k else arr_dot("__u", "__i"))
             + F.lit(float(mean)))

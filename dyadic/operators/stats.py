@@ -83,17 +83,28 @@ def vector_moments(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 
 def covariance_matrix(df: DataFrame, vec: str, dim: int) -> DataFrame:
-    """Sample covariance (ddof=1) as a long (i, j, cov) frame (AG-7).
-    cov_ij = (S_ij - S_i S_j / n) / (n - 1); the p x p result is small."""
-    m = vector_moments(df, vec, dim)
-    cells = []
-    for i in range(dim):
-        for j in range(dim):
-            a, b = min(i, j), max(i, j)
-            cov = (F.col(f"ss_{a}_{b}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / (F.col("n") - 1)
-            cells.append(F.struct(F.lit(i).cast("long").alias("i"),
-                                  F.lit(j).cast("long").alias("j"), cov.alias("cov")))
-    return m.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """Sample covariance (ddof=1) as a long (i, j, cov) frame (AG-7).  Each
+    task sums x and x x^T of its batches (one matrix product each); the
+    partial (n, sum, Gram) cells are added by (i, j), dim^2 rows a task.
+    Vectors that are null or of another length take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    def partial(batches):
+        n, s, g = 0, np.zeros(dim), np.zeros((dim, dim))
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
+        i, j = np.meshgrid(np.arange(dim, dtype=np.int64), np.arange(dim, dtype=np.int64), indexing="ij")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(np.full(dim * dim, float(n))), pa.array(np.repeat(s, dim)),
+             pa.array(np.tile(s, dim)), pa.array(g.ravel())], names=["i", "j", "n", "si", "sj", "sij"])
+
+    whole = df.filter(F.size(vec) == dim).select(F.col(vec).cast("array<double>").alias(vec))
+    cells = whole.mapInArrow(partial, "i long, j long, n double, si double, sj double, sij double").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+    return cells.select("i", "j", ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def vector_mean(df: DataFrame, vec: str) -> DataFrame:

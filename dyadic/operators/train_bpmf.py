@@ -47,7 +47,7 @@ def conditional_moments(rows: DataFrame, key: str, other_key: str, other: DataFr
     """Per entity: n, sum v v^T (upper triangle g_a_b), sum v r (b_a) over its
     ratings, v the partner vectors (AG-9)."""
     from dyadic.operators.joins import sized_broadcast
-    j = rows.join(sized_broadcast(other.select(other_key, F.col("vec").alias("__v")), other_rows), other_key)
+    j = rows.join(sized_broadcast(other.select(other_key, F.col("vec").alias("__v")), other_rows, width=k), other_key)
     return stats.entity_gram(j, key, "__v", r, k)
 
 

@@ -130,7 +130,7 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
         if variant == "np":
             j = j.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared]))
         else:
-            j = j.join(sized_broadcast(P_.withColumnRenamed("vec", "__p"), nu), uid)
+            j = j.join(sized_broadcast(P_.withColumnRenamed("vec", "__p"), nu, width=k), uid)
         return j.withColumn("__reg", real_block(reals, W_))
 
     for sweep in range(1, nsamples * thin + 1):

@@ -70,7 +70,7 @@ c AS (SELECT iid, {init_sql('iid', 14, 0)} AS c FROM ti),
 z AS (SELECT ds.*, {', '.join(f'{z} AS z{j}' for j, z in enumerate(ZCOLS))} FROM ds, st WHERE split = 'train'),
 g AS (SELECT z.uid, count(*) AS n, sum(y - c.c - (p0 * ({_wx[0]}) + p1 * ({_wx[1]}))) AS sr
       FROM z JOIN s ON z.uid = s.uid JOIN c ON z.iid = c.iid GROUP BY z.uid)
-SELECT uid, CAST(n AS BIGINT) AS n, {s6(f'{ALPHA_S} + {ALPHA_G} * n')} AS prec,
+SELECT uid, CAST(n AS BIGINT) AS n, {s6(f'CAST({ALPHA_S} + {ALPHA_G} * n AS DOUBLE)')} AS prec,
        {s6(f'({ALPHA_S * MU_S} + {ALPHA_G} * sr) / ({ALPHA_S} + {ALPHA_G} * n)')} AS mean FROM g""")
 def q_bpmlr_cond(spark, sf):
     train, _ = hold_out(held_dyads(spark, sf))

@@ -11,7 +11,6 @@ from dyadic.plans.registry import D_SQL, query
 from dyadic.plans.table_queries import _CODES_SQL
 from dyadic.sources.tables import DYAD_GUIDE, dyads, table
 
-COV_DIM = 8
 EMB_DIM = 64
 GRAM = ["l_discount", "l_tax", "y"]
 
@@ -20,12 +19,12 @@ def _emb(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding")
 
 
-@query("covariance_matrix", f"""WITH ij AS (SELECT a.i, b.j FROM range(0, {COV_DIM}) a(i), range(0, {COV_DIM}) b(j))
+@query("covariance_matrix", f"""WITH ij AS (SELECT a.i, b.j FROM range(0, {EMB_DIM}) a(i), range(0, {EMB_DIM}) b(j))
 SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j,
        {s6('covar_samp(CAST(embedding[i + 1] AS DOUBLE), CAST(embedding[j + 1] AS DOUBLE))')} AS cov
 FROM embeddings, ij GROUP BY i, j""")
 def q_cov(spark, sf):
-    return stats.covariance_matrix(_emb(spark, sf), "embedding", COV_DIM).withColumn("cov", r6("cov"))
+    return stats.covariance_matrix(_emb(spark, sf), "embedding", EMB_DIM).withColumn("cov", r6("cov"))
 
 
 @query("vector_mean", """SELECT CAST(pos - 1 AS BIGINT) AS pos, (ROUND(avg(CAST(x AS DOUBLE)), 6) + 0.0) AS mean
@@ -71,14 +70,21 @@ def q_global_gram(spark, sf):
     return _round_gram(stats.global_gram(_gram_frame(spark, sf), "z", "r", len(GRAM)), 6, per_row=True)
 
 
+_FIELD_CODES = dict(zip(DYAD_GUIDE.fields, ("u_code", "i_code", "m_code", "b_code", "o_code", "r_code"), strict=True))
+
+
 @query("feature_sufficient_stats", f"""WITH {_CODES_SQL},
 m AS (SELECT avg(y) AS m FROM ds WHERE split = 'train')
-SELECT CAST(b_code AS INTEGER) AS p_brand, {s6('sum(1.0)')} AS sum_vv, {s6('sum(y - m)')} AS sum_ev,
-       CAST(count(*) AS BIGINT) AS n
-FROM enc, m WHERE split = 'train' GROUP BY b_code""")
+""" + "\nUNION ALL\n".join(f"""SELECT '{f}' AS field, CAST({c} AS BIGINT) AS code, {s6('CAST(count(*) AS DOUBLE)')} AS sum_vv,
+       {s6('sum(y - m)')} AS sum_ev, CAST(count(*) AS BIGINT) AS n
+FROM enc, m WHERE split = 'train' GROUP BY {c}""" for f, c in _FIELD_CODES.items()))
 def q_suff(spark, sf):
     enc = encode(dyads(spark, sf), DYAD_GUIDE)
     tr = enc.frame.filter(F.col("split") == "train")
     m = stats.global_mean(tr, "y")
-    out = stats.feature_sufficient_stats(tr, "p_brand", F.lit(1.0), F.col("y") - F.lit(m))
-    return out.select("p_brand", r6("sum_vv").alias("sum_vv"), r6("sum_ev").alias("sum_ev"), "n")
+    out = None
+    for f in DYAD_GUIDE.fields:
+        g = stats.feature_sufficient_stats(tr, f, F.lit(1.0), F.col("y") - F.lit(m)).select(
+            F.lit(f).alias("field"), F.col(f).cast("long").alias("code"), r6("sum_vv").alias("sum_vv"), r6("sum_ev").alias("sum_ev"), "n")
+        out = g if out is None else out.unionByName(g)
+    return out

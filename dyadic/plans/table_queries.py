@@ -179,11 +179,11 @@ def q_zscore(spark, sf):
 
 # ---------------------------------------------------------------- set ops
 @query("union_ids", f"""WITH {SPLIT_SQL}
-SELECT DISTINCT uid FROM ds WHERE split = 'train'
-UNION SELECT DISTINCT uid FROM ds WHERE split = 'test'""")
+SELECT DISTINCT 'uid' AS field, uid AS id FROM ds UNION ALL SELECT DISTINCT 'iid', iid FROM ds""")
 def q_union_ids(spark, sf):
     train, test = hold_out(dyads(spark, sf))
-    return prep.union_ids(train, test, "uid")
+    u, i = (prep.union_ids(train, test, c).select(F.lit(c).alias("field"), F.col(c).alias("id")) for c in ("uid", "iid"))
+    return u.unionByName(i)
 
 
 @query("union_train_test", f"""WITH {SPLIT_SQL}
@@ -204,10 +204,16 @@ def q_append(spark, sf):
 
 
 # ---------------------------------------------------------------- encoding
-@query("contiguous_ids", f"""WITH {D_SQL}
-SELECT uid, CAST(dense_rank() OVER (ORDER BY uid) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT uid FROM d)""")
+_IDS_SQL = """SELECT 'uid' AS field, uid AS id, CAST(dense_rank() OVER (ORDER BY uid) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT uid FROM d)
+UNION ALL
+SELECT 'iid', iid, CAST(dense_rank() OVER (ORDER BY iid) - 1 AS BIGINT) FROM (SELECT DISTINCT iid FROM d)"""
+
+
+@query("contiguous_ids", f"WITH {D_SQL} {_IDS_SQL}")
 def q_contig(spark, sf):
-    return contiguous_ids(dyads(spark, sf), "uid")
+    d = dyads(spark, sf)
+    u, i = (contiguous_ids(d, c).select(F.lit(c).alias("field"), F.col(c).alias("id"), "idx") for c in ("uid", "iid"))
+    return u.unionByName(i)
 
 
 _CODES_SQL = f"""{SPLIT_SQL},
@@ -249,16 +255,19 @@ vals AS (SELECT split, b AS idx, (l_discount - m1) / CASE WHEN s1 = 0 THEN 1.0 E
   UNION ALL SELECT split, b + 1, (l_tax - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END FROM enc, st, base
   UNION ALL SELECT split, b + 2, (p_retailprice - m3) / CASE WHEN s3 = 0 THEN 1.0 ELSE s3 END FROM enc, st, base
   UNION ALL SELECT split, b + 3, (c_acctbal - m4) / CASE WHEN s4 = 0 THEN 1.0 ELSE s4 END FROM enc, st, base
-  UNION ALL SELECT split, nu + ni + nm + b_code, 1.0 FROM enc, card)
+  UNION ALL SELECT split, u_code, 1.0 FROM enc
+  UNION ALL SELECT split, nu + i_code, 1.0 FROM enc, card
+  UNION ALL SELECT split, nu + ni + m_code, 1.0 FROM enc, card
+  UNION ALL SELECT split, nu + ni + nm + b_code, 1.0 FROM enc, card
+  UNION ALL SELECT split, nu + ni + nm + nb + o_code, 1.0 FROM enc, card
+  UNION ALL SELECT split, nu + ni + nm + nb + no + r_code, 1.0 FROM enc, card)
 SELECT split, CAST(idx AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS n, {s6('sum(v)')} AS sum_value,
        {s6('sum(v * v)')} AS sum_sq
 FROM vals GROUP BY split, idx""")
 def q_assemble(spark, sf):
     enc = encode(dyads(spark, sf), DYAD_GUIDE)
     ld = long_design(enc)
-    b0 = dict((f, (s, e)) for f, _, s, e in enc.ranges)["p_brand"]
-    keep = (F.col("idx") >= b0[0]) & (F.col("idx") < b0[1]) | (F.col("idx") >= enc.ranges[-4][2])
-    return ld.filter(keep).groupBy("split", "idx").agg(
+    return ld.groupBy("split", "idx").agg(
         cnt().alias("n"), r6(F.sum("value")).alias("sum_value"),
         r6(F.sum(F.col("value") * F.col("value"))).alias("sum_sq"))
 
@@ -284,31 +293,38 @@ def q_ranges(spark, sf):
 
 @query("field_cardinality", f"""WITH {D_SQL},
 c AS (SELECT count(DISTINCT uid) AS nu, count(DISTINCT iid) AS ni, count(DISTINCT c_mktsegment) AS nm,
-             count(DISTINCT p_brand) AS nb FROM d)
+             count(DISTINCT p_brand) AS nb, count(DISTINCT o_orderpriority) AS no, count(DISTINCT l_returnflag) AS nr FROM d)
 SELECT 'uid' AS field, CAST(nu AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS start, CAST(nu AS BIGINT) AS "end" FROM c
 UNION ALL SELECT 'iid', ni, nu, nu + ni FROM c
 UNION ALL SELECT 'c_mktsegment', nm, nu + ni, nu + ni + nm FROM c
-UNION ALL SELECT 'p_brand', nb, nu + ni + nm, nu + ni + nm + nb FROM c""")
+UNION ALL SELECT 'p_brand', nb, nu + ni + nm, nu + ni + nm + nb FROM c
+UNION ALL SELECT 'o_orderpriority', no, nu + ni + nm + nb, nu + ni + nm + nb + no FROM c
+UNION ALL SELECT 'l_returnflag', nr, nu + ni + nm + nb + no, nu + ni + nm + nb + no + nr FROM c""")
 def q_cards(spark, sf):
-    rows = stats.field_cardinality(dyads(spark, sf), ["uid", "iid", "c_mktsegment", "p_brand"])
+    rows = stats.field_cardinality(dyads(spark, sf), DYAD_GUIDE.fields)
     return spark.createDataFrame(rows, "field string, n_values long, start long, `end` long")
 
 
 @query("encode_ids", f"""WITH {D_SQL},
-cu AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS c FROM (SELECT DISTINCT uid FROM d))
-SELECT d.l_orderkey, d.l_linenumber, CAST(cu.c AS BIGINT) AS uid, d.iid FROM d JOIN cu USING (uid)""")
+cu AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS c FROM (SELECT DISTINCT uid FROM d)),
+ci AS (SELECT iid, dense_rank() OVER (ORDER BY iid) - 1 AS c FROM (SELECT DISTINCT iid FROM d))
+SELECT d.l_orderkey, d.l_linenumber, CAST(cu.c AS BIGINT) AS uid, CAST(ci.c AS BIGINT) AS iid
+FROM d JOIN cu USING (uid) JOIN ci USING (iid)""")
 def q_encode_ids(spark, sf):
-    d = dyads(spark, sf)
-    dic = contiguous_ids(d, "uid").withColumnRenamed("idx", "uid__code")
-    return encode_ids(d, dic, "uid").select("l_orderkey", "l_linenumber", "uid", "iid")
+    d = out = dyads(spark, sf)
+    for c in ("uid", "iid"):
+        out = encode_ids(out, contiguous_ids(d, c).withColumnRenamed("idx", f"{c}__code"), c)
+    return out.select("l_orderkey", "l_linenumber", "uid", "iid")
 
 
 # ---------------------------------------------------------------- aggregates
 @query("entity_counts", f"""WITH {SPLIT_SQL}
-SELECT uid, CAST(count(*) AS BIGINT) AS n FROM ds WHERE split = 'train' GROUP BY uid""")
+SELECT 'uid' AS field, uid AS id, CAST(count(*) AS BIGINT) AS n FROM ds WHERE split = 'train' GROUP BY uid
+UNION ALL SELECT 'iid', iid, CAST(count(*) AS BIGINT) FROM ds WHERE split = 'train' GROUP BY iid""")
 def q_entity_counts(spark, sf):
     train, _ = hold_out(held_dyads(spark, sf))
-    return stats.entity_counts(train, "uid")
+    u, i = (stats.entity_counts(train, c).select(F.lit(c).alias("field"), F.col(c).alias("id"), "n") for c in ("uid", "iid"))
+    return u.unionByName(i)
 
 
 _PART_LEVEL_SQL = """CASE WHEN p_size * 4 >= 0 AND p_size * 4 <= 30 THEN 0
@@ -469,14 +485,13 @@ rr AS (SELECT CAST(n.n_regionkey AS BIGINT) AS region, d.* FROM d JOIN customer
 en AS (SELECT region, p_brand, arg_max(y, {_KEY_SQL}) AS value FROM rr GROUP BY region, p_brand)
 SELECT CAST(r.r_regionkey AS BIGINT) AS region,
 {', '.join(f"COALESCE(max(CASE WHEN p_brand = '{b}' THEN value END), 0.0) AS \"{b}\"" for b in _BRANDS)}
+,
+       CAST(count(*) FILTER (WHERE p_brand NOT IN ({', '.join(f"'{b}'" for b in _BRANDS)})) AS BIGINT) AS n_other
 FROM region r LEFT JOIN en ON en.region = r.r_regionkey GROUP BY r.r_regionkey""")
 def q_pivot(spark, sf):
     rr = _region_rows(spark, sf)
     users = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("region"))
-    brands = sorted(r[0] for r in rr.select("p_brand").distinct().limit(10_001).collect())
-    out = pivot_ratings(rr, "region", "p_brand", "y", ROW_KEY, users, brands)
-    missing = [b for b in _BRANDS if b not in brands]
-    return out.withColumns({b: F.lit(0.0) for b in missing}).select("region", *_BRANDS)
+    return pivot_ratings(rr, "region", "p_brand", "y", ROW_KEY, users, _BRANDS).select("region", *_BRANDS, "n_other")
 
 
 @query("unpivot_stats", f"""WITH {D_SQL},

@@ -62,6 +62,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package as a zip, once per context, so that they
+    find it whatever folder the driver runs in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dyadic_shipped", False) or sc.master.startswith("local["):
+        return
+    import zipfile
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="dyadic-zip-"), "dyadic.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "dyadic")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._dyadic_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
