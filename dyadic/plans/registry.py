@@ -38,7 +38,7 @@ D_SQL = """d AS (
 # SQL view E (same mapping as dyadic.sources.tables.events_dyads).
 E_SQL = """e AS (
   SELECT event_id, user_id AS sid, event_type AS cid,
-         CAST(day(ts) AS BIGINT) AS term,
+         CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS term,
          LEAST(4.0, GREATEST(0.0, value / 100.0)) AS grade,
          CAST(1 + event_id % 4 AS DOUBLE) AS hours
   FROM events)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dyadic.operators import prep, score, stats
 from dyadic.operators.encode import encode
 from dyadic.operators.joins import gather, gather_cold_start
-from dyadic.plans.common import cnt, r6, s6
+from dyadic.plans.common import ROW_DRAW_SQL, cnt, r6, row_draw, s6
 from dyadic.plans.params import init_sql, mat, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
@@ -221,6 +221,10 @@ r AS (SELECT l_orderkey, l_linenumber, l_partkey, z.uid,
 SELECT l_orderkey, l_linenumber, uid, {s6('full_mean')} AS pred_full, {s6('nb_mean')} AS pred_nb,
        {s6('np_mean')} AS pred_np FROM r""")
 def q_score_bpmlr(spark, sf):
+    return _bpmlr_means(spark, sf).drop("l_partkey")
+
+
+def _bpmlr_means(spark, sf):
     d, train, test = _split(spark, sf)
     st = prep.fit_zscore(train, REALS)
     z = prep.apply_zscore(test, st, REALS)
@@ -230,15 +234,15 @@ def q_score_bpmlr(spark, sf):
     full = score.profile_score(z, K, 0.0, b, "uid", P, reals=REALS, Wr=W_MLR).withColumnRenamed("pred", "pred_full")
     nb = score.profile_score(full, K, 0.0, None, "uid", P, reals=REALS, Wr=W_MLR).withColumnRenamed("pred", "pred_nb")
     npm = score.profile_score(nb, K, 0.0, b, shared_p=SHARED_P, reals=REALS, Wr=W_MLR).withColumnRenamed("pred", "pred_np")
-    return npm.select("l_orderkey", "l_linenumber", "uid", *[r6(c).alias(c) for c in ("pred_full", "pred_nb", "pred_np")])
+    return npm.select("l_orderkey", "l_linenumber", "l_partkey", "uid", *[r6(c).alias(c) for c in ("pred_full", "pred_nb", "pred_np")])
 
 
 def _draw_sql():
     import math
     base = ORACLES["score_bpmlr"]
     head, sel = base.rsplit("SELECT l_orderkey, l_linenumber, uid,", 1)
-    u1 = crng_uniform_sql("l_orderkey", 91, "l_linenumber")
-    u2 = crng_uniform_sql("l_orderkey", 92, "l_linenumber")
+    u1 = crng_uniform_sql("l_orderkey", 91, ROW_DRAW_SQL)
+    u2 = crng_uniform_sql("l_orderkey", 92, ROW_DRAW_SQL)
     z = f"sqrt(-2.0 * ln(GREATEST({u1}, 1e-300))) * cos({2 * math.pi!r} * {u2})"
     return (head + f"""SELECT l_orderkey, l_linenumber, uid, {s6('full_mean')} AS pred_full, {s6('nb_mean')} AS pred_nb,
        {s6('np_mean')} AS pred_np, {s6(f"{s6('full_mean')} + {ALPHA_G ** -0.5!r} * {z}")} AS pred_draw FROM r""")
@@ -248,6 +252,6 @@ def _draw_sql():
 def q_score_bpmlr_draw(spark, sf):
     """Posterior-predictive draw N(mean, alpha_G^-1/2) per row (stat check:
     rows only; the mean is checked by score_bpmlr)."""
-    base = q_score_bpmlr(spark, sf)
+    base = _bpmlr_means(spark, sf)
     return base.withColumn("pred_draw", r6(score.gaussian_draw(
-        F.col("pred_full"), ALPHA_G ** -0.5, "l_orderkey", 91, F.col("l_linenumber"))))
+        F.col("pred_full"), ALPHA_G ** -0.5, "l_orderkey", 91, row_draw()))).drop("l_partkey")

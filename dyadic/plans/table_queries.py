@@ -193,13 +193,25 @@ def q_union_tt(spark, sf):
     return prep.union_train_test(train, test).groupBy("split", "term").agg(cnt().alias("n"))
 
 
+def _staged_terms(spark, sf):
+    """View E, written once with a folder per term."""
+    from dyadic.session import scratch_path
+    path = scratch_path(spark, "terms")
+    events_dyads(spark, sf).write.partitionBy("term").parquet(path)
+    return path
+
+
+def _terms_of(spark, path):
+    return sorted(r[0] for r in spark.read.parquet(path).select("term").distinct().collect())
+
+
 @query("append_terms", f"""WITH {E_SQL}
 SELECT term, CAST(count(*) AS BIGINT) AS n, {s6('sum(grade)')} AS sum_grade FROM e GROUP BY term""")
 def q_append(spark, sf):
-    e = events_dyads(spark, sf)
-    lo, hi = e.agg(F.min("term"), F.max("term")).first()
-    # one frame per term (each a pruned read), accumulated term by term
-    acc = prep.append_terms([e.filter(F.col("term") == t) for t in range(lo, hi + 1)])
+    path = _staged_terms(spark, sf)
+    # one frame per term, each a read of its own partition folder, accumulated term by term
+    frames = [spark.read.parquet(path).filter(F.col("term") == t) for t in _terms_of(spark, path)]
+    acc = prep.append_terms(frames).withColumn("term", F.col("term").cast("long"))
     return acc.groupBy("term").agg(cnt().alias("n"), r6(F.sum("grade")).alias("sum_grade"))
 
 
@@ -516,12 +528,12 @@ def q_append_stream(spark, sf):
     e = events_dyads(spark, sf)
     base = scratch_path(spark, "term-stream")
     landing, table_, ckpt = (os.path.join(base, x) for x in ("landing", "table", "_checkpoint"))
-    lo, hi = e.agg(F.min("term"), F.max("term")).first()
-    mid = (lo + hi) // 2
-    schema = e.schema
-    for wave in ((lo, mid), (mid + 1, hi)):
-        for t in range(wave[0], wave[1] + 1):
-            e.filter(F.col("term") == t).write.parquet(os.path.join(landing, f"term-{t}"))
+    staged, schema = _staged_terms(spark, sf), e.schema
+    terms = _terms_of(spark, staged)
+    for wave in (terms[:len(terms) // 2], terms[len(terms) // 2:]):
+        for t in wave:  # a read of the term's own folder
+            one = spark.read.parquet(staged).filter(F.col("term") == t).withColumn("term", F.col("term").cast("long"))
+            one.select(e.columns).write.parquet(os.path.join(landing, f"term-{t}"))
         append_terms_stream(spark, os.path.join(landing, "*"), table_, ckpt, schema)
     back = spark.read.parquet(table_)
     return back.groupBy(F.col("term").cast("long").alias("term")).agg(

@@ -17,17 +17,20 @@ def triplet_scan(spark: SparkSession, path: str, uid: str = "uid", iid: str = "i
     return df.withColumns({uid: F.col(uid) - 1, iid: F.col(iid) - 1})
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:
+    """CSV types come from ``schema``; without one Spark infers them, which
+    reads the file once more."""
     if fmt == "csv":
-        return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+        r = spark.read.option("header", "true")
+        return (r.schema(schema) if schema else r.option("inferSchema", "true")).csv(path)
     return spark.read.format(fmt).load(path)
 
 
 def guided_scan(spark: SparkSession, path: str, guide: FeatureGuide, fmt: str = "parquet",
-                extra: tuple[str, ...] = ()) -> DataFrame:
+                extra: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
     """Read only the guide's columns (pruned at the scan); a missing column
     raises an error naming its role and the file (SRC-2)."""
-    df = _read(spark, path, fmt)
+    df = _read(spark, path, fmt, schema)
     for c, role in guide.roles().items():
         if c not in df.columns:
             raise GuideError(f"{role} column '{c}' not found in {path}")
@@ -35,17 +38,17 @@ def guided_scan(spark: SparkSession, path: str, guide: FeatureGuide, fmt: str =
 
 
 def read_train_test(spark: SparkSession, train_path: str, test_path: str, guide: FeatureGuide,
-                    fmt: str = "parquet", extra: tuple[str, ...] = ()) -> DataFrame:
+                    fmt: str = "parquet", extra: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
     """Both files through :func:`guided_scan`, stacked with a split label."""
-    tr = guided_scan(spark, train_path, guide, fmt, extra).withColumn("split", F.lit("train"))
-    te = guided_scan(spark, test_path, guide, fmt, extra).withColumn("split", F.lit("test"))
+    tr = guided_scan(spark, train_path, guide, fmt, extra, schema).withColumn("split", F.lit("train"))
+    te = guided_scan(spark, test_path, guide, fmt, extra, schema).withColumn("split", F.lit("test"))
     return tr.unionByName(te)
 
 
 def keyed_scan(spark: SparkSession, path: str, uid: str = "uid", iid: str = "iid",
-               target: str = "target", fmt: str = "parquet") -> DataFrame:
+               target: str = "target", fmt: str = "parquet", schema: str | None = None) -> DataFrame:
     """Read every column; fail if a key or the target is missing (SRC-3)."""
-    df = _read(spark, path, fmt)
+    df = _read(spark, path, fmt, schema)
     for c, role in ((uid, "user key"), (iid, "item key"), (target, "target")):
         if c not in df.columns:
             raise GuideError(f"{role} column '{c}' not found in {path}")

@@ -24,6 +24,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 ROW_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
            "l_extendedprice", "l_shipdate")
 
+# Term 0 of view E: a term is a day.
+FIRST_TERM = "2023-12-31"
+
 DYAD_GUIDE = FeatureGuide(
     target="y", ents=("uid", "iid"),
     cats=("c_mktsegment", "p_brand", "o_orderpriority", "l_returnflag"),
@@ -56,11 +59,12 @@ def dyads(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
 
 
 def events_dyads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View E: sid = user_id, cid = event_type, term = day of month,
-    grade = value / 100 clipped to [0, 4], hours = 1 + event_id % 4."""
+    """View E: sid = user_id, cid = event_type, term = days since
+    ``FIRST_TERM``, grade = value / 100 clipped to [0, 4],
+    hours = 1 + event_id % 4."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return ev.select(
         "event_id", F.col("user_id").alias("sid"), F.col("event_type").alias("cid"),
-        F.dayofmonth("ts").cast("long").alias("term"),
+        F.datediff(F.to_date("ts"), F.lit(FIRST_TERM)).cast("long").alias("term"),
         clip(F.col("value") / 100.0, 0.0, 4.0).alias("grade"),
         (F.lit(1) + F.pmod("event_id", F.lit(4))).cast("double").alias("hours"))
