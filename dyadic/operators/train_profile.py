@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.crng import crng_init, crng_init_np
+from dyadic.operators.prep import minibatch_column
 from dyadic.operators.iterate import History, cut, group_sums
 from dyadic.operators.score import profile_score
 
@@ -149,39 +150,55 @@ def _scalar_update(old: DataFrame, key: str, agg: DataFrame, setname: str, step:
     return j.select(key, _nn(F.when(F.col("n").isNotNull(), new).otherwise(F.col("b")), nonneg).alias("b"))
 
 
+def _gd_step(m: ProfileModel, agg: DataFrame, g, step: float, lambda_w: float, lambda_b: float,
+             nonneg: bool, norm: str) -> ProfileModel:
+    """One averaged step of every parameter from the grouped sums ``agg``."""
+    n, k, r = g["n"], m.k, len(m.reals)
+    w0 = m.w0
+    if m.learn_w0:
+        w0 = w0 - step * g["v0"] / n
+        w0 = max(0.0, w0) if nonneg else w0
+    Wr = m.Wr
+    if r:
+        grad = np.array([[g[f"v{2 + l * r + j}"] / n for j in range(r)] for l in range(k)])
+        Wr = Wr - step * (grad + lambda_w * _pen_np(Wr, norm))
+        Wr = np.maximum(0.0, Wr) if nonneg else Wr
+    biases = {f: cut(_scalar_update(t, f, agg, f"b:{f}", step, lambda_b, norm, nonneg))
+              for f, t in m.biases.items()}
+    P = cut(_vec_update(m.P, m.profiled, "vec", agg, "P", k, step, lambda_w, norm, nonneg))
+    Wcat = {f: cut(_vec_update(t, f, "wvec", agg, f"W:{f}", k, step, lambda_w, norm, nonneg))
+            for f, t in m.Wcat.items()}
+    return replace(m, w0=w0, Wr=Wr, biases=biases, P=P, Wcat=Wcat)
+
+
 def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrate: float = 0.001,
                    lambda_w: float = 0.01, lambda_b: float = 0.0, iters: int = 10,
-                   eps: float = 1e-5, nonneg: bool = False, norm: str = "fro", salt_entities=None):
-    """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history)."""
+                   eps: float = 1e-5, nonneg: bool = False, norm: str = "fro", salt_entities=None,
+                   nbatches: int = 1):
+    """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history).  With
+    ``nbatches`` one pass makes that many steps, each on the rows of one batch
+    (SO-3: counter draws on stored row numbers, new batches each pass)."""
     spark = rows.sparkSession
+    if nbatches > 1:  # numbers are stored with the rows: no later scan can change them
+        rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
     rows, m = _prepare_rows(rows, model, target, salt_entities)
     hist = History(eps)
     step = 2.0 * lrate
-    k, r = m.k, len(m.reals)
     for it in range(iters + 1):
-        s = m.predict(rows, keep_parts=True)
-        agg = cut(group_sums(s, _gd_sets(m)))
+        agg = cut(group_sums(m.predict(rows, keep_parts=True), _gd_sets(m)))
         g = agg.filter(F.col("set") == "g").first()
-        n = g["n"]
-        rmse = float(np.sqrt(g["v1"] / n))
-        stop = hist.add(it, rmse)
+        stop = hist.add(it, float(np.sqrt(g["v1"] / g["n"])))
         if stop or it == iters:
             break
-        w0 = m.w0
-        if m.learn_w0:
-            w0 = w0 - step * g["v0"] / n
-            w0 = max(0.0, w0) if nonneg else w0
-        Wr = m.Wr
-        if r:
-            grad = np.array([[g[f"v{2 + l * r + j}"] / n for j in range(r)] for l in range(k)])
-            Wr = Wr - step * (grad + lambda_w * _pen_np(Wr, norm))
-            Wr = np.maximum(0.0, Wr) if nonneg else Wr
-        biases = {f: cut(_scalar_update(t, f, agg, f"b:{f}", step, lambda_b, norm, nonneg))
-                  for f, t in m.biases.items()}
-        P = cut(_vec_update(m.P, m.profiled, "vec", agg, "P", k, step, lambda_w, norm, nonneg))
-        Wcat = {f: cut(_vec_update(t, f, "wvec", agg, f"W:{f}", k, step, lambda_w, norm, nonneg))
-                for f, t in m.Wcat.items()}
-        m = replace(m, w0=w0, Wr=Wr, biases=biases, P=P, Wcat=Wcat)
+        if nbatches == 1:
+            m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
+            continue
+        batch = minibatch_column(F.col("__row"), F.lit(0), it, nbatches)
+        for b in range(nbatches):
+            agg = cut(group_sums(m.predict(rows.filter(batch == b), keep_parts=True), _gd_sets(m)))
+            g = agg.filter(F.col("set") == "g").first()
+            if g is not None:
+                m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
     return m, hist.frame(spark)
 
 

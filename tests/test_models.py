@@ -202,3 +202,17 @@ def test_plan_salts_splits_a_third_of_rows(spark):
     assert set(plan.salts) == {0} and plan.salts[0] >= 3
     per_salt = salt_rows(rows, plan).filter(F.col("u") == 0).groupBy("__salt").count().collect()
     assert len(per_salt) == plan.salts[0] and max(r["count"] for r in per_salt) < 10000 * 0.5
+
+
+def test_gradient_batches_make_more_steps_a_pass(spark):
+    df = _planted(spark)
+    ids = {"uid": df.select("uid").distinct(), "iid": df.select("iid").distinct()}
+    mean = df.agg(F.avg("y")).first()[0]
+    m0 = init_profile_model(ids, 2, ["uid", "iid"], "uid", [], ["x0", "x1"], std=0.5, w0=mean, learn_w0=False)
+    last = {}
+    for batches in (1, 4):
+        _, h = fit_profile_gd(df, m0, lrate=0.1, lambda_w=0.0, iters=2, eps=-1e9, nbatches=batches)
+        rm = [r["train_rmse"] for r in h.orderBy("iter").collect()]
+        assert len(rm) == 3 and rm[-1] < rm[0]
+        last[batches] = rm[0] - rm[-1]
+    assert last[4] > 2 * last[1]
