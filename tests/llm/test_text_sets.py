@@ -55,9 +55,10 @@ def _copies(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,levels", [(1, (16, 256, 4096)), (2, (2, 4, 8))])
-def test_jaccard_components(docs_of, edge_texts, monkeypatch, seed, levels):
-    monkeypatch.setattr(jaccard, "LEVELS", levels)
+@pytest.mark.parametrize("seed,levels,many,cell", [(1, (16, 256, 4096), 32, 1024), (2, (2, 4, 8), 2, 4)])
+def test_jaccard_components(docs_of, edge_texts, monkeypatch, seed, levels, many, cell):
+    for name, value in (("LEVELS", levels), ("MANY", many), ("CELL", cell)):
+        monkeypatch.setattr(jaccard, name, value)
     docs = docs_of(edge_texts + _copies(seed))
     docs = docs.union(docs.limit(1))
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
