@@ -136,7 +136,7 @@ class Encoder(ChunkCoder):
 
     skip = 1  # the first chunk stands after an imagined line end, one token
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES // 2):
         super().__init__(entries)
         self.vocab = Vocabulary(path)
         self.split = regex.compile(PATTERN).findall
