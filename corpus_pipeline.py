@@ -29,28 +29,36 @@ from dyadic.llm.common import stored, table
 from dyadic.session import ensure_checkpoint_dir
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+BATCH_ROWS = 2000  # texts to an Arrow batch: bounds what a worker holds at once
+
+
+def _prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return quality.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return substrings.without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return packing.packed_sequences(docs)
 
 

@@ -66,6 +66,7 @@ class ChunkCoder:
 
     def __init__(self, entries: int = CACHE_ENTRIES):
         self.piece_ids = _Cache(entries)
+        self.most_chunks = min(CHUNKS, 2 * entries)
         # known chunks as Arrow strings, their ids one after the other
         self.known = pa.array([], pa.large_string())
         self.ids, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int32)
@@ -101,7 +102,7 @@ class ChunkCoder:
     def _places(self, keys: pa.Array) -> np.ndarray:
         """Where each distinct chunk stands among the known ones, after
         learning those that are not there."""
-        if len(self.known) > CHUNKS:  # the older half goes
+        if len(self.known) > self.most_chunks:  # the older half goes
             half = len(self.known) // 2
             self.ids = self.ids[self.many[:half].sum():]
             self.known, self.many = pa.concat_arrays([self.known.slice(half)]), self.many[half:]
@@ -190,6 +191,9 @@ class WordCoder(_Library):
     """The lower-casing vocabulary that drops white space: chunks are the
     strings between spaces and line ends."""
 
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES // 3):
+        super().__init__(path, entries)
+
     _cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
     _cut_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 
