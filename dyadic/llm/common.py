@@ -54,3 +54,17 @@ def in_bit_set(words, values):
     import numpy as np
     at = (values & np.int64(len(words) * 64 - 1)).astype(np.uint64)
     return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def release_memory() -> None:
+    """Give freed memory of a worker back to the system; workers outlive
+    their tasks, and an executor's limit counts all of them."""
+    import ctypes
+    import gc
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 DIMS = 16
@@ -206,6 +208,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 lang, s = model.predict(t.as_py())
                 keep.append(lang != UNKNOWN and s >= model.threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from dyadic.operators.ranking import rank_within
 
-from .common import stored, tokenizer_file
+from .common import release_memory, stored, tokenizer_file
 from .tokens import WordCoder, worker_coder
 
 CAPACITY = 4096
@@ -62,6 +62,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                 out = [part.column(0).take(pa.array(take, pa.int32()))]
                 out += [pa.array(r, t) for r, (_, t) in zip(rows, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", *(n for n, _ in fields)])
+        release_memory()
 
     d = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()

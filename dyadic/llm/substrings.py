@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_set, in_bit_set, stored
+from .common import bit_set, in_bit_set, release_memory, stored
 
 LENGTH = 200
 ANCHOR = 32
@@ -119,6 +119,7 @@ def _seen(length: int):
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
             n = np.diff(np.append(new, len(h)))
             yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(c[new]), pa.array(n.astype(np.int64))], names=["h", "c", "n"])
+        release_memory()
 
     return run
 
@@ -156,6 +157,7 @@ def _cut_out(length: int, repeated, mixed):
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT_TYPES, strict=True)],
                                              names=["k1", "k2", "h", "c", "starts", "windows", "anchor", "context"])
+        release_memory()
 
     return run
 

@@ -160,38 +160,41 @@ class _Library(ChunkCoder):
         super().__init__(entries)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.tok = path, None  # the full tokenizer is only loaded when a text needs it
         self.bare = Tokenizer.from_file(path)  # for pieces that are cut and normalised already
-        self.bare.encode_special_tokens = True
+        self.bare.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(_MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        mark = self._ids(_MARK, self.bare)
+        mark = self._ids(_MARK)
         if len(mark) != 1:
             raise ValueError("the separator must be one token")
         self.mark = mark[0]
 
     def _ids(self, text: str, tok=None) -> np.ndarray:
-        return np.array((tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.array((tok or self.bare).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def ids_of_pieces(self, pieces: list[str]) -> Iterator[bytes]:
         for lo in range(0, len(pieces), 500):
-            ids = self._ids(_MARK.join(pieces[lo:lo + 500]), self.bare)
+            ids = self._ids(_MARK.join(pieces[lo:lo + 500]))
             at = np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
             for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True):
                 yield raw[a:b]
 
     def ids_of_text(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+        if self.tok is None:
+            from tokenizers import Tokenizer
+            self.tok = Tokenizer.from_file(self.path)
+            self.tok.encode_special_tokens = True
+        return self._ids(text, self.tok).tobytes()
 
 
 class WordCoder(_Library):
     """The lower-casing vocabulary that drops white space: chunks are the
     strings between spaces and line ends."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES // 3):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES // 4):
         super().__init__(path, entries)
 
     _cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
