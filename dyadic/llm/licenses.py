@@ -1,8 +1,12 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; each normalised sentence (lower case, runs of
-other characters than a-z and 0-9 as one space) is looked up among known
-licence sentences, which gives a sequence of sentence identifiers.  Licence
+A text is cut into pieces at sentence marks and line ends; pieces are
+normalised (lower case, runs of other characters than a-z and 0-9, so also
+comment signs, as one space).  A known licence sentence is found where its
+words begin at the begin of a piece and end at the end of one, whatever cuts
+lie between: hard-wrapped lines, blank lines before an address, marks inside
+the sentence.  Longer sentences are taken first and use up their words, which
+gives a sequence of sentence identifiers in the order of the text.  Licence
 rules are ordered sequences of identifiers; longer rules are tried first, and
 the sentences a rule explains are taken out before the next one is tried.
 Sentences that are not known are skipped, so a rule matches across them.
@@ -66,7 +70,7 @@ LICENCE_RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
     ("all-rights-reserved", (1,)),
 )
 
-# a sentence ends after . ! ? : ; before white space, or at a line end
+# a piece ends after . ! ? : before white space, or at a line end
 SENTENCE_END = "(?<=[.!?:])[\\x20\\x09\\x0B-\\x0D]+|\\n+"
 
 
@@ -78,20 +82,43 @@ def _sequence(ids: tuple[int, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
+def _known() -> list[tuple[str, str, str]]:
+    """(words, pattern, replacement) of the known sentences, longer ones first.
+    In the text that is searched, ``|`` stands where two pieces meet."""
+    rows = [(normalised(s), i) for i, s in SENTENCES.items()]
+    return [(f" {w} ", "\\|" + w.replace(" ", "[ |]") + "(?=\\|)", f"|<{i}>")
+            for w, i in sorted(rows, key=lambda r: (-len(r[0].split()), r[1]))]
+
+
+def _openings() -> str:
+    """Matches every text that holds a known sentence, and few others."""
+    return "\\|(?:" + "|".join(sorted({"[ |]".join(w.split()[:3]) for w, _, _ in _known()})) + ")"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_known, sentence_ids, licences, n_licences):
-    ``sentence_ids`` as ``<id><id>``, ``licences`` in rule order, joined by
-    commas, one entry per rule that matched at least once."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normalised(s), f"<{i}>")])
+    ``n_sentences`` counts the pieces, ``sentence_ids`` as ``<id><id>``,
+    ``licences`` in rule order, joined by commas, one entry per rule that
+    matched at least once."""
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     parts = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike("[a-z0-9]"))
 
-    def code(s: Column) -> Column:
-        return F.try_element_at(known, F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "), F.lit(" ")))
+    def words(s: Column) -> Column:
+        return F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "), F.lit(" "))
+
+    known = F.array(*[F.struct(F.lit(w).alias("words"), F.lit(p).alias("pattern"), F.lit(r).alias("code"))
+                      for w, p, r in _known()])
+
+    def find(a: Column, k: Column) -> Column:
+        return F.when(F.contains(F.col("plain"), k["words"]), F.regexp_replace(a, k["pattern"], k["code"])).otherwise(a)
 
     d = docs.select(F.col(id_col).alias("doc_id"), parts.alias("s"))
     d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"),
-                 F.filter(F.transform("s", code), lambda c: c.isNotNull()).alias("ids"))
+                 F.concat(F.lit("|"), F.array_join(F.transform("s", words), "|"), F.lit("|")).alias("pieces"))
+    d = d.select("doc_id", "n_sentences", "pieces",
+                 F.when(F.col("pieces").rlike(_openings()), F.translate("pieces", "|", " ")).alias("plain"))
+    found = F.when(F.col("plain").isNotNull(), F.aggregate(known, F.col("pieces"), find)).otherwise(F.lit(""))
+    d = d.select("doc_id", "n_sentences", F.regexp_extract_all(found, F.lit("<[0-9]+>"), F.lit(0)).alias("ids"))
     d = d.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"),
                  F.array_join("ids", "").alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(_sequence(ids)).alias("seq"), F.lit(name).alias("name"))

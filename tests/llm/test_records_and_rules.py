@@ -161,3 +161,79 @@ def test_licences(spark):
     got = {r["doc_id"]: r["licences"] for r in licenses.scan(rows).collect()}
     assert got == {1: "", 2: "", 3: "", 4: "MIT", 5: "BSD-3-Clause,all-rights-reserved", 6: "MIT,all-rights-reserved", 7: ""}
     assert licenses.scan(rows.limit(0)).count() == 0
+
+
+MIT_WRAPPED = """MIT License
+Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_WRAPPED = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD_WRAPPED = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_WRAPPED = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+@pytest.mark.parametrize("text, licences, ids", [
+    (MIT_WRAPPED, "MIT", "<3><4><5><6>"), (APACHE_WRAPPED, "Apache-2.0", "<8><9><10><11>"),
+    (BSD_WRAPPED, "BSD-3-Clause,all-rights-reserved", "<1><20><21><22><23>"), (GPL_WRAPPED, "GPL-3.0-or-later", "<13><14><15>"),
+    ("Licensed under the Apache License,\nVersion 2.0.\nNo full stop\nall rights reserved\nand more", "Apache-2.0,all-rights-reserved", "<7><1>"),
+    ("We say all rights\nreserved. All rights reserved by us.", "", "")])
+def test_licences_in_wrapped_lines(spark, text, licences, ids):
+    lines = text.split("\n")
+    forms = [text, text.replace("\n", "\r\n"), *("\n".join(p + x for x in lines) for p in ("# ", "// ", " * ", "    "))]
+    forms.append("/*\n" + forms[4] + "\n */\nint main() { return 0; }\n")
+    got = licenses.scan(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()
+    assert [(r["licences"], r["sentence_ids"]) for r in got] == [(licences, ids)] * len(forms)
