@@ -237,3 +237,27 @@ def test_licences_in_wrapped_lines(spark, text, licences, ids):
     forms.append("/*\n" + forms[4] + "\n */\nint main() { return 0; }\n")
     got = licenses.scan(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()
     assert [(r["licences"], r["sentence_ids"]) for r in got] == [(licences, ids)] * len(forms)
+
+
+WIDER = {
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "LGPL-2.1-or-later": "Foo is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published\n// by the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "SPDX-License-Identifier: CC0-1.0", "Zlib": "Licensed under the zlib license.",
+    "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)",
+    "MIT": "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "GPL-3.0": "Released under GPLv3.", "GPL-3.0-or-later": "The code is distributed under the terms of the GNU GPL v3 or later.",
+    "LGPL-3.0-or-later": "License: LGPLv3+", "GPL-2.0": "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */",
+    "Apache-2.0,MIT": "# SPDX-License-Identifier: (MIT OR Apache-2.0)", "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "BSD-3-Clause": BSD_WRAPPED.replace("All rights reserved.", "").replace("the copyright holder nor", "Some Company nor"),
+}
+
+
+def test_licences_and_notices_beyond_the_given_rows(spark):
+    no = ["This is not licensed under the MIT license.", "This is not\nlicensed under the MIT license.", "She was released under the old bridge.", "MIT students read."]
+    rows = spark.createDataFrame(list(enumerate([*WIDER.values(), *no])), "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(sorted(r["licences"].split(","))) for r in licenses.scan(rows).collect()}
+    assert [got[k] for k in range(len(got))] == [*WIDER, *[""] * len(no)]
