@@ -43,7 +43,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_BYTES = 1000
 BUCKETS = 1 << 20  # bounds the broadcast set of buckets with repeated digests
 SPLIT = 4 << 20
-HEADER_BYTES = 1 << 16  # a header longer than this is no header
+HEADER_BYTES = 2048  # the first read of a header; longer ones are read on
 
 
 def record_types(pages: DataFrame) -> DataFrame:
@@ -110,13 +110,18 @@ class _File:
 
     def header(self, at: int) -> tuple[dict[str, str], int, int] | None:
         """Fields, first byte of the block and first byte after the record."""
-        head = self.read(at, 2048)
+        n = HEADER_BYTES
+        head = self.read(at, n)
         if not head.startswith(MAGIC):
             return None
         end = head.find(END)
-        if end < 0:
-            head = self.read(at, HEADER_BYTES)
-            end = head.find(END)
+        while end < 0 and n < self.size - at:  # a header has no greatest length
+            cut = head.rfind(b"\r\n")
+            if cut > len(MAGIC) and any(b":" not in line for line in head[len(MAGIC):cut].split(b"\r\n")):
+                return None
+            seen, n = max(0, len(head) - len(END) + 1), 2 * n
+            head = self.read(at, n)
+            end = head.find(END, seen)
         if end < 0:
             return None
         fields = {}
@@ -194,13 +199,21 @@ def reached_entries(cand: DataFrame) -> DataFrame:
                 .select("file", "at", F.coalesce("far", "leaves").alias("leaves")).checkpoint())
 
 
-def read_archives(spark: SparkSession, folder: str, split: int = SPLIT, keep_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, split: int = SPLIT, keep_payload: bool = False,
+                  whole: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to
-    [, url, payload]) of every record that the chain reaches."""
+    [, url, payload]) of every record that the chain reaches.  With ``whole``
+    an archive whose chain does not end at its size is an error."""
     ensure_checkpoint_dir(spark)
     splits = _splits(spark, folder, split)
-    entries = reached_entries(stored(candidates(splits, split), "candidates"))
+    cand = stored(candidates(splits, split), "candidates")
+    entries = reached_entries(cand)
     sizes = splits.select("file", "size").distinct()
+    if whole:
+        ends = entries.join(cand, ["file", "at"]).select("file", F.col("leaves").alias("size"))
+        broken = sizes.join(ends, ["file", "size"], "left_anti").head()
+        if broken:
+            raise ValueError(f"{broken['file']}: the records from its start do not end at its size")
     work = entries.join(sizes, "file").withColumn("hi", (F.floor(F.col("at") / split) + 1) * split)
 
     def number(v: str | None) -> int | None:
@@ -248,4 +261,4 @@ def read_archives(spark: SparkSession, folder: str, split: int = SPLIT, keep_pay
 
 def round_trip(spark: SparkSession, pages: DataFrame, keep_payload: bool = False) -> DataFrame:
     """Write ``pages`` to a fresh shared folder and read the archives back."""
-    return read_archives(spark, write_archives(pages, scratch_path(spark, "warc")), keep_payload=keep_payload)
+    return read_archives(spark, write_archives(pages, scratch_path(spark, "warc")), keep_payload=keep_payload, whole=True)

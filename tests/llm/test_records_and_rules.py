@@ -48,6 +48,27 @@ def test_chain_ends_where_an_archive_is_cut(spark, tmp_path):
     assert folder and warc.read_archives(spark, str(tmp_path / "cut"), 400).count() == 19
 
 
+@pytest.mark.parametrize("split", [30_000, 1 << 22])
+def test_long_urls_lose_no_page(spark, tmp_path, split):
+    urls = ["http://x/" + "u" * (100_000 if i in (7, 12) else i) for i in range(20)]
+    rows = [(i, u, FAKE + "p" * 50) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = warc.write_archives(df, str(tmp_path / "w"))
+    got = warc.read_archives(spark, folder, split, keep_payload=True, whole=True).select("page_id", "url", "payload").collect()
+    assert sorted(map(tuple, got)) == rows
+
+
+@pytest.mark.parametrize("at", [-30, 700, 5])
+def test_whole_archives_are_asked_for(spark, tmp_path, at):
+    df = spark.createDataFrame([(i, None, "p" * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    part = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(part.read_bytes()[:at])
+    with pytest.raises(ValueError, match="do not end at its size"):
+        warc.read_archives(spark, str(tmp_path / "cut"), 400, whole=True)
+
+
 def _top(ids, v, k=5, every=50):
     out = []
     for i in [i for i in ids if i % every == 0]:
