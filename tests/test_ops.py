@@ -92,7 +92,7 @@ def test_counter_draws_of_large_ids(spark):
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(
         crng_uniform("id", F.lit(3), F.lit(1))).collect()]
     assert got == crng_uniform_np(ids, 3, 1).tolist()
-    assert got == [duckdb.sql(f"SELECT {crng_uniform_sql(str(i), 3, 1)}").fetchone()[0] for i in ids]
+    assert got == [duckdb.sql(f"SELECT {crng_uniform_sql(str(i), 3, 1)}").fetchall()[0][0] for i in ids]
     assert len(set(got)) == len(got)
     big = np.arange(2000) + 7 * 2**33
     assert abs(crng_uniform_np(big, 1, 0).mean() - 0.5) < 0.03
