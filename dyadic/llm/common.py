@@ -68,3 +68,28 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library
+
+
+def positions(df: DataFrame, group: str, order: list, pos: str = "pos", total: str = "n_rows") -> DataFrame:
+    """``df`` with each row's 0-based place inside its ``group`` when sorted by
+    the columns ``order``, and the group's number of rows.
+
+    Rows are range partitioned on (group, order), so a group of any size spans
+    as many tasks as it needs; what a group holds per partition is summed and
+    shifted in Spark, nothing comes to the driver.  The sorted rows are written
+    once, so that places and counts read one materialisation.  A null group is
+    a group like any other; rows equal in ``order`` get places in any order."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    keys = [F.col(group).asc_nulls_first(), *order]
+    ranged = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                    .withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranged")
+    held = ranged.groupBy("__part", group).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("__part").alias("__p"), F.col(group).alias("__g"),
+                       (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+                       F.sum("__n").over(whole).alias(total))
+    same = (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g"))
+    return (ranged.join(held, same).withColumn(pos, F.col("__at") + F.col("__shift"))
+            .drop("__part", "__at", "__p", "__g", "__shift"))
