@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadic.session import ensure_checkpoint_dir
+from dyadic.session import scratch_path
 
 
 def row_partitions(spark: SparkSession) -> int:
@@ -17,9 +17,15 @@ def row_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def table_at(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A written table, without a job to find its schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
-    """Materialise into the checkpoint folder (reliable storage, survives
-    executor loss) and return a frame without the old lineage.
+    """Write ``df`` as Parquet into the checkpoint folder (shared storage,
+    survives the loss of an executor) and read it back: lineage ends there,
+    the plan runs once, and later reads take only the columns they need.
 
     ``spread``: rebalance the rows first (the REBALANCE hint: adaptive
     execution deals rows into partitions of the advisory size, so the
@@ -27,10 +33,12 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     deliberately not partitioned by an entity: a hot entity holding a third
     of the rows would make one task a third of every later scan; the grouped
     sums downstream combine per task anyway."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
     if spread:
         df = df.hint("rebalance")
-    return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return table_at(spark, path, df.schema)
 
 
 @dataclass
@@ -54,21 +62,68 @@ class History:
             "iter int, train_rmse double, test_rmse double, objective double")
 
 
+KEYS_HELD = 200_000  # keys of one set that a task keeps before it hands their sums on
+
+
 def group_sums(df: DataFrame, sets: list[tuple[str, str | None, list]]) -> DataFrame:
     """Several grouped sums over one scan and one shuffle.
 
     ``sets``: (name, key column or None for a global sum, [value columns]).
-    Each row is expanded into one entry per set (key, padded value array),
-    partial sums are taken per task, and the result is a long table
-    ``(set, key, n, v0..v{L-1})``.  Every kernel is a sum, so a hot key
-    costs one partial row per task."""
-    L = max(len(v) for _, _, v in sets)
-    entries = []
-    for name, key, vals in sets:
-        vals = list(vals) + [F.lit(0.0)] * (L - len(vals))
-        k = F.lit(0).cast("long") if key is None else F.col(key).cast("long")
-        entries.append(F.struct(F.lit(name).alias("set"), k.alias("key"),
-                                F.array(*[v.cast("double") for v in vals]).alias("v")))
-    ex = df.select(F.explode(F.array(*entries)).alias("e")).select("e.set", "e.key", "e.v")
-    return ex.groupBy("set", "key").agg(F.count(F.lit(1)).cast("long").alias("n"),
-                                        *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(L)])
+    A task adds its rows up by key in Arrow batches, for all sets at once, and
+    hands on one row per set and key: ``(set, key, n, v0..v{L-1})``; those
+    are summed after one exchange.  A value used by several sets is
+    computed once, a null one adds nothing; a null key is no key.  A hot key
+    costs one row per task."""
+    import numpy as np
+    import pyarrow as pa
+    wide = max(len(v) for _, _, v in sets)
+    keys = list(dict.fromkeys(k for _, k, _ in sets if k is not None))
+    values, places = {}, []
+    for _, _, vals in sets:
+        places.append([list(values).index(repr(v)) if values.setdefault(repr(v), v) is not None else 0 for v in vals])
+    flat = df.select(*[F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(keys)],
+                     *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"c{i}") for i, v in enumerate(values.values())])
+    at = [None if k is None else keys.index(k) for _, k, _ in sets]
+    nk, names = len(keys), [n for n, _, _ in sets]
+
+    def add(key, x):
+        """(distinct keys, number of rows, sums of the rows of x)."""
+        own, inv = np.unique(key, return_inverse=True)
+        return own, np.bincount(inv, minlength=len(own)), np.stack([np.bincount(inv, c, len(own)) for c in x], axis=1)
+
+    def merged(parts):
+        own, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n, x = np.zeros(len(own), np.int64), np.zeros((len(own), parts[0][2].shape[1]))
+        np.add.at(n, inv, np.concatenate([p[1] for p in parts]))
+        np.add.at(x, inv, np.concatenate([p[2] for p in parts]))
+        return own, n, x
+
+    def rows_of(i, held):
+        own, n, x = held
+        cols = [pa.array(x[:, j]) if j < x.shape[1] else pa.array(np.zeros(len(own))) for j in range(wide)]
+        return pa.RecordBatch.from_arrays([pa.array([names[i]] * len(own), pa.string()), pa.array(own), pa.array(n), *cols],
+                                          ["set", "key", "n", *[f"v{j}" for j in range(wide)]])
+
+    def run(batches):
+        held = [[] for _ in names]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known = [None if c.null_count == 0 else c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns[:nk]]
+            cols = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in b.columns]
+            for i, k in enumerate(at):
+                key = np.zeros(b.num_rows, np.int64) if k is None else cols[k]
+                x = [cols[nk + j] for j in places[i]]
+                if k is not None and known[k] is not None:
+                    key, x = key[known[k]], [c[known[k]] for c in x]
+                held[i].append(add(key, x))
+                if sum(len(h[0]) for h in held[i]) > KEYS_HELD:
+                    held[i] = [merged(held[i])]
+                    if len(held[i][0][0]) > KEYS_HELD // 2:
+                        yield rows_of(i, held[i].pop())
+        for i, h in enumerate(held):
+            if h:
+                yield rows_of(i, merged(h))
+    schema = "set string, key long, n long, " + ", ".join(f"v{j} double" for j in range(wide))
+    return flat.mapInArrow(run, schema).groupBy("set", "key").agg(
+        F.sum("n").alias("n"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(wide)])

@@ -25,11 +25,15 @@ def _zeros(k: int) -> Column:
 
 
 def attach(rows: DataFrame, key: str, table: DataFrame, cols: Mapping[str, str],
-           nrows: int | None = None, k: int | None = None) -> DataFrame:
+           nrows: int | None = None, k: int | None = None, looks=None) -> DataFrame:
     """Left-join ``table`` (``key`` + value columns) and rename its value
-    columns by ``cols`` (source -> new).  Missing ids give 0 / zero vectors."""
+    columns by ``cols`` (source -> new).  Missing ids give 0 / zero vectors.
+    ``looks``: the lookups of prepared rows, which know the strategy."""
     t = table.select(F.col(key), *[F.col(s).alias(d) for s, d in cols.items()])
-    out = rows.join(sized_broadcast(t, nrows), key, "left")
+    if looks is not None:
+        out = looks.attach(rows, key, table, cols)
+    else:
+        out = rows.join(sized_broadcast(t, nrows, width=k), key, "left")
     fills = {}
     for d in cols.values():
         is_vec = dict(t.dtypes)[d].startswith("array")
@@ -80,7 +84,7 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
                   shared_p: np.ndarray | None = None,
                   Wcat: Mapping[str, tuple[DataFrame, int | None]] | None = None,
                   reals: Sequence[str] = (), Wr: np.ndarray | None = None,
-                  keep_parts: bool = False, salt=None) -> DataFrame:
+                  keep_parts: bool = False, looks=None) -> DataFrame:
     """w0 + sum_e b_e[id_e] + P[i]^T (W x) (SC-2, SC-3, SC-5 means).
 
     ``biases``: field -> ((field, b) table, rows); ``P``: ((profiled, vec), rows)
@@ -89,11 +93,11 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
     out = rows
     bias_cols = []
     for i, (f, (tab, n)) in enumerate((biases or {}).items()):
-        out = attach(out, f, tab, {"b": f"__b{i}"}, n)
+        out = attach(out, f, tab, {"b": f"__b{i}"}, n, looks=looks)
         bias_cols.append(F.col(f"__b{i}"))
     wcols = []
     for i, (f, (tab, n)) in enumerate((Wcat or {}).items()):
-        out = attach(out, f, tab, {"wvec": f"__w{i}"}, n, k)
+        out = attach(out, f, tab, {"wvec": f"__w{i}"}, n, k, looks)
         wcols.append(F.col(f"__w{i}"))
     rc = real_comps(reals, Wr)
     regc = []
@@ -107,12 +111,7 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
         pvec = F.array(*[F.lit(float(v)) for v in shared_p])
     else:
         tab, n = P
-        if salt is not None and "__salt" in out.columns:
-            from dyadic.operators.joins import salted_lookup
-            out = salted_lookup(out, tab.select(profiled, F.col("vec").alias("__p")), salt)
-            out = out.withColumn("__p", F.coalesce("__p", _zeros(k)))
-        else:
-            out = attach(out, profiled, tab, {"vec": "__p"}, n, k)
+        out = attach(out, profiled, tab, {"vec": "__p"}, n, k, looks)
         pvec = F.col("__p")
     out = out.withColumn("__reg", reg).withColumn("__pv", pvec)
     bias = F.lit(0.0)
@@ -129,7 +128,7 @@ def profile_score(rows: DataFrame, k: int, w0: float = 0.0,
 def fm_score(rows: DataFrame, k: int, w0: float,
              fields: Mapping[str, tuple[DataFrame, int | None]],
              reals: Sequence[str] = (), wr: np.ndarray | None = None,
-             Vr: np.ndarray | None = None, keep_parts: bool = False) -> DataFrame:
+             Vr: np.ndarray | None = None, keep_parts: bool = False, looks=None) -> DataFrame:
     """Factorization machine (SC-4), all k factors:
     w0 + sum_j w_j x_j + 1/2 sum_f [(sum_j V_jf x_j)^2 - sum_j V_jf^2 x_j^2].
 
@@ -144,7 +143,7 @@ def fm_score(rows: DataFrame, k: int, w0: float,
         lst[l] = term if lst[l] is None else lst[l] + term
 
     for i, (f, (tab, n)) in enumerate(fields.items()):
-        out = attach(out, f, tab, {"w": f"__w{i}", "vec": f"__v{i}"}, n, k)
+        out = attach(out, f, tab, {"w": f"__w{i}", "vec": f"__v{i}"}, n, k, looks)
         lin = lin + F.col(f"__w{i}")
         v = F.col(f"__v{i}")
         for l in range(k):

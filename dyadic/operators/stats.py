@@ -107,6 +107,30 @@ def covariance_matrix(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return cells.select("i", "j", ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
+def moment_matrix(df: DataFrame, cols: Sequence[Column]):
+    """sum x x^T over all rows of the vector x of ``cols``, as a numpy array
+    (bounded by the number of columns): each task multiplies its batches, the
+    partial cells are added by (i, j).  Rows with a null take no part."""
+    import numpy as np
+    import pyarrow as pa
+    d = len(cols)
+
+    def partial(batches):
+        g = np.zeros((d, d))
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                g += x @ x.T
+        i, j = np.meshgrid(np.arange(d, dtype=np.int64), np.arange(d, dtype=np.int64), indexing="ij")
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(g.ravel())], names=["i", "j", "x"])
+
+    x = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    out = np.zeros((d, d))
+    for r in x.mapInArrow(partial, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        out[r["i"], r["j"]] = r["x"]
+    return out
+
+
 def vector_mean(df: DataFrame, vec: str) -> DataFrame:
     """Component-wise mean (AG-8): (pos, mean)."""
     return (df.select(F.posexplode(vec).alias("pos", "x"))

@@ -6,14 +6,24 @@ Variants: ``full``; ``s`` (simplified: means of the hyperparameters are drawn
 around their prior, precisions of W are diagonal, that of P is held); ``nb``
 (no biases); ``np`` (no biases, one membership vector shared by all users, with
 a scalar mean and precision of its own).  One sweep draws, in order: s (per
-user), c (per item), P (per user, k x k conditional), each row W_l of W (r x r
-conditional on the driver, residual excluding only profile l's term), then
+user), c (per item), P (per user, k x k conditional), the rows W_l of W, then
 alpha_G and the hyperparameters, those of W included.  A sample is ``thin``
-sweeps.  Per-entity conditionals are grouped JVM sums; draws use the counter
-RNG keyed by (seed, sweep, block, id), so they do not depend on partitioning.
-Samples after burn-in go to a long trace table ``(sample, param, i, j, value)``
-with the hyperparameters; a prediction is the running mean over them, kept per
-test row.  A fit can start from given values, such as a saved trace's.
+sweeps.
+
+The rows carry their residual e, their p and W x; the blocks s, c and P join
+only their own table and write the rows anew.  All rows W_l come from one pass:
+sum (p (x) x)(p (x) x)^T and sum (p (x) x) e hold the conditional of each W_l
+given the others, so they are drawn one after the other on the driver, and the
+sum of squares after them is known without another pass.  What W's change makes
+of e and W x enters the next block's reading.  A sweep so has 7 passes, whatever
+k is.
+
+Every draw is a function of (seed, sweep, block, index): those per entity by
+the counter RNG of the id, those on the driver by a
+:class:`~dyadic.functions.draws.CounterRNG` per block.  Samples after burn-in go
+to a long trace table ``(sample, param, i, j, value)`` with the hyperparameters;
+a prediction is the running mean over them, kept per test row.  A fit can start
+from given values, such as a saved trace's.
 """
 
 from __future__ import annotations
@@ -27,11 +37,12 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.arrays import dot_k
 from dyadic.functions.crng import crng_uniform
+from dyadic.functions.draws import CounterRNG, stream_of
 from dyadic.operators import stats
 from dyadic.operators.iterate import cut
-from dyadic.operators.joins import sized_broadcast
+from dyadic.operators.keyed import Generations, Lookups, prepare
 from dyadic.session import scratch_path
-from dyadic.operators.train_bpmf import _hyper, _normals, hyper_of_moments
+from dyadic.operators.train_bpmf import _hyper, _moments_of, _normals, hyper_of_moments
 from dyadic.operators.score import real_block
 
 
@@ -41,16 +52,53 @@ def _gauss(id_col, stream: int) -> F.Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2)
 
 
+# blocks of a sweep's streams on the driver
+START, SHARED_P, W_ROWS, NOISE, HYPER_S, HYPER_C, HYPER_P, HYPER_W = range(8)
+
+
 def bias_conditional(rows: DataFrame, key: str, resid: F.Column, alpha_g: float, alpha: float,
-                     mu: float) -> DataFrame:
+                     mu: float, looks: Lookups | None = None) -> DataFrame:
     """Per entity: precision alpha + alpha_G n and mean
     (alpha mu + alpha_G sum resid) / precision (resid excludes this bias)."""
-    g = rows.groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum(resid).alias("sr"))
+    g = (looks or Lookups(set())).sums(rows, key, {"n": F.lit(1).cast("long"), "sr": resid})
     prec = F.lit(alpha) + F.lit(alpha_g) * F.col("n")
     return g.select(key, "n", prec.alias("prec"),
                     ((F.lit(alpha * mu) + F.lit(alpha_g) * F.col("sr")) / prec).alias("mean"))
 
 
+def membership_conditional(rows: DataFrame, key: str, z: list, resid: F.Column, alpha_g: float, lam: np.ndarray,
+                           mu: np.ndarray, looks: Lookups | None = None) -> DataFrame:
+    """Per entity: n, precision lam + alpha_G sum z z^T (``prec_a_b``) and
+    the mean of its membership (``mean_a``), z = W x, resid = y - s - c."""
+    k = len(z)
+    g = (looks or Lookups(set())).gram(rows, key, z, resid)
+    means = _solve_p(g.select(key), g, key, k, alpha_g, lam, mu)
+    return g.join(means, key).select(
+        key, "n", *[(F.lit(float(lam[a, b])) + alpha_g * F.col(f"g_{a}_{b}")).alias(f"prec_{a}_{b}") for a in range(k) for b in range(a, k)],
+        *[F.col("vec")[a].alias(f"mean_{a}") for a in range(k)])
+
+
+def weight_conditional(M: np.ndarray, W: np.ndarray, l: int, alpha_g: float, lam: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(precision, mean) of row l of W given the others; M: the moments of
+    (p (x) x, e), profile by profile, e the residual under W."""
+    r = W.shape[1]
+    at = slice(l * r, (l + 1) * r)
+    G = M[at, at]
+    prec = lam + alpha_g * G
+    return prec, np.linalg.solve(prec, lam @ mu + alpha_g * (M[at, -1] + G @ W[l]))
+
+
+def move_row(M: np.ndarray, l: int, change: np.ndarray) -> None:
+    """The moments after row l of W has changed."""
+    r = len(change)
+    at = slice(l * r, (l + 1) * r)
+    d = M[:, at] @ change
+    ee = M[-1, -1] - 2.0 * change @ M[at, -1] + change @ M[at, at] @ change
+    M[:-1, -1] -= d[:-1]
+    M[-1, :-1] = M[:-1, -1]
+    M[-1, -1] = ee
+
+
 @dataclass
 class BPMLRResult:
     trace: DataFrame     # (sample, param, i, j, value)
@@ -80,114 +128,176 @@ def start_from_trace(trace: DataFrame, uid: str = "uid", iid: str = "iid") -> di
     return out
 
 
+def _checked(start: dict, k: int, r: int, users: DataFrame, items: DataFrame, uid: str, iid: str) -> None:
+    """Refuse starting values of another size or that lack ids."""
+    if "W" in start and np.shape(start["W"]) != (k, r):
+        raise ValueError(f"W is {np.shape(start['W'])}, not {(k, r)}")
+    if "p" in start and np.shape(start["p"]) != (k,):
+        raise ValueError(f"p has {np.size(start['p'])} values, not {k}")
+    for name, ids, key in (("s", users, uid), ("c", items, iid), ("P", users, uid)):
+        if name not in start:
+            continue
+        lacks = ids.join(start[name].select(key), key, "left_anti").count()
+        if lacks:
+            raise ValueError(f"{name} lacks {lacks} of the ids of {key}")
+        if name == "P" and start[name].filter(F.size("vec") != k).limit(1).count():
+            raise ValueError(f"P has rows that are not of length {k}")
+
+
+def _spread(vecs: np.ndarray) -> np.ndarray | None:
+    """Inverse covariance of the rows, None where it has not full rank."""
+    if len(vecs) < 2:
+        return None
+    cov = np.atleast_2d(np.cov(vecs.T))
+    return np.linalg.inv(cov) if np.linalg.matrix_rank(cov) == len(cov) else None
+
+
 def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", target="y", k: int = 3,
               nsamples: int = 50, burnin: int = 5, thin: int = 2, variant: str = "full",
               seed: int = 1234, init_std: float = 0.1, a0: float = 1.0, b0: float = 1.0,
-              row_key=(), start: dict | None = None, trace_path: str | None = None):
+              row_key=(), start: dict | None = None, trace_path: str | None = None, salted=()):
     """``row_key``: columns of ``test`` to keep beside each prediction (they
     need not be unique).  ``start``: any of s, c (id, b), P (id, vec), W (k x r
-    array), p, alpha_G.  ``trace_path``: folder for the trace, a scratch one if not
-    given."""
+    array), p, alpha_G; values of another size or without some id are an
+    error, and the means and precisions start from the given values.
+    ``trace_path``: folder for the trace, a scratch one if not given."""
     spark = train.sparkSession
     r = len(reals)
-    rng = np.random.default_rng(seed)
     start = start or {}
-    rows = cut(train.select(uid, iid, F.col(target).cast("double").alias("__y"), *reals), spread=True)
+    rng = lambda sweep, block: CounterRNG(stream_of(seed, sweep, block))
+    rows = train.select(uid, iid, F.col(target).cast("double").alias("__y"), *reals)
     keys = [x for x in dict.fromkeys([*row_key, uid, iid, target])]
     # rows are numbered once and the numbers stored with them
     probe = cut(test.select(*dict.fromkeys([*keys, *reals])).withColumn("__row", F.monotonically_increasing_id()))
     users = cut(rows.select(uid).union(test.select(uid)).distinct())
     items = cut(rows.select(iid).union(test.select(iid)).distinct())
-    use_b = variant not in ("nb", "np")
+    use_b, shared = variant not in ("nb", "np"), variant == "np"
+    _checked(start, k, r, users, items, uid, iid)
 
     def begin(name, ids, key, col, default):
         if name not in start:
             return ids.select(key, default.alias(col))
-        return ids.join(start[name].select(key, col), key, "left").select(key, F.coalesce(col, default).alias(col))
+        return cut(ids.join(start[name].select(key, col), key))
 
     s = begin("s", users, uid, "b", F.lit(0.0))
     c = begin("c", items, iid, "b", F.lit(0.0))
     P = begin("P", users, uid, "vec", F.array(*[F.lit(1.0 / k) for _ in range(k)]))
-    p_shared = np.array(start["p"]) if "p" in start else np.full(k, 1.0 / k)
-    W = np.array(start["W"], dtype=float) if "W" in start else rng.normal(0.0, init_std, (k, r))
+    p_shared = np.array(start["p"], dtype=float) if "p" in start else np.full(k, 1.0 / k)
+    W = np.array(start["W"], dtype=float) if "W" in start else rng(0, START).normal(0.0, init_std, (k, r))
     alpha_g, h = start.get("alpha_G", 1.0), {"alpha_s": 1.0, "mu_s": 0.0, "alpha_c": 1.0, "mu_c": 0.0, "alpha_p": 1.0, "mu_p": 0.0}
     LamP, muP = np.eye(k), np.zeros(k)
     LamW, muW = np.eye(r), np.zeros(r)
-    N = rows.count()
+    for name, tab in (("s", s), ("c", c)):  # means and precisions of what is given
+        if name in start:
+            a = tab.agg(F.avg("b").alias("m"), F.var_samp("b").alias("v")).first()
+            h[f"mu_{name}"] = a["m"] or 0.0
+            h[f"alpha_{name}"] = 1.0 / a["v"] if a["v"] else 1.0
+    if "P" in start:
+        mean, S = _moments_of(P, k)[1:]
+        muP, LamP = mean, np.linalg.inv(S) if np.linalg.matrix_rank(S) == k else LamP
+    if "W" in start:
+        muW, LamW = W.mean(axis=0), LamW if _spread(W) is None else _spread(W)
+    nu, ni = users.count(), items.count()
+    tables = {} if shared else {uid: (nu, 2 * (k + 1))}
+    if use_b:
+        tables |= {uid: (nu, 2 * (k + 1)), iid: (ni, 2)}
+    rows, looks = prepare(rows, tables, salted=salted)
+    gens = Generations(spark, "bpmlr-rows")
+    keep = [uid, iid, *reals, *looks.salts()]
+    p, g, X = [f"__p{l}" for l in range(k)], [f"__g{l}" for l in range(k)], [F.col(x) for x in reals]
+    f = rows
+    if use_b:
+        f = looks.attach(f, uid, s, {"b": "__s"}, "inner")
+        f = looks.attach(f, iid, c, {"b": "__c"}, "inner")
+    else:
+        f = f.withColumns({"__s": F.lit(0.0), "__c": F.lit(0.0)})
+    f = f.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared])) if shared else looks.attach(f, uid, P, {"vec": "__p"}, "inner")
+    f = f.withColumn("__g", real_block(reals, W))
+    held = [] if shared else p
+    state = gens.write(f.select(*keep, (F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__g", k)).alias("__e"),
+                                *[F.col("__p")[l].alias(p[l]) for l in range(len(held))], *[F.col("__g")[l].alias(g[l]) for l in range(k)]).hint("rebalance"))
+    N = state.count()
     trace_path = trace_path or scratch_path(spark, "bpmlr-trace")
     acc, kept = None, 0
     hist = []
 
-    nu, ni = users.count(), items.count()
+    def pv():
+        return [F.lit(float(v)) for v in p_shared] if shared else [F.col(x) for x in p]
 
-    def frame(s_, c_, P_, W_):
-        j = rows
-        if use_b:
-            j = (j.join(sized_broadcast(s_.withColumnRenamed("b", "__s"), nu), uid)
-                  .join(sized_broadcast(c_.withColumnRenamed("b", "__c"), ni), iid))
-        else:
-            j = j.withColumns({"__s": F.lit(0.0), "__c": F.lit(0.0)})
-        if variant == "np":
-            j = j.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared]))
-        else:
-            j = j.join(sized_broadcast(P_.withColumnRenamed("vec", "__p"), nu, width=k), uid)
-        return j.withColumn("__reg", real_block(reals, W_))
+    def form(coef, cols):
+        return sum((F.lit(float(a)) * x for a, x in zip(coef, cols, strict=True)), F.lit(0.0))
+
+    e, G = F.col("__e"), [F.col(x) for x in g]
+
+    def bias(ids, tab, key, name, stream):
+        nonlocal state, e, G
+        j = looks.attach(state, key, tab, {"b": "__o"}, "inner")
+        cond = bias_conditional(j, key, e + F.col("__o"), alpha_g, h[f"alpha_{name}"], h[f"mu_{name}"], looks)
+        new = cut(ids.join(cond, key, "left").join(tab.withColumnRenamed("b", "__old"), key).select(
+            key, (F.coalesce("mean", F.lit(h[f"mu_{name}"])) + _gauss(key, stream) /
+                  F.sqrt(F.coalesce("prec", F.lit(h[f"alpha_{name}"])))).alias("b"), "__old"))
+        j = looks.attach(state, key, new.withColumn("d", F.col("b") - F.col("__old")), {"d": "__d"}, "inner")
+        state = gens.write(j.select(*keep, (e - F.col("__d")).alias("__e"), *held, *[x.alias(y) for x, y in zip(G, g, strict=True)]))
+        e, G = F.col("__e"), [F.col(x) for x in g]
+        return new.select(key, "b")
 
     for sweep in range(1, nsamples * thin + 1):
         st = seed * 100 + sweep * 10
         if use_b:
-            f = frame(s, c, P, W)
-            res = F.col("__y") - F.col("__c") - dot_k("__p", "__reg", k)
-            cs = bias_conditional(f, uid, res, alpha_g, h["alpha_s"], h["mu_s"])
-            s = cut(users.join(cs, uid, "left").select(
-                uid, (F.coalesce("mean", F.lit(h["mu_s"])) + _gauss(uid, st) /
-                      F.sqrt(F.coalesce("prec", F.lit(h["alpha_s"])))).alias("b")))
-            f = frame(s, c, P, W)
-            res = F.col("__y") - F.col("__s") - dot_k("__p", "__reg", k)
-            cc = bias_conditional(f, iid, res, alpha_g, h["alpha_c"], h["mu_c"])
-            c = cut(items.join(cc, iid, "left").select(
-                iid, (F.coalesce("mean", F.lit(h["mu_c"])) + _gauss(iid, st + 1) /
-                      F.sqrt(F.coalesce("prec", F.lit(h["alpha_c"])))).alias("b")))
+            s = bias(users, s, uid, "s", st)
+            c = bias(items, c, iid, "c", st + 1)
         # P: per user k x k conditional (or one shared vector)
-        f = frame(s, c, P, W).withColumn("__rr", F.col("__y") - F.col("__s") - F.col("__c"))
-        if variant == "np":
-            g = stats.global_gram(f, "__reg", "__rr", k).first()
-            G, bv = stats.gram_to_numpy(g, k)
-            cov = np.linalg.inv(LamP + alpha_g * G)
-            mean = cov @ (LamP @ muP + alpha_g * bv)
-            p_shared = mean + np.linalg.cholesky(cov) @ rng.standard_normal(k)
+        now = pv()
+        back = e + sum((now[l] * G[l] for l in range(k)), F.lit(0.0))
+        if shared:
+            M = stats.moment_matrix(state, [*G, back])
+            cov = np.linalg.inv(LamP + alpha_g * M[:-1, :-1])
+            mean = cov @ (LamP @ muP + alpha_g * M[:-1, -1])
+            change = mean + np.linalg.cholesky(cov) @ rng(sweep, SHARED_P).standard_normal(k) - p_shared
+            p_shared = p_shared + change
+            e = e - form(change, G)
         else:
-            gram = stats.entity_gram(f, uid, "__reg", "__rr", k)
-            P = cut(_draw_p(users, uid, gram, k, alpha_g, LamP, muP, st + 2))
-        # W rows, one profile at a time
+            gram = looks.gram(state, uid, G, back)
+            new = _solve_p(users, gram, uid, k, alpha_g, LamP, muP, st + 2)
+            both = cut(new.join(P.withColumnRenamed("vec", "__old"), uid))
+            j = looks.attach(state, uid, both.select(uid, *[(F.col("vec")[l] - F.col("__old")[l]).alias(f"d{l}") for l in range(k)]),
+                             {f"d{l}": f"__d{l}" for l in range(k)}, "inner")
+            state = gens.write(j.select(*keep, (e - sum((F.col(f"__d{l}") * G[l] for l in range(k)), F.lit(0.0))).alias("__e"),
+                                        *[(F.col(p[l]) + F.col(f"__d{l}")).alias(p[l]) for l in range(k)],
+                                        *[x.alias(y) for x, y in zip(G, g, strict=True)]))
+            P, e, G = both.select(uid, "vec"), F.col("__e"), [F.col(x) for x in g]
+        # the rows of W, one after the other, from one matrix of moments
+        now = pv()
+        M = stats.moment_matrix(state, [*[now[l] * x for l in range(k) for x in X], e])
+        draws, old = rng(sweep, W_ROWS), W.copy()
         for l in range(k):
-            f = frame(s, c, P, W)
-            other = sum((F.col("__p")[m_] * F.col("__reg")[m_] for m_ in range(k) if m_ != l), F.lit(0.0))
-            resid = F.col("__y") - F.col("__s") - F.col("__c") - other
-            pl = F.col("__p")[l]
-            xs = [F.col(x) for x in reals]
-            g = f.agg(*[F.sum(pl * pl * xs[a] * xs[b]).alias(f"g_{a}_{b}") for a in range(r) for b in range(a, r)],
-                      *[F.sum(pl * xs[a] * resid).alias(f"b_{a}") for a in range(r)]).first()
-            G, bv = stats.gram_to_numpy(g, r)
-            W[l] = draw_row(LamW, muW, alpha_g, G, bv, rng)
+            prec, mean = weight_conditional(M, W, l, alpha_g, LamW, muW)
+            row = mean + np.linalg.cholesky(np.linalg.inv(prec)) @ draws.standard_normal(r)
+            move_row(M, l, row - W[l])
+            W[l] = row
+        if shared:  # written, so that the next sweep reads plain columns
+            e, G = e - sum((now[l] * form(W[l] - old[l], X) for l in range(k)), F.lit(0.0)), [G[l] + form(W[l] - old[l], X) for l in range(k)]
+            state = gens.write(state.select(*keep, e.alias("__e"), *[x.alias(y) for x, y in zip(G, g, strict=True)]))
+            e, G = F.col("__e"), [F.col(x) for x in g]
+        else:
+            e = e - sum((now[l] * form(W[l] - old[l], X) for l in range(k)), F.lit(0.0))
+            G = [G[l] + form(W[l] - old[l], X) for l in range(k)]
         # observation precision and hyperparameters
-        f = frame(s, c, P, W)
-        e = F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__reg", k)
-        sse = f.agg(F.sum(e * e)).first()[0]
-        alpha_g = rng.gamma(a0 + N / 2.0, 1.0 / (b0 + sse / 2.0))
+        sse = float(M[-1, -1])
+        alpha_g = rng(sweep, NOISE).gamma(a0 + N / 2.0, 1.0 / (b0 + sse / 2.0))
         simple = variant in ("s", "np")
         if use_b:
-            h["alpha_s"], h["mu_s"] = _normal_gamma(s, rng, at_prior=simple)
-            h["alpha_c"], h["mu_c"] = _normal_gamma(c, rng, at_prior=simple)
-        if variant == "np":
-            h["alpha_p"], h["mu_p"] = normal_gamma(k, float(p_shared.mean()), float(k * p_shared.var()), rng)
+            h["alpha_s"], h["mu_s"] = _normal_gamma(s, rng(sweep, HYPER_S), at_prior=simple)
+            h["alpha_c"], h["mu_c"] = _normal_gamma(c, rng(sweep, HYPER_C), at_prior=simple)
+        if shared:
+            h["alpha_p"], h["mu_p"] = normal_gamma(k, float(p_shared.mean()), float(k * p_shared.var()), rng(sweep, HYPER_P))
             LamP, muP = h["alpha_p"] * np.eye(k), np.full(k, h["mu_p"])
         elif variant == "s":  # the precision of P is held, its mean drawn around the prior
-            muP = rng.multivariate_normal(np.zeros(k), np.linalg.inv((2.0 + nu) * LamP))
+            muP = rng(sweep, HYPER_P).multivariate_normal(np.zeros(k), np.linalg.inv((2.0 + nu) * LamP))
         else:
-            LamP, muP = _hyper(P, k, np.zeros(k), 2.0, float(k), np.eye(k), rng)
+            LamP, muP = _hyper(P, k, np.zeros(k), 2.0, float(k), np.eye(k), rng(sweep, HYPER_P))
         LamW, muW = hyper_of_moments(k, W.mean(axis=0), np.cov(W.T, bias=False).reshape(r, r) if k > 1 else np.zeros((r, r)),
-                                     np.zeros(r), 2.0, float(r), np.eye(r), rng, simple)
+                                     np.zeros(r), 2.0, float(r), np.eye(r), rng(sweep, HYPER_W), simple)
         if sweep % thin:
             continue
         t = sweep // thin
@@ -197,14 +307,15 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             scored = _score(probe if acc is None else acc, uid, iid, reals, s, c, P, W, use_b, variant, p_shared, k)
             so_far = F.lit(0.0) if acc is None else F.col("__sum")
             acc = cut(scored.withColumn("__sum", so_far + F.col("__pred")).select("__row", *dict.fromkeys([*keys, *reals]), "__sum"))
-            scalars = {"alpha_G": alpha_g, **{n: v for n, v in h.items() if (n[-1] == "p") == (variant == "np") and (use_b or n[-1] == "p")}}
+            scalars = {"alpha_G": alpha_g, **{n: v for n, v in h.items() if (n[-1] == "p") == shared and (use_b or n[-1] == "p")}}
             arrays = {"W": W, "lambda_W": LamW, "mu_W": muW}
-            arrays |= {"p": p_shared} if variant == "np" else {"lambda_P": LamP, "mu_P": muP}
+            arrays |= {"p": p_shared} if shared else {"lambda_P": LamP, "mu_P": muP}
             # kept samples go straight to the trace table
-            _trace_rows(spark, t, s, c, None if variant == "np" else P, uid, iid, use_b, scalars, arrays).write.mode("append") \
+            _trace_rows(spark, t, s, c, None if shared else P, uid, iid, use_b, scalars, arrays).write.mode("append") \
                 .partitionBy("sample").parquet(trace_path)
             test_rmse = acc.agg(F.sqrt(F.avg((F.col(target) - F.col("__sum") / kept) ** 2))).first()[0]
         hist.append((t, train_rmse, test_rmse, None))
+    gens.close()
     trace = (spark.read.parquet(trace_path).select("sample", "param", "i", "j", "value")
              if kept else None)
     pred = acc.select(*keys, (F.col("__sum") / kept).alias("pred")) if kept else None
@@ -212,14 +323,9 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     return BPMLRResult(trace, pred, hf)
 
 
-def draw_row(lam, mu, alpha_g, gram, rhs, rng, draw: bool = True) -> np.ndarray:
-    """One row of W from its conditional: precision lam + alpha_G gram."""
-    cov = np.linalg.inv(lam + alpha_g * gram)
-    mean = cov @ (lam @ mu + alpha_g * rhs)
-    return mean + np.linalg.cholesky(cov) @ rng.standard_normal(len(mu)) if draw else mean
-
-
-def _draw_p(users, uid, gram, k, alpha_g, LamP, muP, stream):
+def _solve_p(users, gram, uid, k, alpha_g, LamP, muP, stream: int | None = None):
+    """Membership of each user: a draw of its conditional, or without a
+    ``stream`` its mean."""
     j = users.join(gram, uid, "left")
     lam = [float(x) for x in LamP.reshape(-1)]
     mu = [float(x) for x in muP]
@@ -235,9 +341,9 @@ def _draw_p(users, uid, gram, k, alpha_g, LamP, muP, stream):
                     G[:, a, b] = G[:, b, a] = pdf[f"g_{a}_{b}"].fillna(0.0).to_numpy()
             bv = np.stack([pdf[f"b_{a}"].fillna(0.0).to_numpy() for a in range(k)], axis=1)
             cov = np.linalg.inv(L0[None] + alpha_g * G)
-            mean = np.einsum("nab,nb->na", cov, alpha_g * bv + (L0 @ m0)[None])
-            z = _normals(pdf[uid].to_numpy(), stream, k)
-            vec = mean + np.einsum("nab,nb->na", np.linalg.cholesky(cov), z)
+            vec = np.einsum("nab,nb->na", cov, alpha_g * bv + (L0 @ m0)[None])
+            if stream is not None:
+                vec = vec + np.einsum("nab,nb->na", np.linalg.cholesky(cov), _normals(pdf[uid].to_numpy(), stream, k))
             yield pd.DataFrame({uid: pdf[uid].to_numpy(), "vec": list(vec)})
 
     return j.mapInPandas(solve, f"`{uid}` {dict(j.dtypes)[uid]}, vec array<double>")

@@ -8,12 +8,18 @@ linear in the pair (w_c, v_c) of a code c:
 
 and codes of one field touch disjoint rows, so one grouped Gram per field
 gives the exact minimiser for every code of the field at once (ridge with
-lambda_w on w_c and lambda_v on v_c).  A real column j is one block
-(w_j, V_j) with z = (x_j, x_j (q - x_j V_j)), solved from a (1+k)^2 Gram on
-the driver.  A sweep is w0, each field, each real; the residual is
-recomputed from the parameter tables each pass (no drift), so the
-reference's periodic recompute is not needed.  Decisions: true ALS (no
-0.001 factor on V), w0 <- w0 + mean(y - y_hat), all k factors summed in the
+lambda_w on w_c and lambda_v on v_c).
+
+The rows carry their residual e and the vector q.  A block joins only its own
+table, for the Grams and again for the change that its new values make to e
+and q; every block writes the rows anew (:class:`Generations`).
+
+All real columns are solved from one Gram.  Without the reals' part, u = q -
+sum_j V_j x_j does not move while they are solved, and the prediction is linear
+in phi = (x_j, x_j u, x_i x_j), so sum phi phi^T and sum phi (e + real part)
+hold everything that the solves of (w_j, V_j), one after the other, need; they
+run on the driver.  A sweep is w0, each field, each real.  Decisions: true ALS
+(no 0.001 factor on V), w0 <- w0 + mean(y - y_hat), all k factors summed in the
 two-way term.
 """
 
@@ -27,8 +33,10 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.crng import crng_init, crng_init_np
 from dyadic.operators.iterate import History, cut
+from dyadic.operators.keyed import Generations, prepare
 from dyadic.operators.score import fm_score
-from dyadic.operators.train_profile import block_ridge
+from dyadic.operators.stats import moment_matrix
+from dyadic.operators.train_profile import solve_grams
 
 
 @dataclass
@@ -41,10 +49,10 @@ class FMModel:
     Vr: np.ndarray          # r x k
     sizes: dict = field(default_factory=dict)
 
-    def predict(self, rows: DataFrame, keep_parts: bool = False) -> DataFrame:
+    def predict(self, rows: DataFrame, keep_parts: bool = False, looks=None) -> DataFrame:
         return fm_score(rows, self.k, self.w0,
                         {f: (t, self.sizes.get(f)) for f, t in self.fields.items()},
-                        self.reals, self.wr, self.Vr, keep_parts)
+                        self.reals, self.wr, self.Vr, keep_parts, looks)
 
 
 def init_fm_model(ids: dict, k: int, fields, reals, init_std: float = 0.001, seed: int = 300,
@@ -61,59 +69,104 @@ def init_fm_model(ids: dict, k: int, fields, reals, init_std: float = 0.001, see
     return FMModel(k, 0.0, tabs, list(reals), np.zeros(r), Vr, sizes)
 
 
-def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int = 50,
-               threshold: float = 1e-6, lambda_w: float = 0.01, lambda_v: float = 0.1):
-    """Returns (model, history)."""
-    spark = rows.sparkSession
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
-    hist = History(threshold)
-    m = model
-    k = m.k
+class _Reals:
+    """The real columns' part of the prediction as a linear form in phi."""
+
+    def __init__(self, reals: list, k: int):
+        self.reals, self.k, r = reals, k, len(reals)
+        self.pairs = [(i, j) for i in range(r) for j in range(i + 1, r)]
+        self.size = r + r * k + len(self.pairs)
+
+    def phi(self, u: list) -> list:
+        x = [F.col(c) for c in self.reals]
+        return x + [a * b for a in x for b in u] + [x[i] * x[j] for i, j in self.pairs]
+
+    def theta(self, wr: np.ndarray, Vr: np.ndarray) -> np.ndarray:
+        return np.concatenate([wr, Vr.reshape(-1), [Vr[i] @ Vr[j] for i, j in self.pairs]])
 
-    def resid(mm):
-        return mm.predict(rows, keep_parts=True).withColumn("__r", F.col("__y") - F.col("pred"))
+    def block(self, j: int, Vr: np.ndarray) -> np.ndarray:
+        """z_j = (x_j, x_j u + x_j sum_{i != j} x_i V_i) as rows over phi."""
+        r, k = len(self.reals), self.k
+        out = np.zeros((1 + k, self.size))
+        out[0, j] = 1.0
+        for l in range(k):
+            out[1 + l, r + j * k + l] = 1.0
+            for n, (a, b) in enumerate(self.pairs):
+                if j in (a, b):
+                    out[1 + l, r + r * k + n] = Vr[b if a == j else a, l]
+        return out
 
-    def record(it, mm):
-        g = resid(mm).agg(F.sqrt(F.avg(F.col("__r") * F.col("__r")))).first()[0]
-        return hist.add(it, float(g))
+    def solve(self, H: np.ndarray, b: np.ndarray, wr: np.ndarray, Vr: np.ndarray, lam: list) -> tuple[np.ndarray, np.ndarray]:
+        wr, Vr = wr.copy(), Vr.copy()
+        for j in range(len(self.reals)):
+            wr[j], Vr[j] = 0.0, 0.0
+            z = self.block(j, Vr)
+            sol = np.linalg.solve(z @ H @ z.T + np.diag(lam), z @ (b - H @ self.theta(wr, Vr)))
+            wr[j], Vr[j] = sol[0], sol[1:]
+        return wr, Vr
 
-    record(0, m)
+
+def _form(coef: np.ndarray, cols: list):
+    return sum((F.lit(float(c)) * x for c, x in zip(coef, cols, strict=True)), F.lit(0.0))
+
+
+def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int = 50,
+               threshold: float = 1e-6, lambda_w: float = 0.01, lambda_v: float = 0.1, salted=()):
+    """Returns (model, history).  ``salted``: fields to salt in any case."""
+    spark = rows.sparkSession
+    m, k = model, model.k
+    r = len(m.reals)
+    fields = list(m.fields)
+    q = [f"__q{l}" for l in range(k)]
     lam = [lambda_w] + [lambda_v] * k
+    reals, gens, hist = _Reals(m.reals, k), Generations(spark, "fm-rows"), History(threshold)
+    # a block looks up old and new values of its own table
+    rows, looks = prepare(rows, {f: (m.sizes.get(f), 2 * (k + 1)) for f in fields}, salted=salted)
+    keep = [*fields, *m.reals, *looks.salts()]
+    scored = m.predict(rows, keep_parts=True, looks=looks)
+    state = gens.write(scored.select(*keep, (F.col(target).cast("double") - F.col("pred")).alias("__e"),
+                                     *[F.col("__q")[l].alias(q[l]) for l in range(k)]).hint("rebalance"))
+
+    def record(it, s):
+        g = s.agg(F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__e").alias("mean")).first()
+        return hist.add(it, float(g["rmse"])), g["mean"]
+
+    stop, mean = record(0, state)
     for it in range(1, iters + 1):
-        m = replace(m, w0=m.w0 + resid(m).agg(F.avg("__r")).first()[0])
-        for f in list(m.fields):
-            s = resid(m).join(m.fields[f].select(f, F.col("w").alias("__ow"), F.col("vec").alias("__ov")),
-                              f, "left")
-            h = [F.col("__q")[l] - F.col("__ov")[l] for l in range(k)]
-            z = [F.lit(1.0)] + h
-            own = F.col("__ow") + sum((F.col("__ov")[l] * h[l] for l in range(k)), F.lit(0.0))
-            new = block_ridge(s, f, z, F.col("__r") + own, k + 1, lam, "__wv")
-            old = m.fields[f]
-            j = old.join(new, f, "left")
-            upd = j.select(f, F.coalesce(F.col("__wv")[0], F.col("w")).alias("w"),
-                           F.when(F.col("__wv").isNull(), F.col("vec"))
-                            .otherwise(F.slice("__wv", 2, k)).alias("vec"))
-            m = replace(m, fields={**m.fields, f: cut(upd)})
-        for j_, rname in enumerate(m.reals):
-            s = resid(m)
-            x = F.col(rname)
-            vj = m.Vr[j_]
-            h = [x * (F.col("__q")[l] - x * float(vj[l])) for l in range(k)]
-            z = [x] + h
-            own = F.lit(float(m.wr[j_])) * x + sum((F.lit(float(vj[l])) * h[l] for l in range(k)), F.lit(0.0))
-            rr = F.col("__r") + own
-            d = k + 1
-            g = s.agg(*[F.sum(z[a] * z[b]).alias(f"g{a}_{b}") for a in range(d) for b in range(a, d)],
-                      *[F.sum(z[a] * rr).alias(f"c{a}") for a in range(d)]).first()
-            G = np.zeros((d, d))
-            for a in range(d):
-                for b in range(a, d):
-                    G[a, b] = G[b, a] = g[f"g{a}_{b}"]
-            c = np.array([g[f"c{a}"] for a in range(d)])
-            sol = np.linalg.solve(G + np.diag(lam), c)
-            wr, Vr = m.wr.copy(), m.Vr.copy()
-            wr[j_], Vr[j_] = sol[0], sol[1:]
+        m = replace(m, w0=m.w0 + mean)
+        e = F.col("__e") - F.lit(float(mean))
+        for f in fields:
+            own = m.fields[f].select(f, "w", *[F.col("vec")[l].alias(f"v{l}") for l in range(k)])
+            cols = {"w": "__ow", **{f"v{l}": f"__o{l}" for l in range(k)}}
+            s = looks.attach(state, f, own, cols)
+            h = [F.col(q[l]) - F.col(f"__o{l}") for l in range(k)]
+            mine = F.col("__ow") + sum((F.col(f"__o{l}") * h[l] for l in range(k)), F.lit(0.0))
+            g = looks.gram(s, f, [F.lit(1.0), *h], e + mine)
+            new = solve_grams(g, f, k + 1, lam, "__wv")
+            j = own.join(new, f, "left")
+            change = cut(j.select(f, "w", *[f"v{l}" for l in range(k)],
+                                  (F.coalesce(F.col("__wv")[0], F.col("w")) - F.col("w")).alias("dw"),
+                                  *[(F.coalesce(F.col("__wv")[l + 1], F.col(f"v{l}")) - F.col(f"v{l}")).alias(f"d{l}") for l in range(k)]))
+            m = replace(m, fields={**m.fields, f: change.select(f, (F.col("w") + F.col("dw")).alias("w"),
+                                                                F.array(*[F.col(f"v{l}") + F.col(f"d{l}") for l in range(k)]).alias("vec"))})
+            s = looks.attach(state, f, change, {"dw": "__dw", **{f"v{l}": f"__o{l}" for l in range(k)}, **{f"d{l}": f"__d{l}" for l in range(k)}})
+            moved = F.col("__dw") + sum((F.col(f"__d{l}") * (F.col(q[l]) - F.col(f"__o{l}")) for l in range(k)), F.lit(0.0))
+            state = gens.write(s.select(*keep, (e - F.coalesce(moved, F.lit(0.0))).alias("__e"),
+                                        *[(F.col(q[l]) + F.coalesce(F.col(f"__d{l}"), F.lit(0.0))).alias(q[l]) for l in range(k)]))
+            e = F.col("__e")
+        last = state
+        if r:
+            u = [F.col(q[l]) - _form(m.Vr[:, l], [F.col(c) for c in m.reals]) for l in range(k)]
+            phi = reals.phi(u)
+            old = reals.theta(m.wr, m.Vr)
+            M = moment_matrix(state, [*phi, e + _form(old, phi)])
+            wr, Vr = reals.solve(M[:-1, :-1], M[:-1, -1], m.wr, m.Vr, lam)
+            last = state.select(*keep, (e - _form(reals.theta(wr, Vr) - old, phi)).alias("__e"),
+                                *[(F.col(q[l]) + _form(Vr[:, l] - m.Vr[:, l], [F.col(c) for c in m.reals])).alias(q[l]) for l in range(k)])
             m = replace(m, wr=wr, Vr=Vr)
-        if record(it, m):
+        stop, mean = record(it, last)
+        if stop or it == iters:
             break
-    return m, hist.frame(spark)
+        state = gens.write(last) if r else state
+    gens.close()
+    return replace(m, fields={f: cut(t) for f, t in m.fields.items()}), hist.frame(spark)

@@ -14,8 +14,11 @@ Two estimators:
   all from one scan: one expanded grouped sum per iteration;
 * coordinate descent / alternating least squares (TR-5, TR-7): exact block
   minimisation in the order w0, each bias field, P, each categorical block
-  of W, each real column of W - one scan per block; a field's codes touch
-  disjoint rows so the whole field is one exact block.
+  of W, each real column of W; a field's codes touch disjoint rows so the
+  whole field is one exact block.  The rows carry the residual e, their
+  membership p and W x; a block joins only its own table, and what its change
+  makes of e, p and W x is written with the rows (:class:`Generations`).  All
+  real columns are solved, one after the other, from the one Gram of p (x) x.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from dyadic.functions.crng import crng_init, crng_init_np
 from dyadic.operators.prep import minibatch_column
 from dyadic.operators.iterate import History, cut, group_sums
+from dyadic.operators.keyed import Generations, Lookups, prepare
 from dyadic.operators.score import profile_score
+from dyadic.operators.stats import moment_matrix
 
 
 @dataclass
@@ -48,13 +53,21 @@ class ProfileModel:
     learn_w0: bool = True
     salt: object = None     # SaltPlan of the training rows for a P too large to broadcast
 
-    def predict(self, rows: DataFrame, keep_parts: bool = False) -> DataFrame:
+    def widths(self) -> dict:
+        """Per key the rows and the numbers to a row of the tables it reaches."""
+        out = {}
+        for fields, n in ((self.biases, 1), ([self.profiled], self.k), (self.Wcat, self.k)):
+            for f in fields:
+                out[f] = (self.sizes.get(f), out.get(f, (0, 0))[1] + n)
+        return out
+
+    def predict(self, rows: DataFrame, keep_parts: bool = False, looks: Lookups | None = None) -> DataFrame:
         return profile_score(
             rows, self.k, self.w0,
             {f: (t, self.sizes.get(f)) for f, t in self.biases.items()},
             self.profiled, (self.P, self.sizes.get(self.profiled)), None,
             {f: (t, self.sizes.get(f)) for f, t in self.Wcat.items()},
-            self.reals, self.Wr if len(self.reals) else None, keep_parts, self.salt)
+            self.reals, self.Wr if len(self.reals) else None, keep_parts, looks)
 
     def tables(self) -> dict:
         out = {"P": self.P}
@@ -100,18 +113,16 @@ def _nn(col, nonneg):
     return F.greatest(F.lit(0.0), col) if nonneg else col
 
 
-def _prepare_rows(rows: DataFrame, m: ProfileModel, target: str, salt_entities):
-    """Persist the training rows once; when P is too large to broadcast (or
-    ``salt_entities`` is True) salt hot entities for the P lookups."""
-    from dyadic.operators.iterate import row_partitions
-    from dyadic.operators.joins import BROADCAST_ROWS, plan_salts, salt_rows
-    rows = cut(rows.withColumn("__y", F.col(target).cast("double")), spread=True)
-    n = m.sizes.get(m.profiled)
-    if salt_entities or (salt_entities is None and (n is None or n > BROADCAST_ROWS)):
-        plan = plan_salts(rows, m.profiled, row_partitions(rows.sparkSession))
-        rows = cut(salt_rows(rows, plan))
-        m = replace(m, salt=plan)
-    return rows, m
+def _prepare_rows(rows: DataFrame, m: ProfileModel, target: str, salt_entities, twice: bool = False):
+    """(rows with their target and the salts of keys whose tables are not
+    broadcast, the model, the lookups).  ``salt_entities``: salt the profiled
+    key in any case (True) or never.  ``twice``: a block looks up old and new values."""
+    rows = rows.withColumn("__y", F.col(target).cast("double"))
+    tables = {f: (n, w * (2 if twice else 1)) for f, (n, w) in m.widths().items()}
+    rows, looks = prepare(rows, tables, salted=[m.profiled] if salt_entities else ())
+    if salt_entities is False:
+        looks.plans.pop(m.profiled, None)
+    return rows, replace(m, salt=looks.plans.get(m.profiled)), looks
 
 
 def _gd_sets(m: ProfileModel):
@@ -181,11 +192,13 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
     spark = rows.sparkSession
     if nbatches > 1:  # numbers are stored with the rows: no later scan can change them
         rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
-    rows, m = _prepare_rows(rows, model, target, salt_entities)
-    hist = History(eps)
+    rows, m, looks = _prepare_rows(rows, model, target, salt_entities)
+    keep = dict.fromkeys([*m.widths(), *m.reals, "__y", *looks.salts(), *(["__row"] if nbatches > 1 else [])])
+    rows = cut(rows.select(*keep), spread=True)
+    hist, gens = History(eps), Generations(spark, "batches")
     step = 2.0 * lrate
     for it in range(iters + 1):
-        agg = cut(group_sums(m.predict(rows, keep_parts=True), _gd_sets(m)))
+        agg = cut(group_sums(m.predict(rows, keep_parts=True, looks=looks), _gd_sets(m)))
         g = agg.filter(F.col("set") == "g").first()
         stop = hist.add(it, float(np.sqrt(g["v1"] / g["n"])))
         if stop or it == iters:
@@ -193,12 +206,15 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
         if nbatches == 1:
             m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
             continue
-        batch = minibatch_column(F.col("__row"), F.lit(0), it, nbatches)
+        # the pass's rows are written by batch, so that a step reads its own only
+        dealt = gens.write(rows.withColumn("__batch", minibatch_column(F.col("__row"), F.lit(0), it, nbatches)), by="__batch")
         for b in range(nbatches):
-            agg = cut(group_sums(m.predict(rows.filter(batch == b), keep_parts=True), _gd_sets(m)))
+            mine = dealt.filter(F.col("__batch") == b).drop("__batch")
+            agg = cut(group_sums(m.predict(mine, keep_parts=True, looks=looks), _gd_sets(m)))
             g = agg.filter(F.col("set") == "g").first()
             if g is not None:
                 m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
+    gens.close()
     return m, hist.frame(spark)
 
 
@@ -208,7 +224,7 @@ def _solve_batched(pdf: pd.DataFrame, k: int, lam: float, key: str, out: str, no
     for a in range(k):
         for b in range(a, k):
             G[:, a, b] = G[:, b, a] = pdf[f"g_{a}_{b}"].to_numpy()
-    c = np.stack([pdf[f"c_{a}"].to_numpy() for a in range(k)], axis=1)
+    c = np.stack([pdf[f"b_{a}"].to_numpy() for a in range(k)], axis=1)
     G = G + np.diag(np.broadcast_to(np.asarray(lam, dtype=float), (k,)))[None, :, :]
     x = np.linalg.solve(G, c[:, :, None])[:, :, 0]
     if nonneg:
@@ -216,24 +232,11 @@ def _solve_batched(pdf: pd.DataFrame, k: int, lam: float, key: str, out: str, no
     return pd.DataFrame({key: pdf[key].to_numpy(), out: list(x)})
 
 
-def block_ridge(s: DataFrame, key: str, z: list, resid, k: int, lam: float, out: str,
-                nonneg: bool = False) -> DataFrame:
-    """Per key: argmin_v sum (resid + v_old.z - v.z)^2 + lam |v|^2 where
-    ``resid`` already includes the old contribution: solve (Z^T Z + lam I) v
-    = Z^T resid.  The k x k Grams are JVM sums; only the per-key k x k solve
-    runs in numpy on executors (mapInPandas)."""
-    aggs = [F.sum(z[a] * z[b]).alias(f"g_{a}_{b}") for a in range(k) for b in range(a, k)]
-    aggs += [F.sum(z[a] * resid).alias(f"c_{a}") for a in range(k)]
-    g = s.groupBy(key).agg(*aggs)
-    key_type = dict(g.dtypes)[key]
-    schema = f"`{key}` {key_type}, `{out}` array<double>"
-    return g.mapInPandas(lambda it: (_solve_batched(p, k, lam, key, out, nonneg) for p in it), schema)
-
-
-def _keep_untouched(old: DataFrame, new: DataFrame, key: str, col: str) -> DataFrame:
-    """Codes without rows keep their value."""
-    j = old.join(new.withColumnRenamed(col, "__new"), key, "left")
-    return j.select(key, F.coalesce("__new", col).alias(col))
+def solve_grams(grams: DataFrame, key: str, k: int, lam, out: str, nonneg: bool = False) -> DataFrame:
+    """Per key (g_a_b, b_a): the solution of (G + lam I) v = b.  The Grams are
+    JVM sums; only the k x k solve per key runs in numpy on executors."""
+    schema = f"`{key}` {dict(grams.dtypes)[key]}, `{out}` array<double>"
+    return grams.mapInPandas(lambda it: (_solve_batched(p, k, lam, key, out, nonneg) for p in it), schema)
 
 
 def objective(m: ProfileModel, sse: float, lambda_w: float, lambda_b: float) -> float:
@@ -255,64 +258,81 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
     theta <- sum((r + theta beta) beta) / (lambda + sum beta^2) in block form,
     r = y - y_hat.  Returns (model, history)."""
     spark = rows.sparkSession
-    rows, m = _prepare_rows(rows, model, target, salt_entities)
-    hist = History(eps)
+    rows, m, looks = _prepare_rows(rows, model, target, salt_entities, twice=True)
+    hist, gens = History(eps), Generations(spark, "profile-rows")
     k, r = m.k, len(m.reals)
-
-    def resid(mm):
-        s = mm.predict(rows, keep_parts=True)
-        return s.withColumn("__r", F.col("__y") - F.col("pred"))
-
-    def record(it, mm):
-        g = resid(mm).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__r") * F.col("__r")).alias("sse")).first()
-        obj = objective(mm, g["sse"], lambda_w, lambda_b) if track_objective else None
-        return hist.add(it, float(np.sqrt(g["sse"] / g["n"])), None, obj)
-
-    record(0, m)
+    p, g = [f"__p{l}" for l in range(k)], [f"__g{l}" for l in range(k)]
+    keep = list(dict.fromkeys([*m.widths(), *m.reals, *looks.salts()]))
+    scored = m.predict(rows, keep_parts=True, looks=looks)
+    state = gens.write(scored.select(*keep, (F.col("__y") - F.col("pred")).alias("__e"), *[F.col("__pv")[l].alias(p[l]) for l in range(k)],
+                                     *[F.col("__reg")[l].alias(g[l]) for l in range(k)]).hint("rebalance"))
+
+    def record(it, mm, s):
+        a = s.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__e") * F.col("__e")).alias("sse"), F.avg("__e").alias("mean")).first()
+        obj = objective(mm, a["sse"], lambda_w, lambda_b) if track_objective else None
+        return hist.add(it, float(np.sqrt(a["sse"] / a["n"])), None, obj), a["mean"]
+
+    def block(f, table, col, z, held=None):
+        """The exact block of one vector table: (new table, rows next to the
+        change ``__d`` of their code)."""
+        own = table.select(f, *[F.col(col)[l].alias(f"v{l}") for l in range(k)])
+        s = state if held is not None else looks.attach(state, f, own, {f"v{l}": f"__o{l}" for l in range(k)})
+        old = held if held is not None else [F.coalesce(f"__o{l}", F.lit(0.0)) for l in range(k)]
+        mine = sum((old[l] * z[l] for l in range(k)), F.lit(0.0))
+        new = solve_grams(looks.gram(s, f, z, e + mine), f, k, lambda_w, "__new", nonneg)
+        j = own.join(new, f, "left")
+        to = [F.coalesce(F.col("__new")[l], F.col(f"v{l}")) for l in range(k)]
+        change = cut(j.select(f, F.array(*to).alias(col), *[(to[l] - F.col(f"v{l}")).alias(f"d{l}") for l in range(k)]))
+        moved = looks.attach(state, f, change, {f"d{l}": f"__d{l}" for l in range(k)})
+        d = [F.coalesce(f"__d{l}", F.lit(0.0)) for l in range(k)]
+        return change.select(f, col), moved, d
+
+    P_, G_ = [F.col(c) for c in p], [F.col(c) for c in g]
+    stop, mean = record(0, m, state)
     for sweep in range(1, sweeps + 1):
+        e = F.col("__e")
         if m.learn_w0:
-            mr = resid(m).agg(F.avg("__r")).first()[0]
-            w0 = m.w0 + mr
-            m = replace(m, w0=max(0.0, w0) if nonneg else w0)
+            w0 = m.w0 + mean
+            w0 = max(0.0, w0) if nonneg else w0
+            e = e - F.lit(float(w0 - m.w0))
+            m = replace(m, w0=w0)
         for f in list(m.biases):
-            # residual with the field's own bias added back
-            s = m.predict(rows, keep_parts=True).join(m.biases[f].withColumnRenamed("b", "__own"), f, "left").withColumn(
-                "__r", F.col("__y") - F.col("pred") + F.coalesce("__own", F.lit(0.0)))
-            nb = s.groupBy(f).agg((F.sum("__r") / (F.count(F.lit(1)) + F.lit(lambda_b))).alias("b"))
-            if nonneg:
-                nb = nb.withColumn("b", F.greatest(F.lit(0.0), "b"))
-            m = replace(m, biases={**m.biases, f: cut(_keep_untouched(m.biases[f], nb, f, "b"))})
-        # P block per profiled entity
-        s = resid(m)
-        z = [F.col("__reg")[l] for l in range(k)]
-        own = sum((F.col("__pv")[l] * z[l] for l in range(k)), F.lit(0.0))
-        newP = block_ridge(s, m.profiled, z, F.col("__r") + own, k, lambda_w, "vec", nonneg)
-        m = replace(m, P=cut(_keep_untouched(m.P, newP, m.profiled, "vec")))
-        # categorical W blocks, one field at a time
+            s = looks.attach(state, f, m.biases[f], {"b": "__o"})
+            a = looks.sums(s, f, {"sr": e + F.coalesce("__o", F.lit(0.0)), "n": F.lit(1)})
+            nb = F.col("sr") / (F.col("n") + F.lit(lambda_b))
+            j = m.biases[f].join(a, f, "left").withColumn("__new", F.coalesce(F.greatest(F.lit(0.0), nb) if nonneg else nb, "b"))
+            change = cut(j.select(f, F.col("__new").alias("b"), (F.col("__new") - F.col("b")).alias("d")))
+            s = looks.attach(state, f, change, {"d": "__d"})
+            state = gens.write(s.select(*keep, (e - F.coalesce("__d", F.lit(0.0))).alias("__e"), *p, *g))
+            m, e = replace(m, biases={**m.biases, f: change.select(f, "b")}), F.col("__e")
+        newP, s, d = block(m.profiled, m.P, "vec", G_, held=P_)
+        state = gens.write(s.select(*keep, (e - sum((d[l] * G_[l] for l in range(k)), F.lit(0.0))).alias("__e"),
+                                    *[(P_[l] + d[l]).alias(p[l]) for l in range(k)], *g))
+        m, e = replace(m, P=newP), F.col("__e")
         for f in list(m.Wcat):
-            s = resid(m).join(m.Wcat[f].withColumnRenamed("wvec", "__own"), f, "left")
-            z = [F.col("__pv")[l] for l in range(k)]
-            own = sum((F.col("__pv")[l] * F.coalesce(F.col("__own")[l], F.lit(0.0)) for l in range(k)), F.lit(0.0))
-            nw = block_ridge(s, f, z, F.col("__r") + own, k, lambda_w, "wvec", nonneg)
-            m = replace(m, Wcat={**m.Wcat, f: cut(_keep_untouched(m.Wcat[f], nw, f, "wvec"))})
-        # real W columns: each real feature is a field of its own, a k-vector
-        # block W[:, j] solved from a k x k Gram on the driver
-        for j in range(r):
-            s = resid(m)
-            zz = [F.col("__pv")[l] * F.col(m.reals[j]) for l in range(k)]
-            own = sum((F.lit(float(m.Wr[l, j])) * zz[l] for l in range(k)), F.lit(0.0))
-            rr = F.col("__r") + own
-            g = s.agg(*[F.sum(zz[a] * zz[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)],
-                      *[F.sum(zz[a] * rr).alias(f"c{a}") for a in range(k)]).first()
-            G = np.zeros((k, k))
-            for a in range(k):
-                for b in range(a, k):
-                    G[a, b] = G[b, a] = g[f"g{a}_{b}"]
-            c = np.array([g[f"c{a}"] for a in range(k)])
-            w = np.linalg.solve(G + lambda_w * np.eye(k), c)
-            Wr = m.Wr.copy()
-            Wr[:, j] = np.maximum(0.0, w) if nonneg else w
+            newW, s, d = block(f, m.Wcat[f], "wvec", P_)
+            state = gens.write(s.select(*keep, (e - sum((d[l] * P_[l] for l in range(k)), F.lit(0.0))).alias("__e"), *p,
+                                        *[(G_[l] + d[l]).alias(g[l]) for l in range(k)]))
+            m = replace(m, Wcat={**m.Wcat, f: newW})
+        last = state
+        if r:  # each real feature is a field of its own: W[:, j] from the k x k part of the Gram of p (x) x
+            px = [P_[l] * F.col(x) for l in range(k) for x in m.reals]
+            M = moment_matrix(state, [*px, e])
+            A, c, Wr = M[:-1, :-1], M[:-1, -1].copy(), m.Wr.copy()
+            for j in range(r):
+                at = [l * r + j for l in range(k)]
+                w = np.linalg.solve(A[np.ix_(at, at)] + lambda_w * np.eye(k), c[at] + A[np.ix_(at, at)] @ Wr[:, j])
+                w = np.maximum(0.0, w) if nonneg else w
+                c -= A[:, at] @ (w - Wr[:, j])
+                Wr[:, j] = w
+            D = Wr - m.Wr
+            dreg = [sum((F.lit(float(D[l, j])) * F.col(m.reals[j]) for j in range(r)), F.lit(0.0)) for l in range(k)]
+            last = state.select(*keep, (e - sum((P_[l] * dreg[l] for l in range(k)), F.lit(0.0))).alias("__e"), *p,
+                                *[(G_[l] + dreg[l]).alias(g[l]) for l in range(k)])
             m = replace(m, Wr=Wr)
-        if record(sweep, m):
+        stop, mean = record(sweep, m, last)
+        if stop or sweep == sweeps:
             break
+        state = gens.write(last) if r else state
+    gens.close()
     return m, hist.frame(spark)

@@ -1,5 +1,5 @@
-"""Registered Gibbs jobs (TR-2, TR-8): exact conditional moments with SQL
-oracles (k = 2) and sampled fits checked rows-only."""
+"""Registered Gibbs jobs (TR-2, TR-8): exact conditional moments and whole
+sampled runs, both with SQL oracles (k = 2; the draws are replayable)."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from dyadic.plans.params import init_sql, scalar_table, vec_table
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
 from dyadic.plans.registry import SPLIT_SQL, query
+from dyadic.plans.gibbs_sql import bpmf_sql, bpmlr_sql, bpmlr_trace_sql, bpmlr_variants_sql
 from dyadic.plans.score_queries import REALS, W_MLR, Z_SQL, ZCOLS, _wx
 
 import numpy as np
@@ -47,7 +48,7 @@ def q_bpmf_cond(spark, sf):
                       r6(F.col("vec")[0]).alias("mean_0"), r6(F.col("vec")[1]).alias("mean_1"))
 
 
-@query("fit_bpmf")
+@query("fit_bpmf", bpmf_sql())
 def q_fit_bpmf(spark, sf):
     """Two epochs of Gibbs from formula factors; posterior-mean probe RMSE."""
     d = held_dyads(spark, sf)
@@ -94,13 +95,13 @@ def _bpmlr(spark, sf, variant):
     return res
 
 
-@query("fit_bpmlr")
+@query("fit_bpmlr", bpmlr_sql())
 def q_fit_bpmlr(spark, sf):
     res = _bpmlr(spark, sf, "full")
     return res.history.select("iter", r6("train_rmse").alias("train_rmse"), r6("test_rmse").alias("test_rmse"))
 
 
-@query("fit_bpmlr_variants")
+@query("fit_bpmlr_variants", bpmlr_variants_sql())
 def q_fit_bpmlr_variants(spark, sf):
     out = None
     for v in ("s", "nb", "np"):
@@ -111,7 +112,7 @@ def q_fit_bpmlr_variants(spark, sf):
     return out
 
 
-@query("bpmlr_trace_stats")
+@query("bpmlr_trace_stats", bpmlr_trace_sql())
 def q_bpmlr_trace(spark, sf):
     res = _bpmlr(spark, sf, "full")
     return stats.trace_stats(res.trace, groups=[("P", "profile"), ("W", "weights")]).select(
