@@ -7,7 +7,7 @@ import pytest
 
 from dyadic.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "embeddings", "pages")
+TABLES = ("documents", "embeddings", "pages", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -24,5 +24,5 @@ def test_same_rows(spark, sf, name):
     assert rows == sorted(repr(tuple(v for _, v in sorted(zip(names, r)))) for r in want.fetchall())
 
 
-def test_all_ten_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+def test_all_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
