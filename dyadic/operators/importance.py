@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dyadic.operators.iterate import TaskSums, cut
 from dyadic.operators.score import attach
 
 
@@ -26,52 +27,52 @@ def fm_importance(rows: DataFrame, k: int, fields: Mapping[str, tuple[DataFrame,
     as shares of the total over all rows (IM-1).
 
     A row has one active entry per one-hot field plus its real columns, so
-    the pairs are a fixed set of slots: every pair term is written out as
-    plain column arithmetic (inside code generation), each unordered dot
-    product once; nothing pairs rows with other rows."""
-    out = rows
-    slots = []  # (idx column, x column, w column, [k components of v])
+    the pairs are a fixed set of slots.  Rows look up w and v of their codes;
+    a task then takes the pairs of slots for a whole Arrow batch at a time and
+    adds the terms up by column of X, so that one row per task and column is
+    shuffled; nothing pairs rows with other rows."""
+    out, flat = rows, []
     for i, (f, (tab, n)) in enumerate(fields.items()):
         out = attach(out, f, tab, {"w": f"__w{i}", "vec": f"__v{i}"}, n, k)
-        v = F.col(f"__v{i}")
-        slots.append(((F.lit(starts[f]) + F.col(f)).cast("long"), F.lit(1.0), F.col(f"__w{i}"),
-                      [v[l] for l in range(k)]))
-    wr = np.asarray(wr, dtype=float) if len(reals) else None
-    Vr = np.asarray(Vr, dtype=float) if len(reals) else None
-    for j, r in enumerate(reals):
-        slots.append((F.lit(starts[r]).cast("long"), F.col(r).cast("double"), F.lit(float(wr[j])),
-                      [float(Vr[j, l]) for l in range(k)]))
-
-    def dot(a, b):
-        va, vb = slots[a][3], slots[b][3]
-        if all(isinstance(x, float) for x in va + vb):
-            return F.lit(float(sum(x * y for x, y in zip(va, vb))))
-        e = None
-        for x, y in zip(va, vb):
-            x = F.lit(x) if isinstance(x, float) else x
-            t = x * y
-            e = t if e is None else e + t
-        return e
-
-    dots = {}
-    for a in range(len(slots)):
-        for b in range(a + 1, len(slots)):
-            out = out.withColumn(f"__z{a}_{b}", dot(a, b))
-            dots[(a, b)] = dots[(b, a)] = F.col(f"__z{a}_{b}")
-    ents = []
-    for a, (idx, xa, wa, _) in enumerate(slots):
-        s2 = F.lit(0.0)
-        for b, (_, xb, _, _) in enumerate(slots):
-            if b == a:
+        flat += [(F.lit(starts[f]) + F.col(f)).cast("long").alias(f"i{i}"), F.col(f"__w{i}").alias(f"w{i}"),
+                 *[F.col(f"__v{i}")[l].alias(f"v{i}_{l}") for l in range(k)]]
+    nf, nr = len(fields), len(reals)
+    wr = np.asarray(wr, dtype=float) if nr else None
+    Vr = np.asarray(Vr, dtype=float) if nr else None
+    real_at = [int(starts[r]) for r in reals]
+    flat += [F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias(f"x{j}") for j, r in enumerate(reals)]
+
+    def run(batches):
+        held = TaskSums([""], 2)
+        for b in batches:
+            n = b.num_rows
+            if not n:
                 continue
-            s2 = s2 + F.when(xb != 0, F.abs(xb * dots[(a, b)]) / (F.abs(xa) + F.abs(xb))).otherwise(F.lit(0.0))
-        ents.append(F.struct(idx.alias("idx"), xa.alias("x"), F.abs(wa * xa).alias("s1"),
-                             (xa * xa * s2).alias("s2")))
-    per = (out.select(F.explode(F.array(*ents)).alias("e")).select("e.*")
-              .filter(F.col("x") != 0))
+            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            idx, x, w, v = [], [], [], []
+            for i in range(nf):
+                at = i * (k + 2)
+                idx.append(c[at]), x.append(np.ones(n)), w.append(c[at + 1]), v.append(np.stack(c[at + 2:at + 2 + k]))
+            for j in range(nr):
+                idx.append(np.full(n, real_at[j], np.int64)), x.append(c[nf * (k + 2) + j])
+                w.append(np.full(n, wr[j])), v.append(np.repeat(Vr[j][:, None], n, axis=1))
+            s2 = [np.zeros(n) for _ in idx]
+            for p in range(len(idx)):
+                for q in range(p + 1, len(idx)):
+                    both = np.abs(x[p]) + np.abs(x[q])
+                    t = np.abs(np.einsum("ln,ln->n", v[p], v[q])) / np.where(both == 0, 1.0, both)
+                    s2[p] += np.abs(x[q]) * t
+                    s2[q] += np.abs(x[p]) * t
+            for p in range(len(idx)):
+                on = x[p] != 0
+                if on.any():
+                    held.add(0, idx[p][on], [np.abs(w[p] * x[p])[on], (x[p] * x[p] * s2[p])[on]])
+            yield from held.ready()
+        yield from held.rest()
+    per = out.select(*flat).mapInArrow(run, TaskSums.schema(2))
     # one row per column of X (entity columns included): materialised once,
     # then divided by the scalar total
-    by = per.groupBy("idx").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).checkpoint()
+    by = cut(per.groupBy(F.col("key").alias("idx")).agg(F.sum("v0").alias("s1"), F.sum("v1").alias("s2")))
     T = by.agg(F.sum(F.col("s1") + F.col("s2"))).first()[0]
     tot = F.lit(float(T))
     return by.select("idx", ((F.col("s1") + F.col("s2")) / tot).alias("f"),

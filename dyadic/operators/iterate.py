@@ -65,6 +65,55 @@ class History:
 KEYS_HELD = 200_000  # keys of one set that a task keeps before it hands their sums on
 
 
+class TaskSums:
+    """Sums by key that a task adds up over its Arrow batches, for several sets
+    of keys at once; :meth:`ready` and :meth:`rest` hand on rows (set, key, n,
+    v0..).  What is held is bounded by ``KEYS_HELD`` keys a set."""
+
+    def __init__(self, names: list[str], wide: int):
+        self.names, self.wide, self.held = names, wide, [[] for _ in names]
+
+    def add(self, i: int, key, values: list) -> None:
+        import numpy as np
+        own, inv = np.unique(key, return_inverse=True)
+        sums = np.stack([np.bincount(inv, c, len(own)) for c in values], axis=1)
+        self.held[i].append((own, np.bincount(inv, minlength=len(own)), sums))
+
+    def _merge(self, i: int) -> None:
+        import numpy as np
+        parts = self.held[i]
+        own, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n, x = np.zeros(len(own), np.int64), np.zeros((len(own), parts[0][2].shape[1]))
+        np.add.at(n, inv, np.concatenate([p[1] for p in parts]))
+        np.add.at(x, inv, np.concatenate([p[2] for p in parts]))
+        self.held[i] = [(own, n, x)]
+
+    def _rows(self, i: int):
+        import numpy as np
+        import pyarrow as pa
+        own, n, x = self.held[i].pop()
+        cols = [pa.array(x[:, j]) if j < x.shape[1] else pa.array(np.zeros(len(own))) for j in range(self.wide)]
+        return pa.RecordBatch.from_arrays([pa.array([self.names[i]] * len(own), pa.string()), pa.array(own), pa.array(n), *cols],
+                                          ["set", "key", "n", *[f"v{j}" for j in range(self.wide)]])
+
+    def ready(self):
+        for i, h in enumerate(self.held):
+            if sum(len(p[0]) for p in h) > KEYS_HELD:
+                self._merge(i)
+                if len(self.held[i][0][0]) > KEYS_HELD // 2:
+                    yield self._rows(i)
+
+    def rest(self):
+        for i, h in enumerate(self.held):
+            if h:
+                self._merge(i)
+                yield self._rows(i)
+
+    @staticmethod
+    def schema(wide: int) -> str:
+        return "set string, key long, n long, " + ", ".join(f"v{j} double" for j in range(wide))
+
+
 def group_sums(df: DataFrame, sets: list[tuple[str, str | None, list]]) -> DataFrame:
     """Several grouped sums over one scan and one shuffle.
 
@@ -75,7 +124,6 @@ def group_sums(df: DataFrame, sets: list[tuple[str, str | None, list]]) -> DataF
     computed once, a null one adds nothing; a null key is no key.  A hot key
     costs one row per task."""
     import numpy as np
-    import pyarrow as pa
     wide = max(len(v) for _, _, v in sets)
     keys = list(dict.fromkeys(k for _, k, _ in sets if k is not None))
     values, places = {}, []
@@ -86,26 +134,8 @@ def group_sums(df: DataFrame, sets: list[tuple[str, str | None, list]]) -> DataF
     at = [None if k is None else keys.index(k) for _, k, _ in sets]
     nk, names = len(keys), [n for n, _, _ in sets]
 
-    def add(key, x):
-        """(distinct keys, number of rows, sums of the rows of x)."""
-        own, inv = np.unique(key, return_inverse=True)
-        return own, np.bincount(inv, minlength=len(own)), np.stack([np.bincount(inv, c, len(own)) for c in x], axis=1)
-
-    def merged(parts):
-        own, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n, x = np.zeros(len(own), np.int64), np.zeros((len(own), parts[0][2].shape[1]))
-        np.add.at(n, inv, np.concatenate([p[1] for p in parts]))
-        np.add.at(x, inv, np.concatenate([p[2] for p in parts]))
-        return own, n, x
-
-    def rows_of(i, held):
-        own, n, x = held
-        cols = [pa.array(x[:, j]) if j < x.shape[1] else pa.array(np.zeros(len(own))) for j in range(wide)]
-        return pa.RecordBatch.from_arrays([pa.array([names[i]] * len(own), pa.string()), pa.array(own), pa.array(n), *cols],
-                                          ["set", "key", "n", *[f"v{j}" for j in range(wide)]])
-
     def run(batches):
-        held = [[] for _ in names]
+        held = TaskSums(names, wide)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -116,14 +146,8 @@ def group_sums(df: DataFrame, sets: list[tuple[str, str | None, list]]) -> DataF
                 x = [cols[nk + j] for j in places[i]]
                 if k is not None and known[k] is not None:
                     key, x = key[known[k]], [c[known[k]] for c in x]
-                held[i].append(add(key, x))
-                if sum(len(h[0]) for h in held[i]) > KEYS_HELD:
-                    held[i] = [merged(held[i])]
-                    if len(held[i][0][0]) > KEYS_HELD // 2:
-                        yield rows_of(i, held[i].pop())
-        for i, h in enumerate(held):
-            if h:
-                yield rows_of(i, merged(h))
-    schema = "set string, key long, n long, " + ", ".join(f"v{j} double" for j in range(wide))
-    return flat.mapInArrow(run, schema).groupBy("set", "key").agg(
+                held.add(i, key, x)
+            yield from held.ready()
+        yield from held.rest()
+    return flat.mapInArrow(run, TaskSums.schema(wide)).groupBy("set", "key").agg(
         F.sum("n").alias("n"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(wide)])

@@ -5,9 +5,9 @@ partition; ``monotonically_increasing_id`` then numbers rows in sorted order
 inside a partition.  A table of (partition, group) -> (first id, count) - at
 most #partitions x #groups rows - turns those numbers into ranks within the
 group.  A group larger than a partition simply spans several partitions, so
-a hot group is split across tasks.  The ranged table is checkpointed (the
-shared checkpoint folder) so the counts and the ids read one materialisation
-even if an executor is lost.
+a hot group is split across tasks.  The ranged table is written (in the shared
+checkpoint folder) so the counts and the ids read one materialisation even if
+an executor is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dyadic.operators.iterate import cut
+
 
 def rank_within(df: DataFrame, group: str, order: Sequence[str], rank: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
@@ -27,10 +29,9 @@ def rank_within(df: DataFrame, group: str, order: Sequence[str], rank: str = "ra
     keys = [group, *order]
     # without an explicit count, adaptive execution sizes the range partitions
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
-    ranged = (ranged.sortWithinPartitions(*keys)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    ranged = cut(ranged.sortWithinPartitions(*keys)
+                 .withColumn("__pid", F.spark_partition_id())
+                 .withColumn("__mid", F.monotonically_increasing_id()))
     parts = (ranged.groupBy("__pid", group).agg(F.min("__mid").alias("mid0"),
                                                  F.count(F.lit(1)).alias("n"))
                    .orderBy(group, "__pid").collect())

@@ -29,6 +29,23 @@ def pivot_ratings(df: DataFrame, uid: str, iid: str, target: str, order_key: Seq
     return users.select(uid).join(wide, uid, "left").fillna(0.0, subset=[str(i) for i in items]).fillna(0, subset=["n_other"])
 
 
+def rating_blocks(df: DataFrame, uid: str, iid: str, target: str, order_key: Sequence[str], users: DataFrame,
+                  codes: DataFrame, width: int = 16) -> DataFrame:
+    """The users x items matrix in blocks of ``width`` items (RS-1): ``(uid,
+    block, cells array<double>)``, cell j of block b being item code ``b * width
+    + j``, missing = 0.  ``codes``: (iid, code) of every item, from the data.
+    Blocks without an entry are left out, as their cells are all 0; a user
+    without any entry has block 0.  A group holds at most ``width`` entries."""
+    entries = sparse_entries(df, uid, iid, target, order_key).join(codes, iid)
+    at = entries.select(uid, F.expr(f"code div {width}").alias("block"), (F.col("code") % width).cast("int").alias("pos"), "value")
+    cells = at.groupBy(uid, "block").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
+    empty = F.array(*[F.lit(0.0)] * width)
+    out = users.select(uid).distinct().join(cells, uid, "left")
+    return out.select(uid, F.coalesce("block", F.lit(0).cast("long")).alias("block"),
+                      F.when(F.col("m").isNull(), empty).otherwise(wide).alias("cells"))
+
+
 def unpivot_stats(df: DataFrame, ids: Sequence[str], values: Sequence[str],
                   var: str = "feature", val: str = "value") -> DataFrame:
     """Wide -> long (RS-3)."""

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.crng import crng_init, crng_init_np
+from dyadic.operators.epochs import Epochs
 from dyadic.operators.iterate import History, cut
 from dyadic.operators.keyed import Generations, prepare
 from dyadic.operators.score import fm_score
@@ -111,8 +112,11 @@ def _form(coef: np.ndarray, cols: list):
 
 
 def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int = 50,
-               threshold: float = 1e-6, lambda_w: float = 0.01, lambda_v: float = 0.1, salted=()):
-    """Returns (model, history).  ``salted``: fields to salt in any case."""
+               threshold: float = 1e-6, lambda_w: float = 0.01, lambda_v: float = 0.1, salted=(),
+               resume_path: str | None = None):
+    """Returns (model, history).  ``salted``: fields to salt in any case.
+    ``resume_path``: each sweep is committed there, and a later call goes on
+    behind the last one."""
     spark = rows.sparkSession
     m, k = model, model.k
     r = len(m.reals)
@@ -120,6 +124,11 @@ def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int =
     q = [f"__q{l}" for l in range(k)]
     lam = [lambda_w] + [lambda_v] * k
     reals, gens, hist = _Reals(m.reals, k), Generations(spark, "fm-rows"), History(threshold)
+    epochs = Epochs(spark, resume_path)
+    done = epochs.last()
+    if done:
+        m = replace(m, w0=done[1]["w0"], wr=done[1]["wr"], Vr=done[1]["Vr"].reshape(r, k), fields={f: done[2][f"f_{f}"] for f in fields})
+        hist.rows = [tuple(x) for x in done[1]["history"]]
     # a block looks up old and new values of its own table
     rows, looks = prepare(rows, {f: (m.sizes.get(f), 2 * (k + 1)) for f in fields}, salted=salted)
     keep = [*fields, *m.reals, *looks.salts()]
@@ -127,12 +136,12 @@ def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int =
     state = gens.write(scored.select(*keep, (F.col(target).cast("double") - F.col("pred")).alias("__e"),
                                      *[F.col("__q")[l].alias(q[l]) for l in range(k)]).hint("rebalance"))
 
-    def record(it, s):
+    def record(it, s, again=False):
         g = s.agg(F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__e").alias("mean")).first()
-        return hist.add(it, float(g["rmse"])), g["mean"]
+        return not again and hist.add(it, float(g["rmse"])), g["mean"]
 
-    stop, mean = record(0, state)
-    for it in range(1, iters + 1):
+    stop, mean = record(0, state, again=bool(done))
+    for it in range(1 + (done[0] if done else 0), iters + 1):
         m = replace(m, w0=m.w0 + mean)
         e = F.col("__e") - F.lit(float(mean))
         for f in fields:
@@ -165,6 +174,7 @@ def fit_fm_als(rows: DataFrame, model: FMModel, target: str = "y", iters: int =
                                 *[(F.col(q[l]) + _form(Vr[:, l] - m.Vr[:, l], [F.col(c) for c in m.reals])).alias(q[l]) for l in range(k)])
             m = replace(m, wr=wr, Vr=Vr)
         stop, mean = record(it, last)
+        epochs.commit(it, {f"f_{f}": t for f, t in m.fields.items()}, {"w0": m.w0, "wr": m.wr, "Vr": m.Vr, "history": hist.rows})
         if stop or it == iters:
             break
         state = gens.write(last) if r else state

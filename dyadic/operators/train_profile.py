@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.crng import crng_init, crng_init_np
 from dyadic.operators.prep import minibatch_column
+from dyadic.operators.epochs import Epochs
 from dyadic.operators.iterate import History, cut, group_sums
 from dyadic.operators.keyed import Generations, Lookups, prepare
 from dyadic.operators.score import profile_score
@@ -125,6 +126,21 @@ def _prepare_rows(rows: DataFrame, m: ProfileModel, target: str, salt_entities,
     return rows, replace(m, salt=looks.plans.get(m.profiled)), looks
 
 
+def _commit(epochs: Epochs, n: int, m: ProfileModel, hist: History) -> None:
+    epochs.commit(n, m.tables(), {"w0": m.w0, "Wr": m.Wr, "history": hist.rows})
+
+
+def _resumed(epochs: Epochs, m: ProfileModel, hist: History) -> tuple[int, ProfileModel]:
+    """(last complete epoch, its model); the history is filled in."""
+    done = epochs.last()
+    if not done:
+        return 0, m
+    n, values, tables = done
+    hist.rows = [tuple(x) for x in values["history"]]
+    return n, replace(m, w0=values["w0"], Wr=values["Wr"].reshape(m.k, len(m.reals)), P=tables["P"],
+                      biases={f: tables[f"b_{f}"] for f in m.biases}, Wcat={f: tables[f"W_{f}"] for f in m.Wcat})
+
+
 def _gd_sets(m: ProfileModel):
     k, r = m.k, len(m.reals)
     e = F.col("pred") - F.col("__y")
@@ -185,8 +201,9 @@ def _gd_step(m: ProfileModel, agg: DataFrame, g, step: float, lambda_w: float, l
 def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrate: float = 0.001,
                    lambda_w: float = 0.01, lambda_b: float = 0.0, iters: int = 10,
                    eps: float = 1e-5, nonneg: bool = False, norm: str = "fro", salt_entities=None,
-                   nbatches: int = 1):
-    """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history).  With
+                   nbatches: int = 1, resume_path: str | None = None):
+    """Gradient fit (TR-4 IPR, TR-6 MLR).  Returns (model, history).  Each pass
+    is committed to ``resume_path``, where a later call goes on.  With
     ``nbatches`` one pass makes that many steps, each on the rows of one batch
     (SO-3: counter draws on stored row numbers, new batches each pass)."""
     spark = rows.sparkSession
@@ -195,9 +212,10 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
     rows, m, looks = _prepare_rows(rows, model, target, salt_entities)
     keep = dict.fromkeys([*m.widths(), *m.reals, "__y", *looks.salts(), *(["__row"] if nbatches > 1 else [])])
     rows = cut(rows.select(*keep), spread=True)
-    hist, gens = History(eps), Generations(spark, "batches")
+    hist, gens, epochs = History(eps), Generations(spark, "batches"), Epochs(spark, resume_path)
     step = 2.0 * lrate
-    for it in range(iters + 1):
+    first, m = _resumed(epochs, m, hist)
+    for it in range(first, iters + 1):
         agg = cut(group_sums(m.predict(rows, keep_parts=True, looks=looks), _gd_sets(m)))
         g = agg.filter(F.col("set") == "g").first()
         stop = hist.add(it, float(np.sqrt(g["v1"] / g["n"])))
@@ -205,6 +223,7 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
             break
         if nbatches == 1:
             m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
+            _commit(epochs, it + 1, m, hist)
             continue
         # the pass's rows are written by batch, so that a step reads its own only
         dealt = gens.write(rows.withColumn("__batch", minibatch_column(F.col("__row"), F.lit(0), it, nbatches)), by="__batch")
@@ -214,6 +233,7 @@ def fit_profile_gd(rows: DataFrame, model: ProfileModel, target: str = "y", lrat
             g = agg.filter(F.col("set") == "g").first()
             if g is not None:
                 m = _gd_step(m, agg, g, step, lambda_w, lambda_b, nonneg, norm)
+        _commit(epochs, it + 1, m, hist)
     gens.close()
     return m, hist.frame(spark)
 
@@ -253,13 +273,14 @@ def objective(m: ProfileModel, sse: float, lambda_w: float, lambda_b: float) ->
 
 def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lambda_w: float = 0.01,
                    lambda_b: float = 0.0, sweeps: int = 10, eps: float = 1e-5, nonneg: bool = False,
-                   track_objective: bool = False, salt_entities=None):
+                   track_objective: bool = False, salt_entities=None, resume_path: str | None = None):
     """Exact block coordinate descent / ALS (TR-5 IPR, TR-7 MLR):
     theta <- sum((r + theta beta) beta) / (lambda + sum beta^2) in block form,
     r = y - y_hat.  Returns (model, history)."""
     spark = rows.sparkSession
     rows, m, looks = _prepare_rows(rows, model, target, salt_entities, twice=True)
-    hist, gens = History(eps), Generations(spark, "profile-rows")
+    hist, gens, epochs = History(eps), Generations(spark, "profile-rows"), Epochs(spark, resume_path)
+    first, m = _resumed(epochs, m, hist)
     k, r = m.k, len(m.reals)
     p, g = [f"__p{l}" for l in range(k)], [f"__g{l}" for l in range(k)]
     keep = list(dict.fromkeys([*m.widths(), *m.reals, *looks.salts()]))
@@ -270,7 +291,7 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
     def record(it, mm, s):
         a = s.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__e") * F.col("__e")).alias("sse"), F.avg("__e").alias("mean")).first()
         obj = objective(mm, a["sse"], lambda_w, lambda_b) if track_objective else None
-        return hist.add(it, float(np.sqrt(a["sse"] / a["n"])), None, obj), a["mean"]
+        return it > first and hist.add(it, float(np.sqrt(a["sse"] / a["n"])), None, obj), a["mean"]
 
     def block(f, table, col, z, held=None):
         """The exact block of one vector table: (new table, rows next to the
@@ -288,8 +309,10 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
         return change.select(f, col), moved, d
 
     P_, G_ = [F.col(c) for c in p], [F.col(c) for c in g]
-    stop, mean = record(0, m, state)
-    for sweep in range(1, sweeps + 1):
+    if not first:
+        first = -1  # the starting point belongs to the history
+    stop, mean = record(max(first, 0), m, state)
+    for sweep in range(max(first, 0) + 1, sweeps + 1):
         e = F.col("__e")
         if m.learn_w0:
             w0 = m.w0 + mean
@@ -331,6 +354,7 @@ def fit_profile_cd(rows: DataFrame, model: ProfileModel, target: str = "y", lamb
                                 *[(G_[l] + dreg[l]).alias(g[l]) for l in range(k)])
             m = replace(m, Wr=Wr)
         stop, mean = record(sweep, m, last)
+        _commit(epochs, sweep, m, hist)
         if stop or sweep == sweeps:
             break
         state = gens.write(last) if r else state

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dyadic.functions.crng import crng_uniform
+from dyadic.functions.crng import MOD, MULT, SQ, crng_uniform
 from dyadic.functions.scalar import bin_levels
 from dyadic.operators.ranking import rank_within
 
@@ -96,20 +96,58 @@ def per_group_sample(wants: DataFrame, candidates: DataFrame, who: str, level: s
     """For each (who, level) choose ``count`` distinct items of that level,
     capped at what exists (WN-6).
 
-    Items of a level get a seeded random order (rank by a counter draw); each
-    (who, level) takes a run of ``count`` consecutive ranks starting at its
-    own seeded offset, wrapping around.  Exactly min(count, n_level) distinct
-    items per group and nothing else is emitted: no candidate pairs."""
-    ranked = rank_within(
-        candidates.select(level, item, crng_uniform(item, F.lit(seed), F.lit(0)).alias("__u")),
-        level, ["__u", item], rank="__rank")
+    A keyed permutation of 0..n-1 belongs to each (who, level): Feistel rounds
+    over an a x b grid of at least n cells, with a key per round drawn for (who,
+    level); a place beyond n walks on along its cycle until it is inside
+    (there are fewer than a such cells, so it gets there).  The images of
+    0..count-1 are the ranks of the chosen items: distinct, independent
+    between students, and no candidate pair is ever made."""
+    ranked = rank_within(candidates.select(level, item), level, [item], rank="__rank")
     sizes = candidates.groupBy(level).agg(F.count(F.lit(1)).cast("long").alias("__n"))
+    a = F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("long")
+    keys = {f"__k{r}": F.floor(crng_uniform(who, F.lit(seed + 1 + r), level) * MOD).cast("long") for r in range(FEISTEL_ROUNDS)}
     picks = (wants.join(sizes, level, "inner")
                   .withColumn("__take", F.least(F.col(count).cast("long"), F.col("__n")))
                   .filter(F.col("__take") > 0)
-                  .withColumn("__off", F.floor(crng_uniform(who, F.lit(seed + 1), level)
-                                               * F.col("__n")).cast("long"))
-                  .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__take") - 1)))
-                  .withColumn("__rank", F.pmod(F.col("__off") + F.col("__i"), F.col("__n"))))
+                  .withColumn("__a", a).withColumn("__b", F.expr("(__n + __a - 1) div __a")).withColumns(keys)
+                  .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__take") - 1))))
+    # the walk: as many steps as there are cells beyond n
+    beyond = F.sequence(F.lit(0).cast("long"), F.least(F.col("__a") * F.col("__b") - F.col("__n"), F.lit(WALK)))
+    walked = F.aggregate(beyond, F.lit(-1).cast("long"), lambda y, _: F.when(y < 0, _feistel(F.col("__i")))
+                         .when(y < F.col("__n"), y).otherwise(_feistel(y)))
+    picks = picks.withColumn("__rank", walked)
     return (picks.join(ranked.select(level, "__rank", item), [level, "__rank"], "inner")
                  .select(who, level, item))
+
+
+FEISTEL_ROUNDS = 4
+WALK = 64  # steps kept for a walk: beyond 4,096 items a place needs that many with a chance under 64^-64
+
+
+def _feistel(x):
+    """The permutation of the a x b grid under the keys ``__k0``.. of the row."""
+    left = F.pmod(x, F.col("__a"))
+    right = ((x - left) / F.col("__a")).cast("long")
+    for r in range(FEISTEL_ROUNDS):
+        side = right if r % 2 == 0 else left
+        t = F.pmod(side * MULT + F.col(f"__k{r}"), F.lit(MOD))
+        mixed = F.pmod(t * t + SQ, F.lit(MOD))
+        if r % 2 == 0:
+            left = F.pmod(left + mixed, F.col("__a"))
+        else:
+            right = F.pmod(right + mixed, F.col("__b"))
+    return right * F.col("__a") + left
+
+
+def feistel_sql(x: str) -> str:
+    """The same in SQL, over columns a, b, k0.."""
+    left, right = f"(({x}) % a)", f"(({x}) // a)"
+    for r in range(FEISTEL_ROUNDS):
+        side = right if r % 2 == 0 else left
+        t = f"(({side} * {MULT} + k{r}) % {MOD})"
+        mixed = f"(({t} * {t} + {SQ}) % {MOD})"
+        if r % 2 == 0:
+            left = f"(({left} + {mixed}) % a)"
+        else:
+            right = f"(({right} + {mixed}) % b)"
+    return f"({right} * a + {left})"

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from dyadic.functions.crng import crng_uniform_sql
+from dyadic.functions.crng import MOD, crng_uniform_sql
 from dyadic.functions.scalar import bin_levels, clip, nonfinite_to_zero, squared_features
 from dyadic.operators import prep, stats, windows
 from dyadic.operators.encode import contiguous_ids, encode, encode_ids, long_design
-from dyadic.operators.reshape import pivot_ratings, sparse_entries, unpivot_stats
+from dyadic.operators.reshape import rating_blocks, sparse_entries, unpivot_stats
 from dyadic.plans.common import ROW_DRAW_SQL, cnt, r2, r6, row_draw, s2, s6
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
@@ -366,13 +366,15 @@ def q_level_counts(spark, sf):
 @query("per_group_sample", f"""WITH {D_SQL},
 pl AS (SELECT p_partkey, {_PART_LEVEL_SQL} AS level FROM part),
 w AS (SELECT uid, level, count(*) AS cnt FROM d JOIN pl ON d.iid = pl.p_partkey GROUP BY uid, level),
-r AS (SELECT level, p_partkey, row_number() OVER (PARTITION BY level ORDER BY {crng_uniform_sql('p_partkey', 7, 0)}, p_partkey) - 1 AS rk FROM pl),
-sz AS (SELECT level, count(*) AS n FROM pl GROUP BY level),
-p AS (SELECT w.uid, w.level, sz.n, LEAST(w.cnt, sz.n) AS take,
-             CAST(floor({crng_uniform_sql('w.uid', 8, 'w.level')} * sz.n) AS BIGINT) AS off
+r AS (SELECT level, p_partkey, row_number() OVER (PARTITION BY level ORDER BY p_partkey) - 1 AS rk FROM pl),
+sz AS (SELECT level, count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM pl GROUP BY level),
+p AS (SELECT w.uid, w.level, n, a, (n + a - 1) // a AS b, LEAST(w.cnt, n) AS take,
+             {', '.join(f"CAST(floor({crng_uniform_sql('w.uid', 8 + k, 'w.level')} * {MOD}) AS BIGINT) AS k{k}" for k in range(windows.FEISTEL_ROUNDS))}
       FROM w JOIN sz USING (level)),
-x AS (SELECT uid, level, n, (off + i) % n AS rk FROM p, range(0, take) AS t(i))
-SELECT x.uid, x.level, r.p_partkey FROM x JOIN r USING (level, rk)""")
+x AS (SELECT uid, level, n, a, b, k0, k1, k2, k3, i FROM p, range(0, take) AS t(i)),
+y AS (SELECT uid, level, list_reduce(list_prepend({windows.feistel_sql('i')}, range(0, a * b - n)),
+             lambda y, s: CASE WHEN y < n THEN y ELSE {windows.feistel_sql('y')} END) AS rk FROM x)
+SELECT y.uid, y.level, r.p_partkey FROM y JOIN r USING (level, rk)""")
 def q_sample(spark, sf):
     return windows.per_group_sample(_wants(spark, sf), _part_levels(spark, sf),
                                     who="uid", level="level", count="count", item="p_partkey", seed=7)
@@ -473,7 +475,6 @@ def q_cum_course(spark, sf):
 
 
 # ---------------------------------------------------------------- reshape
-_BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
 _KEY_SQL = "(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate)"
 
 
@@ -483,27 +484,22 @@ def q_sparse(spark, sf):
     return sparse_entries(dyads(spark, sf), "uid", "iid", "y", ROW_KEY)
 
 
-def _region_rows(spark, sf):
-    d = dyads(spark, sf)
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    return (d.join(c, d.uid == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-             .withColumn("region", F.col("n_regionkey").cast("long")))
+WIDTH = 16
 
 
 @query("pivot_ratings", f"""WITH {D_SQL},
-rr AS (SELECT CAST(n.n_regionkey AS BIGINT) AS region, d.* FROM d JOIN customer c ON d.uid = c.c_custkey
-       JOIN nation n ON c.c_nationkey = n.n_nationkey),
-en AS (SELECT region, p_brand, arg_max(y, {_KEY_SQL}) AS value FROM rr GROUP BY region, p_brand)
-SELECT CAST(r.r_regionkey AS BIGINT) AS region,
-{', '.join(f"COALESCE(max(CASE WHEN p_brand = '{b}' THEN value END), 0.0) AS \"{b}\"" for b in _BRANDS)}
-,
-       CAST(count(*) FILTER (WHERE p_brand NOT IN ({', '.join(f"'{b}'" for b in _BRANDS)})) AS BIGINT) AS n_other
-FROM region r LEFT JOIN en ON en.region = r.r_regionkey GROUP BY r.r_regionkey""")
+it AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_partkey) - 1 AS code FROM part),
+en AS (SELECT uid, iid, arg_max(y, {_KEY_SQL}) AS value FROM d GROUP BY uid, iid),
+b AS (SELECT uid, code // {WIDTH} AS block, {', '.join(f"max(CASE WHEN code % {WIDTH} = {j} THEN value END) AS c{j}" for j in range(WIDTH))}
+      FROM en JOIN it ON en.iid = it.p_partkey GROUP BY uid, code // {WIDTH})
+SELECT c_custkey AS uid, CAST(COALESCE(block, 0) AS BIGINT) AS block, {', '.join(f"COALESCE(c{j}, 0.0) AS c{j}" for j in range(WIDTH))}
+FROM customer LEFT JOIN b ON b.uid = c_custkey""")
 def q_pivot(spark, sf):
-    rr = _region_rows(spark, sf)
-    users = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("region"))
-    return pivot_ratings(rr, "region", "p_brand", "y", ROW_KEY, users, _BRANDS).select("region", *_BRANDS, "n_other")
+    """All customers x all parts, in blocks of 16 parts."""
+    codes = contiguous_ids(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("iid"), F.col("idx").alias("code"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    m = rating_blocks(dyads(spark, sf), "uid", "iid", "y", ROW_KEY, users, codes, WIDTH)
+    return m.select("uid", "block", *[F.col("cells")[j].alias(f"c{j}") for j in range(WIDTH)])
 
 
 @query("unpivot_stats", f"""WITH {D_SQL},

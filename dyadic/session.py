@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # plans of the fits have hundreds of column steps: no call site is kept for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # iteration state is checkpointed every step: drop files of dead frames
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
