@@ -86,7 +86,7 @@ class SqlDraws:
         """Scale one; ``shape`` an expression over the columns in reach."""
         at, self.slot = self.slot, self.slot + GAMMA_SLOTS
         cand = (f"list_transform(range({TRIES}), lambda t: {{'x': {self._z(f'({at} + 3 * t)')}, 'u': {self._u(f'({at} + 3 * t + 2)')}}})")
-        d = f"(({shape}) - {1.0 / 3.0!r})"
+        d = f"(CAST(({shape}) AS DOUBLE) - {1.0 / 3.0!r})"
         v = f"pow(1.0 + y.x / sqrt(9.0 * {d}), 3)"
         ok = f"CASE WHEN {v} > 0 THEN ln(y.u) < 0.5 * y.x * y.x + {d} - {d} * {v} + {d} * ln({v}) ELSE false END"
         return f"list_filter(list_transform({cand}, lambda y: CASE WHEN {ok} THEN {d} * {v} END), lambda g: g IS NOT NULL)[1]"

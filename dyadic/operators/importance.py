@@ -80,10 +80,14 @@ def fm_importance(rows: DataFrame, k: int, fields: Mapping[str, tuple[DataFrame,
 
 
 def collapse_importance(imp: DataFrame, ranges: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sum per-column importances back to the source feature (IM-2): the
-    ranges table has one row per feature and is broadcast."""
-    j = imp.join(F.broadcast(ranges), (imp.idx >= ranges.start) & (imp.idx < ranges["end"]))
-    return j.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cols])
+    """Sum per-column importances back to the source feature (IM-2).  The
+    ranges (one row per feature of the guide) become one expression over
+    ``idx``, so nothing is joined."""
+    name = F.lit(None).cast("string")
+    for r in ranges.select("feature", "start", "end").collect():
+        name = F.when((F.col("idx") >= r["start"]) & (F.col("idx") < r["end"]), F.lit(r["feature"])).otherwise(name)
+    named = imp.withColumn("feature", name).filter(F.col("feature").isNotNull())
+    return named.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def _ipr_rows(rows, k, biases, profiled, P, Wcat, reals, Wr):

@@ -24,10 +24,12 @@ class _ProfileEstimator:
 
     def __init__(self, nmodels: int = 3, lambda_w: float = 0.01, lambda_b: float = 0.0, iters: int = 10,
                  lrate: float = 0.001, epsilon: float = 1e-5, init_std: float = 0.01, nonneg: bool = False,
-                 method: str = "gd", norm: str = "fro", seed: int = 100):
+                 method: str = "gd", norm: str = "fro", seed: int = 100, nbatches: int = 1,
+                 resume_path: str | None = None):
         self.nmodels, self.lambda_w, self.lambda_b, self.iters = nmodels, lambda_w, lambda_b, iters
         self.lrate, self.epsilon, self.init_std, self.nonneg = lrate, epsilon, init_std, nonneg
         self.method, self.norm, self.seed = method, norm, seed
+        self.nbatches, self.resume_path = nbatches, resume_path
         self.model_: ProfileModel | None = None
         self.history_: DataFrame | None = None
 
@@ -47,11 +49,12 @@ class _ProfileEstimator:
         target = enc.guide.target
         if self.method == "cd":
             self.model_, self.history_ = fit_profile_cd(train, m0, target, self.lambda_w, self.lambda_b,
-                                                        self.iters, self.epsilon, self.nonneg)
+                                                        self.iters, self.epsilon, self.nonneg, resume_path=self.resume_path)
         else:
             self.model_, self.history_ = fit_profile_gd(train, m0, target, self.lrate, self.lambda_w,
                                                         self.lambda_b, self.iters, self.epsilon,
-                                                        self.nonneg, self.norm)
+                                                        self.nonneg, self.norm, nbatches=self.nbatches,
+                                                        resume_path=self.resume_path)
         return self
 
     def check_if_learned(self) -> None:
@@ -88,8 +91,9 @@ class _ProfileEstimator:
         params.update({f"b__{f}": t for f, t in m.biases.items()})
         params.update({f"W__{f}": t for f, t in m.Wcat.items()})
         param_save(spark, params, path, ow)
-        meta = spark.createDataFrame([(m.profiled, ",".join(m.reals), bool(m.learn_w0))],
-                                     "profiled string, reals string, learn_w0 boolean")
+        sizes = {f: int(n) for f, n in m.sizes.items() if n is not None}
+        meta = spark.createDataFrame([(m.profiled, ",".join(m.reals), bool(m.learn_w0), sizes)],
+                                     "profiled string, reals string, learn_w0 boolean, sizes map<string,long>")
         meta.write.mode("overwrite" if ow else "errorifexists").parquet(f"{path}/_meta")
 
     @classmethod
@@ -105,7 +109,7 @@ class _ProfileEstimator:
         est.model_ = ProfileModel(
             k, float(p["w0"]), {n[3:]: t for n, t in p.items() if n.startswith("b__")}, meta["profiled"],
             p["P"], {n[3:]: t for n, t in p.items() if n.startswith("W__")}, reals, Wr,
-            learn_w0=bool(meta["learn_w0"]))
+            sizes=dict(meta["sizes"] or {}) if "sizes" in meta else {}, learn_w0=bool(meta["learn_w0"]))
         return est
 
 

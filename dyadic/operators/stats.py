@@ -86,22 +86,27 @@ def covariance_matrix(df: DataFrame, vec: str, dim: int) -> DataFrame:
     """Sample covariance (ddof=1) as a long (i, j, cov) frame (AG-7).  Each
     task sums x and x x^T of its batches (one matrix product each); the
     partial (n, sum, Gram) cells are added by (i, j), dim^2 rows a task.
-    Vectors that are null or of another length take no part."""
+    Vectors that are null, hold a null
+    or are of another length take no part."""
     import numpy as np
     import pyarrow as pa
 
+    whole = df.filter((F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull())).select(F.col(vec).cast("array<double>").alias(vec))
+    # sums around one of the vectors keep their digits where means are large
+    first = whole.first()
+    around = np.zeros(dim) if first is None else np.array(first[0])
+
     def partial(batches):
         n, s, g = 0, np.zeros(dim), np.zeros((dim, dim))
         for b in batches:
             if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) - around
                 n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
         i, j = np.meshgrid(np.arange(dim, dtype=np.int64), np.arange(dim, dtype=np.int64), indexing="ij")
         yield pa.RecordBatch.from_arrays(
             [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(np.full(dim * dim, float(n))), pa.array(np.repeat(s, dim)),
              pa.array(np.tile(s, dim)), pa.array(g.ravel())], names=["i", "j", "n", "si", "sj", "sij"])
 
-    whole = df.filter(F.size(vec) == dim).select(F.col(vec).cast("array<double>").alias(vec))
     cells = whole.mapInArrow(partial, "i long, j long, n double, si double, sj double, sij double").groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
     return cells.select("i", "j", ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
@@ -176,6 +181,15 @@ def feature_sufficient_stats(df: DataFrame, field: str, value, err) -> DataFrame
                                  F.count(F.lit(1)).cast("long").alias("n"))
 
 
+def all_feature_stats(df: DataFrame, values: dict, err) -> DataFrame:
+    """(field, code, sum_vv, sum_ev, n) of every field in one scan and one
+    shuffle (AG-11); ``values``: field of integer codes -> value column."""
+    from dyadic.operators.iterate import group_sums
+    e = _c(err)
+    g = group_sums(df, [(f, f, [_c(v) * _c(v), e * _c(v)]) for f, v in values.items()])
+    return g.select(F.col("set").alias("field"), F.col("key").alias("code"), F.col("v0").alias("sum_vv"), F.col("v1").alias("sum_ev"), "n")
+
+
 def term_quality_points(dyads: DataFrame, spine: DataFrame, sid: str = "sid",
                         term: str = "term", grade: str = "grade",
                         hours: str = "hours") -> DataFrame:

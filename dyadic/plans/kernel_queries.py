@@ -82,9 +82,5 @@ def q_suff(spark, sf):
     enc = encode(dyads(spark, sf), DYAD_GUIDE)
     tr = enc.frame.filter(F.col("split") == "train")
     m = stats.global_mean(tr, "y")
-    out = None
-    for f in DYAD_GUIDE.fields:
-        g = stats.feature_sufficient_stats(tr, f, F.lit(1.0), F.col("y") - F.lit(m)).select(
-            F.lit(f).alias("field"), F.col(f).cast("long").alias("code"), r6("sum_vv").alias("sum_vv"), r6("sum_ev").alias("sum_ev"), "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+    g = stats.all_feature_stats(tr, {f: F.lit(1.0) for f in DYAD_GUIDE.fields}, F.col("y") - F.lit(m))
+    return g.select("field", "code", r6("sum_vv").alias("sum_vv"), r6("sum_ev").alias("sum_ev"), "n")

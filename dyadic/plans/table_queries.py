@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.crng import MOD, crng_uniform_sql
 from dyadic.functions.scalar import bin_levels, clip, nonfinite_to_zero, squared_features
-from dyadic.operators import prep, stats, windows
+from dyadic.operators import prep, stats, term_state, windows
 from dyadic.operators.encode import contiguous_ids, encode, encode_ids, long_design
 from dyadic.operators.reshape import rating_blocks, sparse_entries, unpivot_stats
 from dyadic.plans.common import ROW_DRAW_SQL, cnt, r2, r6, row_draw, s2, s6
 from dyadic.plans.common import held_dyads
 from dyadic.plans.common import hold_out
-from dyadic.plans.registry import D_SQL, E_SQL, SPLIT_SQL, query
+from dyadic.plans.registry import D_SQL, E_SQL, ORACLES, SPLIT_SQL, query
+from dyadic.session import scratch_path
 from dyadic.sources.tables import DYAD_GUIDE, ROW_KEY, dyads, events_dyads, table
 
 UR_SEED = 1234
@@ -195,7 +196,6 @@ def q_union_tt(spark, sf):
 
 def _staged_terms(spark, sf):
     """View E, written once with a folder per term."""
-    from dyadic.session import scratch_path
     path = scratch_path(spark, "terms")
     events_dyads(spark, sf).write.partitionBy("term").parquet(path)
     return path
@@ -208,10 +208,8 @@ def _terms_of(spark, path):
 @query("append_terms", f"""WITH {E_SQL}
 SELECT term, CAST(count(*) AS BIGINT) AS n, {s6('sum(grade)')} AS sum_grade FROM e GROUP BY term""")
 def q_append(spark, sf):
-    path = _staged_terms(spark, sf)
-    # one frame per term, each a read of its own partition folder, accumulated term by term
-    frames = [spark.read.parquet(path).filter(F.col("term") == t) for t in _terms_of(spark, path)]
-    acc = prep.append_terms(frames).withColumn("term", F.col("term").cast("long"))
+    # each term is a folder of its own; all that have been appended are one scan
+    acc = spark.read.parquet(_staged_terms(spark, sf)).withColumn("term", F.col("term").cast("long"))
     return acc.groupBy("term").agg(cnt().alias("n"), r6(F.sum("grade")).alias("sum_grade"))
 
 
@@ -452,6 +450,19 @@ def q_cumgpa(spark, sf):
     return windows.cumulative_gpa(_qpts(spark, sf), _students(spark, sf))
 
 
+@query("carried_gpa", ORACLES["cumulative_gpa"])
+def q_carried_gpa(spark, sf):
+    """The running GPA term by term: each term reads its own folder and the
+    state that the term before it has written."""
+    path = _staged_terms(spark, sf)
+    staged = spark.read.parquet(path)
+    lo, hi = staged.agg(F.min("term"), F.max("term")).first()
+    out = scratch_path(spark, "gpa-terms")
+    term_state.run_terms(term_state.student_state(_students(spark, sf)), range(int(lo), int(hi) + 1),
+                         lambda t: staged.filter(F.col("term") == t), term_state.add_student_term, term_state.student_rows, out)
+    return spark.read.parquet(out)
+
+
 CGPA0, ENROLLED0 = 3.0, 10.0
 
 
