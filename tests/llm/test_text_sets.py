@@ -166,3 +166,33 @@ def test_matching_statistics_of_the_run_length_index():
         rest = text.index(b"\0", i) - i  # beyond a string's end matches mean nothing
         assert min(stats[i], rest) == min(best, rest), i
     assert len(index.run) < len(text)
+
+
+def test_blocks_give_links_not_pairs():
+    """Near copies that do not link give no rows, ones that do at most one less
+    than members, and the components are those of all pairs."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 40, 400).astype(np.uint64)
+    for edits in (5, 30, 60, 140):
+        sets = []
+        for _ in range(80):
+            s = base.copy()
+            s[rnd.choice(400, edits, replace=False)] = rnd.integers(0, 1 << 40, edits)
+            sets.append(np.unique(s))
+        n = np.array([len(s) for s in sets])
+        c, cells = np.arange(80), [np.array([1], np.int64)] * 80
+        links = jaccard._links_of_blocks(np.zeros(80, np.int64), True, c, c, n, cells, sets)
+        assert len(links) <= 79
+        want = {(i, j) for i in range(80) for j in range(i + 1, 80)
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+        assert set(links) <= want
+
+        def groups(pairs):
+            label = list(range(80))
+            for a, b in pairs:
+                label = [label[b] if x == label[a] else x for x in label]
+            return [label.index(x) for x in label]
+        assert groups(links) == groups(want)
+        # members that no cell has left together are not compared
+        apart = jaccard._links_of_blocks(np.zeros(80, np.int64), True, c, c, n, [np.array([i], np.int64) for i in range(80)], sets)
+        assert apart == []
