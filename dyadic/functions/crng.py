@@ -5,7 +5,8 @@ by Spark, by DuckDB and by numpy regardless of partitioning or retries:
 
     id = low + high * 2147483648, folded to
     f = low + (h * ((h * 69621 + 40692) mod 2147483647)) mod 2147483647,
-        h = high mod 2147483647        (f = id below 2147483648)
+        h = high mod 2147483647        (f = id below 2147483647; the low word
+        2147483647 itself, which is 0 modulo the modulus, moves on by 12345)
     x = (f  * 48271 + stream) mod 2147483647
     x = (x  * 48271 + draw)   mod 2147483647
     x = (x  * x + 12345)      mod 2147483647   (non-linear: neighbouring
@@ -42,8 +43,8 @@ def _c(x) -> Column:
 
 def crng_uniform(id_, stream, draw) -> Column:
     id_ = _c(id_).cast("long")
-    h = F.pmod(F.shiftright(id_, 31), F.lit(MOD))
-    f = F.pmod(id_, F.lit(WORD)) + F.pmod(h * F.pmod(h * FOLD_A + FOLD_B, F.lit(MOD)), F.lit(MOD))
+    h, low = F.pmod(F.shiftright(id_, 31), F.lit(MOD)), F.pmod(id_, F.lit(WORD))
+    f = low + F.when(low == MOD, F.lit(SQ)).otherwise(F.lit(0)) + F.pmod(h * F.pmod(h * FOLD_A + FOLD_B, F.lit(MOD)), F.lit(MOD))
     x = F.pmod(f * MULT + _c(stream).cast("long"), F.lit(MOD))
     x = F.pmod(x * MULT + _c(draw).cast("long"), F.lit(MOD))
     x = F.pmod(x * x + SQ, F.lit(MOD))
@@ -55,7 +56,7 @@ def crng_uniform_sql(id_sql: str, stream, draw) -> str:
     """Same draw as SQL text (DuckDB / Spark SQL); ids are not negative."""
     i = f"CAST({id_sql} AS BIGINT)"
     h = f"(CAST(({i} - {i} % {WORD}) / {WORD} AS BIGINT) % {MOD})"
-    f = f"({i} % {WORD} + ({h} * (({h} * {FOLD_A} + {FOLD_B}) % {MOD})) % {MOD})"
+    f = f"({i} % {WORD} + CASE WHEN {i} % {WORD} = {MOD} THEN {SQ} ELSE 0 END + ({h} * (({h} * {FOLD_A} + {FOLD_B}) % {MOD})) % {MOD})"
     x = (f"(((({f} * {MULT} + CAST({stream} AS BIGINT)) % {MOD})"
          f" * {MULT} + CAST({draw} AS BIGINT)) % {MOD})")
     x = f"(({x} * {x} + {SQ}) % {MOD})"
@@ -65,7 +66,8 @@ def crng_uniform_sql(id_sql: str, stream, draw) -> str:
 def crng_uniform_np(ids, stream, draw) -> np.ndarray:
     ids = np.asarray(ids, dtype=np.int64)
     h = (ids >> 31) % MOD
-    f = ids % WORD + (h * ((h * FOLD_A + FOLD_B) % MOD)) % MOD
+    low = ids % WORD
+    f = low + np.where(low == MOD, SQ, 0) + (h * ((h * FOLD_A + FOLD_B) % MOD)) % MOD
     x = (f * MULT + np.int64(stream)) % MOD
     x = (x * MULT + np.asarray(draw, dtype=np.int64)) % MOD
     x = (x * x + SQ) % MOD
