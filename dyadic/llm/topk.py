@@ -16,9 +16,9 @@ and no cell depends on how many rows share anything.
 
 Defined cases: vectors that are null, empty of dimensions, of another length
 than the query, or hold null or non-finite components take no part; ties go to
-the smaller id; rows with a null id take no part; of rows with equal ids the
-one with the greatest vector takes part; an empty table gives no rows; components so large that a
-score might pass 2^53 are scored with Python integers (saturating as long).
+the smaller id; rows with a null id take no part; rows with equal ids all take
+part, as candidates of every other id, and as queries they share the one list
+of their id; an empty table gives no rows; components so large that a score might pass 2^53 are scored with Python integers (saturating as long).
 """
 
 from __future__ import annotations
@@ -125,14 +125,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col))
             .filter(F.col("vec_id").isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite)
-            .select("vec_id", F.transform(vec_col, lambda x: F.floor(x.cast("double") * 256.0).cast("double")).alias("v")))
-    rows = stored(rows.groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
+            .select("vec_id", F.transform(vec_col, lambda x: F.floor(x.cast("double") * 256.0).cast("double")).alias("v"),
+                    F.monotonically_increasing_id().alias("row")))
+    rows = stored(rows, "vectors")
     n = rows.count()
     c_blocks = max(1, -(-n // CANDIDATE_BLOCK))
     is_query = F.col("vec_id") % every == 0
     n_queries = rows.filter(is_query).count()
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40))
+    spread = F.pmod(F.xxhash64("row"), F.lit(1 << 40))  # by row: repeated rows fill no block
     cand = rows.select("vec_id", "v", (spread % c_blocks).cast("int").alias("cb"),
                        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     ask = rows.filter(is_query).select("vec_id", "v", (spread % q_blocks).cast("int").alias("qb"),

@@ -87,10 +87,25 @@ def test_top_k(spark, monkeypatch):
                                                    (451, [float("nan")] * 8, 1), (500, [float("inf")] * 8, 1), (7, vecs[7], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(4)
     got = sorted(map(tuple, topk.top_k(df).collect()))
-    assert got == _top(list(vecs), {i: np.floor(256 * np.array(v)) for i, v in vecs.items()})
+    assert got == _top([*vecs, 7], {i: np.floor(256 * np.array(v)) for i, v in vecs.items()})  # 7 stands there twice
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_of_equal_ids(spark, tmp_path, monkeypatch):
+    import duckdb
+    from dyadic.llm.queries import OP8_SQL
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i % 120, [float(x) for x in np.round(rng.normal(0, 0.2, 6), 2)]) for i in range(300)]
+    rows += [rows[50]] * 2 + [(8, rows[3][1])] * 90  # a repeated query, one hot row
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, topk.top_k(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(OP8_SQL).fetchall())
+
+
 def test_top_k_bounds_hold_and_large_scores_are_exact():
     rng = np.random.default_rng(2)
     v = rng.integers(-9, 9, (500, 20)).astype(float)
