@@ -12,7 +12,6 @@ from dyadic.session import ensure_checkpoint_dir, scratch_path
 # ASCII white space that separates words in the word-based operators.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
-TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """A public vocabulary: the one of the ``public_tokenizers`` package, or of
+    another folder."""
+    if folder is None:
+        import public_tokenizers
+        return public_tokenizers.path(name)
     return os.path.join(folder, name)
 
 

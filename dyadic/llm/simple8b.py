@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -215,19 +216,20 @@ class FileReader:
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all texts below ``folder`` in ascending doc_id order
-    (null ids first, equal ids by text) and return the stored table of files:
-    (first_id, file, n_docs, n_ids)."""
+    (null ids first, equal ids by a hash of the text, so that they may span
+    files) and return the stored table of files: (part, file, n_docs, n_ids),
+    ``part`` being the place of the file's range."""
     path = path or tokenizer_file("byte_bpe_50k.json")
 
     def run(batches):
-        coder, out, total, docs_n, first = worker_coder(ByteCoder, path), None, 0, 0, None
+        coder, out, total, docs_n = worker_coder(ByteCoder, path), None, 0, 0
         name = f"{folder}/ids-{uuid.uuid4().hex}.s8"
         for b in batches:
             for lo in range(0, b.num_rows, 8000):
                 part = b.slice(lo, 8000)
                 ids = part.column(0).to_pylist()
                 if out is None:
-                    out, first = FileWriter(name), ids[0]
+                    out = FileWriter(name)
                 got = [np.append(x, np.uint32(end_id)) for x in coder.encode(part.column(1))]
                 v = np.concatenate(got).astype(np.uint64)
                 out.add(ids, list(map(len, got)), v)
@@ -235,12 +237,13 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([first], pa.int64()), pa.array([name]), pa.array([docs_n], pa.int64()),
-                 pa.array([total], pa.int64())], names=["first_id", "file", "n_docs", "n_ids"])
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]),
+                 pa.array([docs_n], pa.int64()), pa.array([total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, "first_id long, file string, n_docs long, n_ids long"), "id-files")
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = d.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    return stored(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "id-files")
 
 
 def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -248,7 +251,7 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
     counts the ids of all files before; the table of files has one row per
     write task, so its running sum is small."""
     before = F.coalesce(F.sum("n_ids").over(
-        Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = files.select("file", before.alias("before"))
     n = files.count()
 

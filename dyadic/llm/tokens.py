@@ -7,9 +7,11 @@ pieces.  The chunks of a group of texts are dictionary encoded by Arrow, each
 distinct chunk is looked up once, and the ids of all texts are gathered from
 the distinct chunks' ids in a few array operations.  Only pieces that the
 caches miss go to the tokenizer, some hundreds in a call, with a separator
-whose id marks the cuts.  A text with other white space, and a chunk whose
-pieces are not certain, is encoded by the tokenizer as a whole.  The ids equal
-those of one call per text (tested).
+whose id marks the cuts.  A text with other white space or with the string of
+a special token, and a chunk whose pieces are not certain, is encoded by the
+tokenizer as a whole.  The ids equal those of one call per text with
+``add_special_tokens=False`` (tested): like that call, the string of a special
+token inside a text gives that token's id.
 """
 
 from __future__ import annotations
@@ -75,6 +77,10 @@ class ChunkCoder:
         """The chunks of each text, and which texts must be encoded whole."""
         raise NotImplementedError
 
+    def special(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of a special token."""
+        return np.zeros(len(texts), dtype=bool)
+
     def pieces(self, chunks: list[str]) -> list[list[str] | None]:
         """The pieces of each chunk, None where they are not certain."""
         raise NotImplementedError
@@ -148,7 +154,7 @@ class ChunkCoder:
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         at = np.concatenate([[0], ends])[bounds].tolist()
         out = [ids[a + self.skip:b] for a, b in zip(at, at[1:], strict=False)]
-        for i in np.flatnonzero(whole).tolist():
+        for i in np.flatnonzero(whole | self.special(texts)).tolist():
             out[i] = np.frombuffer(self.ids_of_text(texts[i].as_py()), "<u4")
         return out
 
@@ -162,7 +168,8 @@ class _Library(ChunkCoder):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.path, self.tok = path, None  # the full tokenizer is only loaded when a text needs it
         self.bare = Tokenizer.from_file(path)  # for pieces that are cut and normalised already
-        self.bare.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.marks = [t.content for t in self.bare.get_added_tokens_decoder().values()]
+        self.bare.encode_special_tokens = True  # part of such a string is never a special token
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(_MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -171,6 +178,12 @@ class _Library(ChunkCoder):
             raise ValueError("the separator must be one token")
         self.mark = mark[0]
 
+    def special(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), dtype=bool)
+        for mark in self.marks:
+            found |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return found
+
     def _ids(self, text: str, tok=None) -> np.ndarray:
         return np.array((tok or self.bare).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -186,7 +199,6 @@ class _Library(ChunkCoder):
         if self.tok is None:
             from tokenizers import Tokenizer
             self.tok = Tokenizer.from_file(self.path)
-            self.tok.encode_special_tokens = True
         return self._ids(text, self.tok).tobytes()
 
 
