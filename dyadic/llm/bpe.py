@@ -6,7 +6,8 @@ it, so the root names the leftmost pair of minimum rank.  A merge changes
 three leaves (the pair, the pair before it, and the place that died) and
 updates the path above each, which costs the logarithm of the length.  The
 trees of many pieces of like length stand side by side in one array and merge
-in step; a piece that has no pair left drops out.
+in step; a piece that has no pair left drops out.  A few long pieces are
+merged one by one instead.
 
 Chunks and pieces that a worker has met are kept in bounded caches, so the
 trees run once per distinct piece.  Defined cases: a null text is an empty
@@ -18,19 +19,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_file
 from .tokens import CACHE_ENTRIES, ChunkCoder, spaced_chunks
 
-# Fixed value: the split pattern that belongs to the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CELLS = 1 << 19  # leaves that are merged side by side
+ALONE = 12  # of so few rows each is merged by itself: array operations cost the same for one row as for many
 _NONE = np.iinfo(np.int64).max
 
 
@@ -54,6 +56,7 @@ class Vocabulary:
         self.lengths = np.array([len(x) for x in names], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(names), np.uint8)
+        self._rank_of: dict[int, int] | None = None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, -1 where there is none."""
@@ -61,6 +64,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_rank[at], -1)
 
+    def rank_of(self) -> dict[int, int]:
+        """The pair table as a dictionary, made when first needed."""
+        if self._rank_of is None:
+            self._rank_of = dict(zip(self.pairs.tolist(), self.pair_rank.tolist(), strict=True))
+        return self._rank_of
+
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
         ends = np.cumsum(n)
@@ -130,6 +139,58 @@ def merge_side_by_side(vocab: Vocabulary, pieces: list[bytes], width: int) -> li
     return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def merge_alone(vocab: Vocabulary, piece: bytes) -> bytes:
+    """The ids of one piece of any length, with the same tree in flat arrays
+    of machine integers (about 40 bytes of memory a byte)."""
+    n = len(piece)
+    width = 1 << max(0, n - 1).bit_length()
+    codes = vocab.bytes_of[np.frombuffer(piece, np.uint8)].astype(np.int64)
+    levels = [np.full(width, _NONE, dtype=np.int64)]
+    rank = vocab.rank(codes[:-1], codes[1:])
+    levels[0][:n - 1] = np.where(rank < 0, _NONE, rank * width + np.arange(n - 1))
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    tree = array("q", [_NONE])  # the root is at 1, as in the trees side by side
+    for level in reversed(levels):
+        tree.frombytes(level.tobytes())
+    del levels
+    token, after, before = array("q"), array("q"), array("q")
+    token.frombytes(codes.tobytes())
+    after.frombytes(np.arange(1, n + 1).tobytes())
+    before.frombytes(np.arange(-1, n - 1).tobytes())
+    rank_of = vocab.rank_of().get
+
+    def put(at: int, value: int) -> None:
+        at += width
+        tree[at] = value
+        while at > 1:
+            low = tree[at ^ 1]
+            if value < low:
+                low = value
+            at >>= 1
+            if tree[at] == low:
+                return
+            tree[at] = value = low
+
+    while tree[1] != _NONE:
+        merged, here = divmod(tree[1], width)
+        gone = after[here]
+        nxt = after[gone]
+        token[here], token[gone], after[here] = merged, -1, nxt
+        put(gone, _NONE)
+        right = -1
+        if nxt < n:
+            before[nxt] = here
+            right = rank_of(merged << 24 | token[nxt], -1)
+        put(here, _NONE if right < 0 else right * width + here)
+        prev = before[here]
+        if prev >= 0:
+            left = rank_of(token[prev] << 24 | merged, -1)
+            put(prev, _NONE if left < 0 else left * width + prev)
+    ids = np.frombuffer(token, np.int64)
+    return ids[ids >= 0].astype("<u4").tobytes()
+
+
 class Encoder(ChunkCoder):
     """Texts to ids with the vocabulary's ranks; pieces that the caches miss
     are merged side by side."""
@@ -164,7 +225,10 @@ class Encoder(ChunkCoder):
             step = max(1, CELLS // width)
             for lo in range(0, len(group), step):
                 part = group[lo:lo + step]
-                ids = merge_side_by_side(self.vocab, [raw for _, raw in part], width)
+                if len(part) <= ALONE:
+                    ids = [merge_alone(self.vocab, raw) for _, raw in part]
+                else:
+                    ids = merge_side_by_side(self.vocab, [raw for _, raw in part], width)
                 for (i, _), v in zip(part, ids, strict=True):
                     out[i] = v
         return out

@@ -21,9 +21,12 @@ def _random_texts(n=1500):
     return ["".join(rnd.choice("ab \n.é'st9\t\x01ΣÉ\x85") for _ in range(rnd.randrange(60))) for _ in range(n)]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y\n<|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext",
+           "tab\t<|endoftext|>\x85", "<|endof text|> <|startoftext|>"]
+
+
 def _direct(file):
     tok = Tokenizer.from_file(tokenizer_file(file))
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -33,11 +36,39 @@ def test_chunks_give_the_ids_of_whole_texts(kind, file, edge_texts, monkeypatch)
     monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
     monkeypatch.setattr(tokens, "CHUNKS", 50)
     coder, direct = kind(tokenizer_file(file), entries=40), _direct(file)
-    texts = edge_texts + _random_texts()
+    texts = edge_texts + _random_texts() + SPECIAL
     for t, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
         assert ids.tolist() == direct(t), t
 
 
+def test_lone_pieces_of_any_length(monkeypatch):
+    enc, rnd = _tiktoken(), random.Random(8)
+    vocab = bpe.Vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    pieces = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "thequickbrownfox", "é日xΣ")
+              for n in (2, 3, 4, 5, 31, 32, 33, 700)]
+    for p in pieces:
+        want = np.array(enc.encode_ordinary(p), "<u4").tobytes()
+        raw = p.encode()
+        assert bpe.merge_alone(vocab, raw) == want
+        assert bpe.merge_side_by_side(vocab, [raw], 1 << (len(raw) - 1).bit_length()) == [want]
+
+
+def test_texts_of_a_megabyte(docs_of):
+    """One letter run, and long prose: results equal the libraries'."""
+    rnd = random.Random(9)
+    run = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    prose = " ".join(rnd.choices(["alpha", "Beta,", "gamma.\n", "123", "été"], k=170_000))
+    enc = _tiktoken()
+    got = {r["n_tokens"]: r["ids_sha256"] for r in bpe.encode_texts(docs_of([run, prose])).collect()}
+    want = [enc.encode_ordinary(t) for t in (prose,)]
+    pieces = [run[i:i + 20_000] for i in range(0, len(run), 20_000)]
+    assert hashlib.sha256(np.array(want[0], "<u4").tobytes()).hexdigest() in got.values()
+    ids = np.frombuffer(bpe.merge_alone(bpe.Vocabulary(tokenizer_file("byte_bpe_50k.tiktoken")), pieces[0].encode()), "<u4")
+    assert ids.tolist() == enc.encode_ordinary(pieces[0])
+    for kind, file in ((WordCoder, "word_bpe_49k.json"), (ByteCoder, "byte_bpe_50k.json")):
+        assert kind(tokenizer_file(file)).encode(pa.array([prose]))[0].tolist() == _direct(file)(prose)
+
+
 def _tiktoken():
     with open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -75,7 +106,7 @@ def test_simple8b_words_hold_the_longest_run():
 def test_id_files_read_back(spark, docs_of, edge_texts, monkeypatch):
     monkeypatch.setattr(simple8b, "BLOCK", 100)
     direct = _direct("byte_bpe_50k.json")
-    texts = edge_texts + _random_texts(100)
+    texts = edge_texts + _random_texts(100) + SPECIAL
     docs = docs_of(texts)
     got = simple8b.id_files(spark, docs.union(docs.limit(1)), keep_ids=True).collect()
     rows = sorted(got, key=lambda r: r["start"])
@@ -92,6 +123,24 @@ def test_id_files_read_back(spark, docs_of, edge_texts, monkeypatch):
     assert simple8b.id_files(spark, docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_span_files_in_order(spark, monkeypatch):
+    direct = _direct("byte_bpe_50k.json")
+    rows = [(i // 3 if i < 90 else 7, f"word {i} " * (i % 5), "clash") for i in range(300)] + [(None, "no id", "clash")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = simple8b.write_ids(docs, simple8b.scratch_path(spark, "ids"))
+        got = sorted(simple8b.read_ids(files, keep_ids=True).collect(), key=lambda r: r["start"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 2
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids)
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    assert sorted((k, r["ids"]) for k, r in zip(ids, got, strict=True)) == sorted(
+        (-1 if i is None else i, [*direct(t), 0]) for i, t, _ in rows)
+
+
 def test_a_cut_file_is_refused(tmp_path):
     w = simple8b.FileWriter(str(tmp_path / "a.s8"))
     w.add([1], [3], np.arange(3, dtype=np.uint64))
@@ -105,7 +154,7 @@ def test_a_cut_file_is_refused(tmp_path):
 def test_packing_is_gapless_and_tight(docs_of, edge_texts):
     direct = _direct("word_bpe_49k.json")
     rnd = random.Random(2)
-    texts = edge_texts + [" ".join(rnd.choice(["the", "quick", "fox"]) for _ in range(rnd.randrange(400))) for _ in range(150)]
+    texts = edge_texts + SPECIAL + [" ".join(rnd.choice(["the", "quick", "fox"]) for _ in range(rnd.randrange(400))) for _ in range(150)]
     docs = docs_of(texts)
     cap = 128
     out = [r.asDict() for r in packing.packed_sequences(docs, capacity=cap, keep_ids=True).collect()]
