@@ -40,7 +40,7 @@ from dyadic.functions.crng import crng_uniform
 from dyadic.functions.draws import CounterRNG, stream_of
 from dyadic.operators import stats
 from dyadic.operators.iterate import cut
-from dyadic.operators.keyed import Generations, Lookups, prepare
+from dyadic.operators.keyed import Generations, Lookups, prepare, settle
 from dyadic.session import scratch_path
 from dyadic.operators.train_bpmf import _hyper, _moments_of, _normals, hyper_of_moments
 from dyadic.operators.score import real_block
@@ -205,17 +205,30 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     gens = Generations(spark, "bpmlr-rows")
     keep = [uid, iid, *reals, *looks.salts()]
     p, g, X = [f"__p{l}" for l in range(k)], [f"__g{l}" for l in range(k)], [F.col(x) for x in reals]
-    f = rows
-    if use_b:
-        f = looks.attach(f, uid, s, {"b": "__s"}, "inner")
-        f = looks.attach(f, iid, c, {"b": "__c"}, "inner")
-    else:
-        f = f.withColumns({"__s": F.lit(0.0), "__c": F.lit(0.0)})
-    f = f.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared])) if shared else looks.attach(f, uid, P, {"vec": "__p"}, "inner")
-    f = f.withColumn("__g", real_block(reals, W))
+    homes = bool(looks.plans)
+    if homes:
+        rows, looks = settle(rows.select(*keep, "__y"), looks, tables)
+        keep = [uid, iid, *reals, *looks.salts()]
     held = [] if shared else p
-    state = gens.write(f.select(*keep, (F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__g", k)).alias("__e"),
-                                *[F.col("__p")[l].alias(p[l]) for l in range(len(held))], *[F.col("__g")[l].alias(g[l]) for l in range(k)]).hint("rebalance"))
+
+    def now_scored():
+        """The rows under the present tables: residual, membership, W x."""
+        f = rows
+        if use_b:
+            if homes:
+                looks.pin(uid, s), looks.pin(iid, c)
+            f = looks.attach(f, uid, s, {"b": "__s"}, "inner")
+            f = looks.attach(f, iid, c, {"b": "__c"}, "inner")
+        else:
+            f = f.withColumns({"__s": F.lit(0.0), "__c": F.lit(0.0)})
+        if homes:
+            looks.pin(uid, P)
+        f = f.withColumn("__p", F.array(*[F.lit(float(v)) for v in p_shared])) if shared else looks.attach(f, uid, P, {"vec": "__p"}, "inner")
+        f = f.withColumn("__g", real_block(reals, W))
+        return f.select(*keep, (F.col("__y") - F.col("__s") - F.col("__c") - dot_k("__p", "__g", k)).alias("__e"),
+                        *[F.col("__p")[l].alias(p[l]) for l in range(len(held))], *[F.col("__g")[l].alias(g[l]) for l in range(k)])
+
+    state = now_scored() if homes else gens.write(now_scored().hint("rebalance"))
     N = state.count()
     trace_path = trace_path or scratch_path(spark, "bpmlr-trace")
     acc, kept = None, 0
@@ -230,22 +243,30 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
     e, G = F.col("__e"), [F.col(x) for x in g]
 
     def bias(ids, tab, key, name, stream):
-        nonlocal state, e, G
-        j = looks.attach(state, key, tab, {"b": "__o"}, "inner")
-        cond = bias_conditional(j, key, e + F.col("__o"), alpha_g, h[f"alpha_{name}"], h[f"mu_{name}"], looks)
-        new = cut(ids.join(cond, key, "left").join(tab.withColumnRenamed("b", "__old"), key).select(
-            key, (F.coalesce("mean", F.lit(h[f"mu_{name}"])) + _gauss(key, stream) /
-                  F.sqrt(F.coalesce("prec", F.lit(h[f"alpha_{name}"])))).alias("b"), "__old"))
-        j = looks.attach(state, key, new.withColumn("d", F.col("b") - F.col("__old")), {"d": "__d"}, "inner")
-        state = gens.write(j.select(*keep, (e - F.col("__d")).alias("__e"), *held, *[x.alias(y) for x, y in zip(G, g, strict=True)]))
-        e, G = F.col("__e"), [F.col(x) for x in g]
-        return new.select(key, "b")
+        """New values of one side's biases, and how their change reaches the rows."""
+        cond = bias_conditional(state, key, e, alpha_g, h[f"alpha_{name}"], h[f"mu_{name}"], looks)
+        j = ids.join(cond, key, "left").join(tab.withColumnRenamed("b", "__old"), key)
+        mean = F.col("mean") + F.lit(alpha_g) * F.col("n") * F.col("__old") / F.col("prec")
+        new = cut(j.select(key, (F.coalesce(mean, F.lit(h[f"mu_{name}"])) + _gauss(key, stream) /
+                                 F.sqrt(F.coalesce("prec", F.lit(h[f"alpha_{name}"])))).alias("b"), "__old"))
+
+        def far():
+            j = looks.attach(state, key, new.withColumn("d", F.col("b") - F.col("__old")), {"d": "__d"}, "inner")
+            return j.select(*keep, (e - F.col("__d")).alias("__e"), *held, *[x.alias(y) for x, y in zip(G, g, strict=True)])
+        return new.select(key, "b"), far
+
+    def moved(new):
+        """Rows at home are scored anew in the next pass, which moves nothing;
+        others are written as ``new`` makes them."""
+        return (now_scored() if homes else gens.write(new())), F.col("__e"), [F.col(x) for x in g]
 
     for sweep in range(1, nsamples * thin + 1):
         st = seed * 100 + sweep * 10
         if use_b:
-            s = bias(users, s, uid, "s", st)
-            c = bias(items, c, iid, "c", st + 1)
+            s, far = bias(users, s, uid, "s", st)
+            state, e, G = moved(far)
+            c, far = bias(items, c, iid, "c", st + 1)
+            state, e, G = moved(far)
         # P: per user k x k conditional (or one shared vector)
         now = pv()
         back = e + sum((now[l] * G[l] for l in range(k)), F.lit(0.0))
@@ -260,12 +281,15 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             gram = looks.gram(state, uid, G, back)
             new = _solve_p(users, gram, uid, k, alpha_g, LamP, muP, st + 2)
             both = cut(new.join(P.withColumnRenamed("vec", "__old"), uid))
-            j = looks.attach(state, uid, both.select(uid, *[(F.col("vec")[l] - F.col("__old")[l]).alias(f"d{l}") for l in range(k)]),
-                             {f"d{l}": f"__d{l}" for l in range(k)}, "inner")
-            state = gens.write(j.select(*keep, (e - sum((F.col(f"__d{l}") * G[l] for l in range(k)), F.lit(0.0))).alias("__e"),
-                                        *[(F.col(p[l]) + F.col(f"__d{l}")).alias(p[l]) for l in range(k)],
-                                        *[x.alias(y) for x, y in zip(G, g, strict=True)]))
-            P, e, G = both.select(uid, "vec"), F.col("__e"), [F.col(x) for x in g]
+
+            def far():
+                j = looks.attach(state, uid, both.select(uid, *[(F.col("vec")[l] - F.col("__old")[l]).alias(f"d{l}") for l in range(k)]),  # noqa: B023
+                                 {f"d{l}": f"__d{l}" for l in range(k)}, "inner")
+                return j.select(*keep, (e - sum((F.col(f"__d{l}") * G[l] for l in range(k)), F.lit(0.0))).alias("__e"),  # noqa: B023
+                                *[(F.col(p[l]) + F.col(f"__d{l}")).alias(p[l]) for l in range(k)],
+                                *[x.alias(y) for x, y in zip(G, g, strict=True)])  # noqa: B023
+            P = both.select(uid, "vec")
+            state, e, G = moved(far)
         # the rows of W, one after the other, from one matrix of moments
         now = pv()
         M = stats.moment_matrix(state, [*[now[l] * x for l in range(k) for x in X], e])
@@ -275,7 +299,9 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
             row = mean + np.linalg.cholesky(np.linalg.inv(prec)) @ draws.standard_normal(r)
             move_row(M, l, row - W[l])
             W[l] = row
-        if shared:  # written, so that the next sweep reads plain columns
+        if homes:
+            state, e, G = now_scored(), F.col("__e"), [F.col(x) for x in g]
+        elif shared:  # written, so that the next sweep reads plain columns
             e, G = e - sum((now[l] * form(W[l] - old[l], X) for l in range(k)), F.lit(0.0)), [G[l] + form(W[l] - old[l], X) for l in range(k)]
             state = gens.write(state.select(*keep, e.alias("__e"), *[x.alias(y) for x, y in zip(G, g, strict=True)]))
             e, G = F.col("__e"), [F.col(x) for x in g]

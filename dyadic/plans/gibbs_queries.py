@@ -147,8 +147,11 @@ def q_bpmlr_cond(spark, sf):
     return out.unionByName(spark.createDataFrame(small, out.schema))
 
 
-def _bpmlr(spark, sf, variant):
-    d = held_dyads(spark, sf)
+def _bpmlr_dyads(spark, sf):
+    return held_dyads(spark, sf, "uid", "iid", "term", "y", *REALS)
+
+
+def _bpmlr(d, variant):
     train, test = hold_out(d)
     st = prep.fit_zscore(train, REALS)
     train, test = prep.apply_zscore(train, st, REALS), prep.apply_zscore(test, st, REALS)
@@ -158,15 +161,15 @@ def _bpmlr(spark, sf, variant):
 
 @query("fit_bpmlr", bpmlr_sql())
 def q_fit_bpmlr(spark, sf):
-    res = _bpmlr(spark, sf, "full")
+    res = _bpmlr(_bpmlr_dyads(spark, sf), "full")
     return res.history.select("iter", r6("train_rmse").alias("train_rmse"), r6("test_rmse").alias("test_rmse"))
 
 
 @query("fit_bpmlr_variants", bpmlr_variants_sql())
 def q_fit_bpmlr_variants(spark, sf):
-    out = None
+    out, d = None, _bpmlr_dyads(spark, sf)
     for v in ("s", "nb", "np"):
-        h = _bpmlr(spark, sf, v).history.select(F.lit(v).alias("variant"), "iter",
+        h = _bpmlr(d, v).history.select(F.lit(v).alias("variant"), "iter",
                                                 r6("train_rmse").alias("train_rmse"),
                                                 r6("test_rmse").alias("test_rmse"))
         out = h if out is None else out.unionByName(h)
@@ -175,6 +178,6 @@ def q_fit_bpmlr_variants(spark, sf):
 
 @query("bpmlr_trace_stats", bpmlr_trace_sql())
 def q_bpmlr_trace(spark, sf):
-    res = _bpmlr(spark, sf, "full")
+    res = _bpmlr(_bpmlr_dyads(spark, sf), "full")
     return stats.trace_stats(res.trace, groups=[("P", "profile"), ("W", "weights")]).select(
         "param", "sample", r6("norm").alias("norm"), r6("mean").alias("mean"), r6("std").alias("std"), "group")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadic.operators import importance, joins
 from dyadic.operators.iterate import cut
+from dyadic.operators.keyed import Lookups, prepare, settle
 from dyadic.plans.params import scalar_table, vec_table
 
 
@@ -52,3 +53,28 @@ def test_importance_sums_rows_before_it_looks_large_tables_up(skewed, monkeypatc
     for a, b in zip(got, want, strict=True):
         assert list(a["feature"]) == list(b["feature"]) and np.allclose(a["importance"], b["importance"])
     assert not joins.fits_broadcast(ids["uid"].schema, None)
+
+
+def test_rows_at_home_do_not_move(spark, skewed):
+    """Tables of the home key and values of other keys come to the rows; sums of
+    the home key end there.  Results are those of plain joins and sums."""
+    tabs = {"uid": (40, 3), "iid": (30, 1)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, looks = settle(*prepare(skewed, tabs, budget=0), tabs)
+        assert looks.home == "uid" and looks.plans["uid"].salts[7] > 1
+        U = cut(vec_table(skewed.select("uid").distinct(), "uid", 1, 2))
+        I = cut(scalar_table(skewed.select("iid").distinct().filter("iid > 4"), "iid", 2))
+        j = looks.attach(looks.attach(rows, "uid", U, {"vec": "v"}), "iid", I, {"b": "c"})
+        c = F.coalesce("c", F.lit(0.0))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan and plan.count("Bucketed: true") == 2
+        looks.pin("iid", I)
+        assert "dyadic_edges" not in looks.attach(rows, "iid", I, {"b": "c"})._jdf.queryExecution().executedPlan().toString()
+        want = skewed.join(U.withColumnRenamed("vec", "v"), "uid").join(I.withColumnRenamed("b", "c"), "iid", "left")
+        for key in ("uid", "iid"):
+            z = [F.col("v")[0], F.col("x0")]
+            a, b = (g.orderBy(key).toPandas() for g in (looks.gram(j, key, z, F.col("y") + c), Lookups({"uid", "iid"}).gram(want, key, z, F.col("y") + c)))
+            assert np.allclose(a[b.columns], b)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
