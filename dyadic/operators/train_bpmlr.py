@@ -59,10 +59,11 @@ START, SHARED_P, W_ROWS, NOISE, HYPER_S, HYPER_C, HYPER_P, HYPER_W = range(8)
 def bias_conditional(rows: DataFrame, key: str, resid: F.Column, alpha_g: float, alpha: float,
                      mu: float, looks: Lookups | None = None) -> DataFrame:
     """Per entity: precision alpha + alpha_G n and mean
-    (alpha mu + alpha_G sum resid) / precision (resid excludes this bias)."""
-    g = (looks or Lookups(set())).sums(rows, key, {"n": F.lit(1).cast("long"), "sr": resid})
+    (alpha mu + alpha_G sum resid) / precision (resid excludes this bias);
+    ``seen``: rows whose resid is not null."""
+    g = (looks or Lookups(set())).sums(rows, key, {"n": F.lit(1).cast("long"), "sr": resid, "seen": F.when(resid.isNotNull(), 1).otherwise(0)})
     prec = F.lit(alpha) + F.lit(alpha_g) * F.col("n")
-    return g.select(key, "n", prec.alias("prec"),
+    return g.select(key, "n", "seen", prec.alias("prec"),
                     ((F.lit(alpha * mu) + F.lit(alpha_g) * F.col("sr")) / prec).alias("mean"))
 
 
@@ -246,7 +247,7 @@ def fit_bpmlr(train: DataFrame, test: DataFrame, reals, uid="uid", iid="iid", ta
         """New values of one side's biases, and how their change reaches the rows."""
         cond = bias_conditional(state, key, e, alpha_g, h[f"alpha_{name}"], h[f"mu_{name}"], looks)
         j = ids.join(cond, key, "left").join(tab.withColumnRenamed("b", "__old"), key)
-        mean = F.col("mean") + F.lit(alpha_g) * F.col("n") * F.col("__old") / F.col("prec")
+        mean = F.col("mean") + F.lit(alpha_g) * F.col("seen") * F.col("__old") / F.col("prec")
         new = cut(j.select(key, (F.coalesce(mean, F.lit(h[f"mu_{name}"])) + _gauss(key, stream) /
                                  F.sqrt(F.coalesce("prec", F.lit(h[f"alpha_{name}"])))).alias("b"), "__old"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyadic.operators import importance, joins
 from dyadic.operators.iterate import cut
 from dyadic.operators.keyed import Lookups, prepare, settle
+from dyadic.operators.train_profile import fit_profile_cd, init_profile_model
 from dyadic.plans.params import scalar_table, vec_table
 
 
@@ -78,3 +79,11 @@ def test_rows_at_home_do_not_move(spark, skewed):
             assert np.allclose(a[b.columns], b)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_a_target_take_no_part_wherever_rows_lie(skewed):
+    rows = skewed.withColumn("y", F.when(F.col("row") % 7 != 0, F.col("y")))
+    ids = {c: cut(skewed.select(c).distinct()) for c in ("uid", "iid")}
+    m0 = init_profile_model(ids, 2, ["uid", "iid"], "uid", [], ["x0", "x1"], std=0.1, learn_w0=False)
+    a, b = (fit_profile_cd(rows, m0, lambda_w=1.0, lambda_b=1.0, sweeps=2, salt_entities=s) for s in (None, True))
+    assert np.allclose(*[x[1].orderBy("iter").toPandas()["train_rmse"] for x in (a, b)])
