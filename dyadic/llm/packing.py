@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from dyadic.operators.ranking import rank_within
 
 from .common import release_memory, stored, tokenizer_file
-from .tokens import WordCoder, worker_coder
+from .tokens import ROWS_AT_ONCE, WordCoder, worker_coder
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,8 +45,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     def run(batches):
         coder = worker_coder(WordCoder, path)
         for b in batches:
-            for lo in range(0, b.num_rows, 8000):
-                part = b.slice(lo, 8000)
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
                 rows: list[list] = [[] for _ in fields]
                 take: list[int] = []
                 for i, ids in enumerate(coder.encode(part.column(1))):

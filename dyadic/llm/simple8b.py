@@ -37,8 +37,8 @@ from pyspark.sql.window import Window
 
 from dyadic.session import scratch_path
 
-from .common import stored, tokenizer_file
-from .tokens import ByteCoder, worker_coder
+from .common import release_memory, stored, tokenizer_file
+from .tokens import ROWS_AT_ONCE, ByteCoder, worker_coder
 
 MAGIC = b"S8IDS001"
 BLOCK = 1 << 16
@@ -225,8 +225,8 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         coder, out, total, docs_n = worker_coder(ByteCoder, path), None, 0, 0
         name = f"{folder}/ids-{uuid.uuid4().hex}.s8"
         for b in batches:
-            for lo in range(0, b.num_rows, 8000):
-                part = b.slice(lo, 8000)
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
                 ids = part.column(0).to_pylist()
                 if out is None:
                     out = FileWriter(name)
@@ -239,6 +239,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]),
                  pa.array([docs_n], pa.int64()), pa.array([total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
+        release_memory()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = [F.col("doc_id"), F.xxhash64("text")]
@@ -279,6 +280,7 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
                         done, crc, kept = done + 1000, [], []
                 if crc:
                     yield rows(done, done + len(crc))
+        release_memory()
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids

@@ -31,6 +31,7 @@ import regex
 CACHE_ENTRIES = 600_000  # pieces per generation
 CHUNKS = 1_000_000
 GROUP_BYTES = 12 << 20
+ROWS_AT_ONCE = 2000  # texts of a batch whose ids a task holds together
 _MARK = "\x01"
 # no white space, controls or combining marks; lower case is per character
 _SIMPLE = re.compile("[!-~\u00a1-\u017f]*").fullmatch

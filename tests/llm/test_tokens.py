@@ -185,3 +185,26 @@ def test_fullest_bin_is_optimal():
         got = packing.fullest(have, room)
         assert all(got[x] <= have[x] for x in got)
         assert sum(x * n for x, n in got.items()) == max(s for s in sums if s <= room)
+
+
+def test_id_tasks_hold_few_texts_and_give_memory_back(spark, tmp_path, monkeypatch):
+    """A large Arrow batch is encoded in small slices, and a worker hands freed
+    memory back at the end of each task that writes or reads ids."""
+    from types import SimpleNamespace
+    tasks, held, freed = [], [], []
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: (tasks.append(run), df)[1])
+    monkeypatch.setattr(simple8b, "stored", lambda df, name: df)
+    monkeypatch.setattr(simple8b, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    encode = ByteCoder.encode
+    monkeypatch.setattr(ByteCoder, "encode", lambda c, texts: (held.append(len(texts)), encode(c, texts))[1])
+    for module in (simple8b, packing):
+        monkeypatch.setattr(module, "release_memory", lambda: freed.append(1))
+    texts = [f"text {i}" for i in range(8000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(8000), pa.int64()), "text": texts})
+    simple8b.write_ids(docs, str(tmp_path))
+    (written,) = tasks.pop()(iter([batch]))
+    assert max(held) <= 2000 and sum(held) == 8000 and len(freed) == 1
+    simple8b.read_ids(spark.createDataFrame([(0, written.column(1)[0].as_py(), 8000, 0)], "part int, file string, n_docs long, n_ids long"))
+    files = pa.RecordBatch.from_pydict({"file": written.column(1), "before": pa.array([0], pa.int64())})
+    assert sum(b.num_rows for b in tasks.pop()(iter([files]))) == 8000 and len(freed) == 2
