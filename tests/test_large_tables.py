@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dyadic.operators import importance, joins
+from dyadic.guide import FeatureGuide
+from dyadic.operators import encode, importance, joins, train_profile
 from dyadic.operators.iterate import cut
 from dyadic.operators.keyed import Lookups, prepare, settle
-from dyadic.operators.train_profile import fit_profile_cd, init_profile_model
+from dyadic.operators.train_profile import fit_profile_cd, fit_profile_gd, init_profile_model
 from dyadic.plans.params import scalar_table, vec_table
 
 
@@ -87,3 +88,44 @@ def test_rows_without_a_target_take_no_part_wherever_rows_lie(skewed):
     m0 = init_profile_model(ids, 2, ["uid", "iid"], "uid", [], ["x0", "x1"], std=0.1, learn_w0=False)
     a, b = (fit_profile_cd(rows, m0, lambda_w=1.0, lambda_b=1.0, sweeps=2, salt_entities=s) for s in (None, True))
     assert np.allclose(*[x[1].orderBy("iter").toPandas()["train_rmse"] for x in (a, b)])
+
+
+def test_small_codes_move_as_one_column(spark, skewed, monkeypatch):
+    """Rows that move home carry the codes of broadcast tables in one long, nulls included."""
+    rows = skewed.withColumn("cat", F.when(F.col("row") % 5 != 0, F.col("cat"))).withColumn("kind", (F.col("row") % 3).cast("int"))
+    tabs = {"uid": (40, 3), "iid": (30, 1), "cat": (4, 1), "kind": (3, 1)}
+    prepared, looks = prepare(rows, tabs, salted=("uid", "iid"))
+    moved = []
+    repartition = type(skewed).repartition
+    monkeypatch.setattr(type(skewed), "repartition", lambda df, n, *by: (moved.append((by, df.columns)), repartition(df, n, *by))[1])
+    home, looks = settle(prepared, looks, tabs)
+    (cols,) = [c for by, c in moved if by == ("__home",)]
+    assert "cat" not in cols and "kind" not in cols and "uid" in cols
+    assert dict(home.dtypes)["kind"] == "int"
+    a, b = (x.select(rows.columns).orderBy("row").toPandas() for x in (home, rows))
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_encoding_moves_small_codes_as_one_column(spark, skewed, monkeypatch):
+    rows = skewed.select("uid", "iid", "x0", "x1", "y", F.when(F.col("row") % 5 != 0, F.col("cat")).alias("cat"),
+                         F.when(F.col("row") % 4 != 0, F.concat(F.lit("k"), F.col("row") % 3)).alias("kind"),
+                         F.when(F.col("row") % 9 == 0, "test").otherwise("train").alias("split"), "row")
+    guide = FeatureGuide(target="y", ents=("uid", "iid"), cats=("cat", "kind"), reals=("x0", "x1"))
+    want = encode.encode(rows, guide, keep=("row",)).frame.orderBy("row").toPandas()
+    packed = []
+    pack = encode.packed_codes
+    monkeypatch.setattr(encode, "packed_codes", lambda fields, cards: (packed.append(sorted(fields)), pack(fields, cards))[1])
+    monkeypatch.setattr(encode, "fits_broadcast", lambda schema, n, *a, **k: n < 10)
+    got = encode.encode(rows, guide, keep=("row",)).frame.orderBy("row").toPandas()
+    assert packed == [["cat", "kind"]]
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_the_last_pass_sums_by_no_key(skewed, monkeypatch):
+    ids = {c: cut(skewed.select(c).distinct()) for c in ("uid", "iid")}
+    m0 = init_profile_model(ids, 2, ["uid", "iid"], "uid", [], ["x0", "x1"], std=0.1, learn_w0=False)
+    asked = []
+    sums = train_profile.group_sums
+    monkeypatch.setattr(train_profile, "group_sums", lambda df, sets: (asked.append([k for _, k, _ in sets]), sums(df, sets))[1])
+    _, h = fit_profile_gd(skewed, m0, iters=1, eps=float("-inf"))
+    assert h.count() == 2 and asked == [[None, "uid", "iid", "uid"], [None]]
