@@ -177,7 +177,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Languag
     lists = list(zip((x.values.to_numpy() for x in got.column("buckets")), (x.values.to_numpy() for x in got.column("n")),
                      got.column("lang").to_pylist(), strict=True))
     lists.sort(key=lambda r: (r[2], len(r[0]), int(r[1].sum()), r[0].tobytes(), r[1].tobytes()))  # whatever the partitions
-    return fit([(at, n) for at, n, _ in lists], [lang for _, _, lang in lists], **options)
+    model = fit([(at, n) for at, n, _ in lists], [lang for _, _, lang in lists], **options)
+    del got, lists
+    release_memory()  # the driver's, whose later steps would hold the sample's pages
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

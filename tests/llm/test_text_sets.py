@@ -197,3 +197,51 @@ def test_blocks_give_links_not_pairs():
         # members that no cell has left together are not compared
         apart = jaccard._links_of_blocks(np.zeros(80, np.int64), True, c, c, n, [np.array([i], np.int64) for i in range(80)], sets)
         assert apart == []
+
+
+def _smallest_reached(links):
+    label = {x: x for pair in links for x in pair}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """The driver holds plans and threads of every job: a long chain of links
+    settles inside its partition, not in a round of joins per doubling."""
+    rnd = random.Random(3)
+    names = rnd.sample(range(-10**9, 10**9), 130)
+    links = list(zip(names[:100], names[1:101], strict=True)) + [(names[k], names[k + 1]) for k in range(101, 129, 3)]
+    links += [links[0], links[0][::-1], (names[129], names[129])]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("few-links", "components")
+    try:
+        got = jaccard.components(df).collect()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert {r["c"]: r["comp"] for r in got} == _smallest_reached(links) and len(got) == 121
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8
+    assert jaccard.components(df.filter("a is null")).collect() == []
+
+
+def test_components_across_partitions(spark, monkeypatch):
+    """Links of more than one partition go on in rounds of joins."""
+    monkeypatch.setattr(jaccard, "ROWS", 8)
+    rnd = random.Random(4)
+    names = rnd.sample(range(10**6), 60)
+    links = [(names[k], names[k + 1]) for k in range(59) if k % 20 != 19]
+    rnd.shuffle(links)
+    got = jaccard.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()
+    assert {r["c"]: r["comp"] for r in got} == _smallest_reached(links) and len(got) == 60
+
+
+def test_joins_on_classes_broadcast_nothing(docs_of):
+    """Small tables joined by class stay out of the driver's memory."""
+    docs = docs_of(_copies(1)[:40])
+    j = jaccard._Join(docs)
+    sets = j.sets_of(j.classes.select("c").limit(3))
+    assert sets.count() == 3
+    sets.collect()
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
