@@ -1,5 +1,7 @@
 """One pass for the FM's small fields and reals: what it reads, and that the fit stays."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,9 +94,21 @@ def test_the_fit_is_that_of_plain_sums(odd, monkeypatch, salted, cells):
 @pytest.mark.parametrize("kind,salted", [(Lookups, ()), (Homes, ("uid", "iid"))])
 def test_small_fields_and_reals_take_one_pass(odd, monkeypatch, kind, salted):
     asked, seen = [], []
-    gram, sums = kind.gram, train_fm._cell_sums
-    monkeypatch.setattr(kind, "gram", lambda self, rows, key, *a: (asked.append(key), gram(self, rows, key, *a))[1])
+    by_key, sums = kind.sums, train_fm._cell_sums
+    monkeypatch.setattr(kind, "sums", lambda self, rows, key, *a: (asked.append(key), by_key(self, rows, key, *a))[1])
     monkeypatch.setattr(train_fm, "_cell_sums", lambda s, t, *a, **b: (seen.append((t.fields, t.reals)), sums(s, t, *a, **b))[1])
     monkeypatch.setattr(train_fm, "CELL_BYTES", 8 * 15 ** 2 * 5 * 4)
     fit_fm_als(odd, _model(odd), iters=1, lambda_w=1.0, lambda_v=1.0, salted=salted)
     assert asked == ["uid", "iid"] and seen == [(["cat", "kind"], REALS)]
+
+
+def test_rows_at_home_take_one_pass_for_the_start_and_the_first_block(odd, monkeypatch):
+    pinned, scored = [], []
+    pin, score = Homes.pin, train_fm.fm_score
+    monkeypatch.setattr(Homes, "pin", lambda self, key, t: (pin(self, key, t), pinned.append([p[0] for p in self.pinned]))[0])
+    monkeypatch.setattr(train_fm, "fm_score", lambda *a, **b: (scored.append(1), score(*a, **b))[1])
+    m0 = _model(odd)
+    m0 = replace(m0, sizes={**m0.sizes, "iid": 40})  # rows lie by iid
+    _, h = fit_fm_als(odd, m0, iters=1, lambda_w=1.0, lambda_v=1.0, salted=("uid", "iid"))
+    assert len(scored) == 3 and h.count() == 2  # uid, iid, the rest
+    assert pinned[0] == []  # the start's values of the other key are read once and not kept
