@@ -15,6 +15,13 @@ from dyadic.operators.train_fm import fit_fm_als, init_fm_model
 FIELDS, REALS = ["uid", "iid", "cat", "kind"], ["x0", "x1"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def settings(spark):
+    """Rows at home change a setting of the session, on which plans of other tests hang."""
+    yield
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Rows that come twice, lack a target, a real or a code, or have a code without a table."""
